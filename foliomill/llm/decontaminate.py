@@ -81,8 +81,9 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     small = held <= BROADCAST_BYTES
     wid = F.md5(F.array_join("win", " "))
     distinct = windows.select("win").distinct()
+    rarity = word_rarity(docs, distinct, small)
     keyed = written(
-        rarest_first(distinct, word_rarity(docs, distinct, small)).withColumn("wid", wid), "prefixes"
+        rarest_first(distinct, F.broadcast(rarity) if small else rarity).withColumn("wid", wid), "prefixes"
     )
     said = docs.select(F.col("doc_id").alias("doc"), item_words(whole()).alias("found"))
     if small:
