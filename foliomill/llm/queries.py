@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, pii, quality, secrets, simhash, token_counts, toxicity
+from . import bpe, decontaminate, line_dedup, pii, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 from .text import table
 
@@ -19,6 +19,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_toxicity, op2_simhash, op4_secrets, op5_token_counts, op6_bpe, op7_pii,
+        op1_toxicity, op2_simhash, op3_suffix_dedup, op4_secrets, op5_token_counts, op6_bpe, op7_pii,
         op8_quality_rules, op9_decontaminate, op10_line_dedup,
     )
     return {f.__name__: f for f in every}
