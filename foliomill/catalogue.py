@@ -1,19 +1,600 @@
-"""All queries of the library's own operators, and their SQL."""
+"""All queries of the library's own operators; `oracles` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles, projections as P
+from .functions import normalize as N
+from .functions import render as R
+from .functions import responses as M
+from .functions import structure as X
+from .functions import text as T
+from .operators import assemble, chunking, layout, retrieval, rollup
+from .plans import answer, run
+from .projections import table
+from .sinks import formats
+from .sources import scan
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+QUESTION = "What does the statement on pages 66-67 say about the inandti and ereat?"
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    REGISTRY[f.__name__] = f
+    return f
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def _json(column: str) -> F.Column:
+    return F.to_json(F.col(column)).alias(column)
+
+
+def _keyed(s: SparkSession, d: str) -> DataFrame:
+    return P.keyed_pages(_docs(s, d))
+
+
+@query
+def restore_text_offline(s, d):
+    return _docs(s, d).select(
+        "doc_id", T.restore_offline(F.concat(F.lit("SOURCE TEXT\n"), F.regexp_replace("text", r"\. ", ".  \r\n\r\n\r\n-\n"))).alias("restored")
+    )
+
+
+@query
+def split_chunks(s, d):
+    return chunking.chunk_rows(_docs(s, d)).select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
+
+
+@query
+def chunk_stats_by_lang(s, d):
+    chunks = _docs(s, d).select("lang", F.explode(chunking.split_chunks(F.col("text"))).alias("chunk"))
+    return chunks.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.max(F.length("chunk")).alias("longest")
+    )
+
+
+@query
+def page_lines(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("pos"), "line")
+
+
+@query
+def page_markers_headings(s, d):
+    found = T.lines(F.col("text"))
+    return _keyed(s, d).select(
+        "doc_id", X.page_marker(found).alias("page_marker"), F.array_join(X.section_headings(found), "|").alias("headings"),
+        X.running_header(found).alias("running_header"),
+    )
+
+
+@query
+def content_role(s, d):
+    return X.observe(_keyed(s, d)).select("doc_id", "document_type", "role", "assembly_hint")
+
+
+@query
+def role_counts_by_type(s, d):
+    return X.observe(_keyed(s, d)).groupBy("document_type", "role").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def role_labels(s, d):
+    roles = X.observe(_keyed(s, d)).select("doc_id", "role")
+    labels = s.createDataFrame(
+        [("toc", "Contents"), ("contents", "Table of contents"), ("body", "Body text"), ("table", "Table"), ("chart", "Chart")], "role string, label string"
+    )
+    return roles.join(F.broadcast(labels), "role", "left").select(
+        "doc_id", "role", F.coalesce("label", F.replace("role", F.lit("-"), F.lit(" "))).alias("label")
+    )
+
+
+@query
+def contents_entries(s, d):
+    pages = P.contents_pages(table(s, d, "part")).withColumn("lines", T.lines(F.col("text")))
+    return pages.select("page", F.posexplode(X.contents_entries(F.col("lines"))).alias("pos", "e")).select(
+        "page", (F.col("pos") + 1).alias("pos"), F.col("e.title").alias("title"), F.col("e.page").alias("number")
+    )
+
+
+@query
+def table_rows_mode(s, d):
+    pages = P.table_pages(table(s, d, "lineitem")).withColumn("lines", T.lines(F.col("text")))
+    rows = pages.withColumn("rows", X.table_rows(F.col("lines")))
+    return rows.select("page", F.size("rows").alias("n_rows"), F.coalesce(F.get("rows", F.lit(0))["cell_count"], F.lit(0)).alias("cells"))
+
+
+@query
+def chart_signals(s, d):
+    pages = P.table_pages(table(s, d, "lineitem")).withColumn("lines", T.lines(F.col("text")))
+    return pages.select("page", F.array_join(X.chart_signals(F.col("lines")), ",").alias("signals"))
+
+
+@query
+def footnotes(s, d):
+    notes = _docs(s, d).select("doc_id", F.posexplode(X.footnotes(T.lines(F.col("text")))).alias("pos", "n"))
+    return notes.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("n.marker").alias("marker"), F.col("n.text").alias("note"))
+
+
+@query
+def contributors(s, d):
+    found = T.lines(F.col("text"))
+    return _docs(s, d).select("doc_id", F.array_join(X.contributors(found), "|").alias("contributors"), F.array_join(X.publishers(found), "|").alias("publishers"))
+
+
+@query
+def content_features(s, d):
+    return X.observe(_keyed(s, d)).select("doc_id", F.array_join("content_features", ",").alias("features"))
+
+
+@query
+def layout_class(s, d):
+    return X.observe(_keyed(s, d)).groupBy("layout").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def layout_confidence(s, d):
+    seen = X.observe(_keyed(s, d))
+    return seen.select("doc_id", X.layout_confidence(F.col("text"), F.col("role"), F.col("page_marker"), F.col("has_figure_marker")).alias("confidence"))
+
+
+@query
+def low_confidence_pages(s, d):
+    seen = X.observe(_keyed(s, d)).withColumn("confidence", X.layout_confidence(F.col("text"), F.col("role"), F.col("page_marker"), F.lit(False)))
+    return seen.where(F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) < 0.55).select("doc_id", "role", "confidence")
+
+
+@query
+def page_profile(s, d):
+    return rollup.with_profile(X.observe(_keyed(s, d))).select("doc_id", "dominant_flow", "column_count", "line_count", "avg_line_length")
+
+
+@query
+def layout_profile(s, d):
+    pages = rollup.with_profile(X.observe(_keyed(s, d)))
+    return rollup.layout_profile(pages, ["document_type"]).select(
+        "document_type", "dominant_flow", "column_count_estimate", F.to_json("page_flow_counts").alias("flows"), F.array_join("notes", " ").alias("notes")
+    )
+
+
+@query
+def document_structure(s, d):
+    out = rollup.document_structure(X.observe(_keyed(s, d)), ["source"], "doc_id")
+    lists = ("title_candidates", "section_headings", "page_markers", "contents_entries", "footnotes", "contributors", "publishers")
+    return out.select("source", "page_count_observed", "table_block_count", "chart_block_count", *[_json(c) for c in lists])
+
+
+@query
+def running_headers_frequent(s, d):
+    heads = _docs(s, d).select("lang", "doc_id", X.running_header(T.lines(F.col("text"))).alias("header"))
+    return rollup.frequent(heads, ["lang"], "header", "doc_id")
+
+
+@query
+def detected_title(s, d):
+    return _docs(s, d).select("doc_id", X.detected_title(F.slice(T.lines(F.col("text")), 1, 2)).alias("title"))
+
+
+@query
+def flow_mode(s, d):
+    return rollup.mode_of(P.usage(table(s, d, "events")), ["run"], "event_type", "most")
+
+
+@query
+def usage_totals(s, d):
+    return rollup.usage_totals(P.usage(table(s, d, "events")), ["run"])
+
+
+@query
+def first_failure(s, d):
+    return rollup.first_failure(P.usage(table(s, d, "events")), ["run"], "seq")
+
+
+@query
+def retry_merge(s, d):
+    units = P.usage(table(s, d, "events")).select("run", "seq", "failure_reason", "total_tokens", "event_type")
+    retried = units.where(F.col("failure_reason") != "").select(
+        "run", "seq", (F.col("total_tokens") + 1).alias("total_tokens"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.col("failure_reason")).alias("failure_reason"),
+    )
+    return assemble.retry_merge(units, retried, ["run", "seq"], ["failure_reason", "total_tokens"])
+
+
+@query
+def failed_inputs(s, d):
+    units = P.usage(table(s, d, "events")).withColumn("status", M.status_of(F.col("failure_reason")))
+    return run.failed_inputs(units).groupBy("status", "failure_reason").agg(F.count(F.lit(1)).alias("units"))
+
+
+@query
+def resume_remaining(s, d):
+    done = P.usage(table(s, d, "events")).select(F.col("seq").alias("doc_id"), M.status_of(F.col("failure_reason")).alias("status"))
+    return run.resume(_docs(s, d), done).select("doc_id")
+
+
+@query
+def archive_numbering(s, d):
+    members = _docs(s, d).select(
+        F.col("source").alias("path"), F.col("doc_id").cast("int").alias("pos"), F.lit("m").alias("member"), F.lit("text").alias("kind"), F.col("text").cast("binary").alias("content")
+    )
+    return scan.archive_pieces(members).select("path", "pos", "chunk_index", F.length("text").alias("chars"))
+
+
+@query
+def consistency_scan(s, d):
+    out = assemble.consistency_scan(_docs(s, d).select("source", "doc_id", "text"), "source", "doc_id")
+    return out.select(
+        "source", "doc_id", "observed_pages", "paragraph_style", "heading_style", "page_marker_style",
+        F.array_join("layout_notes", "|").alias("notes"), F.array_join("encountered_scripts", "|").alias("scripts"),
+        F.array_join("encountered_structures", "|").alias("structures"), F.md5("recent_text_excerpt").alias("recent"),
+    )
+
+
+@query
+def review_budget(s, d):
+    marked = _docs(s, d).select("source", "doc_id", M.looks_damaged(F.col("text"), F.lit("balanced")).alias("damaged"))
+    return assemble.review_budget(marked, "source", "doc_id", "damaged", F.lit(3)).select("source", "doc_id", "damaged", "reviewed")
+
+
+@query
+def parse_model_reply(s, d):
+    out = M.parse_replies(P.replies(_docs(s, d)))
+    return out.select("doc_id", F.md5("restored_text").alias("digest"), "status", "failure_reason", "notes")
+
+
+@query
+def parse_translation_reply(s, d):
+    rows = P.replies(_docs(s, d)).withColumn("reply", F.replace("reply", F.lit("restored_text"), F.lit("translated_text")))
+    return M.parse_replies(rows, result="translated_text").select("doc_id", F.md5("translated_text").alias("digest"), "status", "failure_reason")
+
+
+@query
+def lenient_model_reply(s, d):
+    cut = P.replies(_docs(s, d)).withColumn("reply", F.concat(F.regexp_replace("reply", r"\}\s*(```)?$", ""), F.lit(',"x":}')))
+    return M.parse_replies(cut).select("doc_id", F.md5("restored_text").alias("digest"), "status")
+
+
+@query
+def picture_reply_text(s, d):
+    shown = F.concat(F.lit("Here is the text:\n```text\n"), F.col("text"), F.lit("\n```"))
+    return _docs(s, d).select("doc_id", F.md5(M.picture_text(shown)).alias("digest"))
+
+
+@query
+def retry_decisions(s, d):
+    r = P.replies(_docs(s, d))
+    return r.select("doc_id", M.needs_retry(F.col("reply")).alias("retry"), F.array_join(M.retry_hints(F.col("source_text")), "|").alias("hints"))
+
+
+@query
+def block_markers(s, d):
+    out = P.marked_replies(_docs(s, d)).select("doc_id", F.explode(M.block_texts(F.col("reply"))).alias("block", "said"))
+    return out.select("doc_id", "block", F.md5("said").alias("digest"))
+
+
+@query
+def block_roles_confidence(s, d):
+    out = layout.classify(P.boxes(table(s, d, "lineitem")))
+    return out.groupBy("role", "page_zone", "confidence", "table_signals").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query
+def reading_order(s, d):
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
+    ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom")
+    return ordered.groupBy("page").agg(F.max("reading_order").alias("blocks"), F.min_by("top", "reading_order").alias("first_top"), F.max_by("top", "reading_order").alias("last_top"))
+
+
+@query
+def column_estimate(s, d):
+    return layout.column_counts(layout.classify(P.boxes(table(s, d, "lineitem")))).groupBy("columns").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def page_flow(s, d):
+    return layout.page_flow(layout.column_counts(layout.classify(P.boxes(table(s, d, "lineitem"))))).select(
+        "page", "flow", "block_count", "content_left", "content_top", "content_right", "content_bottom"
+    )
+
+
+@query
+def asset_placement(s, d):
+    boxes = P.boxes(table(s, d, "lineitem"))
+    placed = layout.placement(layout.width(), layout.height())
+    at = layout.insertion_index(F.lit(12), F.lit(None).cast("string"), F.col("top") / 1500, F.col("bottom") / 1500, F.lit(""))
+    return boxes.groupBy(
+        layout.size_class().alias("size_class"), placed["recommended_width"].alias("width_hint"), at.alias("before_paragraph")
+    ).agg(F.count(F.lit(1)).alias("assets"))
+
+
+@query
+def dedupe_boxes(s, d):
+    return layout.dedupe_boxes(P.boxes(table(s, d, "lineitem"))).groupBy("page").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query
+def merge_blocks(s, d):
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
+    pairs = blocks.where(F.col("block") > 1).select("page", F.col("block").alias("a"), (F.col("block") - 2).alias("b")).where("b > 0")
+    return layout.merge_blocks(blocks.dropDuplicates(["page", "block"]), pairs).groupBy("page").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query
+def native_layout(s, d):
+    """Rasters drawn from the boxes of small pages, and the blocks found on them."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        gray = np.full((300, 200), 255, np.uint8)
+        for a, b, c, e in zip(rows["left"] // 5, rows["top"] // 5, rows["right"] // 5, rows["bottom"] // 5):
+            gray[b:e:2, a:c] = 40
+        return pd.DataFrame({"page": rows["page"].iloc[:1], "width": 200, "height": 300, "gray": [gray.tobytes()]})
+
+    pages = P.boxes(table(s, d, "lineitem")).groupBy("page").applyInPandas(draw, "page bigint, width int, height int, gray binary")
+    return layout.native_blocks(pages).groupBy("page").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.max("dark_ratio"), 6).alias("darkest"))
+
+
+@query
+def allocate_text_to_blocks(s, d):
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
+    ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom")
+    segments = _docs(s, d).select(F.col("doc_id").alias("page"), F.posexplode(T.lines(F.col("text"))).alias("pos", "segment"))
+    out = assemble.allocate_texts(ordered.select("page", "reading_order", "role"), segments)
+    return out.select("page", "reading_order", F.md5(F.coalesce("extracted_text", F.lit("-"))).alias("digest"))
+
+
+@query
+def layout_sidecars(s, d):
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
+    ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom").withColumn("extracted_text", F.concat_ws(" ", "role", "page_zone"))
+    out = [formats.sidecars(ordered, f) for f in formats.SIDECARS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("page", "format", F.length("content").alias("chars"))
+
+
+@query
+def folder_rollup(s, d):
+    c, n, r = (table(s, d, t) for t in ("customer", "nation", "region"))
+    paths = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    rows = paths.select(F.concat_ws("/", "r_name", "n_name", "c_mktsegment", "c_name").alias("path"), F.col("c_name").alias("text"))
+    return rollup.folder_combine(rows).select("folder", "parts", F.md5("combined").alias("digest"))
+
+
+@query
+def archive_folder_combine(s, d):
+    rows = _docs(s, d).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.substring_index("text", ".", 1).alias("text"))
+    return rollup.folder_combine(rows, nested=False).select("folder", "parts", F.md5("combined").alias("digest"))
+
+
+@query
+def stage_priority_union(s, d):
+    docs = _docs(s, d).select("source", "doc_id", "lang")
+    translated = docs.where(F.col("lang") == "fr")
+    restored = docs.where(F.col("lang") == "de")
+    out = assemble.priority_union([translated.where("doc_id < 0"), translated, restored], None)
+    return out.groupBy("lang", "priority").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def stage_priority_by_source(s, d):
+    docs = _docs(s, d).select("source", "doc_id", "lang")
+    parts = [docs.where(F.col("lang") == x) for x in ("es", "fr", "de", "en")]
+    return assemble.priority_union(parts, ["source"]).groupBy("source", "lang", "priority").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def document_concat(s, d):
+    out = assemble.concat_pages(_docs(s, d).select("source", "doc_id", "text"), ["source"], "doc_id")
+    return out.select("source", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query
+def missing_asset_markers(s, d):
+    docs = _docs(s, d)
+    texts = docs.select("source", F.concat(F.lit("[image: plate (1) | a/"), F.col("lang"), F.lit(".png]\n"), F.col("text")).alias("text")).where(F.col("lang") != "de")
+    assets = docs.select("source", F.concat(F.lit("a\\"), F.col("lang"), F.lit(".png")).alias("path"), F.concat("lang", F.lit(" map (old)")).alias("label")).distinct()
+    out = assemble.missing_assets(assets, texts, "source")
+    return out.select("source", "path", assemble.asset_marker(F.col("label"), F.col("path")).alias("marker"))
+
+
+@query
+def search_sources(s, d):
+    return retrieval.search(answer.sources_of(_docs(s, d)), "the inandti and ereat tion").select("source_id", "score")
+
+
+@query
+def select_sources(s, d):
+    return retrieval.select_relevant(answer.sources_of(_docs(s, d)), "which inandti or ereat tion is there").select("source_id", "score")
+
+
+@query
+def page_band_sources(s, d):
+    return retrieval.select_relevant(answer.sources_of(_docs(s, d)), QUESTION).select("source_id", "score")
+
+
+@query
+def pinned_sources(s, d):
+    return retrieval.pinned(answer.sources_of(_docs(s, d)), ["s7", "S12 ", "S99999999"]).select("source_id", "source_no")
+
+
+@query
+def answer_prompt(s, d):
+    out = answer.ask(answer.sources_of(_docs(s, d)), QUESTION, turns=[("a", "b")], notes=["n"])
+    return out.select(F.length("prompt").alias("prompt_chars"), F.length("reply").alias("reply_chars"), "usage.total_tokens")
+
+
+@query
+def focus_sources(s, d):
+    return retrieval.focus(answer.sources_of(_docs(s, d)), ["src7/", "s12"]).select("source_id", "label")
+
+
+@query
+def query_terms(s, d):
+    c = table(s, d, "conversations")
+    return c.select("conv_id", "turn", F.array_join(T.question_terms(F.col("text")), " ").alias("terms"))
+
+
+@query
+def question_pages(s, d):
+    asked = F.concat(F.lit("see page "), F.col("turn").cast("string"), F.lit(" and pp. "), (F.col("conv_id") % 90).cast("string"), F.lit("-99, "), F.col("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(T.question_pages(asked), lambda x: x.cast("string")), ",").alias("pages"))
+
+
+@query
+def visual_questions(s, d):
+    return table(s, d, "conversations").groupBy("role").agg(F.count_if(T.wants_picture(F.col("text"))).alias("visual"), F.count(F.lit(1)).alias("turns"))
+
+
+@query
+def chat_titles(s, d):
+    plain = F.regexp_replace("text", r"[^A-Za-z\s]", "")
+    return table(s, d, "conversations").where("turn = 0").select("conv_id", T.title_of_question(F.lower(plain)).alias("title"))
+
+
+@query
+def chat_history_tail(s, d):
+    return retrieval.history_tail(table(s, d, "conversations"), "conv_id", "turn", 4).select("conv_id", "turn", "role")
+
+
+@query
+def script_detection(s, d):
+    return _docs(s, d).groupBy("lang", F.array_join(T.scripts(F.col("text")), ",").alias("scripts")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query
+def html_strip(s, d):
+    return table(s, d, "pages").select("page_id", F.md5(scan.without_tags(F.col("html"))).alias("digest"), F.length(scan.without_tags(F.col("html"), " ")).alias("chars"))
+
+
+@query
+def structured_blocks(s, d):
+    blocks = _docs(s, d).select(F.explode(R.structured_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("b"))
+    return blocks.groupBy(F.col("b.kind").alias("kind")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("b.text")).alias("chars"))
+
+
+@query
+def table_markup(s, d):
+    pages = P.table_pages(table(s, d, "lineitem"))
+    return pages.select("page", F.md5(R.markdown_table(F.col("text"))).alias("markdown"), F.md5(R.html_table(F.col("text"))).alias("html"))
+
+
+@query
+def chart_points(s, d):
+    text = F.concat_ws("\n", F.concat(F.lit("views: "), F.col("l_quantity").cast("int").cast("string")), F.concat(F.lit("clicks\t"), F.col("l_linenumber").cast("string")), F.lit("no number"))
+    return table(s, d, "lineitem").select(F.explode(R.chart_points(text)).alias("p")).groupBy(F.col("p.label").alias("label")).agg(F.sum("p.value").alias("total"), F.count(F.lit(1)).alias("points"))
+
+
+@query
+def export_jsonl(s, d):
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return _docs(s, d).select("doc_id", F.size(F.split(formats.jsonl(text), "\n")).alias("rows"), F.length(formats.jsonl(F.regexp_replace(text, r'["\\]', ""))).alias("chars"))
+
+
+@query
+def export_markdown(s, d):
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\f"), F.lit(" "), F.lit("\f"), F.lit("last page"))
+    return _docs(s, d).select("doc_id", F.md5(R.markdown(text)).alias("digest"))
+
+
+@query
+def export_all_formats(s, d):
+    docs = _docs(s, d).select("doc_id", "text", F.col("source").alias("title"), F.lit("Book").alias("document_type"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("_x"), F.lit("hidden"), F.lit("run_dir"), F.lit("/r")).alias("metadata"))
+    out = formats.export(docs, [f for f in formats.FORMATS if f not in formats.SIDECARS])
+    return out.groupBy("format", "available", "detail").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query
+def translation_modes(s, d):
+    names = F.get(F.array(*map(F.lit, ["on", "OFF", "Same_Language", "translit", "metadata", "auto", "bilingual", "nonsense", ""])), (F.col("c_custkey") % 9).cast("int"))
+    c = table(s, d, "customer").select("c_custkey", names.alias("m"), F.col("c_mktsegment").alias("a"), F.when(F.col("c_nationkey") % 3 == 0, "same").otherwise(F.col("c_mktsegment")).alias("b"))
+    return c.select(
+        "c_custkey", N.translation_mode(F.col("m")).alias("mode"), N.translation_required(F.lit("de"), F.col("b"), F.col("m")).alias("required"),
+        N.effective_mode(F.col("a"), F.col("b"), F.col("m")).alias("effective"), N.profile_mode(F.col("a"), F.col("b"), F.col("m")).alias("profile"),
+    )
+
+
+@query
+def normalized_names(s, d):
+    n = table(s, d, "part")
+    return n.select(
+        "p_partkey", N.layout_backend(F.col("p_name")).alias("backend"), N.language_policy(F.when(F.col("p_size") % 2 == 0, "Source_Only")).alias("policy"),
+        N.execution_mode(F.when(F.col("p_size") % 3 == 0, "fast")).alias("mode"), N.is_vision_model(F.col("p_type")).alias("vision"),
+        N.region_role(F.get(F.array(*map(F.lit, ["Photo", "grid", "noise", "rule", "zzz"])), F.col("p_size") % 5)).alias("role"),
+    )
+
+
+@query
+def failure_reasons(s, d):
+    e = table(s, d, "events")
+    error = F.when(F.col("event_type") == "error", "Read timeout").when(F.col("event_type") == "signup", "connection lost").when(F.col("event_type") == "view", "no vision support")
+    reason = M.failure_reason(F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise("Role: x"), error, F.col("value") > 90, F.col("event_id") % 4 == 0)
+    return e.groupBy(reason.alias("reason"), M.is_retryable(error).alias("retryable")).agg(F.count(F.lit(1)).alias("units"))
+
+
+@query
+def slugs(s, d):
+    c = table(s, d, "customer")
+    label = F.concat_ws("\\", F.lit(" . "), F.col("c_mktsegment"), F.lit(".."), F.col("c_name"))
+    return c.select("c_custkey", T.slug(label).alias("slug"), T.ascii_slug(label).alias("ascii"), T.profile_name(label).alias("profile"),
+                    T.numbered_folder(F.col("c_custkey").cast("int"), label).alias("folder"), T.folder_label(label).alias("parent"))
+
+
+@query
+def excerpts(s, d):
+    text = F.col("text")
+    return _docs(s, d).select("doc_id", T.excerpt(text).alias("excerpt"), F.md5(T.recent_words(text, 100)).alias("recent"), F.md5(T.match_text(text)).alias("matched"),
+                              F.md5(retrieval.hit_excerpt(text, "the")).alias("hit"), T.join_notes(F.col("lang"), F.lit(" "), F.col("source")).alias("notes"))
+
+
+@query
+def durations(s, d):
+    return table(s, d, "orders").select("o_orderkey", T.elapsed(F.col("o_totalprice")).alias("elapsed"))
+
+
+@query
+def run_sources(s, d):
+    chunk = F.struct(F.lit(None).cast("string").alias("translated_text"), F.col("text").alias("restored_text"), F.lit("").alias("text"), F.col("doc_id").cast("int").alias("page_number"), F.lit(0.7).alias("confidence"))
+    records = _docs(s, d).groupBy(F.col("source").alias("label")).agg(F.array_sort(F.collect_list(F.struct("doc_id", chunk.alias("c")))).alias("cs"))
+    records = records.select(F.xxhash64("label").alias("source_index"), "label", F.transform("cs", lambda x: x["c"]).alias("chunks"))
+    numbered = retrieval.number_sources([scan.run_sources(records)], ["label", "part"])
+    return numbered.select("source_no", "source_id", "label", "kind", "part", "page_number", F.md5("text").alias("digest"))
+
+
+@query
+def run_documents(s, d):
+    chunks = run.restore(_docs(s, d))
+    return run.documents(chunks).select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query
+def suspicious_chunks(s, d):
+    out = run.suspicious(run.restore(_docs(s, d)), "doc_id")
+    return out.groupBy("damaged", "reviewed", "status").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query
+def run_structure(s, d):
+    return flagship(s, d)
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Restore, cut and observe all documents, then count roles and features by language."""
+    chunks = run.restore(_docs(s, d))
+    observed = rollup.with_profile(run.observe_chunks(chunks, F.lit("Book"))).join(_docs(s, d).select("doc_id", "lang"), "doc_id")
+    return observed.groupBy("lang", "role", "dominant_flow").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("line_count").alias("lines"), F.count_if(F.size("footnotes") > 0).alias("with_footnotes")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

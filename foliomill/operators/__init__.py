@@ -1,0 +1 @@
+"""Relational operators over pages, blocks, sources and runs."""

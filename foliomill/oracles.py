@@ -1,0 +1,2 @@
+"""DuckDB SQL over the same tables for the queries that SQL can express."""
+ORACLES: dict[str, str] = {}

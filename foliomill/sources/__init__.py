@@ -1,0 +1 @@
+"""Where rows come from: folders, manifests, archives, images, runs."""
