@@ -1,2 +1,374 @@
 """DuckDB SQL over the same tables for the queries that SQL can express."""
-ORACLES: dict[str, str] = {}
+
+from __future__ import annotations
+
+from .projections import KEYWORD_LINES, TYPES
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _lines(x: str) -> str:
+    return rf"list_filter(list_transform(string_split(coalesce({x}, ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+def _has(text: str, words: str) -> str:
+    return rf"regexp_matches({text}, '\b({words})\b')"
+
+
+_MARKER = r"'^(page\s*)?[ivxlcdm\d]+$'"
+_KEYED = f"""k AS (
+  SELECT doc_id, CAST(doc_id % 7 AS INT) AS page_index, lang, source,
+    ({_list(TYPES)})[CAST(doc_id // {len(KEYWORD_LINES)} % {len(TYPES)} AS INT) + 1] AS document_type,
+    ({_list(KEYWORD_LINES)})[CAST(doc_id % {len(KEYWORD_LINES)} AS INT) + 1] || chr(10) || replace(coalesce(text, ''), '|', '/') AS text
+  FROM documents
+), l AS (
+  SELECT *, {_lines('text')} AS ls FROM k
+)"""
+_NUMBER = r"'\b\d+(\.\d+)?%?\b'"
+# The pages hold no bars or wide gaps after their first line, so no page of them has table rows.
+_OBSERVED = rf"""{_KEYED}, o AS (
+  SELECT *, len(ls) AS n, lower(array_to_string(ls[1:40], chr(10))) AS low, lower(ls[1]) AS first_low, ls[1] AS first,
+    lower(array_to_string(ls[1:120], chr(10))) AS low120, lower(array_to_string(ls[1:8], chr(10))) AS low8, lower(array_to_string(ls[1:6], chr(10))) AS low6,
+    array_to_string(ls[1:8], chr(10)) AS head8, lower(document_type) AS kind,
+    len(list_filter(ls[1:120], lambda x: regexp_matches(x, {_NUMBER}))) >= 4 AS numbers
+  FROM l
+), s AS (
+  SELECT *, {_has('low120', 'chart|graph|plot|diagram|figure|axis|legend|trend|bar|line chart|pie chart')}
+      OR numbers OR {_has('low120', 'legend|key|scale|rate|percentage|axis|graph|chart|plot')}
+      OR regexp_matches(low120, '\b[xy]\s*[- ]?axis\b') AS charted FROM o
+), r0 AS (
+  SELECT *, CASE
+    WHEN contains(low, 'contents') THEN 'contents'
+    WHEN charted AND n <= 60 AND {_has('low', 'chart|graph|plot|diagram|axis|legend')} THEN 'chart'
+    WHEN regexp_matches(low, 'preface|foreword') THEN 'preface'
+    WHEN contains(first_low, 'abstract') OR first_low = 'summary' THEN 'abstract'
+    WHEN {_has('low', 'references|bibliography|works cited')} THEN CASE WHEN kind = 'journal article' THEN 'references' ELSE 'bibliography' END
+    WHEN kind = 'book' AND contains(low, 'index') THEN 'index'
+    WHEN {_has('low', 'appendix')} THEN 'appendix'
+    WHEN kind = 'book' AND {_has('low', 'chapter')} THEN 'chapter'
+    WHEN kind IN ('book', 'journal article', 'general') AND {_has('low', 'section|part')} THEN 'section'
+    WHEN kind = 'magazine' AND {_has('low', r'masthead|editor|publisher|volume|vol\.|issue|no\.')} THEN 'masthead'
+    WHEN kind = 'magazine' AND {_has('low', 'editorial|from the editor')} THEN 'editorial'
+    WHEN kind = 'magazine' AND {_has('low', 'feature|special report|cover story')} THEN 'feature'
+    WHEN kind = 'magazine' AND {_has('low', 'advertisement|advertiser|classified')} THEN 'advertisement'
+    WHEN kind = 'magazine' AND {_has('low', 'sidebar|box item')} THEN 'sidebar'
+    WHEN kind = 'magazine' AND {_has('low', 'caption|photo|illustration|plate')} THEN 'caption'
+    WHEN kind = 'magazine' AND length(first) <= 80 AND first = upper(first) AND n <= 25 THEN 'article'
+    WHEN kind = 'newspaper' AND {_has('low', 'classifieds?|wanted|for sale|tenders?')} THEN 'classifieds'
+    WHEN kind = 'newspaper' AND {_has('low', 'advertisement|advertiser')} THEN 'advertisement'
+    WHEN kind = 'newspaper' AND {_has('low', 'continued from|continued on')} THEN 'continuation'
+    WHEN kind = 'newspaper' AND regexp_matches(first, '^[A-Z][A-Z .,''-]{{6,}}$') THEN 'headline'
+    WHEN kind = 'newspaper' AND {_has('low8', 'by|from our correspondent|staff reporter')} THEN 'byline'
+    WHEN kind = 'newspaper' AND regexp_matches(head8, '\b[A-Z][a-z]+,\s+[A-Z][a-z]+\.?\s+\d{{1,2}}\b') THEN 'dateline'
+    WHEN kind = 'manuscript' AND ({_has('low', r'folio|fol\.|recto|verso')} OR regexp_matches(first, '^(f\.?\s*)?\d+[rv]$', 'i')) THEN 'folio'
+    WHEN kind = 'manuscript' AND {_has('low', 'marginalia|margin note|in margin')} THEN 'marginalia'
+    WHEN kind = 'manuscript' AND {_has('low', 'correction|inserted|deleted|interlineation')} THEN 'correction'
+    WHEN kind = 'manuscript' AND {_has('low', 'colophon|scribe|copied by|completed by')} THEN 'colophon'
+    WHEN kind = 'manuscript' AND (len(string_split(low, '[unclear]')) > 3 OR contains(low, '[missing text]')) THEN 'damaged'
+    WHEN kind = 'manuscript' AND n >= 8 AND len(list_filter(ls[1:12], lambda x: length(x) > 90)) = 0 THEN 'lineated-text'
+    WHEN kind = 'letter' AND {_has('low6', 'dear|respected|sir|madam|my dear')} THEN 'salutation'
+    WHEN kind = 'letter' AND {_has('low', 'yours faithfully|yours sincerely|sincerely|obediently|signed')} THEN 'signature'
+    WHEN kind = 'letter' AND {_has('low', r'p\.?s\.?|postscript')} THEN 'postscript'
+    WHEN kind = 'letter' AND regexp_matches(low, '\b(to|from)\b[^\n]+\b(street|road|district|post|address)\b') THEN 'address'
+    WHEN kind = 'letter' AND regexp_matches(first_low, '\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b') THEN 'date-place'
+    WHEN kind = 'archive bundle' AND regexp_matches(low, '\b(file|folder|bundle|box)\s*(no\.?|number|id)?\b') THEN 'folder-label'
+    WHEN kind = 'archive bundle' AND {_has('low', r'id|identifier|reference|ref\.|case no\.|serial no\.')} THEN 'identifier'
+    WHEN kind = 'archive bundle' AND {_has('low', 'form|application|register|ledger')} THEN 'form'
+    WHEN kind = 'archive bundle' AND {_has('low', 'date|dated')} THEN 'date'
+    WHEN kind = 'archive bundle' AND regexp_matches(low, '\b(item|document|record)\s+\d+\b') THEN 'item-boundary'
+    WHEN kind = 'archive bundle' AND n <= 35 THEN 'record'
+    WHEN kind = 'legal document' AND {_has('low', 'parties?|agreement|contract|deed|memorandum|terms and conditions')} THEN CASE WHEN n <= 10 THEN 'title' ELSE 'clauses' END
+    WHEN kind = 'legal document' AND {_has('low', 'recitals?|whereas')} THEN 'recitals'
+    WHEN kind = 'legal document' AND {_has('low', 'definitions?|defined terms')} THEN 'definitions'
+    WHEN kind = 'legal document' AND {_has('low', 'schedule|annex|annexure|exhibit|appendix')} THEN 'schedule'
+    WHEN kind = 'legal document' AND {_has('low', 'signatures?|signed by|executed by')} THEN 'signature'
+    WHEN kind = 'finance document' AND {_has('low', 'statement|balance sheet|profit and loss|income statement|ledger')} THEN 'statement'
+    WHEN kind = 'finance document' AND {_has('low', 'account|invoice|receipt|debit|credit|transaction')} THEN 'account'
+    WHEN kind = 'finance document' AND {_has('low', 'total|summary|subtotal|grand total')} THEN 'summary'
+    WHEN kind = 'healthcare document' AND {_has('low', 'patient|hospital|clinic|report|diagnosis|prescription')} THEN CASE WHEN n <= 10 THEN 'title' ELSE 'findings' END
+    WHEN kind = 'healthcare document' AND {_has('low', 'medication|dose|dosage|treatment|instructions')} THEN 'medications'
+    WHEN kind = 'insurance document' AND {_has('low', 'policy|coverage|claim|premium|exclusion|benefit')} THEN CASE WHEN n <= 10 THEN 'policy' ELSE 'coverage' END
+    WHEN charted THEN 'chart'
+    WHEN len(list_filter(ls, lambda x: contains(lower(x), '[image:'))) > 0 THEN 'illustrated'
+    ELSE 'body' END AS role0
+  FROM s
+), tl AS (
+  SELECT *, list_filter(ls, lambda x: NOT regexp_matches(x, {_MARKER}, 'i')) AS ts FROM r0
+), r AS (
+  SELECT *, CASE
+    WHEN role0 = 'body' AND page_index <= 2 AND n > 0 AND n <= 18 AND NOT charted
+      AND len(list_filter(ts, lambda x: length(x) BETWEEN 4 AND 120 AND x = upper(x))) > 0
+      AND (len(ts) <= 10 OR len(list_filter(ts, lambda x: regexp_matches(x, '\b(by|author|editor|translated by)\b', 'i'))) > 0)
+    THEN 'title' ELSE role0 END AS role FROM tl
+)"""
+
+_BOXES = """b0 AS (
+  SELECT l_orderkey AS page, l_linenumber AS block, CAST(l_partkey % 900 AS INT) AS "left", CAST(l_suppkey * 37 % 1400 AS INT) AS top,
+    CAST(l_quantity * 18 AS INT) + 20 AS w0, CAST(l_quantity * 9 AS INT) + 12 AS h0, l_discount * 5 AS dark, l_tax * 2 AS mid
+  FROM lineitem
+), b1 AS (
+  SELECT *, least(1000 - "left", w0) AS w, least(1500 - top, h0) AS h FROM b0
+), b2 AS (
+  SELECT *, "left" + w AS "right", top + h AS bottom, w * h / 1500000.0::DOUBLE AS area, w / 1000.0::DOUBLE AS wr, h / 1500.0::DOUBLE AS hr FROM b1
+), b3 AS (
+  SELECT *, (wr >= 0.14 AND hr >= 0.09 AND area BETWEEN 0.025 AND 0.75 AND dark BETWEEN 0.06 AND 0.70) AS fig,
+    (area BETWEEN 0.02 AND 0.75 AND ((w > 320 AND h > 270 AND dark BETWEEN 0.07 AND 0.60) OR (h > w * 0.72 AND dark BETWEEN 0.08 AND 0.55) OR mid >= 0.12)) AS charty,
+    (wr >= 0.22 AND hr >= 0.07 AND area BETWEEN 0.03 AND 0.70 AND dark BETWEEN 0.04 AND 0.72 AND (mid >= 0.12 OR w / h >= 1.15)) AS tabular,
+    round_even(area, 4) AS ar
+  FROM b2
+), b4 AS (
+  SELECT *, CASE WHEN fig THEN CASE WHEN charty THEN 'chart-region' ELSE 'figure-region' END
+    WHEN wr > 0.65 AND hr < 0.08 THEN 'running-header-or-footer'
+    WHEN ar < 0.01 AND dark > 0.18 THEN 'small-mark-or-page-number'
+    WHEN tabular THEN 'table-region'
+    WHEN top > 120 AND top < 525 AND wr BETWEEN 0.22 AND 0.88 AND hr < 0.11 AND abs(("left" + "right") / 2 - 500) < 150 THEN 'title-region'
+    ELSE 'text-region' END AS role,
+    (round_even("left" / 1000, 4) + round_even("right" / 1000, 4)) / 2 AS centre
+  FROM b3
+), cols AS (
+  SELECT page, count(*) AS block_count, min("left") AS content_left, min(top) AS content_top, max("right") AS content_right, max(bottom) AS content_bottom,
+    count(*) FILTER (role = 'figure-region') AS figures, count(*) FILTER (role = 'text-region') AS texts,
+    count(*) FILTER (t) AS tn, count(*) FILTER (t AND centre < 0.42) AS l, count(*) FILTER (t AND centre BETWEEN 0.42 AND 0.58) AS m, count(*) FILTER (t AND centre > 0.58) AS r,
+    count(*) FILTER (t AND centre < 0.34) AS a, count(*) FILTER (t AND centre BETWEEN 0.34 AND 0.66) AS b, count(*) FILTER (t AND centre > 0.66) AS c
+  FROM (SELECT *, role IN ('text-region', 'running-header-or-footer') AS t FROM b4) GROUP BY page
+), counted AS (
+  SELECT *, CASE WHEN tn < 4 THEN 1 WHEN l >= 2 AND r >= 2 AND m <= greatest(l, r) THEN 2 WHEN least(a, b, c) >= 2 THEN 3 ELSE 1 END AS columns FROM cols
+), ordered AS (
+  SELECT b4.*, columns, row_number() OVER (PARTITION BY page ORDER BY
+    CASE WHEN columns > 1 THEN least(CAST(floor(("left" + "right") / 2 / (1000.0 / columns)) AS INT), columns - 1) ELSE 0 END,
+    top, CASE WHEN columns > 1 THEN 0 ELSE "left" END, bottom) AS reading_order
+  FROM b4 JOIN counted USING (page)
+)"""
+
+_UNITS = """u AS (
+  SELECT user_id AS run, event_id AS seq, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n, event_type,
+    CASE WHEN event_type IN ('error', 'signup') THEN 'failed in ' || event_type ELSE '' END AS failure_reason
+  FROM events
+)"""
+
+_SOURCES = """src AS (
+  SELECT doc_id AS source_no, 'S' || doc_id AS source_id, concat_ws('/', source, lang) AS label, coalesce(text, '') AS text, CAST(doc_id AS INT) AS page_number FROM documents
+), hay AS (
+  SELECT *, lower(label || chr(10) || text) AS hay FROM src
+)"""
+
+
+def _points(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(contains(hay, '{t}') AS INT)" for t in terms)
+
+
+def _times(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"(length(hay) - length(replace(hay, '{t}', ''))) // {len(t)}" for t in terms)
+
+
+_STOP = "'the','and','for','with','that','this','what','which','from','into','about','have','does','where','when','how','why','was','are','you','can','will','please'"
+_PAGES = "lines AS (SELECT l_orderkey AS page, string_agg('item | ' || l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT), chr(10) ORDER BY l_linenumber, 'item | ' || l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT)) AS text, count(*) AS n FROM lineitem GROUP BY 1)"
+
+ORACLES: dict[str, str] = {
+    "restore_text_offline": rf"""
+SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || '-' || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '-\n([A-Za-z])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS restored FROM documents""",
+    "page_lines": f"""
+SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, {_lines('text')} AS ls FROM documents)""",
+    "page_markers_headings": rf"""
+WITH {_KEYED}, c AS (
+  SELECT doc_id, ls, list_concat(ls[1:12], ls[greatest(len(ls) - 5, 1):]) AS ends,
+    list_filter(list_transform(list_concat(ls[1:3], ls[greatest(len(ls) - 2, 1):]), lambda x: regexp_replace(x, '\s+', ' ', 'g')),
+      lambda x: length(x) BETWEEN 4 AND 90 AND NOT regexp_matches(x, {_MARKER}, 'i')) AS heads FROM l
+)
+SELECT doc_id, coalesce(list_filter(ends, lambda x: regexp_matches(x, {_MARKER}, 'i'))[1], '') AS page_marker,
+  array_to_string(list_filter(ls[1:12], lambda x: length(x) BETWEEN 2 AND 90 AND (x = upper(x)
+    OR regexp_matches(x, '^(chapter|section|part|book|preface|contents|index|appendix)\b', 'i')))[1:6], '|') AS headings,
+  coalesce(heads[1], '') AS running_header FROM c""",
+    "content_role": f"""
+WITH {_OBSERVED}
+SELECT doc_id, document_type, role, CASE
+  WHEN role IN ('title', 'cover', 'masthead', 'cover-sheet', 'folder-label') THEN 'front_matter'
+  WHEN role = 'contents' THEN 'toc' WHEN role IN ('preface', 'abstract', 'editorial') THEN 'introductory'
+  WHEN role IN ('chapter', 'section', 'article', 'feature', 'record', 'letter', 'body', 'lineated-text') THEN 'main_flow'
+  WHEN role IN ('table', 'chart', 'figure-table') THEN 'tabular'
+  WHEN role IN ('index', 'references', 'bibliography', 'footnotes') THEN 'back_matter'
+  WHEN role IN ('advertisement', 'classifieds', 'sidebar', 'caption', 'illustrated') THEN 'supplementary'
+  WHEN kind = 'archive bundle' THEN 'archive_item' ELSE 'main_flow' END AS assembly_hint FROM r""",
+    "role_counts_by_type": f"WITH {_OBSERVED} SELECT document_type, role, count(*) AS pages FROM r GROUP BY ALL",
+    "role_labels": f"""
+WITH {_OBSERVED}
+SELECT doc_id, role, CASE role WHEN 'toc' THEN 'Contents' WHEN 'contents' THEN 'Table of contents' WHEN 'body' THEN 'Body text' WHEN 'table' THEN 'Table'
+  WHEN 'chart' THEN 'Chart' ELSE replace(role, '-', ' ') END AS label FROM r""",
+    "layout_confidence": rf"""
+WITH {_OBSERVED}, c AS (
+  SELECT doc_id, 0.48::DOUBLE + CASE WHEN role IN ('title', 'contents', 'chapter', 'section', 'preface', 'abstract') THEN 0.18::DOUBLE ELSE 0 END
+    - CASE WHEN role IN ('marginalia', 'damaged') THEN 0.08::DOUBLE ELSE 0 END + least(length(text) / 1800.0::DOUBLE, 0.2::DOUBLE)
+    - CASE WHEN regexp_matches(lower(text), '\[unclear\]|\[missing text\]') THEN 0.12::DOUBLE ELSE 0 END
+    + CASE WHEN len(list_filter(ls, lambda x: contains(lower(x), '[image:'))) > 0 THEN 0.06::DOUBLE ELSE 0 END
+    + CASE WHEN len(list_filter(list_concat(ls[1:12], ls[greatest(len(ls) - 5, 1):]), lambda x: regexp_matches(x, {_MARKER}, 'i'))) > 0 THEN 0.03::DOUBLE ELSE 0 END AS v
+  FROM r
+)
+SELECT doc_id, round_even(greatest(0.05::DOUBLE, least(v, 0.99::DOUBLE)), 2) AS confidence FROM c""",
+    "contents_entries": rf"""
+WITH p AS (SELECT p_brand AS page, p_partkey, p_name || ' ..... ' || p_size AS line FROM part),
+e AS (SELECT page, line, row_number() OVER (PARTITION BY page ORDER BY p_partkey) AS ix FROM p), f AS (SELECT * FROM e WHERE ix <= 120),
+g AS (SELECT page, ix, regexp_extract(line, '^(.+?)\s*\.{{2,}}\s*(\d+)$', 1) AS t, regexp_extract(line, '^(.+?)\s*\.{{2,}}\s*(\d+)$', 2) AS number FROM f),
+h AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ix) AS pos, regexp_replace(t, '^[ .\-]+|[ .\-]+$', '', 'g') AS title, number FROM g)
+SELECT * FROM h WHERE pos <= 80""",
+    "table_rows_mode": f"WITH {_PAGES} SELECT page, CASE WHEN n < 2 THEN 0 ELSE least(n, 24) END AS n_rows, CASE WHEN n < 2 THEN 0 ELSE 4 END AS cells FROM lines",
+    "chart_signals": f"WITH {_PAGES} SELECT page, CASE WHEN n >= 4 THEN 'numeric_labels' ELSE '' END AS signals FROM lines",
+    "footnotes": rf"""
+WITH x AS (SELECT doc_id, generate_subscripts(ls, 1) AS ix, unnest(ls) AS line FROM (SELECT doc_id, {_lines('text')} AS ls FROM documents)),
+m AS (SELECT doc_id, ix, regexp_extract(line, '^\s*(\*+|\d+|[a-zA-Z])[).:\]]\s+(.+)$', 1) AS marker, {_strip(r"regexp_extract(line, '^\s*(\*+|\d+|[a-zA-Z])[).:\]]\s+(.+)$', 2)")} AS note FROM x),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS pos, marker, note FROM m WHERE marker <> '' AND length(note) > 8)
+SELECT * FROM k WHERE pos <= 40""",
+    "contributors": rf"""
+WITH x AS (SELECT doc_id, list_transform({_lines('text')}, lambda x: regexp_replace(x, '\s+', ' ', 'g')) AS ls FROM documents),
+y AS (SELECT doc_id, list_filter(ls[1:30], lambda x: length(x) <= 140 AND regexp_matches(x, '\b(by|author|edited by|editor|translated by|translator|compiled by)\b', 'i')) AS c,
+  list_filter(ls[1:50], lambda x: length(x) <= 160 AND regexp_matches(x, '\b(published by|publisher|press|publication|publications|printing|printer)\b', 'i')) AS p FROM x)
+SELECT doc_id, array_to_string(list_filter(c, lambda v, i: list_position(list_transform(c, lambda z: lower(z)), lower(v)) = i)[1:8], '|') AS contributors,
+  array_to_string(list_filter(p, lambda v, i: list_position(list_transform(p, lambda z: lower(z)), lower(v)) = i)[1:6], '|') AS publishers FROM y""",
+    "detected_title": rf"""
+WITH x AS (SELECT doc_id, ({_lines('text')})[1:2] AS ls FROM documents)
+SELECT doc_id, coalesce(list_filter(ls, lambda x: length(x) BETWEEN 3 AND 120 AND NOT regexp_matches(x, {_MARKER}, 'i') AND NOT contains(lower(x), 'default')
+  AND NOT (length(x) < 40 AND regexp_matches(lower(x), '\b(run|output|restoration|export|workflow)\b')))[1], '') AS title FROM x""",
+    "running_headers_frequent": rf"""
+WITH x AS (SELECT doc_id, lang, {_lines('text')} AS ls FROM documents),
+h AS (SELECT doc_id, lang, list_filter(list_transform(list_concat(ls[1:3], ls[greatest(len(ls) - 2, 1):]), lambda x: regexp_replace(x, '\s+', ' ', 'g')),
+  lambda x: length(x) BETWEEN 4 AND 90 AND NOT regexp_matches(x, {_MARKER}, 'i'))[1] AS header FROM x),
+c AS (SELECT lang, lower(header) AS low, arg_min(header, doc_id) AS header, count(*) AS n FROM h WHERE header IS NOT NULL GROUP BY lang, lower(header)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, low) AS place FROM c WHERE n > 1)
+SELECT lang, place, header, n FROM o WHERE place <= 12""",
+    "flow_mode": f"""
+WITH {_UNITS}, c AS (SELECT run, event_type, count(*) AS k FROM u GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k DESC, event_type DESC) AS ix FROM c) SELECT run, event_type AS most FROM o WHERE ix = 1""",
+    "usage_totals": f"WITH {_UNITS} SELECT run, sum(n)::BIGINT AS prompt_tokens, sum(n * 2)::BIGINT AS completion_tokens, sum(n * 3)::BIGINT AS total_tokens, bool_or(n > 90) AS truncated FROM u GROUP BY run",
+    "first_failure": f"""
+WITH {_UNITS} SELECT run, coalesce(arg_min(failure_reason, seq) FILTER (failure_reason <> ''), '') AS failure_reason,
+  CASE WHEN count(*) FILTER (failure_reason <> '') = 0 THEN 'restored' ELSE 'partial' END AS status FROM u GROUP BY run""",
+    "retry_merge": f"""
+WITH {_UNITS} SELECT run, seq, CASE WHEN event_type = 'error' THEN '' ELSE failure_reason END AS failure_reason,
+  n * 3 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS total_tokens, event_type, event_type = 'error' AS retried FROM u""",
+    "failed_inputs": f"WITH {_UNITS} SELECT 'partial' AS status, failure_reason, count(*) AS units FROM u WHERE failure_reason <> '' GROUP BY ALL",
+    "resume_remaining": f"WITH {_UNITS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT seq FROM u WHERE failure_reason = '')",
+    "block_markers": rf"""
+WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+SELECT doc_id, 1 AS block, md5({_strip("coalesce(s[1], '')")}) AS digest FROM p
+UNION ALL SELECT doc_id, 3, md5({_strip("coalesce(s[3], '')")}) FROM p UNION ALL SELECT doc_id, 2, md5({_strip("coalesce(s[4], '')")}) FROM p""",
+    "parse_model_reply": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_strip("coalesce(text, '')")} AS clean, doc_id % 6 AS n FROM documents),
+m AS (SELECT *, CASE WHEN n = 5 AND regexp_matches(lower(clean), 'thinking\.\.\.|role:|task:|output requirements:|self-correction|wait,') THEN 4 ELSE n END AS k FROM t)
+SELECT doc_id, md5(CASE WHEN n = 3 THEN '.' ELSE clean END) AS digest,
+  CASE WHEN k = 4 THEN 'fallback' WHEN n < 3 AND clean = '' THEN 'blank' ELSE 'restored' END AS status,
+  CASE WHEN k = 4 THEN 'model returned commentary instead of output' WHEN n < 3 AND clean = '' THEN 'blank page or no readable text' ELSE '' END AS failure_reason,
+  CASE WHEN n < 3 THEN 'checked' WHEN k = 4 THEN 'fallback to source chunk because model returned commentary' ELSE '' END AS notes FROM m""",
+    "block_roles_confidence": f"""
+WITH {_BOXES}, s AS (
+  SELECT *, 0.52::DOUBLE + CASE
+    WHEN role IN ('text-region', 'title-region') THEN 0.18::DOUBLE + CASE WHEN ar BETWEEN 0.02 AND 0.45 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.03 AND 0.40 THEN 0.08::DOUBLE ELSE 0 END
+    WHEN role = 'figure-region' THEN 0.12::DOUBLE + CASE WHEN ar BETWEEN 0.04 AND 0.55 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.08 AND 0.62 THEN 0.06::DOUBLE ELSE 0 END
+    WHEN role IN ('chart-region', 'table-region') THEN 0.13::DOUBLE + CASE WHEN ar BETWEEN 0.03 AND 0.65 THEN 0.09::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.06 AND 0.68 THEN 0.05::DOUBLE ELSE 0 END
+    WHEN role = 'running-header-or-footer' THEN 0.08::DOUBLE + CASE WHEN wr > 0.55 AND hr < 0.10 THEN 0.10::DOUBLE ELSE 0 END
+    ELSE -0.05::DOUBLE END AS v FROM b4
+), z AS (
+  SELECT *, v - CASE WHEN ar < 0.003 OR dark < 0.015 THEN 0.18::DOUBLE ELSE 0 END - CASE WHEN ar > 0.82 OR dark > 0.78 THEN 0.14::DOUBLE ELSE 0 END AS c,
+    ("left" + "right") / 2 / 1000 AS x, (top + bottom) / 2 / 1500 AS y FROM s
+)
+SELECT role, concat_ws('-', CASE WHEN y < 0.33 THEN 'top' WHEN y > 0.67 THEN 'bottom' ELSE 'middle' END, CASE WHEN x < 0.33 THEN 'left' WHEN x > 0.67 THEN 'right' ELSE 'center' END) AS page_zone,
+  round_even(greatest(0.05::DOUBLE, least(c, 0.98::DOUBLE)), 2) AS confidence, tabular AS table_signals, count(*) AS blocks FROM z GROUP BY ALL""",
+    "reading_order": f"WITH {_BOXES} SELECT page, max(reading_order) AS blocks, arg_min(top, reading_order) AS first_top, arg_max(top, reading_order) AS last_top FROM ordered WHERE reading_order <= 120 GROUP BY page",
+    "column_estimate": f"WITH {_BOXES} SELECT columns, count(*) AS pages FROM counted GROUP BY ALL",
+    "page_flow": f"""
+WITH {_BOXES} SELECT page, CASE WHEN columns > 1 THEN 'multi-column' WHEN figures > 0 AND figures >= texts THEN 'figure-led' WHEN texts >= 12 THEN 'dense-prose' ELSE 'single-flow' END AS flow,
+  block_count, content_left, content_top, content_right, content_bottom FROM counted""",
+    "asset_placement": f"""
+WITH {_BOXES}, z AS (SELECT *, (top / 1500 + bottom / 1500) / 2.0 AS y FROM b2)
+SELECT CASE WHEN area >= 0.38 OR wr >= 0.78 THEN 'full-width' WHEN area >= 0.14 OR wr >= 0.48 THEN 'large' WHEN area >= 0.055 THEN 'medium' ELSE 'small' END AS size_class,
+  CASE WHEN w > h * 1.4 THEN 'full-width' WHEN h > w * 1.4 THEN 'half-width' ELSE 'medium' END AS width_hint,
+  CASE WHEN y <= 0.24 THEN 0 WHEN y >= 0.76 THEN 12 ELSE greatest(1, least(CAST(round_even(y * 12, 0) AS INT), 11)) END AS before_paragraph, count(*) AS assets FROM z GROUP BY ALL""",
+    "allocate_text_to_blocks": f"""
+WITH {_BOXES}, t AS (
+  SELECT page, reading_order, CASE WHEN role = 'table-region' THEN 'csv' WHEN role NOT IN ('separator-region', 'figure-region') THEN 'prose' END AS sort
+  FROM ordered WHERE reading_order <= 120
+), k AS (SELECT *, row_number() OVER (PARTITION BY page, sort ORDER BY reading_order) AS rank, count(*) OVER (PARTITION BY page, sort) AS slots FROM t),
+d AS (SELECT doc_id AS page, generate_subscripts(ls, 1) AS ix, unnest(ls) AS line FROM (SELECT doc_id, {_lines('text')} AS ls FROM documents)),
+p AS (SELECT k.page, k.reading_order, string_agg(line, chr(10) || chr(10) ORDER BY ix) AS said FROM k JOIN d ON k.page = d.page AND k.sort = 'prose' AND least(d.ix, k.slots) = k.rank GROUP BY ALL)
+SELECT k.page, k.reading_order, md5(coalesce(said, CASE WHEN sort = 'prose' THEN '' ELSE '-' END)) AS digest FROM k LEFT JOIN p USING (page, reading_order)""",
+    "folder_rollup": """
+WITH c AS (SELECT r_name, n_name, c_mktsegment, c_name, concat_ws('/', r_name, n_name, c_mktsegment, c_name) AS path
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT r_name AS folder, path, c_name FROM c UNION ALL SELECT r_name || '/' || n_name, path, c_name FROM c UNION ALL SELECT concat_ws('/', r_name, n_name, c_mktsegment), path, c_name FROM c)
+SELECT folder, count(*) AS parts, md5(string_agg(c_name, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY path, c_name)) AS digest FROM f GROUP BY folder""",
+    "archive_folder_combine": f"""
+WITH c AS (SELECT source || '/' || lang AS folder, concat_ws('/', source, lang, doc_id) AS path, {_strip("string_split(text, '.')[1]")} AS t FROM documents)
+SELECT folder, count(*) AS parts, md5(string_agg(t, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY path)) AS digest FROM c WHERE t <> '' GROUP BY folder""",
+    "stage_priority_union": "SELECT lang, 2 AS priority, count(*) AS rows FROM documents WHERE lang = 'fr' GROUP BY lang",
+    "stage_priority_by_source": """
+WITH p AS (SELECT source, lang, CASE lang WHEN 'es' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS priority FROM documents),
+f AS (SELECT source, min(priority) AS priority FROM p GROUP BY source) SELECT source, lang, priority, count(*) AS rows FROM p JOIN f USING (source, priority) GROUP BY ALL""",
+    "document_concat": f"""
+WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
+j AS (SELECT source, string_agg(t, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY doc_id) AS t FROM c WHERE t <> '' GROUP BY source)
+SELECT source, length(t) AS chars, md5(t) AS digest FROM j""",
+    "missing_asset_markers": """
+WITH a AS (SELECT DISTINCT source, lang FROM documents)
+SELECT source, 'a\\' || lang || '.png' AS path, '[image: ' || lang || ' map | a\\' || lang || '.png]' AS marker FROM a WHERE lang = 'de'""",
+    "search_sources": f"WITH {_SOURCES}, z AS (SELECT source_id, CAST({_times(('inandti', 'ereat', 'tion'))} AS INT) AS score FROM hay) SELECT * FROM z WHERE score > 0 ORDER BY score DESC, source_id LIMIT 8",
+    "select_sources": f"WITH {_SOURCES} SELECT source_id, {_points(('inandti', 'or', 'ereat', 'tion', 'is', 'there'))} + 5 + 22 AS score FROM hay ORDER BY score DESC, source_id LIMIT 10",
+    "page_band_sources": f"""
+WITH {_SOURCES} SELECT source_id, {_points(('statement', 'on', 'pages', '66-67', 'say', 'inandti', 'ereat'))} + 5 + 22 + CASE WHEN page_number IN (66, 67) THEN 40 ELSE 16 END AS score
+FROM hay WHERE page_number BETWEEN 65 AND 68 ORDER BY score DESC, source_id LIMIT 10""",
+    "pinned_sources": f"WITH {_SOURCES} SELECT source_id, source_no FROM src WHERE upper(source_id) IN ('S7', 'S12', 'S99999999') ORDER BY source_no LIMIT 10",
+    "focus_sources": f"WITH {_SOURCES} SELECT source_id, label FROM src WHERE contains(lower(label), 'src7/') OR contains(lower(label), 's12') OR lower(source_id) IN ('src7/', 's12')",
+    "query_terms": f"""
+SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9-]+'), lambda t: t NOT IN ({_STOP}))[1:20], ' ') AS terms FROM conversations""",
+    "visual_questions": "SELECT role, count(*) FILTER (regexp_matches(lower(coalesce(text, '')), 'see|look|visual|image|figure|diagram|photo|poster|signboard|chart|what does it show|what is shown|describe')) AS visual, count(*) AS turns FROM conversations GROUP BY role",
+    "chat_titles": r"""
+WITH w AS (SELECT conv_id, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z\s]', '', 'g')), '\s+'), lambda x: x <> '') AS w FROM conversations WHERE turn = 0)
+SELECT conv_id, array_to_string(list_transform(w[1:5], lambda x: upper(x[1]) || x[2:]), ' ') || CASE WHEN len(w) > 5 THEN '...' ELSE '' END AS title FROM w""",
+    "chat_history_tail": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 4",
+    "script_detection": "SELECT lang, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'Latin' ELSE '' END AS scripts, count(*) AS docs FROM documents GROUP BY ALL",
+    "html_strip": "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS digest, length(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS chars FROM pages",
+    "export_jsonl": rf"""
+WITH p AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {_strip('x')} <> '') AS ps,
+  list_filter(string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '["\\]', '', 'g'), chr(10) || chr(10)), lambda x: {_strip('x')} <> '') AS qs FROM documents)
+SELECT doc_id, len(ps) + 1 AS rows, CAST(list_sum(list_transform(qs, lambda x, i: length(x) + length('{{"index":' || i || ',"text":""}}') + 1)) AS INT) AS chars FROM p""",
+    "export_markdown": rf"""
+WITH p AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS b FROM documents)
+SELECT doc_id, md5({_strip("'<!-- Page 1 of 3 -->' || chr(10) || chr(10) || CASE WHEN b = '' THEN '[blank page]' ELSE b END || chr(10) || chr(10) || chr(12) || chr(10) || chr(10) || '<!-- Page 2 of 3 -->' || chr(10) || chr(10) || '[blank page]' || chr(10) || chr(10) || chr(12) || chr(10) || chr(10) || '<!-- Page 3 of 3 -->' || chr(10) || chr(10) || 'last page'")} || chr(10)) AS digest FROM p""",
+    "chart_points": """
+SELECT 'views' AS label, sum(CAST(l_quantity AS INT))::DOUBLE AS total, count(*) AS points FROM lineitem
+UNION ALL SELECT 'clicks', sum(l_linenumber)::DOUBLE, count(*) FROM lineitem""",
+    "translation_modes": """
+WITH c AS (SELECT c_custkey, ['translate', 'off', 'same-language-cleanup', 'transliterate', 'metadata-only', 'auto', 'bilingual', 'auto', 'auto'][CAST(c_custkey % 9 AS INT) + 1] AS mode,
+  lower(c_mktsegment) AS a, CASE WHEN c_nationkey % 3 = 0 THEN 'same' ELSE lower(c_mktsegment) END AS b FROM customer)
+SELECT c_custkey, mode, CASE WHEN mode IN ('off', 'same-language-cleanup', 'metadata-only') THEN false WHEN mode IN ('translate', 'bilingual', 'transliterate') THEN true
+  WHEN b = 'same' THEN false ELSE b <> 'de' END AS required,
+  CASE WHEN mode <> 'auto' THEN mode ELSE 'off' END AS effective, mode AS profile FROM c""",
+    "normalized_names": r"""
+SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '^[a-z0-9-]+$') THEN lower(p_name) ELSE 'native' END AS backend,
+  CASE WHEN p_size % 2 = 0 THEN 'strict-source' ELSE 'preserve-detected' END AS policy, CASE WHEN p_size % 3 = 0 THEN 'fast' ELSE 'balanced' END AS mode,
+  regexp_matches(lower(p_type), 'vision|vl|llava|moondream|minicpm-v|gemma3|pixtral|gpt-4o|gpt-4\.1|gpt-5|claude|gemini|ocr') AS vision,
+  ['figure-region', 'table-region', 'delete', 'separator-region', NULL][p_size % 5 + 1] AS role FROM part""",
+    "failure_reasons": """
+WITH e AS (SELECT *, CASE event_type WHEN 'error' THEN 'read timeout' WHEN 'signup' THEN 'connection lost' WHEN 'view' THEN 'no vision support' END AS err FROM events)
+SELECT CASE WHEN value > 90 THEN 'model context or output limit reached' WHEN err = 'read timeout' THEN 'provider timeout' WHEN err = 'no vision support' THEN 'model does not support the selected script or language'
+  WHEN err = 'connection lost' THEN 'network or API error' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 4 = 0 THEN 'source unreadable or too blurry' ELSE 'model returned malformed output' END
+  ELSE 'model returned malformed output' END AS reason, err IS NULL OR err <> 'no vision support' AS retryable, count(*) AS units FROM e GROUP BY ALL""",
+    "slugs": r"""
+WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS seg, c_mktsegment AS s, c_name, regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS nm, regexp_replace(c_name, '[^A-Za-z0-9_.-]+', '-', 'g') AS pn FROM customer)
+SELECT c_custkey, seg || '-' || nm AS slug, seg || '-' || nm AS ascii, s || '-..-' || pn AS profile,
+  seg || '/' || CASE WHEN c_custkey < 10000 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE CAST(c_custkey AS VARCHAR) END || '-' || nm AS folder, s AS parent FROM c""",
+    "durations": """
+WITH s AS (SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS t FROM orders)
+SELECT o_orderkey, CASE WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t % 3600 // 60) || 'm ' || (t % 60) || 's' WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS elapsed FROM s""",
+    "review_budget": rf"""
+WITH d AS (
+  SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents
+), m AS (
+  SELECT source, doc_id, t <> '' AND (regexp_matches(t, '(?s)\{{.*\}}') OR contains(t, '�') OR regexp_matches(t, '{"|".join(f"{c}{{6,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")}')
+    OR (length(t) > 180 AND length(regexp_replace(t, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(t) > 0.52)) AS damaged FROM d
+)
+SELECT source, doc_id, damaged, damaged AND sum(damaged::INT) OVER (PARTITION BY source ORDER BY doc_id) <= 3 AS reviewed FROM m""",
+}

@@ -28,12 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, page_index, document_type, text): a keyword line before each document."""
+    """(doc_id, page_index, document_type, text): a keyword line before each document, its bars as slashes."""
     line = F.get(F.array(*map(F.lit, KEYWORD_LINES)), (F.col("doc_id") % len(KEYWORD_LINES)).cast("int"))
     kind = F.get(F.array(*map(F.lit, TYPES)), (F.floor(F.col("doc_id") / len(KEYWORD_LINES)) % len(TYPES)).cast("int"))
     return docs.select(
         "doc_id", (F.col("doc_id") % 7).cast("int").alias("page_index"), kind.alias("document_type"),
-        F.concat(line, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"), "lang", "source",
+        F.concat(line, F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("/"))).alias("text"), "lang", "source",
     )
 
 
