@@ -1,0 +1,353 @@
+"""Corpus operators and the pipeline against brute force on small fixtures with awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+import numpy as np
+import pytest
+import xxhash
+from foliomill.llm import (
+    bpe, components, decontaminate, line_dedup, quality, simhash, token_counts, toxicity,
+)
+from foliomill.llm.queries import oracle_sql, queries
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_lines string, ids string, score string"
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def lower(x):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), x or "")
+
+
+def corpus(seed=0):
+    """Texts with shared lines, passages, near copies, junk, nulls, empties and one long text."""
+    rng = random.Random(seed)
+    said = ["the", "of", "Naïve", "table", "zq", "über", "NUMBER", "a", "in", "x.y", "Ünit", "!!", "w1", "w2"]
+
+    def prose(n):
+        return " ".join(rng.choice(said) + rng.choice(["", "s", "ed", "ing", "o"]) for _ in range(n))
+
+    shared = ["A line that many documents share, word for word.", "  another SHARED line of sufficient length\t", "short"]
+    texts = [None, "", " \n\t\n", "word", "two words", "a b c", "A B C", shared[0], "\n".join(shared), "é" * 30 + "\n" + "é" * 30]
+    base = prose(150)
+    for i in range(40):
+        body = [prose(rng.randint(3, 40)) for _ in range(rng.randint(1, 5))]
+        body.insert(rng.randint(0, len(body)), rng.choice(shared))
+        texts.append(rng.choice(["\n", "\n\n"]).join(body))
+    texts += [base, base, base + " end", base.replace("table", "chair", 1), prose(20) + "\n" + base]
+    texts.append(" ".join([prose(60)] * 3))
+    texts.append("\n".join(prose(9) for _ in range(2000)))
+    rows = []
+    for i, t in enumerate(texts):
+        doc = None if i == 12 else i
+        rows.append((doc, t, None if i == 13 else "en", None if i % 9 == 4 else f"src{i % 3}", None, "clash", "clash", "clash"))
+    return rows + [rows[20]]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus()).cache()
+
+
+def by_row(out, columns):
+    return sorted(tuple(-1 if v is None else v for v in (r[c] for c in columns)) for r in out)
+
+
+def line_key(x):
+    return lower(x.strip(" \t\n\x0b\x0c\r"))
+
+
+def test_line_dedup(docs):
+    rows = corpus()
+    holders = defaultdict(set)
+    for d, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            holders[line_key(x)].add(d)
+    want = []
+    for d, t, *_ in rows:
+        lines = (t or "").split("\n")
+        kept = []
+        for x in lines:
+            h = holders[line_key(x)]
+            lost = len(line_key(x)) >= 20 and len(h) >= 3 and d != max(y for y in h if y is not None)
+            kept += [] if lost else [x]
+        want.append((-1 if d is None else d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    assert by_row(line_dedup.report(docs).collect(), ["doc_id", "n_lines", "n_dropped", "kept_sha256"]) == sorted(want)
+
+
+def brute_quality(text):
+    t = text or ""
+    words = SPACE.findall(t)
+    grams = Counter(zip(words, words[1:], words[2:]))
+    hit = set()
+    for i in range(len(words) - 2):
+        if grams[tuple(words[i : i + 3])] > 1:
+            hit |= {i, i + 1, i + 2}
+    lines = [x for x in t.split("\n") if SPACE.search(x)]
+    failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), failed
+
+
+def test_quality_counts(docs):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    want = sorted((-1 if d is None else d, *brute_quality(t)) for d, t, *_ in corpus())
+    assert by_row(quality.judge(docs).collect(), columns) == want
+
+
+def test_repeats_in_texts_too_long_to_pack(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PACKED_WINDOWS", 0)
+    rows = [(1, "a b c d a b c e " * 30, None, None, None, "", "", "")]
+    assert quality.text_counts(frame(spark, rows)).first()["n_repeat_words"] == brute_quality(rows[0][1])[4]
+
+
+def test_quality_rejects_depleted_documents(spark):
+    rng = random.Random(2)
+    same = " ".join(f"shared{i}" for i in range(60))
+    own = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    rows = [(i, same + "\n" + own(5), "en", "a", 0, "", "", "") for i in range(30)]
+    rows += [(100 + i, own(80), "en", "a", 0, "", "", "") for i in range(20)]
+    rows += [(200, same + "\n" + own(5), "en", "b", 0, "", "", "")]
+    out = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows), min_docs=20).collect()}
+    assert sorted(k for k, v in out.items() if not v) == list(range(1, 30))
+
+
+def brute_fingerprint(text):
+    words = [w.encode() for w in SPACE.findall(lower(text))]
+    if not words:
+        return 0
+    grams = [b" ".join(words)] if len(words) < 3 else [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(points, linked):
+    parent = list(range(len(points)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(points)):
+        for j in range(i):
+            if linked(points[i], points[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(points))]
+
+
+def test_simhash(docs):
+    rows = [r for r in corpus()]
+    fps = [brute_fingerprint(t) for _, t, *_ in rows]
+    known = [(d, f) for (d, *_), f in zip(rows, fps) if d is not None]
+    roots = brute_components([f for _, f in known], lambda a, b: bin(a ^ b).count("1") <= 2)
+    least = defaultdict(lambda: 10**9)
+    for (d, _), r in zip(known, roots):
+        least[r] = min(least[r], d)
+    want = {d: (f"{f:016x}", least[r]) for (d, f), r in zip(known, roots)}
+    out = simhash.report(docs).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r["doc_id"] is not None:
+            assert (r["fingerprint"], r["component_id"]) == want[r["doc_id"]]
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    assert {d for d in kept if d is not None} == {c for _, c in want.values()}
+
+
+@pytest.mark.parametrize("tile_rows", [8192, 40])
+def test_simhash_links_large_buckets(spark, tile_rows):
+    rng = np.random.default_rng(1)
+    centre = int(rng.integers(0, 1 << 63))
+    points = {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 9, (200, 2))}
+    points |= {int(x) for x in rng.integers(0, 1 << 63, 300, dtype=np.uint64)}
+    points = sorted(points)
+    rng.shuffle(points)
+    signed = [(p, i) for i, p in enumerate(points)]
+    roots = brute_components(points, lambda a, b: bin(a ^ b).count("1") <= 2)
+    found = components.components(simhash.links(spark.createDataFrame(signed, "fp bigint, id bigint"), tile_rows=tile_rows))
+    got = {r["node"]: r["root"] for r in found.collect()}
+    assert [got.get(i, i) for i in range(len(points))] == roots
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(500, 500), (7, 200), (200, 7)]
+    out = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert out == {i: 0 for i in [*range(61), 200]} | {i: 100 for i in range(100, 150)}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def item_words(x):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+
+
+@pytest.mark.parametrize("room", [16 << 20, 0])
+def test_decontamination(spark, docs, monkeypatch, room):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", room)
+    texts = [t for _, t, *_ in corpus() if t and len(t) > 60]
+    items = [(i, " ".join(item_words(t)[3:17])) for i, t in enumerate(texts[5:15])]
+    items += [(90, "the of"), (91, "zz unseen"), (92, None), (93, ""), (94, items[0][1]), (None, items[1][1]), (0, items[0][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = item_words(t)
+        for k in range(max(len(w) - 9, 1) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    want = []
+    for d, t, *_ in corpus():
+        w, hit, seen = item_words(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                found = windows.get(tuple(w[k : k + size]), None)
+                if found:
+                    hit |= set(range(k, k + size))
+                    seen |= {str(i) for i in found if i is not None}
+        want.append((-1 if d is None else d, len(w), len(hit), len(seen), sha(",".join(sorted(seen))), bool(hit)))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert by_row(decontaminate.report(docs, bench).collect(), columns) == sorted(want)
+
+
+def test_bpe_equals_the_library(docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    want = []
+    for d, t, *_ in corpus():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((-1 if d is None else d, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert by_row(bpe.report(docs).collect(), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == sorted(want)
+
+
+def test_bpe_on_odd_texts(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, ours = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path())
+    monkeypatch.setattr(bpe, "PART_CHARS", 50)
+    rng = random.Random(4)
+    signs = "aAbBtsS'’ \t\n\x0b\x1c\x85 　éÉéİΣσß１²½中文한😀<|>_-!?0123dlrvem"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 90))) for _ in range(800)]
+    texts += ["x<|endoftext|>y <|startoftext|>", "ΑΣ ΑΣ", "thethe" * 300, "a" * 700, "".join(rng.choice("abcdef") for _ in range(3000))]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert ours.encode(t).tolist() == ids, t
+        assert ours.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_attribution(docs, rule):
+    words = token_counts.vocabulary(token_counts.default_path())
+    out = {r["doc_id"]: r for r in token_counts.report(docs, rule=rule).collect()}
+    for d, t, *_ in corpus():
+        ids = words.encoding.encode_ordinary(t or "")
+        owner = [n for n, x in enumerate((t or "").encode().splitlines(keepends=True)) for _ in x]
+        parts = (t or "").encode().split(b"\n")
+        owner = [n for n, x in enumerate(parts) for _ in range(len(x) + (n < len(parts) - 1))]
+        counts, crossing, at = [0] * len(parts), 0, 0
+        for token in ids:
+            n = len(words.encoding.decode_single_token_bytes(token))
+            over = owner[at : at + n]
+            crossing += over[0] != over[-1]
+            best = over[0] if rule == "start" else over[-1] if rule == "end" else max(dict.fromkeys(over), key=over.count)
+            counts[best] += 1
+            at += n
+        r = out[d]
+        assert (r["n_tokens"], r["n_crossing"], r["section_tokens"]) == (len(ids), crossing, counts)
+        assert r["title_tokens"] + r["body_tokens"] == r["n_tokens"] == sum(counts)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rng = random.Random(6)
+    plain = [f"w{i}" for i in range(400)]
+
+    def text(words):
+        return " ".join(rng.choice(plain) for _ in range(rng.randint(30, 90))) + " " + " ".join(words)
+
+    # Toxic only together: a group name and a verb that are each harmless alone.
+    rows, labels = [], []
+    for i in range(1500):
+        kind = i % 5
+        words = {0: ["idiot"], 1: ["martians"], 2: ["vanish"], 3: ["martians", "vanish"], 4: []}[kind]
+        rows.append((i, text(words), "en", "s", 0, "", "", ""))
+        labels.append((i, 1, int(kind in (0, 3))))
+    rows += [(None, None, None, None, None, "", "", ""), (5000, "", None, None, None, "", "", "")]
+    labels += [(None, 1, 1), (7777, 1, None), (3, 1, 1)]
+    frames = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    out = toxicity.report(*frames).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    held = [r for r in out if r["held_out"]]
+    truth = {d: t for d, _, t in labels}
+    assert len(held) > 300
+    assert sum(r["predicted"] == truth.get(r["doc_id"], 0) for r in held) >= 0.98 * len(held)
+    again = {r["doc_id"]: r["score"] for r in toxicity.report(*frames).collect()}
+    assert all(again[r["doc_id"]] == r["score"] for r in out)
+
+
+def test_toxicity_without_labels(spark):
+    docs = frame(spark, corpus()[:5])
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r["predicted"] for r in toxicity.report(docs, none).collect()} == {0}
+
+
+def test_empty_tables(spark):
+    none, bench = frame(spark, []), spark.createDataFrame([], "item_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for out in (
+        line_dedup.report(none), quality.judge(none), simhash.report(none), decontaminate.report(none, bench),
+        bpe.report(none), token_counts.report(none), toxicity.report(none, labels), decontaminate.report(frame(spark, corpus()[:3]), bench).where("contaminated"),
+    ):
+        assert out.count() == 0
+
+
+def test_operators_keep_other_columns(docs):
+    cut = line_dedup.dedup_lines(docs)
+    assert set(cut.columns) == set(docs.columns) | {"n_dropped"} and dict(cut.dtypes)["n_lines"] == "bigint"
+    coded = bpe.encode(docs)
+    assert dict(coded.dtypes)["ids"] == "array<int>" and coded.first()["score"] == "clash"
+
+
+def test_pipeline(spark, tmp_path):
+    rows = corpus(3)
+    kept_columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    frame(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    now = [(d, t) for d, t, *_ in rows if not brute_quality(t)[5]]
+    holders = defaultdict(set)
+    for d, t in now:
+        for x in t.split("\n"):
+            holders[line_key(x)].add(d)
+    cut = []
+    for d, t in now:
+        lines = [x for x in t.split("\n") if not (len(line_key(x)) >= 20 and len(h := holders[line_key(x)]) >= 3 and d != max(y for y in h if y is not None))]
+        if len(lines) == len(t.split("\n")) or SPACE.search("\n".join(lines)):
+            cut.append((d, "\n".join(lines)))
+    roots = brute_components([brute_fingerprint(t) for _, t in cut], lambda a, b: bin(a ^ b).count("1") <= 2)
+    least = defaultdict(lambda: 10**9)
+    for (d, _), r in zip(cut, roots):
+        least[r] = min(least[r], 10**9 if d is None else d)
+    first = [(d, t) for (d, t), r in zip(cut, roots) if d == least[r] or (d is None and least[r] == 10**9)]
+    leak = next(t for _, t in first if len(item_words(t)) > 60)
+    spark.createDataFrame([(1, " ".join(item_words(leak)[:14]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    window = [tuple(item_words(leak)[k : k + 10]) for k in range(5)]
+    clean = [(d, t) for d, t in first if not any(tuple(item_words(t)[k : k + 10]) in window for k in range(len(item_words(t))))]
+    assert len(clean) < len(first) < len(cut) <= len(now) < len(rows)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ours = bpe.WordBpe(bpe.default_path())
+    assert sorted((r["doc_id"], r["ids"]) for r in out) == sorted((d, ours.encode(t).tolist()) for d, t in clean)
+    docs = spark.read.schema(kept_columns).parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS
+
+
+def test_every_operator_is_registered_once():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries())
+    assert numbers == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
