@@ -13,7 +13,7 @@ from .functions import render as R
 from .functions import responses as M
 from .functions import structure as X
 from .functions import text as T
-from .operators import assemble, chunking, layout, retrieval, rollup
+from .operators import assemble, chunking, layout, retrieval, review, rollup
 from .plans import answer, run
 from .projections import table
 from .sinks import formats
@@ -557,6 +557,71 @@ def durations(s, d):
     return table(s, d, "orders").select("o_orderkey", T.elapsed(F.col("o_totalprice")).alias("elapsed"))
 
 
+@query
+def word_wrap(s, d):
+    return _docs(s, d).select("doc_id", F.md5(F.array_join(T.wrap(F.substring_index("text", "\n", 1)), "\n")).alias("digest"))
+
+
+@query
+def usage_sentences(s, d):
+    units = P.usage(table(s, d, "events"))
+    fields = ("prompt_tokens", "completion_tokens", "total_tokens", "truncated")
+    totals = rollup.usage_totals(units, ["run"]).select("run", F.struct(*fields).alias("total"))
+    return units.join(totals, "run").select("seq", T.usage_sentence(F.struct(*fields), F.col("total")).alias("said"))
+
+
+@query
+def layout_review(s, d):
+    return review.report(layout.classify(P.boxes(table(s, d, "lineitem")))).select("page", F.length("report").alias("chars"))
+
+
+@query
+def review_counters(s, d):
+    return review.counters(layout.classify(P.boxes(table(s, d, "lineitem"))), ["page_zone"])
+
+
+@query
+def overlay_boxes(s, d):
+    boxes = P.boxes(table(s, d, "lineitem")).select("page", review.overlay().alias("o"))
+    return boxes.groupBy("page").agg(F.round(F.sum("o.width"), 3).alias("widths"), F.max("o.left").alias("last_left"), F.min("o.top").alias("first_top"))
+
+
+@query
+def block_maps(s, d):
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
+    ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom")
+    return review.block_maps(ordered).select("page", F.md5("map").alias("digest"))
+
+
+@query
+def figure_candidates(s, d):
+    found = review.figure_candidates(P.boxes(table(s, d, "lineitem")))
+    return found.groupBy("page").agg(F.count(F.lit(1)).alias("figures"), F.max("score").alias("best"))
+
+
+@query
+def best_outputs(s, d):
+    stage = F.get(F.array(*map(F.lit, ["final", "translated", "restored", "draft"])), (F.col("doc_id") % 4).cast("int"))
+    suffix = F.get(F.array(*map(F.lit, [".json", ".txt", ".md"])), (F.col("doc_id") % 3).cast("int"))
+    files = _docs(s, d).where(F.col("lang") != "en").select("source", F.concat(stage, F.lit("__"), F.col("lang"), suffix).alias("name"))
+    return review.best_outputs(files, "source")
+
+
+@query
+def page_records(s, d):
+    """The first record of each page number over all sources, and pages without one."""
+    docs = _docs(s, d)
+    records = docs.select((F.col("doc_id") % 50).alias("page"), "source", F.col("doc_id").alias("record"))
+    return review.first_match(s.range(60).select(F.col("id").alias("page")), records, ["page"], ["source", "record"])
+
+
+@query
+def compare_outputs(s, d):
+    docs = _docs(s, d).select("doc_id", "text")
+    changed = docs.where(F.col("doc_id") % 10 != 0).withColumn("text", F.replace("text", F.lit("the "), F.lit("THE ")))
+    return review.compare(docs, changed)
+
+
 @query
 def run_sources(s, d):
     chunk = F.struct(F.lit(None).cast("string").alias("translated_text"), F.col("text").alias("restored_text"), F.lit("").alias("text"), F.col("doc_id").cast("int").alias("page_number"), F.lit(0.7).alias("confidence"))

@@ -294,3 +294,33 @@ def ordered_distinct(values: Column, limit: int) -> Column:
         )
 
     return let(F.filter(F.transform(values, strip), lambda x: x != ""), kept)
+
+
+def wrap(text: Column, width: int = 76) -> Column:
+    """Lines of whole words within a width; a longer word is a line of its own."""
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(a: Column, w: Column) -> Column:
+        fits = F.length(a["now"]) + 1 + F.length(w) <= width
+        grown = F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit(" "), w).alias("now"))
+        fresh = F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), w.alias("now"))
+        return F.when(a["now"] == "", F.struct(a["done"].alias("done"), w.alias("now"))).when(fits, grown).otherwise(fresh)
+
+    return F.aggregate(
+        tokens(text), zero, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
+    )
+
+
+def usage_sentence(item: Column, total: Column) -> Column:
+    """Tokens of one unit and of the run; both are structs of counts and a truncated flag."""
+
+    def counts(u: Column) -> tuple[Column, Column, Column]:
+        i, o = F.coalesce(u["prompt_tokens"], F.lit(0)), F.coalesce(u["completion_tokens"], F.lit(0))
+        return F.coalesce(F.nullif(u["total_tokens"], F.lit(0)), i + o), i, o
+
+    cut = F.coalesce(item["truncated"], F.lit(False)) | F.coalesce(total["truncated"], F.lit(False))
+    return F.concat(
+        F.format_string("tokens this page: %d (input %d, output %d); ", *counts(item)),
+        F.format_string("run total: %d (input %d, output %d)", *counts(total)),
+        F.when(cut, " truncated").otherwise(""),
+    )

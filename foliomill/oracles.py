@@ -371,4 +371,30 @@ WITH d AS (
     OR (length(t) > 180 AND length(regexp_replace(t, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(t) > 0.52)) AS damaged FROM d
 )
 SELECT source, doc_id, damaged, damaged AND sum(damaged::INT) OVER (PARTITION BY source ORDER BY doc_id) <= 3 AS reviewed FROM m""",
+    "usage_sentences": f"""
+WITH {_UNITS}, t AS (SELECT run, sum(n) AS s, bool_or(n > 90) AS cut FROM u GROUP BY run)
+SELECT seq, 'tokens this page: ' || n * 3 || ' (input ' || n || ', output ' || n * 2 || '); run total: ' || s * 3 || ' (input ' || s || ', output ' || s * 2 || ')'
+  || CASE WHEN cut THEN ' truncated' ELSE '' END AS said FROM u JOIN t USING (run)""",
+    "overlay_boxes": f"""
+WITH {_BOXES} SELECT page, round(sum(round_even(w * 100.0::DOUBLE / 1000, 3)), 3) AS widths, max(round_even("left" * 100.0::DOUBLE / 1000, 3)) AS last_left,
+  min(round_even(top * 100.0::DOUBLE / 1500, 3)) AS first_top FROM b2 GROUP BY page""",
+    "figure_candidates": f"""
+WITH {_BOXES}, p AS (
+  SELECT page, round_even(least(1.0::DOUBLE, CASE WHEN area BETWEEN 0.04 AND 0.42 THEN 0.30::DOUBLE WHEN area BETWEEN 0.025 AND 0.55 THEN 0.18::DOUBLE ELSE 0 END
+    + CASE WHEN dark BETWEEN 0.10 AND 0.55 THEN 0.25::DOUBLE WHEN dark BETWEEN 0.06 AND 0.70 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN mid >= 0.12 THEN 0.08::DOUBLE ELSE 0 END
+    + CASE WHEN w / h BETWEEN 0.45 AND 2.8 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN wr >= 0.18 AND hr >= 0.12 THEN 0.15::DOUBLE ELSE 0 END), 4) AS score FROM b3 WHERE fig
+)
+SELECT page, least(count(*), 4) AS figures, max(score) AS best FROM p WHERE score >= 0.34 GROUP BY page""",
+    "best_outputs": """
+WITH f AS (SELECT source, doc_id, ['final', 'translated', 'restored', 'draft'][CAST(doc_id % 4 AS INT) + 1] || '__' || lang || ['.json', '.txt', '.md'][CAST(doc_id % 3 AS INT) + 1] AS name,
+  doc_id % 4 * 10 + [3, 2, 1][CAST(doc_id % 3 AS INT) + 1] AS rank FROM documents WHERE lang <> 'en')
+SELECT source, arg_min(name, (rank, name)) AS name FROM f GROUP BY source""",
+    "page_records": """
+WITH r AS (SELECT doc_id % 50 AS page, source, doc_id AS record, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY source, doc_id) AS ix FROM documents)
+SELECT p.page, source, record FROM range(60) AS p(page) LEFT JOIN r ON p.page = r.page AND ix = 1""",
+    "compare_outputs": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS a,
+  CASE WHEN doc_id % 10 <> 0 THEN list_filter(string_split_regex(replace(text, 'the ', 'THE '), '\s+'), lambda x: x <> '') END AS b FROM documents)
+SELECT doc_id, len(a) AS source_words, len(b) AS output_words, len(list_distinct(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x)))) AS words_gone,
+  len(list_distinct(list_filter(coalesce(b, []), lambda x: NOT list_contains(a, x)))) AS words_new FROM w""",
 }
