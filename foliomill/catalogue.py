@@ -14,9 +14,9 @@ from .functions import responses as M
 from .functions import structure as X
 from .functions import text as T
 from .operators import assemble, chunking, layout, retrieval, review, rollup
-from .plans import answer, run
+from .plans import answer, prompts, run
 from .projections import table
-from .sinks import formats
+from .sinks import formats, stages
 from .sources import scan
 
 QUESTION = "What does the statement on pages 66-67 say about the inandti and ereat?"
@@ -622,6 +622,52 @@ def compare_outputs(s, d):
     return review.compare(docs, changed)
 
 
+@query
+def best_stage_pieces(s, d):
+    stage = F.get(F.array(*map(F.lit, ["final", "translated", "restored"])), (F.col("doc_id") % 3).cast("int"))
+    pieces = _docs(s, d).select(stage.alias("stage"), (F.col("doc_id") % 40).alias("source_index"), F.col("doc_id").alias("piece_index"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("text"))
+    return stages.best_stage(pieces).groupBy("source_index", "stage").agg(F.count(F.lit(1)).alias("pieces"))
+
+
+@query
+def run_state(s, d):
+    units = P.usage(table(s, d, "events")).select("run", F.col("event_type").alias("key"), "seq", F.col("total_tokens").alias("value"))
+    return stages.overlay_state(units)
+
+
+@query
+def run_manifests(s, d):
+    records = _docs(s, d).select(F.col("lang").alias("run"), F.col("doc_id").alias("source_index"), F.col("source").alias("label"), F.lit("restored").alias("status"), F.lit("").alias("failure_reason"))
+    return stages.manifest(records).select("run", F.get_json_object("manifest", "$.sources").cast("bigint").alias("sources"))
+
+
+@query
+def restoration_prompts(s, d):
+    made = prompts.restoration(F.col("text"), F.col("document_type"), F.lit("strict-source"))
+    return _keyed(s, d).groupBy("document_type").agg(F.count(F.lit(1)).alias("prompts"), F.sum(F.length(made) - F.length("text")).alias("added"))
+
+
+@query
+def relabelled_blocks(s, d):
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem"))).dropDuplicates(["page", "block"])
+    names = F.get(F.array(*map(F.lit, ["photo", "noise", "unknown"])), (F.col("block") % 3).cast("int"))
+    out = layout.relabel(blocks, blocks.select("page", "block", names.alias("new_role")))
+    return out.groupBy("block").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("role") == "figure-region").alias("figures"))
+
+
+@query
+def layout_tree(s, d):
+    seen = X.observe(_keyed(s, d))
+    nodes = seen.select(X.layout_node(F.col("doc_id"), F.col("source")).alias("n"), X.section_rank(F.col("role")).alias("rank"))
+    return nodes.groupBy("rank", "n.role").agg(F.count(F.lit(1)).alias("nodes"), F.max("n.reading_order").alias("last"))
+
+
+@query
+def fallback_titles(s, d):
+    part = table(s, d, "part")
+    return part.select("p_partkey", X.fallback_title(F.concat(F.lit("in/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".txt")), F.lit("")).alias("title"))
+
+
 @query
 def run_sources(s, d):
     chunk = F.struct(F.lit(None).cast("string").alias("translated_text"), F.col("text").alias("restored_text"), F.lit("").alias("text"), F.col("doc_id").cast("int").alias("page_number"), F.lit(0.7).alias("confidence"))

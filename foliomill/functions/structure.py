@@ -2,6 +2,8 @@
 
 `observe` adds the columns of an observation stage by stage, so that each is computed once: lines,
 table rows and chart signals, role, features, layout class and the extracted lists.
+
+Role names, word patterns, limits and style notes are fixed values.
 """
 
 from __future__ import annotations
@@ -499,3 +501,36 @@ def structures(found: Column) -> Column:
     )
 
 
+
+
+# The order in which sections of a document stand.
+SECTION_ORDER = (
+    "title", "cover", "cover-sheet", "masthead", "contents", "preface", "foreword", "introduction", "chapter", "section",
+    "article", "body", "appendix", "index", "references", "bibliography", "footnotes",
+)
+
+
+def section_rank(role: Column) -> Column:
+    """Place of a role in the order of sections; roles without one stand with the body."""
+    at = F.array_position(F.array(*map(F.lit, SECTION_ORDER)), role)
+    return F.when(at == 0, SECTION_ORDER.index("body") + 1).otherwise(at)
+
+
+def fallback_title(file_name: Column, profile: Column) -> Column:
+    """A file's stem in title case, else the profile's name, else a word for none."""
+
+    def shown(x: Column) -> Column:
+        return F.initcap(F.trim(F.translate(text_of(x), "_-", "  ")))
+
+    stem = F.regexp_replace(F.element_at(F.split(text_of(file_name), "/"), -1), r"\.[^.]*$", "")
+    return F.coalesce(F.nullif(shown(stem), F.lit("")), F.nullif(shown(profile), F.lit("")), F.lit("Untitled"))
+
+
+def layout_node(order: Column, source: Column) -> Column:
+    """A node of the layout tree from the columns of an observation."""
+    from .text import excerpt
+
+    return F.struct(
+        order.alias("reading_order"), source.alias("source"), F.col("page_marker").alias("page_number"), F.col("role"), F.col("layout"),
+        F.col("assembly_hint"), excerpt(F.array_join("lines", " ")).alias("excerpt"),
+    )

@@ -323,3 +323,57 @@ def merge_blocks(blocks: DataFrame, merges: DataFrame, page: str = "page") -> Da
 
     schema = f"{page} bigint, block int, role string, left int, top int, right int, bottom int, confidence double"
     return blocks.select(names).groupBy(page).cogroup(merges.groupBy(page)).applyInPandas(run, schema)
+
+
+# Roles that other engines give, and the confidence assumed where they give none.
+EXTERNAL_ROLES = {
+    "table": "table-region",
+    "figure": "figure-region",
+    "image": "figure-region",
+    "title": "title-region",
+    "header": "running-header-or-footer",
+    "footer": "running-header-or-footer",
+}
+DEFAULT_CONFIDENCE = 0.74
+_backends: dict = {}
+
+
+def register_backend(name: str, analyse) -> None:
+    """Register a function from pages to blocks under a normalized name."""
+    _backends[name.strip().lower().replace("_", "-")] = analyse
+
+
+def backends() -> list[str]:
+    return sorted({"native", "off", *_backends})
+
+
+def analyse(pages: DataFrame, backend: str = "native", kind: str = "Book") -> DataFrame:
+    """Blocks of pages by a backend; an unknown one falls back to the native analysis."""
+    name = backend.strip().lower().replace("_", "-")
+    if name == "off":
+        return native_blocks(pages.limit(0), kind)
+    return _backends[name](pages) if name in _backends else native_blocks(pages, kind)
+
+
+def external_blocks(blocks: DataFrame, page: str = "page") -> DataFrame:
+    """Blocks of another engine with known roles and confidence, in their own order, overlaps dropped."""
+    low = F.lower(F.coalesce("role", F.lit("")))
+    role = F.lit("text-region")
+    for name, known in EXTERNAL_ROLES.items():
+        role = F.when(F.contains(low, F.lit(name)), known).otherwise(role)
+    score = F.greatest(F.lit(0.05), F.least(F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)), F.lit(0.99)))
+    return dedupe_boxes(blocks.withColumn("role", role).withColumn("confidence", score), page)
+
+
+def average_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean confidence of recognized words; the default where none has one."""
+    return words.groupBy(*keys).agg(F.coalesce(F.avg("confidence"), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"))
+
+
+def relabel(blocks: DataFrame, roles: DataFrame, page: str = "page") -> DataFrame:
+    """Blocks with the roles (page, block, new_role) that a model gives; `delete` removes a block."""
+    from ..functions.normalize import region_role
+
+    named = roles.select(page, "block", region_role(F.col("new_role")).alias("_named"))
+    joined = blocks.join(named, [page, "block"], "left").where(F.coalesce(F.col("_named"), F.lit("")) != "delete")
+    return joined.withColumn("role", F.coalesce("_named", "role")).drop("_named")

@@ -53,6 +53,7 @@ def with_profile(observed: DataFrame) -> DataFrame:
     return observed.withColumn("dominant_flow", flow).withColumn("column_count", columns)
 
 
+# The notes' wording is a fixed value.
 def layout_notes(columns: Column, flow: Column, counts: Column) -> Column:
     def has(name: str) -> Column:
         return F.coalesce(F.try_element_at(counts, F.lit(name)), F.lit(0)) > 0

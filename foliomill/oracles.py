@@ -397,4 +397,11 @@ WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x:
   CASE WHEN doc_id % 10 <> 0 THEN list_filter(string_split_regex(replace(text, 'the ', 'THE '), '\s+'), lambda x: x <> '') END AS b FROM documents)
 SELECT doc_id, len(a) AS source_words, len(b) AS output_words, len(list_distinct(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x)))) AS words_gone,
   len(list_distinct(list_filter(coalesce(b, []), lambda x: NOT list_contains(a, x)))) AS words_new FROM w""",
+    "best_stage_pieces": """
+WITH p AS (SELECT doc_id % 40 AS source_index, doc_id % 3 AS r FROM documents WHERE doc_id % 3 > 0 AND regexp_matches(text, '\\S')),
+b AS (SELECT source_index, min(r) AS r FROM p GROUP BY 1)
+SELECT source_index, CASE r WHEN 1 THEN 'translated' ELSE 'restored' END AS stage, count(*) AS pieces FROM p JOIN b USING (source_index, r) GROUP BY ALL""",
+    "run_state": f"WITH {_UNITS} SELECT run, event_type AS key, arg_max(n * 3, seq) AS value FROM u GROUP BY ALL",
+    "run_manifests": "SELECT lang AS run, count(*) AS sources FROM documents GROUP BY lang",
+    "fallback_titles": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM part",
 }
