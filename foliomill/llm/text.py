@@ -72,8 +72,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), as a Parquet table: smaller, and with statistics that the planner trusts."""
+    """Like cut(), as a Parquet table: smaller, and with statistics that the planner trusts.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliomill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
