@@ -40,7 +40,7 @@ MIN_CHI = 15.0
 FACTORS = 8
 STEPS = 400
 RATE = 0.05
-DECAY = 1e-4
+DECAY = 1e-5
 CUT = 0.7
 FOLDS, HELD_FOLD = 3, 1
 
