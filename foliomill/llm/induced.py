@@ -180,42 +180,58 @@ def _names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
         order = np.lexsort((key, names[live]))
         a, k = names[live][order], key[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])))
-        # Ranks stay apart by the number of members, so that refining one group moves no other.
         first = np.flatnonzero(new)
+        members = np.diff(np.append(first, len(order)))
         base = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        group = np.repeat(first, np.diff(np.append(first, len(order))))
         parent = np.repeat(base, np.diff(np.append(base, len(order))))
-        fresh = np.empty(len(live), np.int64)
-        fresh[order] = a + group - parent
-        names[live] = fresh
-        size = np.repeat(np.diff(np.append(first, len(order))), np.diff(np.append(first, len(order))))
-        alive = np.empty(len(live), bool)
-        alive[order] = size > 1
-        live = live[alive & (sizes[live] > offset + width)]
+        # Ranks stay apart by the number of members, so that refining one group moves no other.
+        names[live[order]] = a + np.repeat(first, members) - parent
+        live = live[order][np.repeat(members, members) > 1]
+        live = live[sizes[live] > offset + width]
         if not len(live):
             break
-    return np.unique(names, return_inverse=True)[1].astype(np.int64)
+    used = np.zeros(len(names) + 1, np.int64)
+    used[names + 1] = 1
+    return np.cumsum(used)[names]
+
+
+def _regroup(rank: np.ndarray, live: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Ranks of live members refined by what follows them; returns those whose rank is shared yet.
+
+    A rank is the number of members in smaller groups, so refining a group moves no other.
+    """
+    key = rank[live] * (int(follow.max()) + 1) + follow
+    order = np.argsort(key)
+    key = key[order]
+    members = live[order]
+    old = rank[members]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(key)))
+    base = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
+    parent = np.repeat(base, np.diff(np.append(base, len(key))))
+    rank[members] = old + np.repeat(first, sizes) - parent
+    return members[np.repeat(sizes, sizes) > 1]
 
 
 def _doubling(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a string of names, and the common prefixes in names, by doubling ranks."""
     m = len(names)
-    ranks, rank, step = [names], names, 1
-    order = np.argsort(rank, kind="stable")
-    while step < m and len(np.unique(rank)) < m:
-        follow = np.zeros(m, np.int64)
-        follow[:-step] = rank[step:] + 1
-        key = rank * (m + 2) + follow
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.empty(m, np.int64)
-        fresh[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        rank = fresh
-        ranks.append(rank)
+    rank, step = np.zeros(m, np.int64), 1
+    live = _regroup(rank, np.arange(m), names)
+    ranks = [rank.astype(np.int32)]
+    while len(live):
+        after = live + step
+        follow = np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+        live = _regroup(rank, live, follow)
+        ranks.append(rank.astype(np.int32))
         step *= 2
+    order = np.empty(m, np.int64)
+    order[rank] = np.arange(m)
     a, b = order[1:].copy(), order[:-1].copy()
     lcp = np.zeros(max(m - 1, 0), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
+        # Ranks of two suffixes are equal if as many names agree; a suffix that ends earlier differs.
         ok = np.flatnonzero((a < m) & (b < m))
         ok = ok[ranks[level][a[ok]] == ranks[level][b[ok]]]
         a[ok] += 1 << level

@@ -41,21 +41,40 @@ from .text import whole, written
 
 LENGTH = 200
 GRAM = 64
-SHARD_BYTES = 4 << 20
-HOT_CONTEXTS = 20_000
+SHARD_BYTES = 2 << 20
+HOT_CONTEXTS = 8_000
 #: Documents with spans to cut, or contexts to fetch, are sent to all executors up to so many.
 BROADCAST_DOCS = 1 << 20
 PIECE = 1 << 21
 _FACTOR = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_MASK = 0xFFFFFFFFFFFFFFFF
+_TABLE, _SECOND = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+
+
+def string_hashes(octets: np.ndarray, length: int, table: np.ndarray = _TABLE) -> np.ndarray:
+    """A polynomial hash of the `length` bytes from each position."""
+    h, factor, done, shift = table[octets], _FACTOR, None, 0
+    while True:
+        if length & 1:
+            if done is None:
+                done, shift = h, factor
+            else:
+                # h covers the bytes before those already covered.
+                width = len(octets) - len(h) + 1
+                n = len(done) - width
+                done = h[:n] * np.uint64(shift) + done[width : width + n]
+                shift = shift * factor & _MASK
+        length >>= 1
+        if not length:
+            return done
+        width = len(octets) - len(h) + 1
+        h = h[:-width] * np.uint64(factor) + h[width:]
+        factor = factor * factor & _MASK
 
 
 def gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the `gram` bytes from each position; gram is a power of two."""
-    h, width, factor = _TABLE[octets], 1, _FACTOR
-    while width < gram:
-        h = h[:-width] * np.uint64(factor) + h[width:]
-        factor, width = factor * factor & 0xFFFFFFFFFFFFFFFF, 2 * width
+    """A mixed hash of the `gram` bytes from each position, whose order is as good as random."""
+    h = string_hashes(octets, gram)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -139,9 +158,9 @@ def all_anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted (k1, k2, pos, left, right, anchor, context) contexts."""
+    """The bytes of wanted (k1, k2, pos, left, right, anchor, context, hot) contexts."""
     lists = wanted.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("pos", "left", "right", "anchor", "context")).alias("spots")
+        F.collect_list(F.struct("pos", "left", "right", "anchor", "context", "hot")).alias("spots")
     )
     # Repeated rows have the same key; one of them is enough.
     texts = only(keyed(docs), wanted.select("k1", "k2").distinct()).dropDuplicates(["k1", "k2"])
@@ -153,14 +172,14 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = text.encode("utf-8")
                 for s in spots:
                     p, a, b = s["pos"], s["left"], s["right"]
-                    rows.append((s["anchor"], s["context"], k1 ^ k2, p, a, raw[p - a : p + b]))
+                    rows.append((s["anchor"], s["context"], k1 ^ k2, p, a, raw[p - a : p + b], s["hot"]))
                 if len(rows) > 1 << 15:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["anchor", "context", "doc", "pos", "left", "octets"]
-    schema = "anchor bigint, context bigint, doc bigint, pos bigint, left int, octets binary"
+    names = ["anchor", "context", "doc", "pos", "left", "octets", "hot"]
+    schema = "anchor bigint, context bigint, doc bigint, pos bigint, left int, octets binary, hot boolean"
     return texts.join(lists, ["k1", "k2"]).mapInPandas(run, schema)
 
 
@@ -260,28 +279,35 @@ def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            places = origins(batch)
-            for i, (anchor, context, left, raw) in enumerate(
-                zip(batch["anchor"], batch["context"], batch["left"], batch["octets"])
-            ):
-                starts = np.arange(len(raw) - length + 1)
-                digests = [xxhash.xxh3_128_digest(raw[s : s + length]) for s in starts.tolist()]
+            for at in range(0, len(batch), 1024):
+                rows = batch.iloc[at : at + 1024]
+                sizes = rows["octets"].str.len().to_numpy(np.int64)
+                octets = np.frombuffer(b"".join(rows["octets"]), np.uint8)
+                counts = np.maximum(sizes - length + 1, 0)
+                row = np.repeat(np.arange(len(rows)), counts)
+                start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                if not len(row):
+                    continue
+                spot = (np.cumsum(sizes) - sizes)[row] + start
                 yield pd.DataFrame(
-                    {"anchor": anchor, "context": context, "left": left, "start": starts, "place": places[i] + starts, "string": digests}
+                    {
+                        "anchor": rows["anchor"].to_numpy()[row],
+                        "context": rows["context"].to_numpy()[row],
+                        "a": (start - rows["left"].to_numpy(np.int64)[row]).astype(np.int32),
+                        "place": origins(rows)[row] + start,
+                        "h1": string_hashes(octets, length)[spot].view(np.int64),
+                        "h2": string_hashes(octets, length, _SECOND)[spot].view(np.int64),
+                    }
                 )
 
-    schema = "anchor bigint, context bigint, left int, start int, place bigint, string binary"
+    schema = "anchor bigint, context bigint, a int, place bigint, h1 bigint, h2 bigint"
     strings = contexts.mapInPandas(run, schema)
     twice = written(
-        strings.groupBy("string").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-        .where(F.col("low") != F.col("high")).select("string"),
+        strings.groupBy("h1", "h2").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+        .where(F.col("low") != F.col("high")).select("h1", "h2"),
         "strings",
     )
-    return (
-        strings.join(twice, "string")
-        .select("anchor", "context", (F.col("start") - F.col("left")).alias("a"))
-        .select("anchor", "context", "a", (F.col("a") + length).alias("b"))
-    )
+    return strings.join(twice, ["h1", "h2"]).select("anchor", "context", "a", (F.col("a") + length).alias("b"))
 
 
 def covered_spans(
@@ -305,13 +331,17 @@ def covered_spans(
         "anchor", "context", (-F.col("spot.left")).alias("a"), F.col("spot.right").alias("b")
     )
     compared = distinct.where(F.col("several") & reach)
-    sizes = compared.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"))
-    hot = written(sizes.where(F.col("rows") > hot_contexts).select("anchor"), "hot")
-    wanted = compared.select("anchor", "context", "spot.*")
+    # Where every context occurs twice, all are covered already.
+    open_anchors = (
+        compared.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+        .where((F.col("rows") > 1) & (F.col("least") == 1))
+        .select(F.bitwise_not(F.bitwise_not("anchor")).alias("anchor"), (F.col("rows") > hot_contexts).alias("hot"))
+    )
+    wanted = compared.join(open_anchors, "anchor").select("anchor", "context", "spot.*", "hot")
     contexts = written(fetch_contexts(docs, wanted), "octets")
     spans = whole_spans.unionByName(
-        shard_spans(contexts.join(hot, "anchor", "left_anti"), length, shard_bytes)
-    ).unionByName(hot_spans(contexts.join(hot, "anchor", "left_semi"), length))
+        shard_spans(contexts.where(~F.col("hot")), length, shard_bytes)
+    ).unionByName(hot_spans(contexts.where("hot"), length))
     spans = written(
         spans.groupBy("anchor", "context").agg(F.collect_list(F.struct("a", "b")).alias("reach")), "spans"
     )
