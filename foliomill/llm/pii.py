@@ -41,6 +41,9 @@ ROUNDS = 3
 #: Distinct seeds and score that a pattern needs, and the weight of doubt in its score.
 MIN_SEEDS = 10
 MIN_SCORE = 0.8
+#: The least share of all edges to seeds that a pattern needs, so that chance meetings of frequent
+#: words do not pass in a large corpus.
+SEED_SHARE = 0.002
 #: Of all places where a pattern's words occur, the share that an instance follows.
 MIN_SHARE = 0.2
 DOUBT = 2.0
@@ -99,8 +102,11 @@ def graph(docs: DataFrame) -> DataFrame:
 
 def patterns(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, min_share: float = MIN_SHARE) -> DataFrame:
     """(pattern, score): the lexical patterns that may discover identifiers."""
-    edges = graph(docs)
-    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
+    edges = written(graph(docs), "graph")
+    seeds = edges.agg(F.coalesce(F.sum("seed"), F.lit(0))).first()[0]
+    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(
+        F.col("seeds") >= max(min_seeds, SEED_SHARE * seeds)
+    )
     edges = written(edges.join(strong.select("pattern"), "pattern"), "edges")
     scored = None
     for _ in range(rounds):
