@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,12 @@ def byte_letters() -> list[str]:
     return [shown.get(b) or chr(next(spare)) for b in range(256)]
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indexes of runs of these lengths, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordBpe:
     """One vocabulary, with a cache of encoded pieces."""
 
@@ -104,32 +111,43 @@ class WordBpe:
         return text.split()
 
     def _piece_words(self, piece: str) -> list[str]:
-        piece = unicodedata.normalize("NFC", piece)
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece)
         # Each character is lowered alone, so a sigma is never taken as final.
         low = piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)
-        return self.words.findall(low)
+        return [low] if low.isalpha() else self.words.findall(low)
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that the cache lacks."""
         words: dict[str, int] = {}
-        spans: list[list[int]] = []
+        spans: list[int] = []
+        counts: list[int] = []
+        special: list[int] = []
         for piece in pieces:
             if piece in self.special:
-                spans.append([-1 - self.special[piece]])
+                # Special strings come after all words; their places are set below.
+                special.append(self.special[piece])
+                spans.append(-len(special))
+                counts.append(1)
             else:
-                spans.append([words.setdefault(w, len(words)) for w in self._piece_words(piece)])
+                found = self._piece_words(piece)
+                spans += [words.setdefault(w, len(words)) for w in found]
+                counts.append(len(found))
         flat, ends = self.merge_all(list(words))
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        parts, lengths = [], []
-        for span in spans:
-            own = [np.array([-1 - x]) if x < 0 else flat[begins[x] : ends[x]] for x in span]
-            lengths.append(sum(map(len, own)))
-            parts += own
-        base, held = len(self.at), np.array(lengths, np.int64)
+        begins = np.concatenate((begins, len(flat) + np.arange(len(special))))
+        sizes = np.concatenate((ends, len(flat) + np.arange(len(special)) + 1)) - begins
+        flat = np.concatenate((flat, np.array(special, np.int64)))
+        span = np.array(spans, np.int64)
+        span = np.where(span < 0, len(words) - 1 - span, span)
+        ids = flat[_runs(begins[span], sizes[span])]
+        owner = np.repeat(np.arange(len(pieces)), counts)
+        held = np.bincount(owner, weights=sizes[span], minlength=len(pieces)).astype(np.int64)
+        base = len(self.at)
         self.at.update(zip(pieces, range(base, base + len(pieces))))
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(held) - held))
         self.lengths = np.concatenate((self.lengths, held))
-        self.pool = np.concatenate((self.pool, *parts)).astype(np.int32) if parts else self.pool
+        self.pool = np.concatenate((self.pool, ids.astype(np.int32)))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, by binary search; the number of merges where unknown."""
@@ -140,40 +158,42 @@ class WordBpe:
     def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word ends."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        done: list[np.ndarray] = [None] * len(raw)  # type: ignore[list-item]
-        for i, b in enumerate(raw):
-            if len(b) > LONG_WORD:
-                done[i] = self._merge_long(b)
-        live = np.array([i for i, b in enumerate(raw) if len(b) <= LONG_WORD], np.int64)
-        sizes = np.array([len(raw[i]) for i in live], np.int64)
-        octets = np.frombuffer(b"".join(raw[i] for i in live), np.uint8)
-        ends = np.cumsum(sizes)
+        room = np.fromiter(map(len, raw), np.int64, len(raw))
+        octets = np.frombuffer(b"".join(raw), np.uint8)
+        place = np.cumsum(room) - room
+        out, final = np.empty(len(octets), np.int64), room.copy()
+        for i in np.flatnonzero(room > LONG_WORD):
+            ids = self._merge_long(raw[i])
+            out[place[i] : place[i] + len(ids)], final[i] = ids, len(ids)
+        short = room <= LONG_WORD
+        live, sizes = np.flatnonzero(short), room[short]
         sym = self.inner[octets]
-        sym[ends - 1] = self.last[octets[ends - 1]]
+        sym[place + room - 1] = self.last[octets[place + room - 1]]
+        sym = sym[np.repeat(short, room)]
         none = len(self.made)
         while len(live):
+            ends = np.cumsum(sizes)
             starts = ends - sizes
             rank = np.full(len(sym), none)
             rank[:-1] = self.rank_of(sym[:-1], sym[1:])
             rank[ends - 1] = none
             best = np.minimum.reduceat(rank, starts)
-            for w in np.flatnonzero(best == none):
-                done[live[w]] = sym[starts[w] : ends[w]]
             go = best < none
-            hit = (rank == np.repeat(best, sizes)) & np.repeat(go, sizes)
+            stay = np.repeat(go, sizes)
+            if not go.all():
+                out[_runs(place[live[~go]], sizes[~go])] = sym[~stay]
+                final[live[~go]] = sizes[~go]
+            hit = (rank == np.repeat(best, sizes)) & stay
             # In a run of overlapping hits, every other one counts, from the left.
             run = np.arange(len(hit))
             since = np.maximum.accumulate(np.where(hit, -1, run))
             hit &= (run - since) % 2 == 1
             at = np.flatnonzero(hit)
             sym[at] = self.made[rank[at]]
-            stay = np.repeat(go, sizes)
             stay[at + 1] = False
             lost = np.add.reduceat(hit.astype(np.int64), starts)
             sym, live, sizes = sym[stay], live[go], (sizes - lost)[go]
-            ends = np.cumsum(sizes)
-        lengths = np.array([len(x) for x in done], np.int64)
-        return (np.concatenate(done) if done else np.zeros(0, np.int64)), np.cumsum(lengths)
+        return out[_runs(place, final)], np.cumsum(final)
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The same merges for one long word, by a heap of (rank, place)."""
@@ -212,7 +232,19 @@ class WordBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one whole text."""
-        return np.concatenate([np.zeros(0, np.int32), *(self._encode(p) for p in self._parts(text))])
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; the new pieces of texts that are cut in one part are learned together."""
+        if sum(map(len, texts)) > 2 * PART_CHARS:
+            return [np.concatenate([self._encode(self.pieces(p)) for p in self._parts(t)]) for t in texts]
+        cut = [self.pieces(t) for t in texts]
+        flat = self._encode([x for c in cut for x in c])
+        # Where each text ends, from the lengths of its pieces.
+        ends = np.cumsum(self.lengths[self._index], dtype=np.int64)
+        last = np.cumsum([len(c) for c in cut])
+        stops = np.where(last > 0, ends[np.maximum(last - 1, 0)] if len(ends) else 0, 0)
+        return np.split(flat, stops[:-1])
 
     def _parts(self, text: str) -> Iterator[str]:
         at = 0
@@ -224,23 +256,16 @@ class WordBpe:
             at = m.end()
         yield text[at:]
 
-    def _encode(self, text: str) -> np.ndarray:
-        pieces = self.pieces(text)
-        if fresh := [x for x in dict.fromkeys(pieces) if x not in self.at]:
+    def _encode(self, pieces: list[str]) -> np.ndarray:
+        fresh = [x for x in dict.fromkeys(pieces) if x not in self.at]
+        if fresh:
             if len(self.at) + len(fresh) > CACHE_PIECES:
                 self.clear()
                 fresh = list(dict.fromkeys(pieces))
             self.learn(fresh)
-        index = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        self._index = index = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
         lengths, starts = self.lengths[index], self.starts[index]
-        ends = np.cumsum(lengths)
-        return self.pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def prepare(self, texts: list[str]) -> None:
-        """Encode the new pieces of many texts together."""
-        fresh = [x for x in dict.fromkeys(y for t in texts for y in self.pieces(t)) if x not in self.at]
-        if fresh and len(self.at) + len(fresh) <= CACHE_PIECES:
-            self.learn(fresh)
+        return self.pool[_runs(starts, lengths)]
 
     def decode(self, ids: np.ndarray) -> str:
         """Token strings joined by a space, as for vocabularies without a decoder."""
@@ -254,7 +279,7 @@ def vocabulary(path: str) -> WordBpe:
 
 def _slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
     """Rows cut so that a slice holds one text or at most so many bytes."""
-    sizes = [len(x) if x else 0 for x in texts.to_pylist()] if len(texts) else []
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > chars:
@@ -276,10 +301,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> Da
         for batch in batches:
             for a, b in _slices(batch.column(column), PART_CHARS):
                 rows = batch.slice(a, b - a)
-                texts = [x or "" for x in rows.column(column).to_pylist()]
-                if len(texts) > 1:
-                    bpe.prepare(texts)
-                ids = [bpe.encode(t) for t in texts]
+                ids = bpe.encode_batch([x or "" for x in rows.column(column).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, made], [*kept, "ids"])
