@@ -5,11 +5,13 @@ the seeds of the method: the words before an instance are its lexical pattern, e
 digit or an at sign is a possible instance, and the two sides form a graph with an edge for each
 pair that occurs. Scores go back and forth over the edges: a pattern's score is the smoothed mean
 of its instances' confidence, an instance's confidence the best score of its patterns, while seeds
-keep confidence 1. After `ROUNDS` rounds, tokens behind patterns of a high score, with enough
-distinct seeds, and whose words are seldom followed by anything else, are reported as `ident` spans.
+keep confidence 1. All edges take part in every round, so that a pattern without seeds can be
+brought in by instances that other patterns made confident. After `ROUNDS` rounds, tokens behind
+patterns of a high score, with enough distinct confident instances, and whose words are seldom
+followed by anything else, are reported as `ident` spans.
 
-Everything is column expressions and aggregates that combine before the shuffle. The patterns that
-count are written and joined by their size, as each has at least `MIN_SEEDS` distinct seeds.
+Everything is column expressions and aggregates that combine before the shuffle. The support that a
+pattern needs does not depend on the size of the corpus.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is a row like any other;
 repeated rows are scanned each, and their repeated instances count once; an empty table gives an
@@ -38,12 +40,10 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[A-Za-z#._%+/-]*[0-9@])[A-Za-z0-9@#._%+/-]{6,}+(?![^\x20\x09-\x0D,;:!?)])"
 CONTEXT = 48
 ROUNDS = 3
-#: Distinct seeds and score that a pattern needs, and the weight of doubt in its score.
+#: Distinct seeds, or other instances of at least `MIN_SCORE`, and score that a pattern needs, and
+#: the weight of doubt in its score.
 MIN_SEEDS = 10
 MIN_SCORE = 0.8
-#: The least share of all edges to seeds that a pattern needs, so that chance meetings of frequent
-#: words do not pass in a large corpus.
-SEED_SHARE = 0.002
 #: Of all places where a pattern's words occur, the share that an instance follows.
 MIN_SHARE = 0.2
 DOUBT = 2.0
@@ -102,30 +102,29 @@ def graph(docs: DataFrame) -> DataFrame:
 
 def patterns(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, min_share: float = MIN_SHARE) -> DataFrame:
     """(pattern, score): the lexical patterns that may discover identifiers."""
+    if rounds < 1:
+        raise ValueError("at least one round is needed")
     edges = written(graph(docs), "graph")
-    seeds = edges.agg(F.coalesce(F.sum("seed"), F.lit(0))).first()[0]
-    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(
-        F.col("seeds") >= max(min_seeds, SEED_SHARE * seeds)
-    )
-    edges = written(edges.join(strong.select("pattern"), "pattern"), "edges")
-    scored = None
-    for _ in range(rounds):
-        if scored is None:
-            trusted = edges.withColumn("confidence", F.col("seed").cast("double"))
-        else:
-            best = edges.join(scored, "pattern").groupBy("instance").agg(F.max("score").alias("best"))
+    trusted = edges.withColumn("confidence", F.col("seed").cast("double"))
+    for i in range(rounds):
+        if i:
+            best = written(
+                edges.join(scored.select("pattern", "score"), "pattern").groupBy("instance").agg(F.max("score").alias("best")),
+                "best",
+            )
             trusted = edges.join(best, "instance").withColumn(
                 "confidence", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.col("best"))
             )
         scored = written(
             trusted.groupBy("pattern").agg(
-                (F.round(F.sum("confidence"), 9) / (F.count(F.lit(1)) + DOUBT)).alias("score")
+                (F.round(F.sum("confidence"), 9) / (F.count(F.lit(1)) + DOUBT)).alias("score"),
+                F.count_if(F.col("confidence") >= min_score).alias("sure"),
             ),
             "scores",
         )
-    if scored is None:
-        raise ValueError("at least one round is needed")
-    likely = written(scored.where(F.col("score") >= min_score), "likely")
+    likely = written(
+        scored.where((F.col("score") >= min_score) & (F.col("sure") >= min_seeds)).select("pattern", "score"), "likely"
+    )
     if not likely.take(1):
         return likely
     shown = edges.groupBy("pattern").agg(F.sum("times").alias("shown"))

@@ -116,6 +116,24 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert found[len(docs) - 1]["n_ident"] == 0
 
 
+def test_patterns_hold_whatever_else_the_corpus_holds(spark):
+    docs = [f"please write to account holder u{i}@mail.example.com today" for i in range(12)]
+    docs += ["please write to account holder ID-1234567 today"]
+    docs += [f"sent by the mailing robot r{i}@mail.example.com" for i in range(7000)]
+    out = pii.report(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()
+    assert "ident:31:" in {r["doc_id"]: r["spans"] for r in out}[12]
+
+
+def test_confident_instances_bring_in_patterns(spark):
+    docs = [f"please write to account holder u{i}@mail.example.com today" for i in range(400)]
+    docs += [f"please write to account holder ID-{i + 10**7} today" for i in range(30)]
+    docs += [f"this is member number ID-{i + 10**7} today" for i in range(30)]
+    docs += ["this is member number ID-99999999 today", "this is part code PC-99999999 today"]
+    out = pii.report(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()
+    found = {r["doc_id"]: r["n_ident"] for r in out}
+    assert found[len(docs) - 2] == 1 and found[len(docs) - 1] == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert secrets.report(none).count() == 0
