@@ -4,11 +4,12 @@ The base rule reads one text: too few words, or too many words in repeated three
 The method then looks across documents: lines are normalised and digested, distinct documents
 counted per host and line, lines above the host's limit removed (the smallest doc_id of the host
 that holds a line keeps it, so that a text never vanishes with all its copies), and documents
-that keep too small a part of their words rejected.
+that keep too small a part of their words rejected. `judge` counts what the limits take away,
+`cut_lines` returns the texts without it, and `keep_good` does both.
 
 Defined cases: a null text has no words, so the base rule fails it; a null source is a host of
 its own; a null doc_id counts as one document; rows that share a doc_id count as one document
-and are each judged; an empty table gives an empty result.
+and are each judged and cut; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -133,32 +134,35 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """A row for each document and distinct line with a word: host, line digest, words it holds."""
+    """A row for each line with a word: document, host, hash of the text, place, line digest, words it holds."""
     return (
         docs.select(
             F.col("doc_id").alias("doc"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-            F.explode(F.split(whole(), "\n")).alias("line"),
+            F.xxhash64(whole()).alias("hash"),
+            F.posexplode(F.split(whole(), "\n")).alias("pos", "line"),
         )
         .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
         .select(
             "doc",
             "host",
+            "hash",
+            "pos",
             digest(line_key(F.col("line"))).alias("key"),
             F.size(words(F.col("line"), SPACE_RUN)).alias("n"),
         )
     )
 
 
-def lost_words(
+def over_limit(
     docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE
 ) -> DataFrame:
-    """(doc, lost): words of each document in lines that are over its host's limit."""
+    """(host, key, keeper): the lines over their host's limit, and the document that keeps each."""
     lines = host_lines(docs)
     hosts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs")
     )
-    over = written(
+    return written(
         lines.select("host", "key", "doc")
         .distinct()
         .groupBy("host", "key")
@@ -169,12 +173,42 @@ def lost_words(
         .select("host", "key", "keeper"),
         "over",
     )
-    return (
-        lines.join(over, ["host", "key"])
-        .where(~F.col("doc").eqNullSafe(F.col("keeper")))
-        .groupBy("doc")
-        .agg(F.sum("n").alias("lost"))
+
+
+def lost_lines(docs: DataFrame, over: DataFrame) -> DataFrame:
+    """The rows of host_lines() that the limits take away."""
+    return host_lines(docs).join(over, ["host", "key"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+
+
+def cut_lines(docs: DataFrame, over: DataFrame) -> DataFrame:
+    """The documents without the lines over their host's limit; `n_chars`, if there, follows the text."""
+    gone = (
+        lost_lines(docs, over)
+        .groupBy(F.col("doc").alias("_doc"), F.col("host").alias("_host"), F.col("hash").alias("_hash"))
+        .agg(F.collect_set("pos").alias("_gone"))
     )
+    rest = let(
+        F.split(whole(), "\n"),
+        lambda x: F.array_join(
+            F.transform(
+                F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)
+            ),
+            "\n",
+        ),
+    )
+    cut = docs.join(
+        gone,
+        docs["doc_id"].eqNullSafe(gone["_doc"])
+        & (F.coalesce(docs["source"].cast("string"), F.lit("")) == gone["_host"])
+        & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_hash"]),
+        "left",
+    ).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn(
+            "n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
+        )
+    return cut.select(*docs.columns)
 
 
 def judge(
@@ -182,10 +216,12 @@ def judge(
     min_docs: int = LINE_MIN_DOCS,
     max_share: float = LINE_MAX_SHARE,
     min_left: float = MIN_LEFT_SHARE,
+    over: DataFrame | None = None,
 ) -> DataFrame:
     """Counts and verdict for each document; `lost_words` is what the line limits take away."""
     counts = text_counts(docs)
-    lost = lost_words(docs, min_docs, max_share)
+    over = over_limit(docs, min_docs, max_share) if over is None else over
+    lost = lost_lines(docs, over).groupBy("doc").agg(F.sum("n").alias("lost"))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
@@ -204,7 +240,10 @@ def judge(
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_good"]), "left_semi")
+def keep_good(
+    docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE
+) -> DataFrame:
+    """The documents that pass, with their own columns, without the lines over their host's limit."""
+    over = over_limit(docs, min_docs, max_share)
+    good = judge(docs, over=over).where("kept").select(F.col("doc_id").alias("_good")).distinct()
+    return cut_lines(docs.join(good, docs["doc_id"].eqNullSafe(good["_good"]), "left_semi"), over)

@@ -124,6 +124,22 @@ def test_quality_rejects_depleted_documents(spark):
     assert sorted(k for k, v in out.items() if not v) == list(range(1, 30))
 
 
+def test_quality_removes_lines_over_the_limit(spark):
+    rng = random.Random(8)
+    own = lambda: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60))
+    rows = [(i, f"Menu\n{own()}\n\n menu\n{own()}", "en", "a", 5, "", "", "x") for i in range(30)]
+    rows += [(100 + i, f"Menu\n{own()}", "en", "b", 5, "", "", "x") for i in range(9)]
+    rows += [(3, f"{own()}\nMENU\n{own()}", "en", "a", 5, "", "", "x"), rows[4], (None, f"menu\n{own()}", "en", "a", 5, "", "", "x")]
+    rows += [(200, "menu", "en", "a", 5, "", "", "x")]
+    out = quality.keep_good(frame(spark, rows), min_docs=20)
+    assert out.columns == frame(spark, rows).columns
+    want = []
+    for d, t, _, host, n, *_ in rows:
+        kept = [x for x in t.split("\n") if host == "b" or d == 0 or line_key(x) != "menu"]
+        want += [] if d == 200 else [(-1 if d is None else d, "\n".join(kept), n if host == "b" or d == 0 else len("\n".join(kept)))]
+    assert by_row(out.collect(), ["doc_id", "text", "n_chars"]) == sorted(want)
+
+
 def brute_fingerprint(text):
     words = [w.encode() for w in SPACE.findall(lower(text))]
     if not words:
