@@ -6,11 +6,11 @@ identifiers, are counted from labelled samples, and a long token that no base sp
 reported if the log-likelihood ratio favours randomness clearly, in all and for each transition.
 
 The samples are labelled by rules: values of base matches are the random strings; tokens outside of
-them in which no digit stands before a letter are the ordinary ones. They come from at most about `SAMPLE_DOCS` documents, chosen by a hash
-of the doc_id. The driver gets the transition counts: at most 2 * 67 * 67 numbers, whatever the
-corpus. With fewer than `MIN_RANDOM` random strings there is no model, and only base spans remain.
+them in which no digit stands before a letter are the ordinary ones. They come from all documents.
+The driver gets the transition counts: at most 2 * 67 * 67 numbers, whatever the corpus. With fewer
+than `MIN_RANDOM` random strings in it there is no model, and only base spans remain.
 
-All of it is column expressions; nothing is shuffled but the sample's transition counts.
+All of it is column expressions; nothing is shuffled but the transition counts, combined before.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is a row like any other;
 repeated rows are scanned each; an empty table gives an empty result; matches are found in the
@@ -40,7 +40,6 @@ CONTEXT = 40
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET)
-SAMPLE_DOCS = 20_000
 MIN_RANDOM = 20
 #: Transitions that the characters' own frequencies count for in each row.
 PRIOR = 10.0
@@ -69,12 +68,9 @@ def _ordinary(tokens: Column) -> Column:
     )
 
 
-def transition_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(random, a, b, n): transitions in the labelled sample, and rows with a = b = -1 for strings."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
-    picked = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < share * (1 << 20))
-    text = picked.select(whole().alias("text"))
+def transition_counts(docs: DataFrame) -> DataFrame:
+    """(random, a, b, n): transitions in the labelled strings, and rows with a = b = -1 for strings."""
+    text = docs.select(whole().alias("text"))
     kinds = base_spans(F.col("text"))
     split = text.select(
         *[c.alias(k) for k, c in kinds.items()], find(F.col("text"), TOKEN, CONTEXT).alias("tokens")
@@ -87,9 +83,13 @@ def transition_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFr
     plain = F.filter(
         F.transform(_ordinary(F.col("tokens")), lambda x: x["value"]), lambda v: ~v.rlike("[0-9][A-Za-z]")
     )
-    strings = split.select(F.explode(values).alias("value"), F.lit(True).alias("random")).where(
-        F.length("value") >= 16
-    ).unionByName(split.select(F.explode(plain).alias("value"), F.lit(False).alias("random")))
+
+    def labelled(found: Column, random: bool) -> Column:
+        return F.transform(found, lambda v: F.struct(v.alias("value"), F.lit(random).alias("random")))
+
+    strings = split.select(
+        F.inline(F.concat(labelled(F.filter(values, lambda v: F.length(v) >= 16), True), labelled(plain, False)))
+    )
     cells = strings.select(
         "random",
         F.explode(
@@ -105,9 +105,9 @@ def transition_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFr
     return cells.groupBy("random", "cell.a", "cell.b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
+def fit(docs: DataFrame) -> list[float] | None:
     """The log ratio of each transition, row by row; None without enough random strings."""
-    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in transition_counts(docs, sample_docs).collect()}
+    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in transition_counts(docs).collect()}
     if counts.get((True, -1, -1), 0) < MIN_RANDOM:
         return None
     logs = [_log_model(counts, kind) for kind in (True, False)]
@@ -159,8 +159,8 @@ def scan(docs: DataFrame, ratios: list[float] | None) -> DataFrame:
     )
 
 
-def report(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    found = scan(docs.select("doc_id", "text"), fit(docs, sample_docs))
+def report(docs: DataFrame) -> DataFrame:
+    found = scan(docs.select("doc_id", "text"), fit(docs))
     base = F.concat(*[tagged(F.col(k), k, i, False) for i, k in enumerate(("assign", "access", "hex"))])
     return found.select(
         "doc_id",

@@ -95,6 +95,18 @@ def test_secret_model_tells_random_strings(spark):
     assert sum(out[n + 20 + i] for i in range(20)) == 0
 
 
+def test_secret_model_counts_all_documents(spark):
+    rng = random.Random(9)
+    held = {i * 2000: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for i in range(25)}
+    docs = spark.createDataFrame(
+        [(None if i == 4000 else i, f"password={held[i]}" if i in held else "read_input_table_number") for i in range(50_000)],
+        "doc_id bigint, text string",
+    )
+    strings = {r["random"]: r["n"] for r in secrets.transition_counts(docs).where("a = -1").collect()}
+    assert strings == {True: 25, False: 50_000 - 25}
+    assert secrets.fit(docs) is not None
+
+
 def test_pii_matches_plain_python(spark):
     pieces = ["a.b", "@", "mail", ".com", ".", "-", "_x", "1", "23", "255", "256", "10.0.0.1", "4041894974608795",
               "4111 1111 1111 1111", "+1 (988) 555-2485", "+", " ", "(", ")", "é", "😀", "0" * 30, "\n", "user@host.org"]
