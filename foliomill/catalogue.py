@@ -559,7 +559,7 @@ def durations(s, d):
 
 @query
 def word_wrap(s, d):
-    return _docs(s, d).select("doc_id", F.md5(F.array_join(T.wrap(F.substring_index("text", "\n", 1)), "\n")).alias("digest"))
+    return _docs(s, d).select("doc_id", F.md5(F.array_join(T.wrap(F.col("text")), "\n")).alias("digest"))
 
 
 @query

@@ -298,17 +298,9 @@ def ordered_distinct(values: Column, limit: int) -> Column:
 
 def wrap(text: Column, width: int = 76) -> Column:
     """Lines of whole words within a width; a longer word is a line of its own."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(a: Column, w: Column) -> Column:
-        fits = F.length(a["now"]) + 1 + F.length(w) <= width
-        grown = F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit(" "), w).alias("now"))
-        fresh = F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), w.alias("now"))
-        return F.when(a["now"] == "", F.struct(a["done"].alias("done"), w.alias("now"))).when(fits, grown).otherwise(fresh)
-
-    return F.aggregate(
-        tokens(text), zero, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
-    )
+    # The longest run within the width that ends where a word does, or else a whole word: one pass.
+    line = rf"[^ ](?:.{{0,{max(width - 2, 0)}}}[^ ])?(?= |\z)|[^ ]+"
+    return F.regexp_extract_all(F.array_join(tokens(text), " "), F.lit(f"(?s){line}"), F.lit(0))
 
 
 def usage_sentence(item: Column, total: Column) -> Column:

@@ -170,3 +170,30 @@ def test_renderings(value):
     kinds = [b["kind"] for b in value(R.structured_blocks, "[image: a | b.png]\n\nxiv\n\na | 1\nb | 2\n\nTHE HEAD\n\nplain text")]
     assert kinds == ["figure-marker", "page-marker", "table", "heading", "paragraph"]
     assert value(R.markdown, "a\f \fb").count("[blank page]") == 1
+
+
+def test_word_wrap_takes_whole_texts(spark, tmp_path):
+    import hashlib
+    import random
+
+    from foliomill import catalogue
+
+    def brute(text, width):
+        done = []
+        for w in text.split():
+            if done and len(done[-1]) + 1 + len(w) <= width:
+                done[-1] += " " + w
+            else:
+                done.append(w)
+        return done
+
+    rng = random.Random(1)
+    parts = ["a", "of", "word", "é😀", "x" * 75, "y" * 76, "z" * 77, "w" * 200, "$|.", "longer-word"]
+    texts = ["", " \n ", "one\ntwo", *("".join(rng.choice(parts) + rng.choice([" ", "\n", "\t ", "  "]) for _ in range(rng.randint(1, 90))) for _ in range(40))]
+    texts.append("\n".join("word " * rng.randint(1, 30) for _ in range(20_000)))
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["digest"] for r in catalogue.queries()["word_wrap"](spark, str(tmp_path)).collect()}
+    assert out == {i: hashlib.md5("\n".join(brute(t, 76)).encode()).hexdigest() for i, t in enumerate(texts)}
+    short = spark.createDataFrame([(t,) for t in texts[:43]], "text string")
+    for width in (1, 2, 3, 10):
+        assert [r["x"] for r in short.select("text", T.wrap(F.col("text"), width).alias("x")).collect()] == [brute(t, width) for t in texts[:43]]
