@@ -1,17 +1,23 @@
 """Line dedup: lines that many documents share stay in one of them.
 
-Lines are exploded and normalised, their digests counted over distinct documents, and lines of
-frequent digests dropped everywhere but in the largest doc_id that holds them. What is left is
-put together again by line position.
+Lines are exploded and normalised once; their digests, with the row and place they come from, are
+written. Distinct documents are counted for each digest, and lines of frequent digests dropped
+everywhere but in the largest doc_id that holds them. What is left is put together again by line
+position.
 
 Only digests and positions are shuffled by line; a very common line meets a partial aggregate
 before the shuffle. The frequent lines are written, so that the planner knows their size: it sends
 them to all executors only below its broadcast limit, and else joins by a shuffle that adaptive
 execution can split.
 
-Defined cases: a null or empty text is one empty line; a null doc_id is one document, never the
-largest unless alone; rows that share a doc_id count as one document, and each row is cut on its
-own; an empty table gives an empty result; other columns are carried along by `dedup_lines`.
+Rows are known by a digest of doc_id and text, so that rows that share a doc_id, or have none, are
+each cut by their own lines.
+
+Defined cases: a null or empty text is one empty line; rows that share a doc_id count as one
+document, and so do all rows without one, which is never the largest unless alone; each row is cut
+on its own; repeated rows are cut alike; an empty table gives an empty result; `dedup_lines`
+carries other columns along, whatever their names, but for `n_lines` and `n_dropped`, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import digest, let, line_key, whole, written
+from .text import digest, forget, fresh, let, line_key, row_key, whole, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -29,16 +35,25 @@ def _lines() -> F.Column:
     return F.split(whole(), "\n")
 
 
-def frequent_positions(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
-) -> DataFrame:
-    """(doc, positions): where each document holds lines that it loses; positions count from 0."""
-    keyed = (
-        docs.select(F.col("doc_id").alias("doc"), F.posexplode(_lines()).alias("pos", "line"))
-        .select("doc", "pos", line_key(F.col("line")).alias("key"))
+def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(row, doc, pos, key): the lines of at least so many characters; positions count from 0."""
+    return (
+        docs.select(
+            row_key("text", "doc_id").alias("row"),
+            F.col("doc_id").alias("doc"),
+            F.posexplode(_lines()).alias("pos", "line"),
+        )
+        .select("row", "doc", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("doc", "pos", digest(F.col("key")).alias("key"))
+        .select("row", "doc", "pos", digest(F.col("key")).alias("key"))
     )
+
+
+def lost_positions(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
+) -> DataFrame:
+    """(row, positions): where each row holds lines that it loses, as a written table."""
+    keyed = written(keyed_lines(docs, min_chars), "lines")
     frequent = written(
         keyed.select("key", "doc")
         .distinct()
@@ -46,49 +61,50 @@ def frequent_positions(
         .agg(F.count(F.lit(1)).alias("holders"), F.max("doc").alias("keeper"))
         .where(F.col("holders") >= min_docs)
         .select("key", "keeper"),
-        "lines",
+        "frequent",
     )
-    return (
+    lost = written(
         keyed.join(frequent, "key")
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
-        .groupBy("doc")
-        .agg(F.collect_list("pos").alias("positions"))
+        .groupBy("row")
+        .agg(F.collect_set("pos").alias("positions")),
+        "lost",
     )
+    forget(keyed, frequent)
+    return lost
 
 
 def dedup_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 ) -> DataFrame:
     """The documents with `text` cut, and `n_lines` (before) and `n_dropped` added."""
-    lost = frequent_positions(docs, min_chars, min_docs)
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(lost, docs["doc_id"].eqNullSafe(lost["doc"]), "left").drop("doc")
-    joined = joined.withColumn("n_lines", F.size(_lines()).cast("long"))
-    gone = F.col("positions")
-    return (
-        joined.withColumn("n_dropped", F.coalesce(F.size(F.array_distinct(gone)), F.lit(0)).cast("long"))
-        .withColumn(
-            "text",
-            F.when(gone.isNull(), F.col("text")).otherwise(
-                let(
-                    _lines(),
-                    lambda x: F.array_join(
-                        F.transform(
-                            F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone),
-                            lambda i: F.get(x, i),
-                        ),
-                        "\n",
-                    ),
-                )
+    made = ("n_lines", "n_dropped")
+    rest = [c for c in docs.columns if c.lower() not in made]
+    docs = docs.select(*[docs[c] for c in rest])
+    row, lost_row, gone = fresh(docs, "row", "lost_row", "gone")
+    lost = lost_positions(docs, min_chars, min_docs).toDF(lost_row, gone)
+    joined = docs.withColumn(row, row_key("text", "doc_id")).join(lost, F.col(row) == F.col(lost_row), "left")
+    kept = let(
+        _lines(),
+        lambda x: F.array_join(
+            F.transform(
+                F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)),
+                lambda i: F.get(x, i),
             ),
-        )
-        .drop("positions")
+            "\n",
+        ),
+    )
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    return joined.select(
+        *[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in rest],
+        F.size(_lines()).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Counts and the digest of what each document keeps."""
-    return dedup_lines(docs, min_chars, min_docs).select(
+    return dedup_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(
         "doc_id",
         "n_lines",
         "n_dropped",

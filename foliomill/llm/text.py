@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +49,34 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_key(text: str = "text", *others: str) -> Column:
+    """128 bits that stand for a row: for its text and the other columns, null apart from empty there.
+
+    Rows that share a doc_id, or have none, are told apart by it; rows equal in all these columns
+    share it, and everything that is found out about them is equal too.
+    """
+    known = [F.col(c).cast("string") for c in others]
+    marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in known]
+    return digest(F.concat(*marked, whole(text)))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as no column of the frame has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share, as the session names it.
+
+    Local mode has one machine, whose own temporary folder serves where none is named; a cluster
+    without a shared folder is an error, as executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -60,7 +85,11 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="foliomill-")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = spark.sparkContext._jvm.java.nio.file.Files.createTempDirectory(
+        "foliomill-", spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
+    ).toString()
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -74,11 +103,21 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), as a Parquet table: smaller, and with statistics that the planner trusts.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or earlier by forget().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliomill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables made by written() that nothing will read again, lost executors included."""
+    for frame in frames:
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
