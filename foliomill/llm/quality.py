@@ -4,12 +4,16 @@ The base rule reads one text: too few words, or too many words in repeated three
 The method then looks across documents: lines are normalised and digested, distinct documents
 counted per host and line, lines above the host's limit removed (the smallest doc_id of the host
 that holds a line keeps it, so that a text never vanishes with all its copies), and documents
-that keep too small a part of their words rejected. `judge` counts what the limits take away,
-`cut_lines` returns the texts without it, and `keep_good` does both.
+that keep too small a part of their words rejected. `judge` counts what the limits take away and
+`keep_good` also removes it from the texts.
+
+Rows are known by a digest of doc_id, source and text: rows that share a doc_id, or have none, are
+each judged and cut by their own lines.
 
 Defined cases: a null text has no words, so the base rule fails it; a null source is a host of
-its own; a null doc_id counts as one document; rows that share a doc_id count as one document
-and are each judged and cut; an empty table gives an empty result.
+its own; rows that share a doc_id count as one document of their host, and so do all rows of a
+host without one; repeated rows are judged alike; an empty table gives an empty result; `keep_good`
+carries other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_RUN, digest, let, line_key, whole, words, written
+from .text import SPACE_RUN, digest, forget, let, line_key, row_key, whole, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -26,8 +30,6 @@ LINE_MIN_DOCS = 50
 LINE_MAX_SHARE = 0.01
 #: A document with a smaller part of its words left is depleted.
 MIN_LEFT_SHARE = 0.3
-#: Up to so many windows, position and hash share one 64-bit sort key.
-PACKED_WINDOWS = 1 << 16
 
 
 def window_hashes(found: Column) -> Column:
@@ -71,98 +73,90 @@ def _covered(starts: Column) -> Column:
 def repeated_words(windows: str) -> Column:
     """Words in windows found twice or more, from a column of window hashes.
 
-    Repeats are found by sorting, in n log n steps for a text of n words. The sort key packs the
-    window's number below as many hash bits as 64 leave; longer texts sort pairs instead.
+    Repeats are found by sorting (hash, place) pairs, in n log n steps for a text of n words. All 64
+    bits of a hash are compared, in texts of every length; texts without equal hashes skip the sort.
     """
     t = F.col(windows)
-    n = F.size(t)
-
-    def twins(ordered: Column, same, start) -> Column:
-        return let(
-            ordered,
-            lambda s: F.sort_array(
-                F.transform(
-                    F.filter(
-                        s,
-                        lambda x, i: ((i > 0) & same(F.get(s, i - 1), x))
-                        | ((i < F.size(s) - 1) & same(F.get(s, i + 1), x)),
-                    ),
-                    start,
-                )
-            ),
-        )
-
-    packed = F.sort_array(
-        F.transform(t, lambda x, i: F.shiftleft(x, 16).bitwiseOR(i.cast("bigint")))
-    )
-    pairs = F.array_sort(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i"))))
-    return F.when(F.size(F.array_distinct(t)) == n, F.lit(0).cast("bigint")).otherwise(
-        _covered(
-            F.when(
-                n <= PACKED_WINDOWS,
-                twins(
-                    packed,
-                    lambda a, b: F.shiftright(a.bitwiseXOR(b), 16) == 0,
-                    lambda x: x.bitwiseAND(F.lit(PACKED_WINDOWS - 1).cast("bigint")),
+    pairs = F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i"))))
+    twins = let(
+        pairs,
+        lambda s: F.sort_array(
+            F.transform(
+                F.filter(
+                    s,
+                    lambda p, i: ((i > 0) & (F.get(s, i - 1)["x"] == p["x"]))
+                    | ((i < F.size(s) - 1) & (F.get(s, i + 1)["x"] == p["x"])),
                 ),
-            ).otherwise(twins(pairs, lambda a, b: a["x"] == b["x"], lambda x: x["i"]))
-        )
+                lambda p: p["i"],
+            )
+        ),
     )
+    none = F.lit(0).cast("bigint")
+    return F.when(F.size(F.array_distinct(t)) == F.size(t), none).otherwise(_covered(twins))
+
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """The documents' ids with the base rule's counts."""
+
+def text_counts(docs: DataFrame, *kept: Column) -> DataFrame:
+    """The kept columns with the base rule's counts."""
     lines = F.filter(F.split(whole(), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    said = docs.select(
+        F.struct(*kept).alias("kept"),
+        words(whole()).alias("words"),
+        (F.length(whole()) - F.length(F.regexp_replace(whole(), r"[#*$%&|<>]", ""))).alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+    )
     return (
-        docs.select(
-            "doc_id",
-            words(whole()).alias("_words"),
-            (F.length(whole()) - F.length(F.regexp_replace(whole(), r"[#*$%&|<>]", ""))).alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-        )
-        .select(
-            "doc_id",
-            F.size("_words").cast("long").alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        said.select(
+            "kept",
+            F.size("words").cast("long").alias("n_words"),
+            F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             F.col("n_symbols").cast("long"),
             F.col("n_dup_lines").cast("long"),
-            window_hashes(F.col("_words")).alias("_windows"),
+            window_hashes(F.col("words")).alias("windows"),
         )
-        .withColumn("n_repeat_words", repeated_words("_windows"))
-        .drop("_windows")
+        .withColumn("n_repeat_words", repeated_words("windows"))
+        .drop("windows")
     )
 
 
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _row() -> Column:
+    return row_key("text", "doc_id", "source")
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: document, host, hash of the text, place, line digest, words it holds."""
+    """A row for each line with a word: its row, document, host, place, digest, and words."""
     return (
         docs.select(
+            _row().alias("row"),
             F.col("doc_id").alias("doc"),
-            F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-            F.xxhash64(whole()).alias("hash"),
+            _host().alias("host"),
             F.posexplode(F.split(whole(), "\n")).alias("pos", "line"),
         )
         .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
         .select(
-            "doc",
-            "host",
-            "hash",
-            "pos",
+            "row", "doc", "host", "pos",
             digest(line_key(F.col("line"))).alias("key"),
             F.size(words(F.col("line"), SPACE_RUN)).alias("n"),
         )
-    )
+    )
 
 
-def over_limit(
+def lost_lines(
     docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE
 ) -> DataFrame:
-    """(host, key, keeper): the lines over their host's limit, and the document that keeps each."""
-    lines = host_lines(docs)
-    hosts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")).agg(
-        F.count(F.lit(1)).alias("host_docs")
-    )
-    return written(
+    """(row, gone): the (place, words) of the lines that each row loses to its host's limits.
+
+    The lines are exploded and digested once and written; the result is a written table.
+    """
+    lines = written(host_lines(docs), "hostlines")
+    hosts = docs.groupBy(_host().alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    over = written(
         lines.select("host", "key", "doc")
         .distinct()
         .groupBy("host", "key")
@@ -173,42 +167,32 @@ def over_limit(
         .select("host", "key", "keeper"),
         "over",
     )
+    lost = written(
+        lines.join(over, ["host", "key"])
+        .where(~F.col("doc").eqNullSafe(F.col("keeper")))
+        .groupBy("row")
+        .agg(F.collect_set(F.struct("pos", "n")).alias("gone")),
+        "lost",
+    )
+    forget(lines, over)
+    return lost
 
 
-def lost_lines(docs: DataFrame, over: DataFrame) -> DataFrame:
-    """The rows of host_lines() that the limits take away."""
-    return host_lines(docs).join(over, ["host", "key"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+def _verdict(min_left: float) -> tuple[Column, Column]:
+    failed = (F.col("n_words") < MIN_WORDS) | (
+        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    )
+    return failed, ~failed & (F.col("n_words") - F.col("lost_words") >= min_left * F.col("n_words"))
 
 
-def cut_lines(docs: DataFrame, over: DataFrame) -> DataFrame:
-    """The documents without the lines over their host's limit; `n_chars`, if there, follows the text."""
-    gone = (
-        lost_lines(docs, over)
-        .groupBy(F.col("doc").alias("_doc"), F.col("host").alias("_host"), F.col("hash").alias("_hash"))
-        .agg(F.collect_set("pos").alias("_gone"))
+def _judged(docs: DataFrame, min_docs: int, max_share: float, *kept: Column) -> DataFrame:
+    """The kept columns as a struct, the counts, `gone` and `lost_words`; one pass, one join."""
+    lost = lost_lines(docs, min_docs, max_share).withColumnRenamed("row", "lost_row")
+    counts = text_counts(docs, _row().alias("row"), *kept)
+    return counts.join(lost, F.col("kept.row") == F.col("lost_row"), "left").withColumn(
+        "lost_words",
+        F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long"),
     )
-    rest = let(
-        F.split(whole(), "\n"),
-        lambda x: F.array_join(
-            F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)
-            ),
-            "\n",
-        ),
-    )
-    cut = docs.join(
-        gone,
-        docs["doc_id"].eqNullSafe(gone["_doc"])
-        & (F.coalesce(docs["source"].cast("string"), F.lit("")) == gone["_host"])
-        & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_hash"]),
-        "left",
-    ).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn(
-            "n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
-        )
-    return cut.select(*docs.columns)
 
 
 def judge(
@@ -216,34 +200,44 @@ def judge(
     min_docs: int = LINE_MIN_DOCS,
     max_share: float = LINE_MAX_SHARE,
     min_left: float = MIN_LEFT_SHARE,
-    over: DataFrame | None = None,
 ) -> DataFrame:
     """Counts and verdict for each document; `lost_words` is what the line limits take away."""
-    counts = text_counts(docs)
-    over = over_limit(docs, min_docs, max_share) if over is None else over
-    lost = lost_lines(docs, over).groupBy("doc").agg(F.sum("n").alias("lost"))
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    failed, kept = _verdict(min_left)
+    return _judged(docs, min_docs, max_share, F.col("doc_id")).select(
+        "kept.doc_id", *COUNTS, "lost_words", failed.alias("base_failed"), kept.alias("kept")
     )
-    return (
-        counts.join(lost, counts["doc_id"].eqNullSafe(lost["doc"]), "left")
-        .withColumn("lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
-        .withColumn("base_failed", failed)
-        .withColumn(
-            "kept",
-            ~failed & (F.col("n_words") - F.col("lost_words") >= min_left * F.col("n_words")),
-        )
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "lost_words", "base_failed", "kept",
-        )
-    )
 
 
 def keep_good(
-    docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE
+    docs: DataFrame,
+    min_docs: int = LINE_MIN_DOCS,
+    max_share: float = LINE_MAX_SHARE,
+    min_left: float = MIN_LEFT_SHARE,
 ) -> DataFrame:
-    """The documents that pass, with their own columns, without the lines over their host's limit."""
-    over = over_limit(docs, min_docs, max_share)
-    good = judge(docs, over=over).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return cut_lines(docs.join(good, docs["doc_id"].eqNullSafe(good["_good"]), "left_semi"), over)
+    """The documents that pass, with their own columns, without the lines over their host's limit.
+
+    `n_chars`, if there, follows the text where it is cut.
+    """
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("every")
+    good = _judged(docs, min_docs, max_share, every).where(_verdict(min_left)[1])
+    text = F.col("kept.every.text")
+    rest = let(
+        F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"),
+        lambda x: F.array_join(
+            F.transform(
+                F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform("gone", lambda g: g["pos"])),
+                lambda i: F.get(x, i),
+            ),
+            "\n",
+        ),
+    )
+    good = good.select("kept.every", F.col("gone").isNull().alias("as_was"), F.when(F.col("gone").isNull(), text).otherwise(rest).alias("cut"))
+    out = []
+    for c in docs.columns:
+        value = F.col(f"every.`{c}`")
+        if c.lower() == "text":
+            value = F.col("cut")
+        elif c.lower() == "n_chars":
+            value = F.when(F.col("as_was"), value).otherwise(F.length("cut").cast(docs.schema[c].dataType))
+        out.append(value.alias(c))
+    return good.select(*out)
