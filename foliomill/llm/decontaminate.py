@@ -1,18 +1,26 @@
 """Benchmark decontamination: which document words lie inside item-sized windows of a benchmark.
 
 A window is ten consecutive words of an item, or all words of a shorter item. The join is a
-prefix-filtered set join for full containment: with every word of a window required, a prefix of
-one word is enough, and the rarest one is taken, by its count over all documents. Document words
-that are some window's prefix are candidates; a candidate must leave room for the window before
-and after it (positional and length bounds) and is then compared word for word.
-
-Candidates are found and verified in one pass over the exploded words, with nothing shuffled but
-verified hits. That needs the windows on every executor, so it is done only while they are within
-`BROADCAST_BYTES`; larger benchmarks go through shuffled joins on the prefix word and on doc_id.
+prefix-filtered set join for full containment. A window's tokens are its shingles of `SHINGLE`
+words (a window of fewer words is one shingle), each known by a 64-bit hash and ordered by rarity,
+that is by how often the shingle occurs over all documents. As every token of a window is required,
+a prefix of one token is complete: a document that holds the window holds its rarest shingle, at
+the same distance from the window's start. Document shingles that are some window's prefix are
+candidates; a candidate must leave room for the window before and after it (positional and length
+bounds) and is then compared word for word over the whole window.
+
+Candidates are found and verified in one pass over the exploded shingles, with nothing shuffled but
+verified hits, which are written once and read by both aggregates. That needs the windows on every
+executor, so it is done only while they are within `BROADCAST_BYTES`; larger benchmarks go through
+shuffled joins on the prefix and on the row.
+
+Rows are known by a digest of doc_id and text, so that rows that share a doc_id, or have none, each
+have their own hits.
 
 Defined cases: a null text or item has no words; an item without words has no window; repeated
-item_ids count once; a null item_id hits words but is not listed; rows that share a doc_id share
-their hits; empty tables give no hits or an empty result.
+item_ids count once; a null item_id hits words but is not listed; repeated rows have equal results;
+empty tables give no hits or an empty result; other columns of either table are not read by
+`report`, and carried along, whatever their names, by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -20,10 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, let, whole, words, written
+from .text import ascii_lower, fresh, let, row_key, whole, words, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+SHINGLE = 3
 #: Windows of at most so many bytes in all are sent to every executor.
 BROADCAST_BYTES = 16 << 20
 
@@ -48,61 +57,85 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def word_rarity(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """(word, seen): how often each window word occurs over all documents."""
-    wanted = windows.select(F.explode("win").alias("word")).distinct()
-    said = docs.select(F.explode(item_words(whole())).alias("word"))
-    seen = said.join(F.broadcast(wanted) if small else wanted, "word", "left_semi").groupBy("word").agg(
+def shingles(found: Column, widths: list[int]) -> Column:
+    """array of (pos, token): every run of each width in words, by the hash of its words' hashes."""
+
+    def of(h: Column, width: int) -> Column:
+        # A width's runs are those one shorter, each with the hash of the word after it.
+        runs = h
+        for k in range(1, width):
+            room = F.greatest(F.size(h) - k, F.lit(0))
+            runs = F.zip_with(F.slice(runs, F.lit(1), room), F.slice(h, F.lit(k + 1), room), lambda a, b: F.xxhash64(a, b))
+        return F.transform(runs, lambda t, i: F.struct(i.alias("pos"), F.xxhash64(t, F.lit(width)).alias("token")))
+
+    return let(F.transform(found, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, w) for w in widths]))
+
+
+def window_tokens(windows: DataFrame) -> DataFrame:
+    """(win, before, token): the shingles of each distinct window and their places in it."""
+    sized = windows.select("win", F.least(F.size("win"), F.lit(SHINGLE)).alias("width"))
+    chosen = F.element_at(
+        F.array(*[shingles(F.col("win"), [w]) for w in range(1, SHINGLE + 1)]), F.col("width")
+    )
+    return sized.select("win", F.explode(chosen).alias("at")).select("win", F.col("at.pos").alias("before"), "at.token")
+
+
+def shingle_rarity(docs: DataFrame, tokens: DataFrame, widths: list[int], small: bool) -> DataFrame:
+    """(token, seen): how often each window shingle occurs over all documents."""
+    wanted = tokens.select("token").distinct()
+    said = docs.select(F.explode(shingles(item_words(whole()), widths)).alias("at")).select("at.token")
+    seen = said.join(F.broadcast(wanted) if small else wanted, "token", "left_semi").groupBy("token").agg(
         F.count(F.lit(1)).alias("seen")
     )
-    return wanted.join(seen, "word", "left").select("word", F.coalesce("seen", F.lit(0)).alias("seen"))
+    return wanted.join(seen, "token", "left").select("token", F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
-def rarest_first(windows: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(win, prefix, before, size): each distinct window with its rarest word and its place."""
+def rarest_first(tokens: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(win, prefix, before, size): each distinct window with its rarest shingle and its place."""
     ranked = (
-        windows.select("win", F.posexplode("win").alias("before", "word"))
-        .join(rarity, "word")
+        tokens.join(rarity, "token")
         .groupBy("win")
-        .agg(F.min(F.struct("seen", "word", "before")).alias("first"))
+        .agg(F.min(F.struct("seen", "token", "before")).alias("first"))
     )
     return ranked.select(
         "win",
-        F.col("first.word").alias("prefix"),
+        F.col("first.token").alias("prefix"),
         F.col("first.before").alias("before"),
         F.size("win").alias("size"),
     )
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Hits (doc, start, size, wid) with starts from 1, and (wid, item_id)."""
+    """Hits (row, start, size, wid) with starts from 1, written, and (wid, item_id)."""
     windows = written(item_windows(benchmark, window), "windows")
-    held = windows.agg(F.sum(F.length(F.array_join("win", " ")) * 4 + 64)).first()[0] or 0
-    small = held <= BROADCAST_BYTES
+    held, least = windows.agg(
+        F.sum(F.length(F.array_join("win", " ")) * 4 + 64), F.min(F.size("win"))
+    ).first()
+    small = (held or 0) <= BROADCAST_BYTES
+    widths = list(range(min(least or SHINGLE, SHINGLE), SHINGLE + 1))
     wid = F.md5(F.array_join("win", " "))
-    distinct = windows.select("win").distinct()
-    rarity = word_rarity(docs, distinct, small)
+    tokens = window_tokens(windows.select("win").distinct())
+    rarity = shingle_rarity(docs, tokens, widths, small)
     keyed = written(
-        rarest_first(distinct, F.broadcast(rarity) if small else rarity).withColumn("wid", wid), "prefixes"
+        rarest_first(tokens, F.broadcast(rarity) if small else rarity).withColumn("wid", wid), "prefixes"
     )
-    said = docs.select(F.col("doc_id").alias("doc"), item_words(whole()).alias("found"))
+    said = docs.select(row_key("text", "doc_id").alias("row"), item_words(whole()).alias("found"))
+    start = F.col("at.pos") - F.col("before") + 1
     if small:
-        placed = said.select("doc", "found", F.posexplode("found").alias("pos", "word"))
-        start = F.col("pos") - F.col("before") + 1
+        placed = said.select("row", "found", F.explode(shingles(F.col("found"), widths)).alias("at"))
         hits = placed.join(
             F.broadcast(keyed),
-            (F.col("word") == F.col("prefix"))
+            (F.col("at.token") == F.col("prefix"))
             & (start >= 1)
             & (start + F.col("size") - 1 <= F.size("found"))
             & (F.slice("found", F.greatest(start, F.lit(1)), F.col("size")) == F.col("win")),
-        ).select("doc", start.alias("start"), "size", "wid")
+        ).select("row", start.alias("start"), "size", "wid")
     else:
-        placed = said.select("doc", F.size("found").alias("n"), F.posexplode("found").alias("pos", "word"))
-        start = F.col("pos") - F.col("before") + 1
+        placed = said.select("row", F.size("found").alias("n"), F.explode(shingles(F.col("found"), widths)).alias("at"))
         maybe = (
-            placed.join(keyed, F.col("word") == F.col("prefix"))
+            placed.join(keyed, F.col("at.token") == F.col("prefix"))
             .where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
-            .groupBy("doc")
+            .groupBy(F.col("row").alias("maybe_row"))
             .agg(F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("maybe"))
         )
         checked = let(
@@ -113,32 +146,32 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             ),
         )
         hits = (
-            said.withColumnRenamed("doc", "own")
-            .join(maybe, F.col("own").eqNullSafe(F.col("doc")))
-            .select("doc", F.explode(checked).alias("hit"))
-            .select("doc", "hit.start", "hit.size", "hit.wid")
+            said.join(maybe, F.col("row") == F.col("maybe_row"))
+            .select("row", F.explode(checked).alias("hit"))
+            .select("row", "hit.start", "hit.size", "hit.wid")
         )
-    return hits.distinct(), windows.select(wid.alias("wid"), "item_id").distinct()
+    return written(hits.distinct(), "hits"), windows.select(wid.alias("wid"), "item_id").distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Words, hit words and items for each document."""
     hits, items = window_hits(docs, benchmark, window)
     ends = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
-    covered = hits.groupBy("doc").agg(ends.alias("ends")).select("doc", union_size("ends").alias("n_hit"))
+    covered = hits.groupBy("row").agg(ends.alias("ends")).select("row", union_size("ends").alias("n_hit"))
     named = (
-        hits.select("doc", "wid").distinct()
+        hits.select("row", "wid").distinct()
         .join(items, "wid")
-        .select("doc", F.col("item_id").cast("string").alias("item"))
+        .select("row", F.col("item_id").cast("string").alias("item"))
         .distinct()
-        .groupBy("doc")
+        .groupBy("row")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
-        .select(F.col("doc").alias("named"), "items")
     )
-    found = covered.join(named, F.col("doc").eqNullSafe(F.col("named")), "left").drop("named")
-    counts = docs.select("doc_id", F.size(item_words(whole())).cast("long").alias("n_words"))
+    found = written(covered.join(named, "row", "left"), "found").withColumnRenamed("row", "hit_row")
+    counts = docs.select(
+        "doc_id", row_key("text", "doc_id").alias("row"), F.size(item_words(whole())).cast("long").alias("n_words")
+    )
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return counts.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select(
+    return counts.join(found, F.col("row") == F.col("hit_row"), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -163,7 +196,9 @@ def union_size(ends: str) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window occurs, with their own columns."""
+    """The rows in which no window occurs, with their own columns."""
+    row, hit_row = fresh(docs, "row", "hit_row")
     hits, _ = window_hits(docs, benchmark, window)
-    hit = hits.select("doc").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc"]), "left_anti")
+    hit = written(hits.select(F.col("row").alias(hit_row)).distinct(), "hitrows")
+    kept = docs.withColumn(row, row_key("text", "doc_id")).join(hit, F.col(row) == F.col(hit_row), "left_anti")
+    return kept.drop(row)
