@@ -1,24 +1,30 @@
 """SimHash near-dedup: 64-bit fingerprints, links by tiled exact comparison, components.
 
-Fingerprints: A-Z lower-cased, words split at ASCII white space, three-word shingles (the whole
-sequence where there are fewer words), each hashed by XXH64 with seed 42; a bit is set if it is
-set in over half of the hashes, repeats included. No words: zero.
+Fingerprints: A-Z lower-cased, words split at ASCII white space, shingles of `SHINGLE` words (the
+whole sequence where there are fewer words), each hashed by XXH64 with seed 42; a bit is set if it
+is set in over half of the hashes, repeats included. No words: zero.
 
 Links: all pairs of distinct fingerprints at `radius` or fewer differing bits, exactly. The 64
 bits are cut in `BLOCKS` blocks; two fingerprints within the radius agree on at least
 `BLOCKS - radius` of them, so every choice of that many blocks is a bucket table and linked
-fingerprints meet in some bucket. Inside a bucket, fingerprints are ordered by population count
-and cut in tiles; tile pairs whose population counts differ beyond the radius are skipped, the
-others compared by exclusive-or and bit counts in numpy. A bucket over `TILE_ROWS` rows is split
-into parts, and each pair of parts is a task of its own.
+fingerprints meet in some bucket. A first cut like this is needed, as the tile pairs of a whole
+corpus grow with its square.
 
-A bucket gives each fingerprint's tie to the smallest one it is joined with there, not all pairs,
+Inside a bucket, of whatever size, fingerprints are ordered by population count and cut in tiles of
+one count and at most `TILE` rows. Tile pairs whose population counts differ beyond the radius are
+skipped; all others are compared by numpy exclusive-or and bit counts. A bucket over `TILE_ROWS`
+rows is dealt by population count as well, so that pairs of counts that would be skipped never
+meet in a task; counts over `TILE_ROWS` rows are split into parts, and each pair of parts is a task
+of its own.
+
+A task gives each fingerprint's tie to the smallest one it is joined with there, not all pairs,
 so a group of n copies never gives more than n rows; exact copies share one fingerprint and enter
 once. The ties are closed by distributed connected components.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; equal
 fingerprints always link; a null doc_id has no id to link by, so it takes the component of an equal
-fingerprint, or null where there is none; an empty table gives an empty result.
+fingerprint, or null where there is none; rows that share a doc_id each have their own fingerprint;
+an empty table gives an empty result; `keep_first` carries other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,24 +33,24 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import written
+from .text import forget, fresh, row_key, written
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 BLOCKS = 5
-#: Rows of a bucket that one task compares; a larger bucket is split.
+#: Rows of a bucket, or of one population count in it, that one task compares; larger ones are split.
 TILE_ROWS = 8192
 #: Rows of a tile inside a task.
 TILE = 1024
-#: Buckets of at most so many rows are compared together, a distance in the order at a time.
-SMALL = 8
+#: Pairs of rows that are compared at a time.
+CHUNK = 1 << 21
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -67,16 +73,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(row, doc_id, fp): each row's key, and the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps})
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(fps)], ["row", "doc_id", "fp"])
 
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kept = docs.select(row_key("text", "doc_id").alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    return kept.mapInArrow(run, f"row binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def _blocks() -> list[int]:
@@ -84,113 +90,174 @@ def _blocks() -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
+class Tiles:
+    """Rows ordered by bucket and population count, cut in tiles of one bucket and count."""
+
+    def __init__(self, keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE):
+        counts = np.bitwise_count(fps).astype(np.int64)
+        self.order = np.lexsort((counts, keys))
+        self.fps, self.radius = fps[self.order], radius
+        keys, counts = keys[self.order], counts[self.order]
+        runs = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (counts[1:] != counts[:-1]))))
+        sizes = np.diff(np.append(runs, len(keys)))
+        pieces = -(-sizes // tile)
+        within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.starts = np.repeat(runs, pieces) + within * tile
+        self.ends = np.minimum(self.starts + tile, np.repeat(runs + sizes, pieces))
+        self.keys, self.counts = keys[self.starts], counts[self.starts]
+        self.compared = self.skipped = 0
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tile pairs to compare, by their distance in the order; the others are counted as skipped."""
+        n = len(self.starts)
+        # The tiles of a bucket stand together, in ascending counts: beyond these ends all are skipped.
+        last = np.searchsorted(self.keys, self.keys, side="right")
+        group = np.cumsum(np.concatenate(([0], (self.keys[1:] != self.keys[:-1]).astype(np.int64))))
+        reach = np.searchsorted(group * 256 + self.counts, group * 256 + self.counts + self.radius, side="right")
+        self.skipped += int((last - np.minimum(reach, last)).sum())
+        for lag in range(int((reach - np.arange(n)).max(initial=0))):
+            left = np.flatnonzero(np.arange(n) + lag < reach)
+            self.compared += len(left)
+            yield left, left + lag
+
+    def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places, in the order, of rows that lie within the radius of each other."""
+        sizes = self.ends - self.starts
+        for left, right in self.pairs():
+            cells = sizes[left] * sizes[right]
+            large = cells > CHUNK >> 6
+            for i, j in zip(left[large], right[large]):
+                met = np.bitwise_count(
+                    self.fps[self.starts[i] : self.ends[i], None] ^ self.fps[None, self.starts[j] : self.ends[j]]
+                )
+                a, b = np.nonzero(met <= self.radius)
+                yield a + self.starts[i], b + self.starts[j]
+            left, right, cells = left[~large], right[~large], cells[~large]
+            cuts = np.searchsorted(np.cumsum(cells), np.arange(0, cells.sum() + CHUNK, CHUNK)) if len(cells) else []
+            for p, q in zip(cuts, [*cuts[1:], len(cells)]):
+                if p == q:
+                    continue
+                tile = np.repeat(np.arange(p, q), cells[p:q])
+                at = np.arange(len(tile)) - np.repeat(np.cumsum(cells[p:q]) - cells[p:q], cells[p:q])
+                width = sizes[right[tile]]
+                a, b = self.starts[left[tile]] + at // width, self.starts[right[tile]] + at % width
+                ok = np.bitwise_count(self.fps[a] ^ self.fps[b]) <= self.radius
+                yield a[ok], b[ok]
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give joined places the smallest label among them."""
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return
+        x, y = x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
 def ties(
-    fps: np.ndarray, ids: np.ndarray, radius: int = RADIUS, tile: int = TILE
-) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked id with the smallest id of its component among these fingerprints."""
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    fps, ids = fps[order], ids[order]
-    counts = np.bitwise_count(fps).astype(np.int64)
+    keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int = RADIUS, tile: int = TILE
+) -> tuple[np.ndarray, np.ndarray, Tiles]:
+    """Each linked id with the smallest id of its component in its bucket, and the tiles' counts."""
+    tiles = Tiles(keys, fps, radius, tile)
     label = np.arange(len(fps))
-    for i in range(0, len(fps), tile):
-        high = counts[min(i + tile, len(fps)) - 1]
-        for j in range(i, len(fps), tile):
-            if counts[j] - high > radius:
-                break
-            near = np.bitwise_count(fps[i : i + tile, None] ^ fps[None, j : j + tile]) <= radius
-            for row in np.flatnonzero(near.sum(axis=1) > (i == j)):
-                met = label[j : j + tile][near[row]]
-                own = label[i + row]
-                if met.min() != own or met.max() != own:
-                    met = np.unique(np.append(met, own))
-                    label[np.isin(label, met[1:])] = met[0]
+    for a, b in tiles.near():
+        _unite(label, a, b)
+    ids = ids[tiles.order]
     least = np.full(len(fps), np.iinfo(np.int64).max)
     np.minimum.at(least, label, ids)
     tied = least[label] != ids
-    return ids[tied], least[label][tied]
-
-
-def _compare(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ties of all buckets in these rows, which are ordered by bucket; small ones together."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.append(starts, len(keys)))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = np.repeat(sizes <= SMALL, sizes)
-    for lag in range(1, SMALL):
-        at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
-        near = np.bitwise_count(fps[at] ^ fps[at + lag]) <= radius
-        left.append(ids[at[near]])
-        right.append(ids[at[near] + lag])
-    for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        a, b = ties(fps[s : s + n], ids[s : s + n], radius)
-        left.append(a)
-        right.append(b)
-    return np.concatenate(left), np.concatenate(right)
+    return ids[tied], least[label][tied], tiles
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b): ties between the ids of distinct (fp, id) that join what lies within the radius."""
+def _dealt(distinct: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(key, fp, id): rows for each bucket, and for pairs of parts of large ones."""
     masks = _blocks()
-    chosen = list(combinations(range(BLOCKS), BLOCKS - radius))
-    keep = [sum(masks[i] for i in c) for c in chosen]
+    keep = [sum(masks[i] for i in c) for c in combinations(range(BLOCKS), BLOCKS - radius)]
     signed = [k - (1 << 64) if k >> 63 else k for k in keep]
-    buckets = distinct.select(
-        "fp",
-        "id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
-                    for n, m in enumerate(signed)
-                ]
-            )
-        ).alias("at"),
-    ).select("fp", "id", F.xxhash64("at.n", "at.bits").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    parts = F.ceil(F.col("rows") / tile_rows).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts)
-    rows = (
-        buckets.join(sizes, "bucket")
-        .select("fp", "id", "bucket", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select(
-            "fp",
-            "id",
-            F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+    tables = F.array(
+        *[
+            F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
+            for n, m in enumerate(signed)
+        ]
+    )
+    buckets = distinct.select("fp", "id", F.explode(tables).alias("at")).select(
+        "fp", "id", F.xxhash64("at.n", "at.bits").alias("bucket"), F.bit_count("fp").cast("int").alias("ones")
+    )
+    # Sizes are written and their key dealt anew, so that the rows of a hot bucket are split in the join.
+    sizes = written(
+        buckets.groupBy("bucket", "ones").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        .agg(F.sum("n").alias("rows"), F.max("n").alias("most")).where(F.col("rows") > 1),
+        "buckets",
+    )
+    sized = buckets.join(
+        sizes.select(F.bitwise_not(F.bitwise_not("bucket")).alias("sized"), "rows", "most"), F.col("bucket") == F.col("sized")
+    )
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("a"), F.lit(0).alias("high"), F.lit(0).alias("b")))
+    # In a large bucket a row's own part meets the parts of all counts within the radius.
+    parts = F.ceil(F.col("most") / tile_rows).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+
+    def pair(step: Column, other: Column) -> Column:
+        mine = F.struct(F.col("ones").alias("ones"), own.alias("part"))
+        theirs = F.struct((F.col("ones") + step).alias("ones"), other.alias("part"))
+        low, high = F.least(mine, theirs), F.greatest(mine, theirs)
+        return F.struct(low["ones"].alias("low"), low["part"].alias("a"), high["ones"].alias("high"), high["part"].alias("b"))
+
+    cells = F.flatten(
+        F.transform(
+            F.sequence(F.lit(-radius), F.lit(radius)),
+            lambda step: F.transform(F.sequence(F.lit(0), parts - 1), lambda other: pair(step, other)),
         )
     )
+    meet = F.explode(F.when(F.col("rows") <= tile_rows, whole).otherwise(cells)).alias("cell")
+    return sized.select("fp", "id", "bucket", meet).select(
+        "fp", "id", F.xxhash64("bucket", "cell.low", "cell.a", "cell.high", "cell.b").alias("key")
+    )
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b): ties between the ids of distinct (fp, id) that join what lies within the radius."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def flush(last: bool) -> Iterator[pd.DataFrame]:
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
             keys, fps, ids = (np.concatenate(x) for x in zip(*held))
             whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
             held[:] = [(keys[whole:], fps[whole:], ids[whole:])]
             if whole:
-                a, b = _compare(keys[:whole], fps[:whole].view(np.uint64), ids[:whole], radius)
-                yield pd.DataFrame({"a": a, "b": b})
+                a, b, _ = ties(keys[:whole], fps[:whole].view(np.uint64), ids[:whole], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if len(batch):
-                held.append(tuple(batch[c].to_numpy(np.int64) for c in ("key", "fp", "id")))
+                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "id")))
                 if sum(len(x[0]) for x in held) >= 1 << 16:
                     yield from flush(False)
         if held:
             yield from flush(True)
 
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(run, "a bigint, b bigint").distinct()
+    dealt = _dealt(distinct, radius, tile_rows).select("key", "fp", F.col("id").cast("long").alias("id"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    marked = written(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(row, doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    marked = written(fingerprints(docs, shingle), "fingerprints")
     first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     roots = components(links(first.where(F.col("id").isNotNull()), radius))
-    named = first.join(roots, F.col("id") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "id").alias("component_id")
+    named = written(
+        first.join(roots, F.col("id") == F.col("node"), "left").select(
+            F.col("fp").alias("named_fp"), F.coalesce("root", "id").alias("component_id")
+        ),
+        "components",
     )
-    return marked.join(named, "fp")
+    forget(first)
+    return marked.join(named, F.col("fp") == F.col("named_fp")).drop("named_fp")
 
 
 def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -201,12 +268,15 @@ def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its own columns.
 
-    Rows without doc_id stay if no other document has their fingerprint; rows that share a doc_id
-    with a kept one all stay.
+    Each row is judged by its own text: where rows share the doc_id of a kept document, those of
+    its component stay, as versions of it, and those that are copies of another document go. Rows
+    without doc_id stay if no other document has their fingerprint.
     """
-    marked = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = marked.select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    row, first_row = fresh(docs, "row", "first_row")
+    marked = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = written(marked.select(F.col("row").alias(first_row)).distinct(), "first")
+    kept = docs.withColumn(row, row_key("text", "doc_id")).join(first, F.col(row) == F.col(first_row), "left_semi")
+    return kept.drop(row)
