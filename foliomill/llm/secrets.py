@@ -5,16 +5,18 @@ spans: two character Markov models of first order, one of random strings, one of
 identifiers, are counted from labelled samples, and a long token that no base span touches is
 reported if the log-likelihood ratio favours randomness clearly, in all and for each transition.
 
-The samples are labelled by rules: values of base matches are the random strings; tokens outside of
-them in which no digit stands before a letter are the ordinary ones. They come from all documents.
-The driver gets the transition counts: at most 2 * 67 * 67 numbers, whatever the corpus. With fewer
-than `MIN_RANDOM` random strings in it there is no model, and only base spans remain.
+The samples are labelled by rules: values of base matches are the random strings; tokens that touch
+no base span and in which no digit stands before a letter are the ordinary ones. They come from all
+documents. The driver gets the transition counts: at most 2 * 67 * 67 numbers, whatever the corpus.
+Few samples, or none, fall back smoothly on the prior: all characters alike for random strings, and
+for ordinary ones as well, so that without ordinary samples no token stands out.
 
 All of it is column expressions; nothing is shuffled but the transition counts, combined before.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is a row like any other;
-repeated rows are scanned each; an empty table gives an empty result; matches are found in the
-whole text, in time linear in it but for prefix sums over its matches.
+repeated rows are scanned each; an empty table gives an empty result; other columns, whatever their
+names, are carried along by `scan`, but for those it makes, which it replaces; matches are found in
+the whole text, in time n log n in its matches and linear in its length.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import find, joined, tagged
-from .text import whole
+from .spans import apart, find, joined, tagged
+from .text import fresh, whole
 
 #: The kinds in their order, with their patterns.
 ASSIGN = (
@@ -35,14 +37,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 
-#: Characters before a token in which an assignment is looked for.
-CONTEXT = 40
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET)
-MIN_RANDOM = 20
-#: Transitions that the characters' own frequencies count for in each row.
+#: Transitions that the characters' own frequencies count for in each row, and characters that
+#: equal frequencies count for in those.
 PRIOR = 10.0
+EVEN = 200.0
 #: Log-likelihood ratios, in nats: of the whole token, and for each transition.
 MIN_RATIO = 12.0
 MIN_MEAN_RATIO = 0.6
@@ -60,20 +61,17 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _ordinary(tokens: Column) -> Column:
-    """Tokens that neither hold a base match nor end an assignment that began before them."""
-    return F.filter(
-        tokens,
-        lambda t: ~t["value"].rlike(f"{HEX}|{ACCESS}") & ~F.concat(t["before"], t["value"]).rlike(ASSIGN),
-    )
+def _loose(tokens: Column, kinds: dict[str, Column]) -> Column:
+    """Tokens that no base span touches; hexadecimal runs and access keys lie inside one token."""
+    return apart(F.filter(tokens, lambda t: ~t["value"].rlike(f"{HEX}|{ACCESS}")), kinds["assign"])
 
 
 def transition_counts(docs: DataFrame) -> DataFrame:
-    """(random, a, b, n): transitions in the labelled strings, and rows with a = b = -1 for strings."""
+    """(random, a, b, n): transitions in the labelled strings; -1 stands for other characters."""
     text = docs.select(whole().alias("text"))
     kinds = base_spans(F.col("text"))
     split = text.select(
-        *[c.alias(k) for k, c in kinds.items()], find(F.col("text"), TOKEN, CONTEXT).alias("tokens")
+        *[c.alias(k) for k, c in kinds.items()], find(F.col("text"), TOKEN).alias("tokens")
     )
     values = F.concat(
         F.transform("assign", lambda x: F.regexp_extract(x["value"], ASSIGN, 2)),
@@ -81,7 +79,7 @@ def transition_counts(docs: DataFrame) -> DataFrame:
         F.transform("hex", lambda x: x["value"]),
     )
     plain = F.filter(
-        F.transform(_ordinary(F.col("tokens")), lambda x: x["value"]), lambda v: ~v.rlike("[0-9][A-Za-z]")
+        F.transform(_loose(F.col("tokens"), {k: F.col(k) for k in kinds}), lambda x: x["value"]), lambda v: ~v.rlike("[0-9][A-Za-z]")
     )
 
     def labelled(found: Column, random: bool) -> Column:
@@ -93,23 +91,18 @@ def transition_counts(docs: DataFrame) -> DataFrame:
     cells = strings.select(
         "random",
         F.explode(
-            F.concat(
-                F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))),
-                F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.struct(
-                    (F.instr(F.lit(ALPHABET), F.substring(F.col("value"), i, F.lit(1))) - 1).alias("a"),
-                    (F.instr(F.lit(ALPHABET), F.substring(F.col("value"), i + 1, F.lit(1))) - 1).alias("b"),
-                )),
-            )
+            F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.struct(
+                (F.instr(F.lit(ALPHABET), F.substring(F.col("value"), i, F.lit(1))) - 1).alias("a"),
+                (F.instr(F.lit(ALPHABET), F.substring(F.col("value"), i + 1, F.lit(1))) - 1).alias("b"),
+            ))
         ).alias("cell"),
     )
     return cells.groupBy("random", "cell.a", "cell.b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame) -> list[float] | None:
-    """The log ratio of each transition, row by row; None without enough random strings."""
+def fit(docs: DataFrame) -> list[float]:
+    """The log ratio of each transition, row by row."""
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in transition_counts(docs).collect()}
-    if counts.get((True, -1, -1), 0) < MIN_RANDOM:
-        return None
     logs = [_log_model(counts, kind) for kind in (True, False)]
     return [x - y for x, y in zip(*logs)]
 
@@ -117,7 +110,7 @@ def fit(docs: DataFrame) -> list[float] | None:
 def _log_model(counts: dict, random: bool) -> list[float]:
     """Log transition probabilities; rare rows lean on how often their next character occurs."""
     rows = [[counts.get((random, a, b), 0) for b in range(STATES)] for a in range(STATES)]
-    nexts = [sum(r[b] for r in rows) + 0.5 for b in range(STATES)]
+    nexts = [sum(r[b] for r in rows) + EVEN / STATES for b in range(STATES)]
     shares = [x / sum(nexts) for x in nexts]
     return [
         math.log((n + PRIOR * share) / (sum(row) + PRIOR)) for row in rows for n, share in zip(row, shares)
@@ -138,25 +131,18 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
     )
 
 
-def scan(docs: DataFrame, ratios: list[float] | None) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """The documents with `assign`, `access`, `hex` and `random`: arrays of their spans."""
-    kinds = base_spans(whole())
-    made = ["assign", "access", "hex", "random"]
-    kept = [c for c in docs.columns if c not in made]
-    out = docs.select(*kept, *[c.alias(k) for k, c in kinds.items()])
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    if ratios is None:
-        return out.withColumn("random", none)
+    made = ("assign", "access", "hex", "random")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    (tokens,) = fresh(kept, "tokens")
+    found = kept.select("*", *[c.alias(k) for k, c in base_spans(whole()).items()], find(whole(), TOKEN).alias(tokens))
     likely = F.filter(
-        "_tokens",
+        _loose(F.col(tokens), {k: F.col(k) for k in made[:3]}),
         lambda t: log_ratio(t["value"], ratios)
         >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN_RATIO * (F.length(t["value"]) - 1)),
     )
-    return (
-        out.withColumn("_tokens", _ordinary(find(whole(), TOKEN, CONTEXT)))
-        .withColumn("random", likely)
-        .drop("_tokens")
-    )
+    return found.withColumn("random", likely).drop(tokens)
 
 
 def report(docs: DataFrame) -> DataFrame:

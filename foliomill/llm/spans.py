@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,11 +43,12 @@ def running_total(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, sums))
 
 
-def find(text: Column, pattern: str, context: int = 1) -> Column:
+def find(text: Column, pattern: str, before: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value, before).
 
-    Places are code points from 0, the end exclusive; `before` holds the last `context` characters
-    between the previous match and this one. The pattern must not match the empty text.
+    Places are code points from 0, the end exclusive; `before` is what the given function makes of
+    the whole text between the previous match and this one. The pattern must not match the empty
+    text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -60,7 +63,7 @@ def find(text: Column, pattern: str, context: int = 1) -> Column:
                     v.alias("value"),
                     F.length(v).alias("n"),
                     F.length(b).alias("gap"),
-                    F.substring(b, -context, context).alias("before"),
+                    (before(b) if before else F.lit(None).cast("string")).alias("before"),
                 ),
             ),
         )
@@ -82,6 +85,36 @@ def find(text: Column, pattern: str, context: int = 1) -> Column:
     return let(found, lambda m: F.when(F.size(m) == 0, empty).otherwise(placed(m)))
 
 
+def apart(found: Column, others: Column) -> Column:
+    """The spans of one ascending list that overlap none of another; both are without overlaps.
+
+    Merged by start, the place of the k-th span in the merged order tells how many of the others
+    start before it, so only the last of those and the first after it need a look.
+    """
+
+    def keyed(x: Column, rank: int) -> Column:
+        return F.transform(x, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank")))
+
+    def of(o: Column) -> Column:
+        order = F.sort_array(F.concat(keyed(o, 0), keyed(found, 1)))
+        places = F.filter(F.transform(order, lambda x, i: F.when(x["rank"] == 1, i)), lambda i: i.isNotNull())
+        # A span of equal start stands before: it is the last one that starts at or before this one.
+        free = F.zip_with(
+            found,
+            F.transform(places, lambda i, k: i - k),
+            lambda s, n: F.struct(
+                s.alias("span"),
+                (
+                    F.coalesce(F.get(o, n - 1)["end"] <= s["start"], F.lit(True))
+                    & F.coalesce(F.get(o, n)["start"] >= s["end"], F.lit(True))
+                ).alias("free"),
+            ),
+        )
+        return F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["span"])
+
+    return F.when((F.size(others) == 0) | (F.size(found) == 0), found).otherwise(let(others, of))
+
+
 def tagged(found: Column, kind: str, rank: int, by_kind: bool) -> Column:
     """Spans of one kind, in structs whose natural order is the order of the report."""
 
