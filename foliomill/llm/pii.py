@@ -11,20 +11,28 @@ patterns of a high score, with enough distinct confident instances, and whose wo
 followed by anything else, are reported as `ident` spans.
 
 Everything is column expressions and aggregates that combine before the shuffle. The support that a
-pattern needs does not depend on the size of the corpus.
+pattern needs does not depend on the size of the corpus. Possible instances are found in one pass and
+written with their rows and places, so that neither the graph nor the spans need a second one.
+
+Rows are known by a digest of doc_id and text, so that rows that share a doc_id, or have none, are
+each scanned by themselves.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is a row like any other;
 repeated rows are scanned each, and their repeated instances count once; an empty table gives an
-empty result. Matching takes time linear in the text: no pattern backtracks over a run twice.
+empty result; other columns, whatever their names, are carried along by `scan`, but for those it
+makes, which it replaces. Matching takes time linear in the text: no pattern backtracks over a run
+twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import find, joined, tagged
-from .text import ascii_lower, let, whole, words, written
+from .text import ascii_lower, fresh, let, row_key, whole, words, written
 
 #: The kinds in their order, with their patterns. The runs are possessive, and a match
 #: starts where a run starts or where the last match ended, so that each run is read once.
@@ -38,7 +46,10 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
 #: Possible identifiers: tokens of these characters, at least six, with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[A-Za-z#._%+/-]*[0-9@])[A-Za-z0-9@#._%+/-]{6,}+(?![^\x20\x09-\x0D,;:!?)])"
-CONTEXT = 48
+#: Characters before an instance that hold its two words as a rule; where they do not, all are read.
+NEAR = 48
+#: The first screen of patterns counts their words in one of so many texts.
+SCREEN = 16
 ROUNDS = 3
 #: Distinct seeds, or other instances of at least `MIN_SCORE`, and score that a pattern needs, and
 #: the weight of doubt in its score.
@@ -49,18 +60,18 @@ MIN_SHARE = 0.2
 DOUBT = 2.0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: Column, before: Callable[[Column], Column] | None = None) -> dict[str, Column]:
     def digits(x: Column) -> Column:
         return F.regexp_replace(x["value"], "[^0-9]", "")
 
     return {
-        "email": find(text, EMAIL, CONTEXT),
-        "ip": F.filter(find(text, IP, CONTEXT), lambda x: x["value"].rlike(IP_PARTS)),
+        "email": find(text, EMAIL, before),
+        "ip": F.filter(find(text, IP, before), lambda x: x["value"].rlike(IP_PARTS)),
         "card": F.filter(
-            find(text, CARD, CONTEXT),
+            find(text, CARD, before),
             lambda x: F.length(digits(x)).between(16, 19) & luhn(digits(x)),
         ),
-        "phone": F.filter(find(text, PHONE, CONTEXT), lambda x: F.length(digits(x)).between(8, 15)),
+        "phone": F.filter(find(text, PHONE, before), lambda x: F.length(digits(x)).between(8, 15)),
     }
 
 
@@ -70,41 +81,66 @@ def luhn(digits: Column) -> Column:
 
 def pattern_of(before: Column) -> Column:
     """The last two words before an instance, lower-cased, digits alike; null with fewer words."""
-    tail = r"(?:^|[\x20\x09-\x0D])((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2})$"
-    said = F.regexp_extract(before, tail, 1)
-    return F.when(
-        said != "", F.regexp_replace(F.regexp_replace(ascii_lower(said), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+    two = r"((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){2})$"
+    all_of = F.regexp_extract(before, r"(?:^|[\x20\x09-\x0D])" + two, 1)
+    near = F.regexp_extract(F.substring(before, -NEAR, NEAR), r"[\x20\x09-\x0D]" + two, 1)
+    said = F.when(F.length(before) <= NEAR, all_of).otherwise(F.coalesce(F.nullif(near, F.lit("")), all_of))
+    return let(
+        said,
+        lambda x: F.when(
+            x != "", F.regexp_replace(F.regexp_replace(ascii_lower(x), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+        ),
     )
 
 
-def _tokens(text: Column) -> Column:
-    return find(text, TOKEN, CONTEXT)
+def mentions(docs: DataFrame) -> DataFrame:
+    """(row, pattern, instance, seed, loose, start, end): all seeds and possible instances.
 
+    `loose` tells possible instances of which no part is a base match.
+    """
+    kinds = base_spans(whole(), pattern_of)
+    seen = docs.select(
+        row_key("text", "doc_id").alias("row"),
+        *[c.alias(k) for k, c in kinds.items()],
+        find(whole(), TOKEN, pattern_of).alias("tokens"),
+    ).where(F.size("tokens") + sum((F.size(k) for k in KINDS), F.lit(0)) > 0)
 
-def graph(docs: DataFrame) -> DataFrame:
-    """(pattern, instance, seed, times): the distinct edges."""
-    kinds = base_spans(whole())
-    seen = docs.select(*[c.alias(k) for k, c in kinds.items()], _tokens(whole()).alias("_tokens")).where(
-        F.size("_tokens") + sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    )
-    every = F.concat(
-        *[F.transform(k, lambda x: F.struct(x["before"].alias("before"), x["value"].alias("value"), F.lit(1).alias("seed"))) for k in KINDS],
-        F.transform("_tokens", lambda x: F.struct(x["before"].alias("before"), x["value"].alias("value"), F.lit(0).alias("seed"))),
-    )
+    def listed(found: str, seed: int) -> Column:
+        return F.transform(found, lambda x: F.struct(x.alias("x"), F.lit(seed).alias("seed")))
+
+    every = F.concat(*[listed(k, 1) for k in KINDS], listed("tokens", 0))
     return (
-        seen.select(F.explode(every).alias("x"))
-        .select(pattern_of(F.col("x.before")).alias("pattern"), F.xxhash64("x.value").alias("instance"), "x.seed")
-        .where(F.col("pattern").isNotNull())
-        .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
+        seen.select("row", F.explode(every).alias("at"))
+        .where(F.col("at.x.before").isNotNull())
+        .select(
+            "row",
+            F.col("at.x.before").alias("pattern"),
+            F.xxhash64("at.x.value").alias("instance"),
+            "at.seed",
+            ((F.col("at.seed") == 0) & ~F.col("at.x.value").rlike("|".join(BASE_PARTS))).alias("loose"),
+            "at.x.start",
+            "at.x.end",
+        )
     )
 
 
-def patterns(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, min_share: float = MIN_SHARE) -> DataFrame:
-    """(pattern, score): the lexical patterns that may discover identifiers."""
+def graph(found: DataFrame) -> DataFrame:
+    """(pattern, instance, seed, times): the distinct edges between patterns and instances."""
+    return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
+
+
+def patterns(
+    docs: DataFrame,
+    found: DataFrame,
+    rounds: int = ROUNDS,
+    min_seeds: int = MIN_SEEDS,
+    min_score: float = MIN_SCORE,
+    min_share: float = MIN_SHARE,
+) -> DataFrame:
+    """(pattern, score): the lexical patterns of these mentions that may discover identifiers."""
     if rounds < 1:
         raise ValueError("at least one round is needed")
-    edges = written(graph(docs), "graph")
+    edges = written(graph(found), "graph")
     trusted = edges.withColumn("confidence", F.col("seed").cast("double"))
     for i in range(rounds):
         if i:
@@ -122,18 +158,22 @@ def patterns(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
             ),
             "scores",
         )
-    likely = written(
-        scored.where((F.col("score") >= min_score) & (F.col("sure") >= min_seeds)).select("pattern", "score"), "likely"
-    )
+    sure = scored.where((F.col("score") >= min_score) & (F.col("sure") >= min_seeds)).select("pattern", "score")
+    shown = edges.groupBy("pattern").agg(F.sum("times").alias("shown"))
+    likely = written(sure.join(shown, "pattern"), "likely")
+
+    def often(listed: DataFrame, among: DataFrame, name: str) -> DataFrame:
+        counted = occurrences(among, listed).withColumnRenamed("pattern", "counted")
+        joined = listed.join(counted, F.col("pattern") == F.col("counted"), "left")
+        share = F.col("shown") >= min_share * F.coalesce("occurs", F.lit(0))
+        return written(joined.where(share).select("pattern", "score", "shown"), name)
+
     if not likely.take(1):
         return likely
-    shown = edges.groupBy("pattern").agg(F.sum("times").alias("shown"))
-    return (
-        likely.join(shown, "pattern")
-        .join(occurrences(docs, likely), "pattern")
-        .where(F.col("shown") >= min_share * F.col("occurs"))
-        .select("pattern", "score")
-    )
+    # What occurs too often in a part of the texts does so in all of them: such patterns are out for
+    # certain, and the words of all texts are counted for the others.
+    part = docs.where(F.pmod(F.xxhash64(whole()), F.lit(SCREEN)) == 0)
+    return often(often(likely, part, "screened"), docs, "strong")
 
 
 def occurrences(docs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -157,34 +197,24 @@ def occurrences(docs: DataFrame, listed: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, found_by: DataFrame | None = None) -> DataFrame:
     """The documents with `email`, `ip`, `card`, `phone` and `ident`: arrays of their spans."""
-    made = [*KINDS, "ident"]
-    kept = [c for c in docs.columns if c not in made]
-    strong = patterns(docs) if found_by is None else found_by
-    base = docs.select(*kept, *[c.alias(k) for k, c in base_spans(whole()).items()])
-    kind = base.select("email").schema["email"].dataType.simpleString()
-    listed = strong.select("pattern")
-    if not listed.take(1):
-        return base.withColumn("ident", F.array().cast(kind))
-    key = [F.col("doc_id").alias("_doc"), F.xxhash64(whole()).alias("_hash")]
-    loose = (
-        docs.select(*key, F.explode(_tokens(whole())).alias("x"))
-        .withColumn("pattern", pattern_of(F.col("x.before")))
-        .where(~F.col("x.value").rlike("|".join(BASE_PARTS)))
-        .join(listed, "pattern", "left_semi")
-        .groupBy("_doc", "_hash")
-        .agg(F.collect_set("x").alias("ident"))
-        .select(F.col("_doc").alias("_own_doc"), F.col("_hash").alias("_own_hash"), "ident")
-    )
-    keyed = docs.select(*kept, *key, *[c.alias(k) for k, c in base_spans(whole()).items()])
-    return (
-        keyed.join(
-            loose,
-            F.col("_doc").eqNullSafe(F.col("_own_doc")) & (F.col("_hash") == F.col("_own_hash")),
-            "left",
-        )
-        .withColumn("ident", F.coalesce("ident", F.array().cast(kind)))
-        .drop("_doc", "_hash", "_own_doc", "_own_hash")
+    made = (*KINDS, "ident")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    found = written(mentions(docs), "mentions")
+    strong = patterns(docs, found) if found_by is None else found_by
+    row, own = fresh(kept, "row", "own")
+    span = F.struct("start", "end")
+    loose = written(
+        found.where("loose")
+        .join(strong.select("pattern"), "pattern", "left_semi")
+        .groupBy(F.col("row").alias(own))
+        .agg(F.collect_set(span).alias("ident")),
+        "ident",
     )
+    base = [F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k, c in base_spans(whole()).items()]
+    keyed = kept.select("*", row_key("text", "doc_id").alias(row), *base)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    out = keyed.join(loose, F.col(row) == F.col(own), "left")
+    return out.withColumn("ident", F.coalesce("ident", none)).drop(row, own)
 
 
 def report(docs: DataFrame) -> DataFrame:

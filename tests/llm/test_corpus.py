@@ -107,10 +107,12 @@ def test_quality_counts(docs):
     assert by_row(quality.judge(docs).collect(), columns) == want
 
 
-def test_repeats_in_texts_too_long_to_pack(spark, monkeypatch):
-    monkeypatch.setattr(quality, "PACKED_WINDOWS", 0)
-    rows = [(1, "a b c d a b c e " * 30, None, None, None, "", "", "")]
-    assert quality.text_counts(frame(spark, rows)).first()["n_repeat_words"] == brute_quality(rows[0][1])[4]
+@pytest.mark.parametrize("times", [30, 30_000])
+def test_repeats_in_texts_of_every_length(spark, times):
+    rng = random.Random(times)
+    text = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, times)) for _ in range(4 * times)) + " a b c d a b c e" * 3
+    counts = quality.text_counts(frame(spark, [(1, text, None, None, None, "", "", "")]))
+    assert counts.first()["n_repeat_words"] == brute_quality(text)[4]
 
 
 def test_quality_rejects_depleted_documents(spark):

@@ -102,9 +102,8 @@ def test_secret_model_counts_all_documents(spark):
         [(None if i == 4000 else i, f"password={held[i]}" if i in held else "read_input_table_number") for i in range(50_000)],
         "doc_id bigint, text string",
     )
-    strings = {r["random"]: r["n"] for r in secrets.transition_counts(docs).where("a = -1").collect()}
-    assert strings == {True: 25, False: 50_000 - 25}
-    assert secrets.fit(docs) is not None
+    moves = {r["random"]: r["n"] for r in secrets.transition_counts(docs).groupBy("random").agg({"n": "sum"}).toDF("random", "n").collect()}
+    assert moves == {True: 25 * 19, False: (50_000 - 25) * (len("read_input_table_number") - 1)}
 
 
 def test_pii_matches_plain_python(spark):
