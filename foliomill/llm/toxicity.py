@@ -186,116 +186,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     return train(sets, (rows["toxic"].to_numpy(np.float64) > 0).astype(np.float64))
 
 
-def score(self, found: np.ndarray) -> float:
-        at = np.searchsorted(self.selected, found)
-        at = np.minimum(at, max(len(self.selected) - 1, 0))
-        at = at[self.selected[at] == found] if len(self.selected) else at[:0]
-        held = self.vectors[at]
-        pairs = 0.5 * float((held.sum(axis=0) ** 2 - (held**2).sum(axis=0)).sum())
-        z = self.bias + float(self.weights[at].sum()) + pairs
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-
-def chi_squared(toxic: np.ndarray, held: np.ndarray, ones: float, total: int) -> np.ndarray:
-    """How far the toxic among `held` documents are from chance, for each place or pair."""
-    expected = held * (ones / total)
-    spread = expected * (1 - ones / total) * (total - held) / max(total - 1, 1)
-    return np.where(spread > 0, (toxic - expected) ** 2 / np.maximum(spread, 1e-12), 0)
-
-
-def select_places(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The places whose presence, alone or in a pair, depends most on the label."""
-    found, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)
-    owner = np.repeat(y, [len(s) for s in sets])
-    toxic = np.bincount(inverse, weights=owner, minlength=len(found))
-    held = np.bincount(inverse, minlength=len(found))
-    total, ones = len(y), y.sum()
-    chi = np.where(held >= MIN_DOCS, chi_squared(toxic, held, ones, total), 0)
-    best = np.lexsort((found, -chi))[:MAX_PLACES]
-    return np.union1d(found[best[chi[best] >= MIN_CHI]], found[_paired(sets, y, found, toxic, chi)])
-
-
-def _paired(sets: list[np.ndarray], y: np.ndarray, found: np.ndarray, toxic: np.ndarray, chi: np.ndarray) -> np.ndarray:
-    """Indices of places in pairs that tell the labels apart far better than their places alone."""
-    among = np.lexsort((found, -toxic))[:PAIR_PLACES]
-    among = np.sort(among[toxic[among] >= MIN_PAIR_DOCS])
-    if len(among) < 2:
-        return among[:0]
-    x = np.zeros((len(y), len(among)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, np.flatnonzero(np.isin(found[among], s, assume_unique=True))] = 1
-    both = [(part := x[y == kind]).T @ part for kind in (1, 0)]
-    a, b = np.nonzero(np.triu(both[0] >= MIN_PAIR_DOCS, 1))
-    own = both[0][a, b].astype(np.float64)
-    value = chi_squared(own, own + both[1][a, b], y.sum(), len(y))
-    alone = np.maximum(chi[among[a]], chi[among[b]])
-    ok = np.flatnonzero((value >= MIN_PAIR_CHI) & (value >= MIN_GAIN * alone))
-    ok = ok[np.lexsort((b[ok], a[ok], -value[ok]))][:MAX_PAIRS]
-    return np.unique(among[np.concatenate((a[ok], b[ok]))])
-
-
-def train(sets: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Fit the machine to sets of places and their labels, 0 or 1."""
-    empty = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS))
-    if not len(y) or not 0 < y.sum() < len(y):
-        share = float(y.mean()) if len(y) else 0.0
-        return Machine(float(np.log(np.clip(share, 1e-9, 1 - 1e-9) / (1 - np.clip(share, 1e-9, 1 - 1e-9)))), *empty)
-    selected = select_places(sets, y)
-    x = np.zeros((len(y), len(selected)), np.float64)
-    for i, s in enumerate(sets):
-        x[i, np.flatnonzero(np.isin(selected, s))] = 1
-    rng = np.random.default_rng(0)
-    share = y.mean()
-    values = [np.array([np.log(share / (1 - share))]), np.zeros(len(selected)), rng.normal(0, 0.05, (len(selected), FACTORS))]
-    first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    for step in range(1, STEPS + 1):
-        bias, w, v = values
-        inner = x @ v
-        z = bias[0] + x @ w + 0.5 * (inner**2 - (x @ v**2)).sum(axis=1)
-        miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        # x is 0 or 1, so its square is itself.
-        grads = [
-            np.array([miss.sum()]),
-            x.T @ miss + DECAY * w,
-            x.T @ (miss[:, None] * inner) - (x.T @ miss)[:, None] * v + DECAY * v,
-        ]
-        for value, grad, m, s in zip(values, grads, first, second):
-            m += 0.1 * (grad - m)
-            s += 0.001 * (grad**2 - s)
-            value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(values[0][0]), selected, values[1], values[2])
-
-
-def held_out(doc_id: Column) -> Column:
-    """Whether a document belongs to the fold that no label is learned from."""
-    fold = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
-    return F.coalesce(fold == HELD_FOLD, F.lit(False))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Machine:
-    """Fit the machine on labelled documents outside the held-out fold."""
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_docs)
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            packed = [places(t).astype("<i4").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "toxic": batch["toxic"], "places": packed})
-
-    # The sample is bounded by its parameter, so it can go to every executor.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = chosen.mapInPandas(run, "doc_id string, toxic int, places binary").toPandas()
-    rows = rows.sort_values(["doc_id", "places"], kind="stable")
-    sets = [np.frombuffer(p, "<i4").astype(np.int64) for p in rows["places"]]
-    return train(sets, (rows["toxic"].to_numpy(np.float64) > 0).astype(np.float64))
-
-
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score) for each row."""
 
