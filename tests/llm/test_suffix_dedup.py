@@ -21,18 +21,46 @@ def brute_order(t):
     return order, [0] + [shared(a, b) for a, b in zip(order, order[1:])]
 
 
-@pytest.mark.parametrize("alphabet", [0, 1000])
-def test_induced_order_matches_sorting(monkeypatch, alphabet):
-    monkeypatch.setattr(induced, "SMALL_ALPHABET", alphabet)
-    monkeypatch.setattr(induced, "LONG_STRING", 3)
-    rng = random.Random(alphabet)
+@pytest.mark.parametrize("memory", [1, 1 << 20])
+def test_induced_order_matches_sorting(memory):
+    rng = random.Random(memory)
     for _ in range(150):
         t = [rng.randint(1, rng.choice([1, 2, 3, 90])) for _ in range(rng.randint(0, 50))]
         t = t * rng.choice([1, 1, 3]) + [0]
-        parts = list(induced.induced_order(np.array(t, np.int32), rng.choice([1, 1 << 20])))
+        disk = induced.Disk(memory)
+        disk.piece = rng.choice([3, 7, 1000])
+        parts = list(induced.induced_order(np.array(t, np.int32), disk=disk))
         order, lcp = brute_order(t)
-        assert np.concatenate([p["at"] for p in parts]).tolist() == order
-        assert np.concatenate([p["lcp"] for p in parts]).tolist() == lcp
+        # From the largest down, each with the common prefix with the one before in the stream.
+        assert np.concatenate([p["at"] for p in parts]).tolist() == order[::-1]
+        assert np.concatenate([p["lcp"] for p in parts]).tolist() == [0, *lcp[:0:-1]]
+
+
+def test_a_shard_far_larger_than_memory(monkeypatch):
+    """Text, names and queues go to files, and names are sorted by further inductions."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 107, rng.integers(2, 9)).astype(np.uint8)) for _ in range(60)]
+    passage = b" ".join(words[i] for i in rng.integers(0, 60, 400))
+    raw = b" ".join([*(words[i] for i in rng.integers(0, 60, 60_000)), passage, *(words[i] for i in rng.integers(0, 60, 9_000)), passage])
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, 0)
+    levels = []
+    plain = induced._by_induction
+    monkeypatch.setattr(induced, "_by_induction", lambda *x: (levels.append(len(x[0])), plain(*x))[1])
+    memory = 1 << 18
+    disk = induced.Disk(memory)
+    assert 8 * len(text) > 10 * memory
+    parts = list(induced.induced_order(text, disk=disk))
+    assert len(levels) >= 2 and levels[1] < levels[0] == len(text)
+    assert disk.mapped > 10 * memory and disk.spilled > 10 * memory
+    assert max(len(p) for p in parts) <= disk.piece
+    whole = induced.Disk(1 << 30)
+    same = list(induced.induced_order(text, disk=whole))
+    assert whole.mapped == whole.spilled == 0 and len(levels) == 2 + len(levels[2:])
+    for f in ("at", "lcp"):
+        assert np.array_equal(np.concatenate([p[f] for p in parts]), np.concatenate([p[f] for p in same]))
+    at = np.concatenate([p["at"] for p in parts])[::-1]
+    sample = rng.integers(0, len(at) - 1, 2000)
+    assert all(raw[at[i] :] < raw[at[i + 1] :] for i in sample)
 
 
 def brute(texts, length=200):
@@ -69,12 +97,12 @@ def corpus(seed):
     return texts + [base, base, base[:300] + base[:300], passage * 3, texts[30]]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_removal_matches_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, memory", [(20_000, 32 << 20), (20_000, 1 << 12), (2, 32 << 20)])
+def test_removal_matches_brute_force(spark, hot, memory):
     texts = corpus(hot)
     ids = [None if i == 5 else (9 if i == 10 else i) for i in range(len(texts))]
     docs = spark.createDataFrame([(d, t, "clash") for d, t in zip(ids, texts)], SCHEMA)
-    out = suffix_dedup.report(docs, shard_bytes=20_000, hot_contexts=hot).collect()
+    out = suffix_dedup.report(docs, shard_bytes=20_000, hot_contexts=hot, memory=memory).collect()
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out)
     want = sorted((d if d is not None else -1, *x) for d, x in zip(ids, brute(texts)))
     assert got == want
