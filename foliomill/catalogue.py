@@ -32,29 +32,34 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
 
+def _dealt(s: SparkSession, d: str) -> DataFrame:
+    """Documents for projections that take long for each text."""
+    return P.dealt(_docs(s, d))
+
+
 def _json(column: str) -> F.Column:
     return F.to_json(F.col(column)).alias(column)
 
 
 def _keyed(s: SparkSession, d: str) -> DataFrame:
-    return P.keyed_pages(_docs(s, d))
+    return P.keyed_pages(_dealt(s, d))
 
 
 @query
 def restore_text_offline(s, d):
-    return _docs(s, d).select(
+    return _dealt(s, d).select(
         "doc_id", T.restore_offline(F.concat(F.lit("SOURCE TEXT\n"), F.regexp_replace("text", r"\. ", ".  \r\n\r\n\r\n-\n"))).alias("restored")
     )
 
 
 @query
 def split_chunks(s, d):
-    return chunking.chunk_rows(_docs(s, d)).select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
+    return chunking.chunk_rows(_dealt(s, d)).select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 @query
 def chunk_stats_by_lang(s, d):
-    chunks = _docs(s, d).select("lang", F.explode(chunking.split_chunks(F.col("text"))).alias("chunk"))
+    chunks = _dealt(s, d).select("lang", F.explode(chunking.split_chunks(F.col("text"))).alias("chunk"))
     return chunks.groupBy("lang").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.max(F.length("chunk")).alias("longest")
     )
@@ -62,7 +67,7 @@ def chunk_stats_by_lang(s, d):
 
 @query
 def page_lines(s, d):
-    return _docs(s, d).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("pos"), "line")
+    return _dealt(s, d).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("pos"), "line")
 
 
 @query
@@ -118,14 +123,14 @@ def chart_signals(s, d):
 
 @query
 def footnotes(s, d):
-    notes = _docs(s, d).select("doc_id", F.posexplode(X.footnotes(T.lines(F.col("text")))).alias("pos", "n"))
+    notes = _dealt(s, d).select("doc_id", F.posexplode(X.footnotes(T.lines(F.col("text")))).alias("pos", "n"))
     return notes.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("n.marker").alias("marker"), F.col("n.text").alias("note"))
 
 
 @query
 def contributors(s, d):
     found = T.lines(F.col("text"))
-    return _docs(s, d).select("doc_id", F.array_join(X.contributors(found), "|").alias("contributors"), F.array_join(X.publishers(found), "|").alias("publishers"))
+    return _dealt(s, d).select("doc_id", F.array_join(X.contributors(found), "|").alias("contributors"), F.array_join(X.publishers(found), "|").alias("publishers"))
 
 
 @query
@@ -172,7 +177,7 @@ def document_structure(s, d):
 
 @query
 def running_headers_frequent(s, d):
-    heads = _docs(s, d).select("lang", "doc_id", X.running_header(T.lines(F.col("text"))).alias("header"))
+    heads = _dealt(s, d).select("lang", "doc_id", X.running_header(T.lines(F.col("text"))).alias("header"))
     return rollup.frequent(heads, ["lang"], "header", "doc_id")
 
 
@@ -220,7 +225,7 @@ def resume_remaining(s, d):
 
 @query
 def archive_numbering(s, d):
-    members = _docs(s, d).select(
+    members = _dealt(s, d).select(
         F.col("source").alias("path"), F.col("doc_id").cast("int").alias("pos"), F.lit("m").alias("member"), F.lit("text").alias("kind"), F.col("text").cast("binary").alias("content")
     )
     return scan.archive_pieces(members).select("path", "pos", "chunk_index", F.length("text").alias("chars"))
@@ -228,7 +233,7 @@ def archive_numbering(s, d):
 
 @query
 def consistency_scan(s, d):
-    out = assemble.consistency_scan(_docs(s, d).select("source", "doc_id", "text"), "source", "doc_id")
+    out = assemble.consistency_scan(_dealt(s, d).select("source", "doc_id", "text"), "source", "doc_id")
     return out.select(
         "source", "doc_id", "observed_pages", "paragraph_style", "heading_style", "page_marker_style",
         F.array_join("layout_notes", "|").alias("notes"), F.array_join("encountered_scripts", "|").alias("scripts"),
@@ -238,43 +243,43 @@ def consistency_scan(s, d):
 
 @query
 def review_budget(s, d):
-    marked = _docs(s, d).select("source", "doc_id", M.looks_damaged(F.col("text"), F.lit("balanced")).alias("damaged"))
+    marked = _dealt(s, d).select("source", "doc_id", M.looks_damaged(F.col("text"), F.lit("balanced")).alias("damaged"))
     return assemble.review_budget(marked, "source", "doc_id", "damaged", F.lit(3)).select("source", "doc_id", "damaged", "reviewed")
 
 
 @query
 def parse_model_reply(s, d):
-    out = M.parse_replies(P.replies(_docs(s, d)))
+    out = M.parse_replies(P.replies(_dealt(s, d)))
     return out.select("doc_id", F.md5("restored_text").alias("digest"), "status", "failure_reason", "notes")
 
 
 @query
 def parse_translation_reply(s, d):
-    rows = P.replies(_docs(s, d)).withColumn("reply", F.replace("reply", F.lit("restored_text"), F.lit("translated_text")))
+    rows = P.replies(_dealt(s, d)).withColumn("reply", F.replace("reply", F.lit("restored_text"), F.lit("translated_text")))
     return M.parse_replies(rows, result="translated_text").select("doc_id", F.md5("translated_text").alias("digest"), "status", "failure_reason")
 
 
 @query
 def lenient_model_reply(s, d):
-    cut = P.replies(_docs(s, d)).withColumn("reply", F.concat(F.regexp_replace("reply", r"\}\s*(```)?$", ""), F.lit(',"x":}')))
+    cut = P.replies(_dealt(s, d)).withColumn("reply", F.concat(F.regexp_replace("reply", r"\}\s*(```)?$", ""), F.lit(',"x":}')))
     return M.parse_replies(cut).select("doc_id", F.md5("restored_text").alias("digest"), "status")
 
 
 @query
 def picture_reply_text(s, d):
     shown = F.concat(F.lit("Here is the text:\n```text\n"), F.col("text"), F.lit("\n```"))
-    return _docs(s, d).select("doc_id", F.md5(M.picture_text(shown)).alias("digest"))
+    return _dealt(s, d).select("doc_id", F.md5(M.picture_text(shown)).alias("digest"))
 
 
 @query
 def retry_decisions(s, d):
-    r = P.replies(_docs(s, d))
+    r = P.replies(_dealt(s, d))
     return r.select("doc_id", M.needs_retry(F.col("reply")).alias("retry"), F.array_join(M.retry_hints(F.col("source_text")), "|").alias("hints"))
 
 
 @query
 def block_markers(s, d):
-    out = P.marked_replies(_docs(s, d)).select("doc_id", F.explode(M.block_texts(F.col("reply"))).alias("block", "said"))
+    out = P.marked_replies(_dealt(s, d)).select("doc_id", F.explode(M.block_texts(F.col("reply"))).alias("block", "said"))
     return out.select("doc_id", "block", F.md5("said").alias("digest"))
 
 
@@ -331,13 +336,18 @@ def native_layout(s, d):
     import numpy as np
     import pandas as pd
 
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        gray = np.full((300, 200), 255, np.uint8)
-        for a, b, c, e in zip(rows["left"] // 5, rows["top"] // 5, rows["right"] // 5, rows["bottom"] // 5):
-            gray[b:e:2, a:c] = 40
-        return pd.DataFrame({"page": rows["page"].iloc[:1], "width": 200, "height": 300, "gray": [gray.tobytes()]})
-
-    pages = P.boxes(table(s, d, "lineitem")).groupBy("page").applyInPandas(draw, "page bigint, width int, height int, gray binary")
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for page, boxes in zip(batch["page"], batch["boxes"]):
+                gray = np.full((300, 200), 255, np.uint8)
+                for x in boxes:
+                    gray[x["top"] // 5 : x["bottom"] // 5 : 2, x["left"] // 5 : x["right"] // 5] = 40
+                out.append((page, 200, 300, gray.tobytes()))
+            yield pd.DataFrame(out, columns=["page", "width", "height", "gray"])
+
+    boxes = P.boxes(table(s, d, "lineitem")).groupBy("page").agg(F.collect_list(F.struct("left", "top", "right", "bottom")).alias("boxes"))
+    pages = boxes.mapInPandas(draw, "page bigint, width int, height int, gray binary")
     return layout.native_blocks(pages).groupBy("page").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.max("dark_ratio"), 6).alias("darkest"))
 
 
@@ -345,7 +355,7 @@ def native_layout(s, d):
 def allocate_text_to_blocks(s, d):
     blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
     ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom")
-    segments = _docs(s, d).select(F.col("doc_id").alias("page"), F.posexplode(T.lines(F.col("text"))).alias("pos", "segment"))
+    segments = _dealt(s, d).select(F.col("doc_id").alias("page"), F.posexplode(T.lines(F.col("text"))).alias("pos", "segment"))
     out = assemble.allocate_texts(ordered.select("page", "reading_order", "role"), segments)
     return out.select("page", "reading_order", F.md5(F.coalesce("extracted_text", F.lit("-"))).alias("digest"))
 
@@ -396,7 +406,7 @@ def document_concat(s, d):
 
 @query
 def missing_asset_markers(s, d):
-    docs = _docs(s, d)
+    docs = _dealt(s, d)
     texts = docs.select("source", F.concat(F.lit("[image: plate (1) | a/"), F.col("lang"), F.lit(".png]\n"), F.col("text")).alias("text")).where(F.col("lang") != "de")
     assets = docs.select("source", F.concat(F.lit("a\\"), F.col("lang"), F.lit(".png")).alias("path"), F.concat("lang", F.lit(" map (old)")).alias("label")).distinct()
     out = assemble.missing_assets(assets, texts, "source")
@@ -464,7 +474,7 @@ def chat_history_tail(s, d):
 
 @query
 def script_detection(s, d):
-    return _docs(s, d).groupBy("lang", F.array_join(T.scripts(F.col("text")), ",").alias("scripts")).agg(F.count(F.lit(1)).alias("docs"))
+    return _dealt(s, d).groupBy("lang", F.array_join(T.scripts(F.col("text")), ",").alias("scripts")).agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query
@@ -474,7 +484,7 @@ def html_strip(s, d):
 
 @query
 def structured_blocks(s, d):
-    blocks = _docs(s, d).select(F.explode(R.structured_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("b"))
+    blocks = _dealt(s, d).select(F.explode(R.structured_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("b"))
     return blocks.groupBy(F.col("b.kind").alias("kind")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("b.text")).alias("chars"))
 
 
@@ -493,18 +503,18 @@ def chart_points(s, d):
 @query
 def export_jsonl(s, d):
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    return _docs(s, d).select("doc_id", F.size(F.split(formats.jsonl(text), "\n")).alias("rows"), F.length(formats.jsonl(F.regexp_replace(text, r'["\\]', ""))).alias("chars"))
+    return _dealt(s, d).select("doc_id", F.size(F.split(formats.jsonl(text), "\n")).alias("rows"), F.length(formats.jsonl(F.regexp_replace(text, r'["\\]', ""))).alias("chars"))
 
 
 @query
 def export_markdown(s, d):
     text = F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\f"), F.lit(" "), F.lit("\f"), F.lit("last page"))
-    return _docs(s, d).select("doc_id", F.md5(R.markdown(text)).alias("digest"))
+    return _dealt(s, d).select("doc_id", F.md5(R.markdown(text)).alias("digest"))
 
 
 @query
 def export_all_formats(s, d):
-    docs = _docs(s, d).select("doc_id", "text", F.col("source").alias("title"), F.lit("Book").alias("document_type"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("_x"), F.lit("hidden"), F.lit("run_dir"), F.lit("/r")).alias("metadata"))
+    docs = _dealt(s, d).select("doc_id", "text", F.col("source").alias("title"), F.lit("Book").alias("document_type"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("_x"), F.lit("hidden"), F.lit("run_dir"), F.lit("/r")).alias("metadata"))
     out = formats.export(docs, [f for f in formats.FORMATS if f not in formats.SIDECARS])
     return out.groupBy("format", "available", "detail").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("content")).alias("bytes"))
 
@@ -548,7 +558,7 @@ def slugs(s, d):
 @query
 def excerpts(s, d):
     text = F.col("text")
-    return _docs(s, d).select("doc_id", T.excerpt(text).alias("excerpt"), F.md5(T.recent_words(text, 100)).alias("recent"), F.md5(T.match_text(text)).alias("matched"),
+    return _dealt(s, d).select("doc_id", T.excerpt(text).alias("excerpt"), F.md5(T.recent_words(text, 100)).alias("recent"), F.md5(T.match_text(text)).alias("matched"),
                               F.md5(retrieval.hit_excerpt(text, "the")).alias("hit"), T.join_notes(F.col("lang"), F.lit(" "), F.col("source")).alias("notes"))
 
 
@@ -559,7 +569,7 @@ def durations(s, d):
 
 @query
 def word_wrap(s, d):
-    return _docs(s, d).select("doc_id", F.md5(F.array_join(T.wrap(F.col("text")), "\n")).alias("digest"))
+    return _dealt(s, d).select("doc_id", F.md5(F.array_join(T.wrap(F.col("text")), "\n")).alias("digest"))
 
 
 @query
@@ -617,7 +627,7 @@ def page_records(s, d):
 
 @query
 def compare_outputs(s, d):
-    docs = _docs(s, d).select("doc_id", "text")
+    docs = _dealt(s, d).select("doc_id", "text")
     changed = docs.where(F.col("doc_id") % 10 != 0).withColumn("text", F.replace("text", F.lit("the "), F.lit("THE ")))
     return review.compare(docs, changed)
 
@@ -679,13 +689,13 @@ def run_sources(s, d):
 
 @query
 def run_documents(s, d):
-    chunks = run.restore(_docs(s, d))
+    chunks = run.restore(_dealt(s, d))
     return run.documents(chunks).select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query
 def suspicious_chunks(s, d):
-    out = run.suspicious(run.restore(_docs(s, d)), "doc_id")
+    out = run.suspicious(run.restore(_dealt(s, d)), "doc_id")
     return out.groupBy("damaged", "reviewed", "status").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -696,8 +706,7 @@ def run_structure(s, d):
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Restore, cut and observe all documents, then count roles and features by language."""
-    chunks = run.restore(_docs(s, d))
-    observed = rollup.with_profile(run.observe_chunks(chunks, F.lit("Book"))).join(_docs(s, d).select("doc_id", "lang"), "doc_id")
+    observed = rollup.with_profile(run.observe_chunks(run.restore(_dealt(s, d), carry=("lang",)), F.lit("Book")))
     return observed.groupBy("lang", "role", "dominant_flow").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("line_count").alias("lines"), F.count_if(F.size("footnotes") > 0).alias("with_footnotes")
     )

@@ -8,6 +8,7 @@ Role names, word patterns, limits and style notes are fixed values.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -175,7 +176,36 @@ def _has(text: Column, words: str) -> Column:
     return text.rlike(rf"\b({words})\b")
 
 
-def _magazine(found: Column, low: Column, first: Column, n: Column) -> Column:
+@dataclass(frozen=True)
+class Page:
+    """What many rules look at, computed once: column names of a staged frame, or expressions."""
+
+    found: Column
+    low: Column
+    low6: Column
+    low8: Column
+    first: Column
+    n: Column
+    spaced: Column
+    pictured: Column
+
+    @staticmethod
+    def of(found: Column) -> Page:
+        return Page(
+            found, joined_lower(found, 40), joined_lower(found, 6), joined_lower(found, 8),
+            F.coalesce(F.get(found, F.lit(0)), F.lit("")), F.size(found), has_column_spacing(found),
+            F.exists(found, lambda x: F.contains(F.lower(x), F.lit("[image:"))),
+        )
+
+    def staged(self, frame: DataFrame) -> tuple[DataFrame, Page]:
+        """The frame with these as columns, and the page that names them."""
+        made = {f.name: f"_page_{f.name}" for f in fields(self) if f.name != "found"}
+        frame = frame.withColumns({column: getattr(self, name) for name, column in made.items()})
+        return frame, Page(self.found, **{name: F.col(column) for name, column in made.items()})
+
+
+def _magazine(page: Page) -> Column:
+    low, first, n, found = page.low, page.first, page.n, page.found
     return first_of(
         (_has(low, r"masthead|editor|publisher|volume|vol\.|issue|no\."), "masthead"),
         (_has(low, "editorial|from the editor"), "editorial"),
@@ -183,24 +213,26 @@ def _magazine(found: Column, low: Column, first: Column, n: Column) -> Column:
         (_has(low, "advertisement|advertiser|classified"), "advertisement"),
         (_has(low, "sidebar|box item"), "sidebar"),
         (_has(low, "caption|photo|illustration|plate"), "caption"),
-        (has_column_spacing(found), "multi-column"),
+        (page.spaced, "multi-column"),
         ((F.length(first) <= 80) & (first == F.upper(first)) & (n <= 25), "article"),
     )
 
 
-def _newspaper(found: Column, low: Column, first: Column, n: Column) -> Column:
+def _newspaper(page: Page) -> Column:
+    low, first, n, found = page.low, page.first, page.n, page.found
     return first_of(
         (_has(low, "classifieds?|wanted|for sale|tenders?"), "classifieds"),
         (_has(low, "advertisement|advertiser"), "advertisement"),
         (_has(low, "continued from|continued on"), "continuation"),
         (first.rlike(r"^[A-Z][A-Z .,'-]{6,}$"), "headline"),
-        (_has(joined_lower(found, 8), "by|from our correspondent|staff reporter"), "byline"),
+        (_has(page.low8, "by|from our correspondent|staff reporter"), "byline"),
         (F.array_join(F.slice(found, 1, 8), "\n").rlike(r"\b[A-Z][a-z]+,\s+[A-Z][a-z]+\.?\s+\d{1,2}\b"), "dateline"),
-        (has_column_spacing(found), "multi-column"),
+        (page.spaced, "multi-column"),
     )
 
 
-def _manuscript(found: Column, low: Column, first: Column, n: Column) -> Column:
+def _manuscript(page: Page) -> Column:
+    low, first, n, found = page.low, page.first, page.n, page.found
     unclear = F.size(F.split(low, r"\[unclear\]", -1)) - 1
     return first_of(
         (_has(low, r"folio|fol\.|recto|verso") | first.rlike(r"(?i)^(?:f\.?\s*)?\d+[rv]$"), "folio"),
@@ -212,10 +244,11 @@ def _manuscript(found: Column, low: Column, first: Column, n: Column) -> Column:
     )
 
 
-def _letter(found: Column, low: Column, first: Column, n: Column) -> Column:
+def _letter(page: Page) -> Column:
+    low, first, n, found = page.low, page.first, page.n, page.found
     months = "january|february|march|april|may|june|july|august|september|october|november|december"
     return first_of(
-        (_has(joined_lower(found, 6), "dear|respected|sir|madam|my dear"), "salutation"),
+        (_has(page.low6, "dear|respected|sir|madam|my dear"), "salutation"),
         (_has(low, "yours faithfully|yours sincerely|sincerely|obediently|signed"), "signature"),
         (_has(low, r"p\.?s\.?|postscript"), "postscript"),
         (low.rlike(r"\b(to|from)\b[^\n]+\b(street|road|district|post|address)\b"), "address"),
@@ -223,7 +256,8 @@ def _letter(found: Column, low: Column, first: Column, n: Column) -> Column:
     )
 
 
-def _archive(found: Column, low: Column, first: Column, n: Column) -> Column:
+def _archive(page: Page) -> Column:
+    low, first, n, found = page.low, page.first, page.n, page.found
     return first_of(
         (low.rlike(r"\b(file|folder|bundle|box)\s*(no\.?|number|id)?\b"), "folder-label"),
         (_has(low, r"id|identifier|reference|ref\.|case no\.|serial no\."), "identifier"),
@@ -234,15 +268,20 @@ def _archive(found: Column, low: Column, first: Column, n: Column) -> Column:
     )
 
 
-def content_role(found: Column, kind: Column, rows: Column, signals: Column) -> Column:
-    """The first rule that holds, over the first 40 lines and the document's type."""
-    low, n = joined_lower(found, 40), F.size(found)
-    first = F.coalesce(F.get(found, F.lit(0)), F.lit(""))
-    first_low, kind = F.lower(first), F.lower(text_of(kind))
-    tabular, charted = F.size(rows) > 0, F.size(signals) > 0
+def role_of_kind(page: Page, kind: Column) -> Column:
+    """The role by the rules of the document's own type; empty without one."""
+    kind = F.lower(text_of(kind))
+    rules = {
+        "magazine": _magazine, "newspaper": _newspaper, "manuscript": _manuscript, "letter": _letter, "archive bundle": _archive,
+    }
+    return first_of(*[((kind == name) & (page.n > 0), rule(page)) for name, rule in rules.items()])
+
 
-    def when_kind(name: str, role: Column) -> tuple[Column, Column]:
-        return (kind == name) & (n > 0) & (role != ""), role
+def content_role(page: Page, kind: Column, rows: Column, signals: Column, own: Column) -> Column:
+    """The first rule that holds, over the first 40 lines and the document's type; `own` is role_of_kind."""
+    found, low, n, first_low = page.found, page.low, page.n, F.lower(page.first)
+    kind = F.lower(text_of(kind))
+    tabular, charted = F.size(rows) > 0, F.size(signals) > 0
 
     def typed(name: str, words: str) -> Column:
         return (kind == name) & _has(low, words)
@@ -261,11 +300,7 @@ def content_role(found: Column, kind: Column, rows: Column, signals: Column) ->
         (_has(low, "appendix"), "appendix"),
         (typed("book", "chapter"), "chapter"),
         (kind.isin("book", "journal article", "general") & _has(low, "section|part"), "section"),
-        when_kind("magazine", _magazine(found, low, first, n)),
-        when_kind("newspaper", _newspaper(found, low, first, n)),
-        when_kind("manuscript", _manuscript(found, low, first, n)),
-        when_kind("letter", _letter(found, low, first, n)),
-        when_kind("archive bundle", _archive(found, low, first, n)),
+        (own != "", own),
         (typed(legal, "parties?|agreement|contract|deed|memorandum|terms and conditions"),
          F.when(n <= 10, "title").otherwise("clauses")),
         (typed(legal, "recitals?|whereas"), "recitals"),
@@ -280,10 +315,10 @@ def content_role(found: Column, kind: Column, rows: Column, signals: Column) ->
         (typed(health, "medication|dose|dosage|treatment|instructions"), "medications"),
         (typed(insurance, "policy|coverage|claim|premium|exclusion|benefit"),
          F.when(n <= 10, "policy").otherwise("coverage")),
-        (kind.isin("magazine", "newspaper") & has_column_spacing(found), "multi-column"),
+        (kind.isin("magazine", "newspaper") & page.spaced, "multi-column"),
         (tabular, "table"),
         (charted, "chart"),
-        (F.exists(found, lambda x: F.contains(F.lower(x), F.lit("[image:"))), "illustrated"),
+        (page.pictured, "illustrated"),
         otherwise="body",
     )
 
@@ -298,13 +333,14 @@ def is_title_page(found: Column, index: Column, rows: Column, signals: Column) -
     )
 
 
-def content_features(found: Column, role: Column, kind: Column, rows: Column, signals: Column, entries: Column, notes: Column) -> Column:
-    low = joined_lower(found, 100)
+def content_features(page: Page, role: Column, kind: Column, rows: Column, signals: Column, entries: Column, notes: Column, staged: bool = False) -> Column:
+    found = page.found
+    low = F.col("_low100") if staged else joined_lower(found, 100)
     wide = F.array_join(F.slice(found, 1, 80), "\n").rlike(r"\S\s{6,}\S")
     aged = role.isin("marginalia", "annotation", "correction", "folio") | (F.lower(text_of(kind)) == "manuscript")
     flags = (
-        (has_column_spacing(found), "multi_column"),
-        (F.exists(found, lambda x: F.contains(F.lower(x), F.lit("[image:"))), "figure_marker"),
+        (page.spaced, "multi_column"),
+        (page.pictured, "figure_marker"),
         (F.size(entries) > 0, "contents_entries"),
         (F.size(notes) > 0, "footnotes"),
         (_has(low, "by|from our correspondent|staff reporter"), "byline"),
@@ -394,10 +430,10 @@ def observe(pages: DataFrame, text: str = "text", kind: str = "document_type", i
     """The pages with everything that their lines tell; `lines` stays for further use."""
     t, k, i = F.col(text), F.col(kind), F.col(index)
     found = F.col("lines")
+    staged, page = Page.of(found).staged(pages.withColumn("lines", lines(t)))
     staged = (
-        pages.withColumn("lines", lines(t))
-        .withColumns({"table_rows": table_rows(found), "chart_signals": chart_signals(found)})
-        .withColumn("_role", content_role(found, k, F.col("table_rows"), F.col("chart_signals")))
+        staged.withColumns({"table_rows": table_rows(found), "chart_signals": chart_signals(found), "_low100": joined_lower(found, 100), "_own": role_of_kind(page, k)})
+        .withColumn("_role", content_role(page, k, F.col("table_rows"), F.col("chart_signals"), F.col("_own")))
         .withColumn(
             "role",
             first_of(
@@ -415,7 +451,7 @@ def observe(pages: DataFrame, text: str = "text", kind: str = "document_type", i
     return (
         staged.withColumn(
             "content_features",
-            content_features(found, F.col("role"), k, F.col("table_rows"), F.col("chart_signals"), F.col("_entries"), F.col("footnotes")),
+            content_features(page, F.col("role"), k, F.col("table_rows"), F.col("chart_signals"), F.col("_entries"), F.col("footnotes"), True),
         )
         .withColumns(
             {
@@ -430,10 +466,10 @@ def observe(pages: DataFrame, text: str = "text", kind: str = "document_type", i
                 "running_header": running_header(found),
                 "line_count": F.size(found),
                 "avg_line_length": mean,
-                "has_figure_marker": F.exists(found, lambda x: F.contains(F.lower(x), F.lit("[image:"))),
+                "has_figure_marker": page.pictured,
             }
         )
-        .drop("_entries")
+        .drop("_entries", "_low100", "_own", *[f"_page_{f.name}" for f in fields(Page) if f.name != "found"])
     )
 
 
@@ -476,31 +512,30 @@ def page_marker_style(found: Column) -> Column:
     return F.coalesce(F.get(styles, F.lit(0)), F.lit(""))
 
 
+# What layout_notes and structures can say, in their order.
+LAYOUT_NOTES = (
+    "preserve visible table or column spacing when clear", "preserve list item breaks",
+    "preserve numbered references and footnote markers",
+)
+STRUCTURES = ("table-like", "chart-like", "multi-column", "contents-like")
+
+
+def _those(names: tuple[str, ...], *tests: Column) -> Column:
+    return F.filter(F.array(*[F.when(t, n) for n, t in zip(names, tests)]), lambda x: x.isNotNull())
+
+
 def layout_notes(found: Column) -> Column:
     head = F.slice(found, 1, 80)
     text = F.array_join(head, "\n")
-    return F.filter(
-        F.array(
-            F.when(text.rlike(r"\s{3,}"), "preserve visible table or column spacing when clear"),
-            F.when(F.exists(head, lambda x: x.startswith("*") | x.startswith("-")), "preserve list item breaks"),
-            F.when(text.rlike(r"\[\d+\]|\(\d+\)|\b\d+\."), "preserve numbered references and footnote markers"),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    listed = F.exists(head, lambda x: x.startswith("*") | x.startswith("-"))
+    return _those(LAYOUT_NOTES, text.rlike(r"\s{3,}"), listed, text.rlike(r"\[\d+\]|\(\d+\)|\b\d+\."))
 
 
 def structures(found: Column) -> Column:
-    return F.filter(
-        F.array(
-            F.when(F.size(table_rows(found)) > 0, "table-like"),
-            F.when(F.size(chart_signals(found)) > 0, "chart-like"),
-            F.when(has_column_spacing(found), "multi-column"),
-            F.when(F.size(contents_entries(found)) > 0, "contents-like"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-
-
+    return _those(
+        STRUCTURES, F.size(table_rows(found)) > 0, F.size(chart_signals(found)) > 0, has_column_spacing(found),
+        F.size(contents_entries(found)) > 0,
+    )
 
 
 # The order in which sections of a document stand.

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import structure as X
-from ..functions.text import PAGE_BREAK, is_blank, lines, let, match_text, paragraphs, recent_words, scripts, strip, text_of
+from ..functions.text import PAGE_BREAK, SCRIPTS, is_blank, lines, let, match_text, paragraphs, recent_words, scripts, strip, text_of
 
 
 def priority_union(parts: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
@@ -40,11 +40,16 @@ def retry_merge(base: DataFrame, retried: DataFrame, keys: list[str], fields: li
     return merged.withColumn("retried", F.coalesce("_hit", F.lit(False))).drop("_hit", *[f"_new_{f}" for f in fields])
 
 
+#: What the lists of the state may hold, and how many of them at most.
+STATE_LISTS = {"notes": (X.LAYOUT_NOTES, 6), "scripts": (tuple(n for n, _ in SCRIPTS), 8), "structures": (X.STRUCTURES, 8)}
+
+
 def consistency_scan(chunks: DataFrame, run: str, order: str, text: str = "text") -> DataFrame:
     """The state that each chunk sees: what the chunks of its run before it have shown.
 
-    First styles and running sets are windows over the run with a frame that ends one row before.
-    The sets are small and capped, so a frame carries short lists, never texts.
+    The chunks are read and looked at once. Styles, counts and the latest words are running windows;
+    the lists hold few known values, so each value's first place in its run is one minimum, and a
+    chunk sees those that come before it. No frame carries lists or more than one text.
     """
     found = F.col("_lines")
     live = ~is_blank(F.col(text)) & (strip(F.col(text)) != "")
@@ -52,8 +57,7 @@ def consistency_scan(chunks: DataFrame, run: str, order: str, text: str = "text"
     def seen(value: Column) -> Column:
         return F.when(live, value)
 
-    staged = chunks.withColumn("_lines", lines(F.col(text)))
-    marked = staged.select(
+    marked = chunks.withColumn("_lines", lines(F.col(text))).select(
         *chunks.columns,
         live.cast("int").alias("_live"),
         seen(X.paragraph_style(strip(F.col(text)))).alias("_paragraph"),
@@ -64,36 +68,35 @@ def consistency_scan(chunks: DataFrame, run: str, order: str, text: str = "text"
         seen(X.structures(found)).alias("_structures"),
         seen(recent_words(F.col(text), 100)).alias("_recent"),
     )
-    frame = W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return _running(marked, run, order, frame, chunks.columns)
+    through = W.partitionBy(run).orderBy(order)
+    before = through.rowsBetween(W.unboundedPreceding, -1)
+    placed = marked.withColumn("_row", F.row_number().over(through))
 
+    def first_places(name: str) -> Column:
+        firsts = []
+        for value in STATE_LISTS[name][0]:
+            at = F.array_position(f"_{name}", value).cast("int")
+            spot = F.when(at > 0, F.struct(F.col("_row").alias("row"), at.alias("pos")))
+            firsts.append(F.struct(F.min(spot).over(W.partitionBy(run)).alias("first"), F.lit(value).alias("value")))
+        return F.array(*firsts)
 
-def _running(marked: DataFrame, run: str, order: str, frame, kept: list[str]) -> DataFrame:
-    """Lists grow only where a value is new to its run, so frames stay as small as the sets."""
-    through = W.partitionBy(run).orderBy(order)
-    out = marked.withColumn("_row", F.row_number().over(through))
-    for name in ("_notes", "_scripts", "_structures"):
-        # The first row of each value in its run; at most a handful of values exist.
-        values = out.select(run, F.col("_row").alias("_at"), F.posexplode(name).alias("_pos", "_value"))
-        firsts = values.groupBy(run, "_value").agg(F.min(F.struct("_at", "_pos")).alias("_first"))
-        listed = firsts.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("_first", "_value"))).alias("_all"))
-        cap = 6 if name == "_notes" else 8
-        out = out.join(listed, run, "left")
-        before = F.filter(F.col("_all"), lambda x: x["_first"]["_at"] < F.col("_row"))
-        out = out.withColumn(
-            f"seen{name}",
-            F.coalesce(F.slice(F.transform(before, lambda x: x["_value"]), 1, cap), F.array().cast("array<string>")),
-        ).drop("_all")
-    return out.select(
-        *kept,
-        F.coalesce(F.sum("_live").over(frame), F.lit(0)).alias("observed_pages"),
-        F.coalesce(F.first("_paragraph", ignorenulls=True).over(frame), F.lit("")).alias("paragraph_style"),
-        F.coalesce(F.first("_heading", ignorenulls=True).over(frame), F.lit("")).alias("heading_style"),
-        F.coalesce(F.first("_marker", ignorenulls=True).over(frame), F.lit("")).alias("page_marker_style"),
-        F.col("seen_notes").alias("layout_notes"),
-        F.col("seen_scripts").alias("encountered_scripts"),
-        F.col("seen_structures").alias("encountered_structures"),
-        F.coalesce(F.last("_recent", ignorenulls=True).over(frame), F.lit("")).alias("recent_text_excerpt"),
+    def shown(name: str) -> Column:
+        earlier = F.filter(first_places(name), lambda x: x["first"]["row"] < F.col("_row"))
+        return F.slice(F.transform(F.array_sort(earlier), lambda x: x["value"]), 1, STATE_LISTS[name][1])
+
+    def first(column: str) -> Column:
+        return F.coalesce(F.first(column, ignorenulls=True).over(before), F.lit(""))
+
+    return placed.select(
+        *chunks.columns,
+        F.coalesce(F.sum("_live").over(before), F.lit(0)).alias("observed_pages"),
+        first("_paragraph").alias("paragraph_style"),
+        first("_heading").alias("heading_style"),
+        first("_marker").alias("page_marker_style"),
+        shown("notes").alias("layout_notes"),
+        shown("scripts").alias("encountered_scripts"),
+        shown("structures").alias("encountered_structures"),
+        F.coalesce(F.last("_recent", ignorenulls=True).over(before), F.lit("")).alias("recent_text_excerpt"),
     )
 
 
@@ -108,24 +111,41 @@ def allocate_texts(blocks: DataFrame, segments: DataFrame, page: str = "page") -
     """Blocks with `extracted_text`: the n-th segment of a page goes to its n-th block of that sort.
 
     CSV segments go to table blocks, others to blocks that are neither tables, figures nor
-    separators; what is left over of the others is appended to the last such block.
+    separators; what is left over of the others is appended to the last such block. Blocks and
+    segments of a page meet as two arrays, in one join; a page has few of either.
     """
-    takes = ~F.col("role").isin("separator-region", "figure-region")
-    ranked = blocks.withColumn(
-        "_sort", F.when(takes & (F.col("role") == "table-region"), "csv").when(takes, "prose")
-    ).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(page, "_sort").orderBy("reading_order"))
-    ).withColumn("_of", F.count(F.lit(1)).over(W.partitionBy(page, "_sort")))
-    pieces = segments.withColumn("_sort", F.when(F.col("segment").startswith("```csv"), "csv").otherwise("prose"))
-    pieces = pieces.withColumn("_rank", F.row_number().over(W.partitionBy(page, "_sort").orderBy("pos")))
-    slots = ranked.groupBy(page, "_sort").agg(F.max("_of").alias("_slots"))
-    dealt = pieces.join(slots, [page, "_sort"]).where((F.col("_sort") == "prose") | (F.col("_rank") <= F.col("_slots")))
-    dealt = dealt.withColumn("_to", F.least("_rank", "_slots"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "segment"))), lambda x: x["segment"])
-    texts = dealt.groupBy(page, "_sort", F.col("_to").alias("_rank")).agg(F.array_join(listed, "\n\n").alias("extracted_text"))
-    return ranked.join(texts, [page, "_sort", "_rank"], "left").withColumn(
-        "extracted_text", F.coalesce("extracted_text", F.when(F.col("_sort") == "prose", ""))
-    ).drop("_sort", "_rank", "_of")
+    held = [c for c in blocks.columns if c != page]
+    pages = blocks.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("reading_order", F.struct(*held).alias("block")))).alias("_blocks"))
+    texts = segments.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("pos", "segment"))).alias("_segments"))
+
+    def sort_of(role: Column) -> Column:
+        return F.when(role == "table-region", "csv").when(~role.isin("separator-region", "figure-region"), "prose")
+
+    def orders(sort: str) -> Column:
+        own = F.filter("_blocks", lambda b: sort_of(b["block"]["role"]) == sort)
+        return F.transform(own, lambda b: b["reading_order"])
+
+    joined = pages.join(texts, page, "left").select(
+        page, "_blocks", orders("csv").alias("_csv_at"), orders("prose").alias("_prose_at"),
+        *[
+            F.coalesce(
+                F.transform(F.filter("_segments", lambda x: x["segment"].startswith("```csv") == csv), lambda x: x["segment"]),
+                F.array().cast("array<string>"),
+            ).alias(name)
+            for name, csv in (("_csv", True), ("_prose", False))
+        ],
+    )
+
+    def text_of_block(b: Column) -> Column:
+        at = F.array_position("_prose_at", b["reading_order"]).cast("int")
+        rest = F.slice("_prose", at, F.greatest(F.size("_prose") - at + 1, F.lit(0)))
+        prose = F.when(at < F.size("_prose_at"), F.coalesce(F.get("_prose", at - 1), F.lit(""))).otherwise(F.array_join(rest, "\n\n"))
+        table = F.get("_csv", F.array_position("_csv_at", b["reading_order"]).cast("int") - 1)
+        sort = sort_of(b["block"]["role"])
+        return F.when(sort == "csv", table).when(sort == "prose", prose)
+
+    filled = F.transform("_blocks", lambda b: F.struct(b["block"].alias("block"), text_of_block(b).alias("extracted_text")))
+    return joined.select(page, F.inline(filled)).select(page, "block.*", "extracted_text").select(*blocks.columns, "extracted_text")
 
 
 def asset_label(label: Column) -> Column:

@@ -73,8 +73,7 @@ def split_chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
     )
 
 
-def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = CHUNK_CHARS) -> DataFrame:
-    """(key, chunk_index from 1, chunk)."""
-    return docs.select(key, F.posexplode(split_chunks(F.col(text), limit)).alias("chunk_index", "chunk")).withColumn(
-        "chunk_index", F.col("chunk_index") + 1
-    )
+def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = CHUNK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, chunk_index from 1, chunk)."""
+    chunks = docs.select(key, *carry, F.posexplode(split_chunks(F.col(text), limit)).alias("chunk_index", "chunk"))
+    return chunks.withColumn("chunk_index", F.col("chunk_index") + 1)

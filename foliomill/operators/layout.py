@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 MAX_BLOCKS = 120
 
 
@@ -231,14 +233,26 @@ def suppress_overlaps(boxes: np.ndarray, most: float = 0.40) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def dedupe_boxes(blocks: DataFrame, page: str = "page") -> DataFrame:
-    """Blocks left after greedy overlap suppression on each page."""
+def dedupe_boxes(blocks: DataFrame, page: str = "page", most: float = 0.40) -> DataFrame:
+    """Blocks left after greedy overlap suppression on each page, largest first.
+
+    The boxes of a page are few, so they are folded in one array, without a window or Python.
+    """
+    sizes = ((_c("right") - _c("left")).cast("long") * (_c("bottom") - _c("top"))).alias("size")
+    listed = F.array_sort(F.collect_list(F.struct((-sizes).alias("rank"), "top", "left", "right", "bottom", F.struct(*blocks.columns).alias("row"))))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["top", "left", "right", "bottom"], kind="stable").reset_index(drop=True)
-        return rows.iloc[suppress_overlaps(rows[["left", "top", "right", "bottom"]].to_numpy(np.int64))]
+    def overlaps(a: Column, b: Column) -> Column:
+        w = F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"])
+        h = F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"])
+        smaller = F.greatest(F.least(-a["rank"], -b["rank"]), F.lit(1))
+        return (w > 0) & (h > 0) & (w.cast("long") * h / smaller > most)
 
-    return blocks.groupBy(page).applyInPandas(run, blocks.schema)
+    boxes = blocks.groupBy(page).agg(listed.alias("boxes"))
+    none = F.slice("boxes", 1, 0)
+    kept = F.aggregate(
+        "boxes", none, lambda done, b: F.when(F.exists(done, lambda a: overlaps(a, b)), done).otherwise(F.concat(done, F.array(b)))
+    )
+    return boxes.select(F.inline(kept)).select("row.*")
 
 
 def grid_boxes(gray: np.ndarray, kind: str = "Book") -> np.ndarray:
@@ -297,32 +311,70 @@ def native_blocks(pages: DataFrame, kind: str = "Book") -> DataFrame:
     return pages.select("page", "width", "height", "gray").mapInPandas(run, schema)
 
 
+# Fixed value: the role that united blocks take, if any of them has it, the first of these.
+MERGED_ROLES = ("table-region", "figure-region", "title-region", "running-header-or-footer")
+
+
 def merge_blocks(blocks: DataFrame, merges: DataFrame, page: str = "page") -> DataFrame:
-    """Blocks with merge lists (page, a, b) contracted: boxes united, roles by priority, order renewed."""
-    names = [page, "block", "role", "left", "top", "right", "bottom", "confidence"]
-    priority = ["table-region", "figure-region", "title-region", "running-header-or-footer"]
-
-    def run(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        parent = {b: b for b in [*pairs["a"], *pairs["b"]]}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in zip(pairs["a"], pairs["b"]):
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-        group = [root(b) if b in parent else b for b in rows["block"]]
-        out = []
-        for _, part in rows.groupby(group, sort=True):
-            role = next((r for r in priority if r in set(part["role"])), "text-region") if len(part) > 1 else part["role"].iloc[0]
-            out.append((key[0], part["block"].min(), role, part["left"].min(), part["top"].min(), part["right"].max(), part["bottom"].max(), part["confidence"].max()))
-        made = pd.DataFrame(out, columns=names).sort_values("block")
-        made["block"] = range(1, len(made) + 1)
-        return made
-
-    schema = f"{page} bigint, block int, role string, left int, top int, right int, bottom int, confidence double"
-    return blocks.select(names).groupBy(page).cogroup(merges.groupBy(page)).applyInPandas(run, schema)
+    """Blocks with merge lists (page, a, b) contracted: boxes united, roles by priority, order renewed.
+
+    A page's blocks and pairs meet as two arrays; each pair in turn gives both of its groups the
+    smaller name.
+    """
+    held = ["block", "role", "left", "top", "right", "bottom", "confidence"]
+    pages = blocks.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("rows"))
+    pairs = merges.groupBy(page).agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    both = pages.join(pairs, page, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<a:int,b:int>>")))
+    members = F.array_union(
+        F.transform("rows", lambda r: r["block"].cast("int")),
+        F.flatten(F.transform("pairs", lambda p: F.array(p["a"].cast("int"), p["b"].cast("int")))),
+    )
+    start = F.transform(members, lambda m: F.struct(m.alias("block"), m.alias("name")))
+
+    def joined(names: Column, pair: Column) -> Column:
+        def name(member: Column) -> Column:
+            return F.filter(names, lambda x: x["block"] == member)[0]["name"]
+
+        return let(
+            F.struct(name(pair["a"]).alias("a"), name(pair["b"]).alias("b")),
+            lambda n: F.transform(
+                names,
+                lambda x: F.struct(
+                    x["block"].alias("block"),
+                    F.when(x["name"] == F.greatest(n["a"], n["b"]), F.least(n["a"], n["b"])).otherwise(x["name"]).alias("name"),
+                ),
+            ),
+        )
+
+    named = both.withColumn("names", F.aggregate("pairs", start, joined))
+
+    def name_of(r: Column) -> Column:
+        return F.filter("names", lambda x: x["block"] == r["block"])[0]["name"]
+
+    grouped = F.transform("rows", lambda r: F.struct(name_of(r).alias("name"), r.alias("row")))
+
+    def united(name: Column) -> Column:
+        def of(part: Column) -> Column:
+            def best(f, column: str) -> Column:
+                return f(F.transform(part, lambda x: x["row"][column])).alias(column)
+
+            roles = F.transform(part, lambda x: x["row"]["role"])
+            role = F.lit("text-region")
+            for known in reversed(MERGED_ROLES):
+                role = F.when(F.array_contains(roles, known), known).otherwise(role)
+            return F.struct(
+                best(F.array_min, "block"), F.when(F.size(part) > 1, role).otherwise(roles[0]).alias("role"),
+                best(F.array_min, "left"), best(F.array_min, "top"), best(F.array_max, "right"), best(F.array_max, "bottom"),
+                best(F.array_max, "confidence"),
+            )
+
+        return let(F.filter("grouped", lambda x: x["name"] == name), of)
+
+    made = named.withColumn("grouped", grouped).withColumn(
+        "made", F.array_sort(F.transform(F.array_distinct(F.transform("grouped", lambda x: x["name"])), united))
+    )
+    numbered = F.transform("made", lambda x, i: x.withField("block", (i + 1).cast("int")))
+    return made.select(page, F.inline(numbered))
 
 
 # Roles that other engines give, and the confidence assumed where they give none.

@@ -99,10 +99,13 @@ def number_sources(parts: list[DataFrame], order: list[str]) -> DataFrame:
     """Sources of several inputs together, in order, as S1, S2 and so on.
 
     Numbers are row counts before each range partition plus the place inside it, so no task holds
-    all rows.
+    all rows. The partitions are written to the checkpoint folder first, where there is one, so that
+    counting and numbering see the same rows in the same places, whatever executors are lost.
     """
     both = reduce(DataFrame.unionByName, [p.withColumn("_input", F.lit(n)) for n, p in enumerate(parts)])
     ranged = both.repartitionByRange(F.col("_input"), *[F.col(o) for o in order]).sortWithinPartitions("_input", *order)
+    if ranged.sparkSession.sparkContext.getCheckpointDir():
+        ranged = ranged.checkpoint()
     placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
     # One row for each partition: bounded by their number.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,29 +62,45 @@ def overlay() -> Column:
     )
 
 
-def block_maps(blocks: DataFrame, page: str = "page") -> DataFrame:
-    """(page, map): a small character raster of each page; later blocks cover earlier ones."""
-    marks = {"text-region": "t", "title-region": "T", "table-region": "#", "figure-region": "F", "chart-region": "C", "running-header-or-footer": "-"}
-    spots = F.transform(
-        F.array_sort(F.collect_list(F.struct("reading_order", "left", "top", "right", "bottom", "page_width", "page_height", "role"))), lambda x: x
-    )
+# The character of each role on a block map; other roles are dots.
+MARKS = {"text-region": "t", "title-region": "T", "table-region": "#", "figure-region": "F", "chart-region": "C", "running-header-or-footer": "-"}
 
-    @F.pandas_udf("string")
-    def draw(pages: pd.Series) -> pd.Series:
-        out = []
-        for found in pages:
-            grid = [[" "] * MAP_WIDTH for _ in range(MAP_HEIGHT)]
-            for b in found:
-                w, h = max(b["page_width"], 1), max(b["page_height"], 1)
-                x0, x1 = b["left"] * MAP_WIDTH // w, max(b["left"] * MAP_WIDTH // w + 1, -(-b["right"] * MAP_WIDTH // w))
-                y0, y1 = b["top"] * MAP_HEIGHT // h, max(b["top"] * MAP_HEIGHT // h + 1, -(-b["bottom"] * MAP_HEIGHT // h))
-                for y in range(max(y0, 0), min(y1, MAP_HEIGHT)):
-                    for x in range(max(x0, 0), min(x1, MAP_WIDTH)):
-                        grid[y][x] = marks.get(b["role"], ".")
-            out.append("\n".join("".join(r).rstrip() for r in grid))
-        return pd.Series(out)
-
-    return blocks.groupBy(page).agg(spots.alias("spots")).select(page, draw("spots").alias("map"))
+
+def block_maps(blocks: DataFrame, page: str = "page") -> DataFrame:
+    """(page, map): a small character raster of each page; later blocks cover earlier ones.
+
+    The cells of a block are found by expressions; many pages are drawn in one batch, a slice for
+    each block.
+    """
+    mark = F.lit(".")
+    for role, sign in MARKS.items():
+        mark = F.when(F.col("role") == role, sign).otherwise(mark)
+
+    def span(low: str, high: str, whole: str, cells: int) -> tuple[Column, Column]:
+        size = F.greatest(F.col(whole), F.lit(1))
+        first = F.floor(F.col(low) * cells / size)
+        last = F.greatest(first + 1, F.ceil(F.col(high) * cells / size))
+        return F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(cells)).cast("int")
+
+    (x0, x1), (y0, y1) = span("left", "right", "page_width", MAP_WIDTH), span("top", "bottom", "page_height", MAP_HEIGHT)
+    spot = F.struct("reading_order", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.ascii(mark).alias("mark"))
+    pages = blocks.groupBy(page).agg(F.array_sort(F.collect_list(spot)).alias("spots"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column("spots")
+            fields = [spots.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("x0", "x1", "y0", "y1", "mark")]
+            ends = np.cumsum([len(x) for x in spots.to_numpy(zero_copy_only=False)])
+            maps, at = [], 0
+            for end in ends.tolist():
+                grid = np.full((MAP_HEIGHT, MAP_WIDTH), ord(" "), np.uint8)
+                for i in range(at, end):
+                    grid[fields[2][i] : fields[3][i], fields[0][i] : fields[1][i]] = fields[4][i]
+                at = end
+                maps.append("\n".join(row.tobytes().decode().rstrip() for row in grid))
+            yield pa.RecordBatch.from_arrays([batch.column(page), pa.array(maps, pa.string())], [page, "map"])
+
+    return pages.mapInArrow(draw, f"{page} {pages.schema[page].dataType.simpleString()}, map string")
 
 
 def figure_score() -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.structure import page_profile
-from ..functions.text import PAGE_BREAK, ordered_distinct, strip
+from ..functions.text import PAGE_BREAK, strip
 
 
 def counts_map(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -28,21 +29,10 @@ def frequent(rows: DataFrame, keys: list[str], value: str, order: str, limit: in
     counted = named.groupBy(*keys, F.lower("shown").alias("low")).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("shown", "at").alias("shown")
     )
-    # The best of each key are kept by an aggregate, so that a key of very many values meets no sort.
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "low", "shown", "n"))), 1, limit)
-    repeated = counted.where(F.col("n") > 1)
-    return (
-        repeated.groupBy(*keys)
-        .agg(best.alias("best"))
-        .select(*keys, F.posexplode("best").alias("place", "x"))
-        .select(*keys, (F.col("place") + 1).alias("place"), F.col("x.shown").alias(value), F.col("x.n").alias("n"))
-    )
-
-
-def ordered_list(value: Column, order: Column, limit: int) -> Column:
-    """The first distinct values of a group, in order, case aside."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
-    return ordered_distinct(F.flatten(listed), limit)
+    # The planner keeps the best of each key in every task before the shuffle of this window.
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "low"))
+    best = counted.where(F.col("n") > 1).withColumn("place", place).where(F.col("place") <= limit)
+    return best.select(*keys, "place", F.col("shown").alias(value), "n")
 
 
 def with_profile(observed: DataFrame) -> DataFrame:
@@ -72,35 +62,76 @@ def layout_notes(columns: Column, flow: Column, counts: Column) -> Column:
 
 
 def layout_profile(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """For each document: flow counts, the dominant flow, most columns, and notes."""
-    flows = counts_map(pages, keys, "dominant_flow", "page_flow_counts")
-    tops = mode_of(pages, keys, "dominant_flow", "dominant_flow")
-    most = pages.groupBy(*keys).agg(F.greatest(F.lit(1), F.max("column_count")).alias("column_count_estimate"))
-    return flows.join(tops, keys).join(most, keys).withColumn(
+    """For each document: flow counts, the dominant flow, most columns, and notes; one pass over the pages."""
+    flows = pages.groupBy(*keys, "dominant_flow").agg(F.count(F.lit(1)).alias("n"), F.max("column_count").alias("most"))
+    entries = F.array_sort(F.collect_list(F.struct("dominant_flow", "n")))
+    profile = flows.groupBy(*keys).agg(
+        F.map_from_entries(entries).alias("page_flow_counts"),
+        F.max_by("dominant_flow", F.struct("n", "dominant_flow")).alias("dominant_flow"),
+        F.greatest(F.lit(1), F.max("most")).alias("column_count_estimate"),
+    )
+    return profile.withColumn(
         "notes", layout_notes(F.col("column_count_estimate"), F.col("dominant_flow"), F.col("page_flow_counts"))
     )
 
 
+#: Lists of a document and how many entries they have at most; distinct ones take a value once, case aside.
+DISTINCT_LISTS = {"title_candidates": 8, "section_headings": 24, "page_markers": 24, "contributors": 12, "publishers": 8}
+PLAIN_LISTS = {"contents_entries": 120, "footnotes": 120}
+
+
 def document_structure(observed: DataFrame, keys: list[str], order: str = "page_index") -> DataFrame:
-    """One row for each document, with the lists and counts of its pages, lists capped as documented."""
-    o = F.col(order)
+    """One row for each document, with the lists and counts of its pages, lists capped as documented.
 
-    def flat(name: str, limit: int) -> Column:
-        listed = F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.col(name).alias("v")))), lambda x: x["v"])
-        return F.slice(F.flatten(listed), 1, limit).alias(name)
-
-    return observed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("page_count_observed"),
-        ordered_list(F.col("title_candidates"), o, 8).alias("title_candidates"),
-        ordered_list(F.col("section_headings"), o, 24).alias("section_headings"),
-        ordered_list(F.array("page_marker"), o, 24).alias("page_markers"),
-        flat("contents_entries", 120),
-        flat("footnotes", 120),
-        ordered_list(F.col("contributors"), o, 12).alias("contributors"),
-        ordered_list(F.col("publishers"), o, 8).alias("publishers"),
-        F.count_if(F.size("table_rows") > 0).alias("table_block_count"),
-        F.count_if(F.size("chart_signals") > 0).alias("chart_block_count"),
+    The entries of all lists go through one aggregate, by document, list and value, and the first of
+    each list through one limited window, so that no row ever holds more than the capped lists, and
+    the pages are observed once. Pages are counted in the same aggregate, as a list without entries.
+    """
+    o = F.col(order)
+    at, none = o.cast("long"), F.lit("")
+
+    def row(kind: str, pos: Column, key: Column, a: Column, b: Column = none, c: Column = none) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), key.alias("key"), F.struct(at.alias("at"), pos.alias("pos"), a.alias("a"), b.alias("b"), c.alias("c")).alias("entry"),
+        )
+
+    def distinct(kind: str) -> Column:
+        values = F.array("page_marker") if kind == "page_markers" else F.col(kind)
+        shown = F.filter(F.transform(values, strip), lambda x: x != "")
+        return F.transform(shown, lambda x, i: row(kind, i, F.lower(x), x))
+
+    def plain(kind: str, *fields: str) -> Column:
+        capped = F.slice(F.col(kind), 1, PLAIN_LISTS[kind])
+        return F.transform(capped, lambda x, i: row(kind, i, F.concat_ws(":", at.cast("string"), i.cast("string")), *[x[f] for f in fields]))
+
+    rows = F.concat(
+        F.array(row("", F.lit(0), none, none)), *[distinct(k) for k in DISTINCT_LISTS],
+        plain("contents_entries", "title", "page", "raw"), plain("footnotes", "marker", "text"),
+    )
+    entries = (
+        observed.select(*keys, (F.size("table_rows") > 0).alias("t"), (F.size("chart_signals") > 0).alias("c"), F.explode(rows).alias("r"))
+        .groupBy(*keys, "r.kind", "r.key")
+        .agg(F.min("r.entry").alias("entry"), F.count(F.lit(1)).alias("pages"), F.count_if("t").alias("tables"), F.count_if("c").alias("charts"))
     )
+    limit = F.lit(1)
+    for kind, most in {**DISTINCT_LISTS, **PLAIN_LISTS}.items():
+        limit = F.when(F.col("kind") == kind, most).otherwise(limit)
+    place = F.row_number().over(W.partitionBy(*keys, "kind").orderBy("entry"))
+    first = entries.withColumn("place", place).where(F.col("place") <= max(PLAIN_LISTS.values())).where(F.col("place") <= limit)
+    grouped = first.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("kind", "place", "entry"))).alias("all"),
+        *[F.max(F.when(F.col("kind") == "", F.col(n))).alias(n) for n in ("pages", "tables", "charts")],
+    )
+
+    def listed(kind: str, shape) -> Column:
+        return F.transform(F.filter("all", lambda x: x["kind"] == kind), lambda x: shape(x["entry"])).alias(kind)
+
+    entry = listed("contents_entries", lambda e: F.struct(e["a"].alias("title"), e["b"].alias("page"), e["c"].alias("raw")))
+    note = listed("footnotes", lambda e: F.struct(e["a"].alias("marker"), e["b"].alias("text")))
+    return grouped.select(
+        *keys, F.col("pages").alias("page_count_observed"), *[listed(k, lambda e: e["a"]) for k in DISTINCT_LISTS], entry, note,
+        F.col("tables").alias("table_block_count"), F.col("charts").alias("chart_block_count"),
+    )
 
 
 def usage_totals(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,9 +17,11 @@ from ..operators.chunking import chunk_rows
 from . import providers
 
 
-def restore(docs: DataFrame, key: str = "doc_id", provider: str = "offline", instruction: str = "", retries: int = 1) -> DataFrame:
-    """A row for each chunk with its restored text, status, reason and usage."""
-    chunks = chunk_rows(docs, key).withColumn("prompt", F.concat(F.lit("SOURCE CHUNK\n"), F.col("chunk")))
+def restore(
+    docs: DataFrame, key: str = "doc_id", provider: str = "offline", instruction: str = "", retries: int = 1, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """A row for each chunk with its restored text, status, reason and usage, and carried columns."""
+    chunks = chunk_rows(docs, key, carry=carry).withColumn("prompt", F.concat(F.lit("SOURCE CHUNK\n"), F.col("chunk")))
     asked = providers.ask(chunks, provider, instruction=instruction, retries=retries)
     failed = F.col("error").isNotNull()
     reason = failure_reason(F.coalesce("reply", F.lit("")), F.col("error"), F.coalesce("usage.truncated", F.lit(False)), F.lit(False))
@@ -43,10 +45,7 @@ def documents(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def structure(docs: DataFrame, keys: list[str], kind: Column) -> DataFrame:
     """Document structure and layout profile of each key over its restored chunks."""
-    carried = docs.select("doc_id", *[k for k in keys if k != "doc_id"])
-    observed = observe_chunks(restore(docs), kind)
-    if set(keys) - {"doc_id"}:
-        observed = observed.join(carried, "doc_id")
+    observed = observe_chunks(restore(docs, carry=tuple(k for k in keys if k != "doc_id")), kind)
     profiled = rollup.with_profile(observed)
     return rollup.document_structure(profiled, keys, "chunk_index").join(rollup.layout_profile(profiled, keys), keys)
 

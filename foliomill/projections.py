@@ -23,10 +23,26 @@ TYPES = (
 )
 
 
+#: What one core reads at least before it is worth while to keep a table's own splits.
+SPLIT_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt over all cores, for projections that cost more than this shuffle.
+
+    A Parquet file is split by row groups only, so a small table has fewer tasks than there are cores,
+    often one. By the planner's estimate of its size, a table with `SPLIT_BYTES` or more for each core
+    has splits enough and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def keyed_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page_index, document_type, text): a keyword line before each document, its bars as slashes."""
     line = F.get(F.array(*map(F.lit, KEYWORD_LINES)), (F.col("doc_id") % len(KEYWORD_LINES)).cast("int"))

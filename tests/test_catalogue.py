@@ -8,14 +8,10 @@ import pytest
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Python group functions over thousands of tiny pages; they have tests of their own.
-SLOW = {"native_layout", "merge_blocks", "dedupe_boxes"}
-
-
 def _names():
     from foliomill import catalogue
 
-    return sorted(set(catalogue.queries()) - SLOW)
+    return sorted(catalogue.queries())
 
 
 @pytest.fixture(scope="module")

@@ -132,11 +132,17 @@ def test_replies(spark, reply, text, status):
     assert (got["failure_reason"] == T.BLANK_REASON) is (status == "blank")
 
 
-def test_lenient_values():
-    assert M.lenient_value('{"text": "a\\tb', "text") == "a\tb"
-    assert M.lenient_value('{"text": "', "text") is None
-    assert M.lenient_value('{"text": ""', "text") == ""
-    assert M.lenient_value("{}", "text") is None
+@pytest.mark.parametrize(
+    "reply, want",
+    [
+        ('{"text": "a\\tb', "a\tb"), ('{"text": "', None), ('{"text": ""', ""), ("{}", None), ('{"text" :\n "x\\\\", "y": "z"}', "x\\"),
+        ('{"text": "say \\"hi\\" \\/ \\q\\\\n"}', 'say "hi" / q\\n'), ('{"text": " open \\', "open"), ('{"text": "a" "text": "b"', "a"),
+        ('{"text": "' + "x\\n" * 20_000 + '", "e": }', "x\n" * 20_000),
+    ],
+)
+def test_lenient_values(spark, reply, want):
+    rows = spark.createDataFrame([(reply,)], "reply string")
+    assert rows.select(M.lenient_value(F.col("reply"), "text")).first()[0] == want
 
 
 def test_decisions(value):
