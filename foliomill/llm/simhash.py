@@ -48,9 +48,9 @@ BLOCKS = 5
 #: Rows of a bucket, or of one population count in it, that one task compares; larger ones are split.
 TILE_ROWS = 8192
 #: Rows of a tile inside a task.
-TILE = 1024
+TILE = 512
 #: Pairs of rows that are compared at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
