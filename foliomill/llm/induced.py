@@ -51,7 +51,7 @@ class Disk:
 
     def __init__(self, memory: int):
         self.memory = memory
-        self.piece = max(memory // 128, 1024)
+        self.piece = max(memory // 256, 1024)
         self.mapped = self.spilled = 0
 
     def array(self, n: int, dtype) -> np.ndarray:
@@ -61,7 +61,7 @@ class Disk:
         with tempfile.TemporaryFile() as file:
             file.truncate(size)
             self.mapped += size
-            return np.memmap(file, dtype, "r+", shape=(n,))
+            return np.asarray(np.memmap(file, dtype, "r+", shape=(n,)))
 
     def cuts(self, n: int) -> list[tuple[int, int]]:
         return [(a, min(a + self.piece, n)) for a in range(0, n, self.piece)]
@@ -77,6 +77,7 @@ class LaneQueue:
         self.file = None
 
     def push(self, lane: int, tuples: np.ndarray) -> None:
+        """Tuples seen as one number each."""
         self.fresh.setdefault(lane, []).append(tuples)
         self.held += tuples.nbytes
         if self.held > self.disk.memory // 4:
@@ -101,7 +102,7 @@ class LaneQueue:
     def _fresh(self, lane: int) -> np.ndarray:
         whole = np.concatenate(self.fresh.pop(lane))
         self.held -= whole.nbytes
-        return whole
+        return whole.view(PAIR)
 
     def drain(self, lane: int) -> Iterator[np.ndarray]:
         """Pieces of a lane in order, with what is pushed meanwhile; the lane is empty then."""
@@ -137,22 +138,22 @@ class RangeMin:
     """Least values over ranges (a, b] of one array."""
 
     def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        width = 1
-        while 2 * width <= len(values):
-            low = self.levels[-1]
-            self.levels.append(np.minimum(low[:-width], low[width:]))
-            width *= 2
+        n = self.n = len(values)
+        levels = np.empty((n.bit_length(), n), values.dtype)
+        levels[0] = values
+        for k in range(1, len(levels)):
+            half = 1 << (k - 1)
+            np.minimum(levels[k - 1, :-half], levels[k - 1, half:], out=levels[k, :-half])
+        self.flat = levels.ravel()
 
     def over(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        span = b - a
-        level = np.frexp(span.astype(np.float64))[1] - 1
-        out = np.full(len(a), FAR, np.int32)
-        for k in np.unique(level[span > 0]):
-            i = np.flatnonzero((level == k) & (span > 0))
-            table = self.levels[k]
-            out[i] = np.minimum(table[a[i] + 1], table[b[i] - (1 << int(k)) + 1])
-        return out
+        """FAR where a range is empty."""
+        some = b > a
+        span = np.where(some, b - a, 1)
+        level = np.frexp(span.astype(np.float64))[1].astype(np.int64) - 1
+        row = level * self.n
+        low = np.minimum(a + 1, self.n - 1)
+        return np.where(some, np.minimum(self.flat[row + low], self.flat[row + b - (1 << level) + 1]), FAR)
 
 
 class Scan:
@@ -188,7 +189,7 @@ class Scan:
         np.minimum(self.least, self_least, out=self.least)
         last = source[ends - 1]
         self.least[touched] = table.over(last, np.full(len(last), len(lcp) - 1))
-        made = pairs(at[source] - 1, np.where(low == FAR, 0, np.minimum(low, ENDLESS) + 1))
+        made = pairs(at[source] - 1, np.where(low == FAR, 0, np.minimum(low, ENDLESS) + 1)).view(np.int64)
         for lane, a, b in zip(touched.tolist(), starts, ends):
             self.queue.push(lane, made[a:b])
 
@@ -433,7 +434,7 @@ def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, lcp: np.ndar
             if last is None:
                 values[0] = 0
             up.spread(batch["at"], values)
-            larger.push(c, pairs(batch["at"], values))
+            larger.push(c, pairs(batch["at"], values).view(np.int64))
             last = highest[c] = int(batch["at"][-1])
         for a in range(int(bounds[c]), int(bounds[c + 1]), disk.piece):
             part = np.asarray(stars[a : min(a + disk.piece, int(bounds[c + 1]))])

@@ -149,3 +149,124 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert secrets.report(none).count() == 0
     assert pii.report(none).count() == 0
+
+
+def spans_of(row, kind):
+    return {tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",") if x.startswith(f"{kind}:")}
+
+
+def recall_and_precision(out, planted, kind):
+    found = {(r["doc_id"], *s) for r in out for s in spans_of(r, kind)}
+    return len(found & planted) / len(planted), len(found & planted) / max(len(found), 1)
+
+
+def secret_fixture(seed, n=1500):
+    """Texts with base secrets, held-out random strings without a keyword, and ordinary long tokens."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    said = "read input table number partition value count write output column reader handler service request order shipment".split()
+    strange = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(20, 40)))
+
+    def ordinary():
+        parts = [rng.choice(said) for _ in range(rng.randint(3, 5))]
+        joined = rng.choice(["_", "-", "/"]).join(parts) if rng.random() < 0.6 else parts[0] + "".join(x.title() for x in parts[1:])
+        return joined + rng.choice(["", "", str(rng.randint(1, 2030))])
+
+    texts, planted = [], set()
+    for i in range(n):
+        words = [rng.choice(said) for _ in range(rng.randint(5, 40))]
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randint(0, len(words)), ordinary())
+        text = " ".join(words)
+        if i % 5 == 0:
+            text += rng.choice([" password=", " api_key: ", " secret = "]) + strange()
+        elif i % 5 == 1:
+            s = strange()
+            planted.add((i, len(text) + 6, len(text) + 6 + len(s)))
+            text += " blob " + s + " end"
+        texts.append((i, text))
+    return texts, planted
+
+
+def test_unseen_secrets_are_found(spark):
+    for seed in (1, 2):
+        texts, planted = secret_fixture(seed)
+        out = secrets.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+        recall, precision = recall_and_precision(out, planted, "random")
+        print("random spans: recall", recall, "precision", precision, len(planted))
+        assert recall >= 0.9 and precision >= 0.95
+
+
+def test_secrets_need_no_number_of_samples(spark):
+    """With three base secrets in the corpus, or none, unseen strings are told from ordinary ones too."""
+    texts, planted = secret_fixture(3)
+    for most in (3, 0):
+        held = [i for i, t in texts if i % 5 == 0][:most]
+        few = [(i, t) for i, t in texts if i % 5 or i in held]
+        out = secrets.report(spark.createDataFrame(few, "doc_id bigint, text string")).collect()
+        recall, precision = recall_and_precision(out, planted, "random")
+        print("random spans with", most, "samples: recall", recall, "precision", precision)
+        assert recall >= 0.9 and precision >= 0.95
+
+
+def test_tokens_that_base_spans_touch_are_left(spark):
+    rng = random.Random(1)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(30))
+    texts = [f'very_long_settings_token="{value}" x', f"token={'a' * 60}.{value}", f"secret= {value}.{value}.{value}", f"x {value} y"]
+    texts += ["_".join(["read", "input", "table", "number"])] * 50
+    out = secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r["n_random"] for r in sorted(out, key=lambda r: r["doc_id"])[:4]] == [0, 0, 0, 1]
+
+
+def identifier_fixture(seed, n=3000):
+    """Texts with base identifiers, held-out ones of other shapes behind the same words, and numbers elsewhere."""
+    rng = random.Random(seed)
+    said = "read input table number partition value count write output column reader handler service".split()
+    leads = ["account holder", "please contact", "reachable under", "registered member", "customer file"]
+    texts, planted = [], set()
+    for i in range(n):
+        text = " ".join(rng.choice(said) for _ in range(rng.randint(3, 30)))
+        kind = i % 6
+        if kind in (0, 1):
+            text += f" {rng.choice(leads)} " + rng.choice([f"u{rng.randint(0, 10**6)}@mail.example.org", f"+1 (555) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}", f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7"])
+        elif kind == 2 and i % 12 == 2:
+            lead, s = rng.choice(leads), rng.choice(["CN-", "ID#", "M/"]) + str(rng.randint(10**6, 10**8))
+            planted.add((i, len(text) + len(lead) + 2, len(text) + len(lead) + 2 + len(s)))
+            text += f" {lead} {s}"
+        elif kind == 3:
+            text += f" {rng.choice(said)} {rng.choice(said)} part-{rng.randint(1000, 99999)}"
+        texts.append((i, text + " today"))
+    return texts, planted
+
+
+def test_unseen_identifiers_are_found(spark):
+    for seed in (1, 2):
+        texts, planted = identifier_fixture(seed)
+        out = pii.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+        recall, precision = recall_and_precision(out, planted, "ident")
+        print("ident spans: recall", recall, "precision", precision, len(planted))
+        assert recall >= 0.9 and precision >= 0.95
+
+
+def test_patterns_read_all_words_before_an_instance(spark):
+    long = "w" * 70
+    docs = [f"{long} {long} u{i}@mail.example.com" for i in range(30)] + [f"{long} {long} ID-1234567", f"x{long} {long} ID-1234567", f"{long}  {long}\t ID-7654321"]
+    out = pii.report(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()
+    assert [r["n_ident"] for r in sorted(out, key=lambda r: r["doc_id"])[30:]] == [1, 0, 1]
+
+
+def test_identifiers_by_row(spark):
+    lead = [(i, f"please write to account holder u{i}@mail.example.com today") for i in range(40)]
+    docs = [*lead, (7, "account holder ID-1234567"), (7, "nothing at all here"), (None, "account holder ID-1234567"), (None, "nothing"), (None, "account holder x")]
+    out = pii.report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(r["n_ident"] for r in out if r["doc_id"] == 7) == [0, 0, 1]
+    assert sorted(r["n_ident"] for r in out if r["doc_id"] is None) == [0, 0, 1]
+
+
+def test_screening_patterns_changes_no_result(spark, monkeypatch):
+    texts, _ = identifier_fixture(4, 1200)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    out = [sorted(map(tuple, pii.report(docs).collect()))]
+    monkeypatch.setattr(pii, "SCREEN", 1)
+    out.append(sorted(map(tuple, pii.report(docs).collect())))
+    assert out[0] == out[1]
