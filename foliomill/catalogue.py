@@ -151,8 +151,11 @@ def layout_confidence(s, d):
 
 @query
 def low_confidence_pages(s, d):
-    seen = X.observe(_keyed(s, d)).withColumn("confidence", X.layout_confidence(F.col("text"), F.col("role"), F.col("page_marker"), F.lit(False)))
-    return seen.where(F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) < 0.55).select("doc_id", "role", "confidence")
+    seen = X.observe(_keyed(s, d))
+    confidence = X.layout_confidence(F.col("text"), F.col("role"), F.col("page_marker"), F.lit(False))
+    rows = F.array(F.struct("doc_id", "role", confidence.alias("confidence")))
+    # Filtered inside the row: a filter on rows would be pushed below the observation and repeat it.
+    return seen.select(F.inline(F.filter(rows, lambda x: review.is_uncertain(x["confidence"]))))
 
 
 @query
@@ -325,9 +328,13 @@ def dedupe_boxes(s, d):
 
 @query
 def merge_blocks(s, d):
-    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
-    pairs = blocks.where(F.col("block") > 1).select("page", F.col("block").alias("a"), (F.col("block") - 2).alias("b")).where("b > 0")
-    return layout.merge_blocks(blocks.dropDuplicates(["page", "block"]), pairs).groupBy("page").agg(F.count(F.lit(1)).alias("blocks"))
+    """Every second block of a page united with the next one of its kind of number."""
+    blocks = layout.classify(P.distinct_boxes(table(s, d, "lineitem")))
+    pairs = blocks.where(F.col("block") > 2).select("page", F.col("block").alias("a"), (F.col("block") - 2).alias("b"))
+    out = layout.merge_blocks(blocks, pairs)
+    return out.groupBy("page").agg(
+        F.count(F.lit(1)).alias("blocks"), F.max(F.col("right") - F.col("left")).alias("widest"), F.max(F.col("bottom") - F.col("top")).alias("highest")
+    )
 
 
 @query
@@ -582,7 +589,7 @@ def usage_sentences(s, d):
 
 @query
 def layout_review(s, d):
-    return review.report(layout.classify(P.boxes(table(s, d, "lineitem")))).select("page", F.length("report").alias("chars"))
+    return review.report(layout.classify(P.boxes(table(s, d, "lineitem")))).select("page", F.md5("report").alias("digest"))
 
 
 @query
@@ -659,7 +666,7 @@ def restoration_prompts(s, d):
 
 @query
 def relabelled_blocks(s, d):
-    blocks = layout.classify(P.boxes(table(s, d, "lineitem"))).dropDuplicates(["page", "block"])
+    blocks = layout.classify(P.distinct_boxes(table(s, d, "lineitem")))
     names = F.get(F.array(*map(F.lit, ["photo", "noise", "unknown"])), (F.col("block") % 3).cast("int"))
     out = layout.relabel(blocks, blocks.select("page", "block", names.alias("new_role")))
     return out.groupBy("block").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("role") == "figure-region").alias("figures"))

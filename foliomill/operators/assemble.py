@@ -23,11 +23,16 @@ def priority_union(parts: list[DataFrame], keys: list[str] | None = None) -> Dat
 
 
 def concat_pages(rows: DataFrame, keys: list[str], order: str, text: str = "text", blanks: bool = False) -> DataFrame:
-    """The texts of each key joined by page breaks in order, blank ones dropped unless asked for."""
+    """The texts of each key joined by page breaks in order, blank ones dropped unless asked for.
+
+    Blank texts are left out of the lists, not filtered as rows: a filter would be pushed below the
+    projection that made the text, which would then be computed twice.
+    """
     clean = strip(F.col(text))
-    kept = rows if blanks else rows.where(clean != "")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), clean.alias("t")))), lambda x: x["t"])
-    return kept.groupBy(*keys).agg(F.array_join(listed, PAGE_BREAK).alias("text"))
+    page = F.struct(F.col(order).alias("o"), clean.alias("t"))
+    listed = F.array_sort(F.collect_list(page if blanks else F.when(clean != "", page)))
+    joined = rows.groupBy(*keys).agg(listed.alias("_pages")).where(F.size("_pages") > 0)
+    return joined.select(*keys, F.array_join(F.transform("_pages", lambda x: x["t"]), PAGE_BREAK).alias("text"))
 
 
 def retry_merge(base: DataFrame, retried: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

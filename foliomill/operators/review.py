@@ -20,13 +20,18 @@ STAGES = ("final", "translated", "restored")
 SUFFIXES = (".html", ".md", ".txt", ".json")
 
 
+def is_uncertain(confidence: Column, limit: float = LOW) -> Column:
+    """A missing or zero confidence counts as certain."""
+    return F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(1.0)) < limit
+
+
 def low_confidence(blocks: DataFrame, limit: float = LOW) -> DataFrame:
-    """Blocks under the limit; a missing or zero confidence counts as certain."""
-    return blocks.where(F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) < limit)
+    """Blocks under the limit."""
+    return blocks.where(is_uncertain(F.col("confidence"), limit))
 
 
 def counters(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    low = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) < LOW
+    low = is_uncertain(F.col("confidence"))
     return blocks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("nodes"),
         F.count_if(F.col("role") == "table-region").alias("tables"),

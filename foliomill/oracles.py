@@ -25,18 +25,40 @@ _MARKER = r"'^(page\s*)?[ivxlcdm\d]+$'"
 _KEYED = f"""k AS (
   SELECT doc_id, CAST(doc_id % 7 AS INT) AS page_index, lang, source,
     ({_list(TYPES)})[CAST(doc_id // {len(KEYWORD_LINES)} % {len(TYPES)} AS INT) + 1] AS document_type,
-    ({_list(KEYWORD_LINES)})[CAST(doc_id % {len(KEYWORD_LINES)} AS INT) + 1] || chr(10) || replace(coalesce(text, ''), '|', '/') AS text
+    ({_list(KEYWORD_LINES)})[CAST(doc_id % {len(KEYWORD_LINES)} AS INT) + 1] || chr(10) || coalesce(text, '') AS text
   FROM documents
-), l AS (
-  SELECT *, {_lines('text')} AS ls FROM k
 )"""
+_LINED = f"l AS (SELECT *, {_lines('text')} AS ls FROM k)"
 _NUMBER = r"'\b\d+(\.\d+)?%?\b'"
-# The pages hold no bars or wide gaps after their first line, so no page of them has table rows.
-_OBSERVED = rf"""{_KEYED}, o AS (
+
+
+def _collapse(x: str) -> str:
+    return rf"regexp_replace({_strip(x)}, '\s+', ' ', 'g')"
+
+
+def _body_line(x: str) -> str:
+    words = rf"len(regexp_extract_all({x}, '[A-Za-z]+'))"
+    return rf"""({words} >= 4 AND ((length({x}) > 95 AND NOT regexp_matches({x}, '\.{{2,}}|\s{{2,}}|[|:]-?\s*')) OR regexp_matches({x}, '[.!?]\s+[A-Z]')
+      OR ({words} >= 8 AND regexp_matches({x}, '\b(and|or|but|the|this|that|with|from|into|upon|which)\b', 'i'))))"""
+
+
+def _contents_head(x: str) -> str:
+    return f"(starts_with(lower({x}), 'contents') OR starts_with(lower({x}), 'table of contents'))"
+
+
+_CELLS = rf"""list_filter(list_transform(CASE WHEN contains(x, '|') THEN string_split(x, '|') WHEN regexp_matches(x, '\s{{2,}}') THEN string_split_regex(x, '\s{{2,}}') ELSE [] END,
+      lambda y: {_strip('y')}), lambda y: y <> '')"""
+# A line that could be a table's row.
+_ROW = rf"""(length({_collapse('x')}) BETWEEN 3 AND 220 AND NOT {_contents_head(_collapse('x'))} AND len({_CELLS}) >= 2
+      AND (len({_CELLS}) >= 3 OR len(list_filter({_CELLS}, lambda y: regexp_matches(y, '\d'))) > 0) AND NOT {_body_line(_collapse('x'))})"""
+_OBSERVE = rf"""o AS (
   SELECT *, len(ls) AS n, lower(array_to_string(ls[1:40], chr(10))) AS low, lower(ls[1]) AS first_low, ls[1] AS first,
     lower(array_to_string(ls[1:120], chr(10))) AS low120, lower(array_to_string(ls[1:8], chr(10))) AS low8, lower(array_to_string(ls[1:6], chr(10))) AS low6,
     array_to_string(ls[1:8], chr(10)) AS head8, lower(document_type) AS kind,
-    len(list_filter(ls[1:120], lambda x: regexp_matches(x, {_NUMBER}))) >= 4 AS numbers
+    len(list_filter(ls[1:120], lambda x: regexp_matches(x, {_NUMBER}))) >= 4 AS numbers,
+    len(ls) >= 2 AND len(list_filter(ls[1:120], lambda x: {_ROW})) > 0 AS tabular,
+    len(list_filter(ls[1:80], lambda x: regexp_matches(x, '\S\s{{4,}}\S'))) >= 2 AS spaced,
+    len(list_filter(ls, lambda x: contains(lower(x), '[image:'))) > 0 AS pictured
   FROM l
 ), s AS (
   SELECT *, {_has('low120', 'chart|graph|plot|diagram|figure|axis|legend|trend|bar|line chart|pie chart')}
@@ -46,6 +68,7 @@ _OBSERVED = rf"""{_KEYED}, o AS (
   SELECT *, CASE
     WHEN contains(low, 'contents') THEN 'contents'
     WHEN charted AND n <= 60 AND {_has('low', 'chart|graph|plot|diagram|axis|legend')} THEN 'chart'
+    WHEN tabular AND n <= 80 THEN 'table'
     WHEN regexp_matches(low, 'preface|foreword') THEN 'preface'
     WHEN contains(first_low, 'abstract') OR first_low = 'summary' THEN 'abstract'
     WHEN {_has('low', 'references|bibliography|works cited')} THEN CASE WHEN kind = 'journal article' THEN 'references' ELSE 'bibliography' END
@@ -59,6 +82,7 @@ _OBSERVED = rf"""{_KEYED}, o AS (
     WHEN kind = 'magazine' AND {_has('low', 'advertisement|advertiser|classified')} THEN 'advertisement'
     WHEN kind = 'magazine' AND {_has('low', 'sidebar|box item')} THEN 'sidebar'
     WHEN kind = 'magazine' AND {_has('low', 'caption|photo|illustration|plate')} THEN 'caption'
+    WHEN kind = 'magazine' AND spaced THEN 'multi-column'
     WHEN kind = 'magazine' AND length(first) <= 80 AND first = upper(first) AND n <= 25 THEN 'article'
     WHEN kind = 'newspaper' AND {_has('low', 'classifieds?|wanted|for sale|tenders?')} THEN 'classifieds'
     WHEN kind = 'newspaper' AND {_has('low', 'advertisement|advertiser')} THEN 'advertisement'
@@ -66,6 +90,7 @@ _OBSERVED = rf"""{_KEYED}, o AS (
     WHEN kind = 'newspaper' AND regexp_matches(first, '^[A-Z][A-Z .,''-]{{6,}}$') THEN 'headline'
     WHEN kind = 'newspaper' AND {_has('low8', 'by|from our correspondent|staff reporter')} THEN 'byline'
     WHEN kind = 'newspaper' AND regexp_matches(head8, '\b[A-Z][a-z]+,\s+[A-Z][a-z]+\.?\s+\d{{1,2}}\b') THEN 'dateline'
+    WHEN kind = 'newspaper' AND spaced THEN 'multi-column'
     WHEN kind = 'manuscript' AND ({_has('low', r'folio|fol\.|recto|verso')} OR regexp_matches(first, '^(f\.?\s*)?\d+[rv]$', 'i')) THEN 'folio'
     WHEN kind = 'manuscript' AND {_has('low', 'marginalia|margin note|in margin')} THEN 'marginalia'
     WHEN kind = 'manuscript' AND {_has('low', 'correction|inserted|deleted|interlineation')} THEN 'correction'
@@ -94,19 +119,96 @@ _OBSERVED = rf"""{_KEYED}, o AS (
     WHEN kind = 'healthcare document' AND {_has('low', 'patient|hospital|clinic|report|diagnosis|prescription')} THEN CASE WHEN n <= 10 THEN 'title' ELSE 'findings' END
     WHEN kind = 'healthcare document' AND {_has('low', 'medication|dose|dosage|treatment|instructions')} THEN 'medications'
     WHEN kind = 'insurance document' AND {_has('low', 'policy|coverage|claim|premium|exclusion|benefit')} THEN CASE WHEN n <= 10 THEN 'policy' ELSE 'coverage' END
+    WHEN tabular THEN 'table'
     WHEN charted THEN 'chart'
-    WHEN len(list_filter(ls, lambda x: contains(lower(x), '[image:'))) > 0 THEN 'illustrated'
+    WHEN pictured THEN 'illustrated'
     ELSE 'body' END AS role0
   FROM s
 ), tl AS (
   SELECT *, list_filter(ls, lambda x: NOT regexp_matches(x, {_MARKER}, 'i')) AS ts FROM r0
 ), r AS (
   SELECT *, CASE
-    WHEN role0 = 'body' AND page_index <= 2 AND n > 0 AND n <= 18 AND NOT charted
+    WHEN role0 = 'body' AND page_index <= 2 AND n > 0 AND n <= 18 AND NOT charted AND NOT tabular
       AND len(list_filter(ts, lambda x: length(x) BETWEEN 4 AND 120 AND x = upper(x))) > 0
       AND (len(ts) <= 10 OR len(list_filter(ts, lambda x: regexp_matches(x, '\b(by|author|editor|translated by)\b', 'i'))) > 0)
     THEN 'title' ELSE role0 END AS role FROM tl
 )"""
+_OBSERVED = f"{_KEYED}, {_LINED}, {_OBSERVE}"
+_LEADING = r"'^(.+?)\s*(?:\.{2,}|\s{2,}|[|:]\s*|-\s+)\s*([ivxlcdm\d]+)$'"
+_TRAILING = r"'^([ivxlcdm\d]+)\s+(.+?)$'"
+# What pages hold besides their role: entries, notes, features, layout and flow.
+_FEATURE = rf"""e0 AS (
+  SELECT *, list_filter(list_transform(ls[1:120], lambda x: {{'raw': x, 'one': {_collapse('x')}}}), lambda x: length(x.one) BETWEEN 3 AND 180
+      AND NOT regexp_matches(x.one, {_MARKER}, 'i') AND NOT {_contents_head('x.one')} AND NOT {_body_line('x.one')}) AS lead FROM r
+), e1 AS (
+  SELECT *, list_filter(list_transform(lead, lambda x: {{
+      'title': regexp_replace(CASE WHEN regexp_matches(x.one, {_LEADING}, 'i') THEN regexp_extract(x.one, {_LEADING}, 1, 'i') ELSE regexp_extract(x.one, {_TRAILING}, 2, 'i') END, '^[ .\-]+|[ .\-]+$', '', 'g'),
+      'page': CASE WHEN regexp_matches(x.one, {_LEADING}, 'i') THEN regexp_extract(x.one, {_LEADING}, 2, 'i') ELSE regexp_extract(x.one, {_TRAILING}, 1, 'i') END, 'raw': x.raw}}),
+      lambda e: length(e.title) BETWEEN 2 AND 140 AND e.page <> '' AND NOT regexp_matches(e.title, {_MARKER}, 'i'))[1:80] AS entries,
+    list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\s*(\*+|\d+|[a-z])[).:\]]\s+(.+)$', 'i')), lambda x: {{
+      'marker': regexp_extract(x, '^\s*(\*+|\d+|[a-z])[).:\]]\s+(.+)$', 1, 'i'), 'text': {_strip(r"regexp_extract(x, '^\s*(\*+|\d+|[a-z])[).:\]]\s+(.+)$', 2, 'i')")}}}),
+      lambda x: length(x.text) > 8)[1:40] AS notes,
+    lower(array_to_string(ls[1:100], chr(10))) AS low100,
+    regexp_matches(array_to_string(ls[1:80], chr(10)), '\S\s{{6,}}\S') AS wide,
+    round_even(coalesce(list_sum(list_transform(ls[1:80], lambda x: length(x))), 0) / greatest(len(ls[1:80]), 1)::DOUBLE, 1) AS mean FROM e0
+), e2 AS (
+  SELECT *, list_filter([
+      CASE WHEN spaced THEN 'multi_column' END, CASE WHEN pictured THEN 'figure_marker' END, CASE WHEN len(entries) > 0 THEN 'contents_entries' END,
+      CASE WHEN len(notes) > 0 THEN 'footnotes' END, CASE WHEN {_has('low100', 'by|from our correspondent|staff reporter')} THEN 'byline' END,
+      CASE WHEN {_has('low100', 'advertisement|classifieds?|wanted|for sale')} THEN 'advertising' END,
+      CASE WHEN {_has('low100', 'caption|photo|illustration|figure|plate|map')} THEN 'visual_reference' END, CASE WHEN wide THEN 'table_or_columns' END,
+      CASE WHEN tabular THEN 'table_rows' END, CASE WHEN charted THEN 'chart_candidate' END,
+      CASE WHEN role IN ('marginalia', 'annotation', 'correction', 'folio') OR kind = 'manuscript' THEN 'manuscript_layout' END], lambda x: x IS NOT NULL) AS features,
+    CASE WHEN tabular OR role = 'table' THEN 'tabular' WHEN charted OR role = 'chart' THEN 'chart-led' WHEN spaced THEN 'multi-column'
+      WHEN role IN ('contents', 'references', 'bibliography', 'index', 'classifieds') THEN 'list-like' WHEN role IN ('folio', 'marginalia', 'lineated-text') THEN 'lineated'
+      WHEN wide THEN 'tabular-or-columnar' ELSE 'single-flow' END AS layout,
+    coalesce(list_filter(list_concat(ls[1:12], ls[greatest(len(ls) - 5, 1):]), lambda x: regexp_matches(x, {_MARKER}, 'i'))[1], '') AS marker FROM e1
+), e3 AS (
+  SELECT *, spaced OR layout = 'multi-column' AS multi, role IN ('table', 'chart') OR tabular AS tabled FROM e2
+), e4 AS (
+  SELECT *, CASE WHEN multi THEN 'multi-column' WHEN tabled THEN CASE WHEN role = 'chart' THEN 'chart-led' ELSE 'tabular' END WHEN wide THEN 'tabular'
+      WHEN role IN ('contents', 'references', 'bibliography', 'index') THEN 'structured-list' ELSE 'single-flow' END AS flow0,
+    CASE WHEN multi THEN 2 WHEN tabled THEN CASE WHEN role = 'chart' THEN 1 ELSE 2 END WHEN wide THEN CASE WHEN mean < 70 THEN 2 ELSE 3 END ELSE 1 END AS column_count FROM e3
+), f AS (
+  SELECT *, CASE WHEN role IN ('title', 'cover', 'cover-sheet') THEN 'front-matter' WHEN n >= 65 AND mean < 62 AND flow0 = 'single-flow' THEN 'dense-prose' ELSE flow0 END AS dominant_flow FROM e4
+)"""
+_FEATURED = f"{_OBSERVED}, {_FEATURE}"
+
+
+def _packed(items: str, keys: str, gap: int, name: str) -> str:
+    """Greedy packing of items (keys, i, s) in chunks of at most 5000 characters: CTEs `name` and its groups."""
+    same = " AND ".join(f"b.{k} = p.{k}" for k in keys.split(", "))
+    fits = f"(size + {gap} + length(b.s) <= 5000 AND length(b.s) <= 5000 AND size <= 5000)"
+    named = ", ".join(f"b.{k}" for k in keys.split(", "))
+    glue = " || ".join(["chr(10)"] * gap)
+    return f"""{name}({keys}, i, part, size) AS (
+  SELECT {keys}, i, 1, CAST(length(s) AS BIGINT) FROM {items} WHERE i = 1
+  UNION ALL SELECT {named}, b.i, CASE WHEN {fits} THEN part ELSE part + 1 END, CASE WHEN {fits} THEN size + {gap} + length(b.s) ELSE length(b.s) END
+  FROM {name} p JOIN {items} b ON {same} AND b.i = p.i + 1
+), {name}_g AS (SELECT {keys}, part, string_agg(s, {glue} ORDER BY i) AS s FROM {name} JOIN {items} USING ({keys}, i) GROUP BY ALL)"""
+
+
+_CHUNKS = rf"""t AS (SELECT doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
+blocks AS (SELECT doc_id, generate_subscripts(bs, 1) AS i, unnest(bs) AS s FROM (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> '') AS bs FROM t WHERE length(t) > 5000)),
+{_packed('blocks', 'doc_id', 2, 'pack')},
+long_lines AS (SELECT doc_id, part AS block, generate_subscripts(ls, 1) AS i, unnest(ls) AS s FROM (SELECT doc_id, part, {_lines('s')} AS ls FROM pack_g WHERE length(s) > 5000)),
+{_packed('long_lines', 'doc_id, block', 1, 'repack')},
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS chunk_index, s AS chunk FROM (
+  SELECT doc_id, 0 AS a, 0 AS b, t AS s FROM t WHERE t <> '' AND length(t) <= 5000
+  UNION ALL SELECT doc_id, part, 0, s FROM pack_g WHERE length(s) <= 5000 UNION ALL SELECT doc_id, block, part, s FROM repack_g))"""
+_META = r"'thinking\.\.\.|role:|task:|output requirements:|self-correction|wait,'"
+
+
+def _offline(x: str) -> str:
+    """The offline restoration of a text with plain line ends, without the line feed at its end."""
+    return _strip(rf"regexp_replace(regexp_replace(regexp_replace({x}, '-\n([A-Za-z])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_RESTORED = rf"""{_CHUNKS}, restored AS (
+  SELECT doc_id, chunk_index, chunk, CASE WHEN regexp_matches(lower(reply), {_META}) THEN {_strip('chunk')} ELSE reply END AS restored_text, regexp_matches(lower(reply), {_META}) AS meta
+  FROM (SELECT *, {_offline('chunk')} AS reply FROM chunks)
+)"""
 
 _BOXES = """b0 AS (
   SELECT l_orderkey AS page, l_linenumber AS block, CAST(l_partkey % 900 AS INT) AS "left", CAST(l_suppkey * 37 % 1400 AS INT) AS top,
@@ -146,6 +248,20 @@ _BOXES = """b0 AS (
   FROM b4 JOIN counted USING (page)
 )"""
 
+_SCORED = f"""{_BOXES}, s AS (
+  SELECT *, 0.52::DOUBLE + CASE
+    WHEN role IN ('text-region', 'title-region') THEN 0.18::DOUBLE + CASE WHEN ar BETWEEN 0.02 AND 0.45 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.03 AND 0.40 THEN 0.08::DOUBLE ELSE 0 END
+    WHEN role = 'figure-region' THEN 0.12::DOUBLE + CASE WHEN ar BETWEEN 0.04 AND 0.55 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.08 AND 0.62 THEN 0.06::DOUBLE ELSE 0 END
+    WHEN role IN ('chart-region', 'table-region') THEN 0.13::DOUBLE + CASE WHEN ar BETWEEN 0.03 AND 0.65 THEN 0.09::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.06 AND 0.68 THEN 0.05::DOUBLE ELSE 0 END
+    WHEN role = 'running-header-or-footer' THEN 0.08::DOUBLE + CASE WHEN wr > 0.55 AND hr < 0.10 THEN 0.10::DOUBLE ELSE 0 END
+    ELSE -0.05::DOUBLE END AS v FROM b4
+), z AS (
+  SELECT *, round_even(greatest(0.05::DOUBLE, least(v - CASE WHEN ar < 0.003 OR dark < 0.015 THEN 0.18::DOUBLE ELSE 0 END - CASE WHEN ar > 0.82 OR dark > 0.78 THEN 0.14::DOUBLE ELSE 0 END, 0.98::DOUBLE)), 2) AS c,
+    ("left" + "right") / 2 / 1000 AS x, (top + bottom) / 2 / 1500 AS y FROM s
+), sc AS (
+  SELECT *, concat_ws('-', CASE WHEN y < 0.33 THEN 'top' WHEN y > 0.67 THEN 'bottom' ELSE 'middle' END, CASE WHEN x < 0.33 THEN 'left' WHEN x > 0.67 THEN 'right' ELSE 'center' END) AS page_zone FROM z
+)"""
+
 _UNITS = """u AS (
   SELECT user_id AS run, event_id AS seq, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n, event_type,
     CASE WHEN event_type IN ('error', 'signup') THEN 'failed in ' || event_type ELSE '' END AS failure_reason
@@ -176,7 +292,7 @@ SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(regexp_replace(replace(re
     "page_lines": f"""
 SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, {_lines('text')} AS ls FROM documents)""",
     "page_markers_headings": rf"""
-WITH {_KEYED}, c AS (
+WITH {_KEYED}, {_LINED}, c AS (
   SELECT doc_id, ls, list_concat(ls[1:12], ls[greatest(len(ls) - 5, 1):]) AS ends,
     list_filter(list_transform(list_concat(ls[1:3], ls[greatest(len(ls) - 2, 1):]), lambda x: regexp_replace(x, '\s+', ' ', 'g')),
       lambda x: length(x) BETWEEN 4 AND 90 AND NOT regexp_matches(x, {_MARKER}, 'i')) AS heads FROM l
@@ -263,20 +379,7 @@ SELECT doc_id, md5(CASE WHEN n = 3 THEN '.' ELSE clean END) AS digest,
   CASE WHEN k = 4 THEN 'fallback' WHEN n < 3 AND clean = '' THEN 'blank' ELSE 'restored' END AS status,
   CASE WHEN k = 4 THEN 'model returned commentary instead of output' WHEN n < 3 AND clean = '' THEN 'blank page or no readable text' ELSE '' END AS failure_reason,
   CASE WHEN n < 3 THEN 'checked' WHEN k = 4 THEN 'fallback to source chunk because model returned commentary' ELSE '' END AS notes FROM m""",
-    "block_roles_confidence": f"""
-WITH {_BOXES}, s AS (
-  SELECT *, 0.52::DOUBLE + CASE
-    WHEN role IN ('text-region', 'title-region') THEN 0.18::DOUBLE + CASE WHEN ar BETWEEN 0.02 AND 0.45 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.03 AND 0.40 THEN 0.08::DOUBLE ELSE 0 END
-    WHEN role = 'figure-region' THEN 0.12::DOUBLE + CASE WHEN ar BETWEEN 0.04 AND 0.55 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.08 AND 0.62 THEN 0.06::DOUBLE ELSE 0 END
-    WHEN role IN ('chart-region', 'table-region') THEN 0.13::DOUBLE + CASE WHEN ar BETWEEN 0.03 AND 0.65 THEN 0.09::DOUBLE ELSE 0 END + CASE WHEN dark BETWEEN 0.06 AND 0.68 THEN 0.05::DOUBLE ELSE 0 END
-    WHEN role = 'running-header-or-footer' THEN 0.08::DOUBLE + CASE WHEN wr > 0.55 AND hr < 0.10 THEN 0.10::DOUBLE ELSE 0 END
-    ELSE -0.05::DOUBLE END AS v FROM b4
-), z AS (
-  SELECT *, v - CASE WHEN ar < 0.003 OR dark < 0.015 THEN 0.18::DOUBLE ELSE 0 END - CASE WHEN ar > 0.82 OR dark > 0.78 THEN 0.14::DOUBLE ELSE 0 END AS c,
-    ("left" + "right") / 2 / 1000 AS x, (top + bottom) / 2 / 1500 AS y FROM s
-)
-SELECT role, concat_ws('-', CASE WHEN y < 0.33 THEN 'top' WHEN y > 0.67 THEN 'bottom' ELSE 'middle' END, CASE WHEN x < 0.33 THEN 'left' WHEN x > 0.67 THEN 'right' ELSE 'center' END) AS page_zone,
-  round_even(greatest(0.05::DOUBLE, least(c, 0.98::DOUBLE)), 2) AS confidence, tabular AS table_signals, count(*) AS blocks FROM z GROUP BY ALL""",
+    "block_roles_confidence": f"WITH {_SCORED} SELECT role, page_zone, c AS confidence, tabular AS table_signals, count(*) AS blocks FROM sc GROUP BY ALL",
     "reading_order": f"WITH {_BOXES} SELECT page, max(reading_order) AS blocks, arg_min(top, reading_order) AS first_top, arg_max(top, reading_order) AS last_top FROM ordered WHERE reading_order <= 120 GROUP BY page",
     "column_estimate": f"WITH {_BOXES} SELECT columns, count(*) AS pages FROM counted GROUP BY ALL",
     "page_flow": f"""
@@ -404,4 +507,201 @@ SELECT source_index, CASE r WHEN 1 THEN 'translated' ELSE 'restored' END AS stag
     "run_state": f"WITH {_UNITS} SELECT run, event_type AS key, arg_max(n * 3, seq) AS value FROM u GROUP BY ALL",
     "run_manifests": "SELECT lang AS run, count(*) AS sources FROM documents GROUP BY lang",
     "fallback_titles": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM part",
+    "content_features": f"WITH {_FEATURED} SELECT doc_id, array_to_string(features, ',') AS features FROM f",
+    "layout_class": f"WITH {_FEATURED} SELECT layout, count(*) AS pages FROM f GROUP BY ALL",
+    "page_profile": f"WITH {_FEATURED} SELECT doc_id, dominant_flow, column_count, n AS line_count, mean AS avg_line_length FROM f",
+    "low_confidence_pages": rf"""
+WITH {_FEATURED}, c AS (
+  SELECT doc_id, role, 0.48::DOUBLE + CASE WHEN role IN ('title', 'contents', 'chapter', 'section', 'preface', 'abstract') THEN 0.18::DOUBLE ELSE 0 END
+    - CASE WHEN role IN ('marginalia', 'damaged') THEN 0.08::DOUBLE ELSE 0 END + least(length(text) / 1800.0::DOUBLE, 0.2::DOUBLE)
+    - CASE WHEN regexp_matches(lower(text), '\[unclear\]|\[missing text\]') THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN marker <> '' THEN 0.03::DOUBLE ELSE 0 END AS v FROM f
+), z AS (SELECT doc_id, role, round_even(greatest(0.05::DOUBLE, least(v, 0.99::DOUBLE)), 2) AS confidence FROM c)
+SELECT * FROM z WHERE confidence < 0.55""",
+    "layout_profile": f"""
+WITH {_FEATURED}, c AS (SELECT document_type, dominant_flow AS flow, count(*) AS n, max(column_count) AS most FROM f GROUP BY ALL),
+g AS (SELECT document_type, arg_max(flow, (n, flow)) AS dominant_flow, greatest(1, max(most)) AS column_count_estimate,
+  '{{' || string_agg('"' || flow || '":' || n, ',' ORDER BY flow) || '}}' AS flows, list(flow) AS held FROM c GROUP BY 1)
+SELECT document_type, dominant_flow, column_count_estimate, flows, concat_ws(' ',
+  CASE WHEN column_count_estimate > 1 THEN 'Likely ' || column_count_estimate || '-column page structure on some pages.' END,
+  CASE WHEN list_contains(held, 'front-matter') THEN 'Front matter detected on at least one page.' END,
+  CASE WHEN list_contains(held, 'structured-list') THEN 'List-like pages such as contents or references detected.' END,
+  CASE WHEN list_contains(held, 'tabular') THEN 'Tabular pages detected and should keep row/cell order.' END,
+  CASE WHEN list_contains(held, 'chart-led') THEN 'Chart-like pages detected and should keep labels and numeric signals.' END,
+  CASE WHEN dominant_flow = 'dense-prose' THEN 'Pages are text-dense and should stay paragraph-oriented.' END) AS notes FROM g""",
+    "layout_tree": f"""
+WITH {_FEATURED}, z AS (SELECT doc_id, role, coalesce(nullif(list_position(['title', 'cover', 'cover-sheet', 'masthead', 'contents', 'preface', 'foreword', 'introduction', 'chapter', 'section',
+  'article', 'body', 'appendix', 'index', 'references', 'bibliography', 'footnotes'], role), 0), 12) AS rank FROM f)
+SELECT rank, role, count(*) AS nodes, max(doc_id) AS last FROM z GROUP BY ALL""",
+    "split_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, length(chunk) AS chars, md5(chunk) AS digest FROM chunks",
+    "chunk_stats_by_lang": f"""
+WITH RECURSIVE {_CHUNKS} SELECT lang, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars, max(length(chunk)) AS longest FROM chunks JOIN documents USING (doc_id) GROUP BY lang""",
+    "run_documents": f"""
+WITH RECURSIVE {_RESTORED}, j AS (SELECT doc_id, string_agg(restored_text, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY chunk_index) AS t FROM restored WHERE restored_text <> '' GROUP BY doc_id)
+SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM j""",
+    "run_structure": f"""
+WITH RECURSIVE {_RESTORED}, k AS (SELECT doc_id, chunk_index AS page_index, 'Book' AS document_type, restored_text AS text, lang FROM restored JOIN documents USING (doc_id)),
+{_LINED}, {_OBSERVE}, {_FEATURE}
+SELECT lang, role, dominant_flow, count(*) AS pages, sum(n)::BIGINT AS lines, count(*) FILTER (len(notes) > 0) AS with_footnotes FROM f GROUP BY ALL""",
+    "dedupe_boxes": f"""
+WITH RECURSIVE {_BOXES}, a AS (SELECT page, "left", top, "right", bottom, CAST(w AS BIGINT) * h AS size, row_number() OVER (PARTITION BY page ORDER BY CAST(w AS BIGINT) * h DESC, top, "left", "right", bottom) AS i FROM b2),
+s(page, i, kept) AS (
+  SELECT page, i, [{{'l': "left", 't': top, 'r': "right", 'b': bottom, 'z': size}}] FROM a WHERE i = 1
+  UNION ALL SELECT a.page, a.i, CASE WHEN len(list_filter(kept, lambda k: least(k.r, "right") > greatest(k.l, "left") AND least(k.b, bottom) > greatest(k.t, top)
+      AND CAST(least(k.r, "right") - greatest(k.l, "left") AS BIGINT) * (least(k.b, bottom) - greatest(k.t, top)) / greatest(least(k.z, size), 1)::DOUBLE > 0.40)) > 0
+    THEN kept ELSE list_append(kept, {{'l': "left", 't': top, 'r': "right", 'b': bottom, 'z': size}}) END
+  FROM s JOIN a ON a.page = s.page AND a.i = s.i + 1)
+SELECT page, CAST(max(len(kept)) AS BIGINT) AS kept FROM s GROUP BY page""",
+    "merge_blocks": f"""
+WITH {_BOXES}, d AS (SELECT *, row_number() OVER (PARTITION BY page, block ORDER BY "left", top, "right", bottom, dark, mid) AS ix FROM b4),
+i AS (SELECT *, block - 2 * row_number() OVER (PARTITION BY page, block % 2 ORDER BY block) AS island FROM d WHERE ix = 1),
+g AS (SELECT page, min("left") AS l, min(top) AS t, max("right") AS r, max(bottom) AS b FROM i GROUP BY page, block % 2, island)
+SELECT page, count(*) AS blocks, max(r - l) AS widest, max(b - t) AS highest FROM g GROUP BY page""",
+    "relabelled_blocks": f"""
+WITH {_BOXES}, d AS (SELECT *, row_number() OVER (PARTITION BY page, block ORDER BY "left", top, "right", bottom, dark, mid) AS ix FROM b4)
+SELECT block, count(*) AS blocks, count(*) FILTER (block % 3 = 0 OR role = 'figure-region') AS figures FROM d WHERE ix = 1 AND block % 3 <> 1 GROUP BY block""",
+    "review_counters": f"""
+WITH {_SCORED} SELECT page_zone, count(*) AS nodes, count(*) FILTER (role = 'table-region') AS tables, count(*) FILTER (role = 'chart-region') AS charts,
+  count(*) FILTER (role = 'figure-region') AS assets, count(*) FILTER (c < 0.55) AS low_confidence FROM sc GROUP BY 1""",
+    "layout_review": f"""
+WITH {_SCORED}, g AS (
+  SELECT page, '# Layout review' || chr(10) || chr(10) || 'nodes ' || count(*) || ', tables ' || count(*) FILTER (role = 'table-region') || ', charts ' || count(*) FILTER (role = 'chart-region')
+    || ', assets ' || count(*) FILTER (role = 'figure-region') || ', low confidence ' || count(*) FILTER (c < 0.55) || chr(10) AS head,
+    string_agg('- block ' || block || ': ' || role || ', ' || format('{{:.2f}}', c), chr(10) ORDER BY c, block, role) FILTER (c < 0.55) AS rows FROM sc GROUP BY page)
+SELECT page, md5(head || coalesce(chr(10) || rows || chr(10), '')) AS digest FROM g""",
+    "block_maps": f"""
+WITH {_BOXES}, m AS (
+  SELECT page, reading_order, CASE role WHEN 'text-region' THEN 't' WHEN 'title-region' THEN 'T' WHEN 'table-region' THEN '#' WHEN 'figure-region' THEN 'F' WHEN 'chart-region' THEN 'C'
+      WHEN 'running-header-or-footer' THEN '-' ELSE '.' END AS mark, CAST(floor("left" * 38 / 1000.0) AS BIGINT) AS x0, CAST(ceil("right" * 38 / 1000.0) AS BIGINT) AS x9,
+    CAST(floor(top * 14 / 1500.0) AS BIGINT) AS y0, CAST(ceil(bottom * 14 / 1500.0) AS BIGINT) AS y9 FROM ordered WHERE reading_order <= 120
+), c AS (
+  SELECT page, x, y, arg_max(mark, reading_order) AS mark
+  FROM (SELECT *, unnest(range(greatest(y0, 0), least(greatest(y0 + 1, y9), 14))) AS y FROM (SELECT *, unnest(range(greatest(x0, 0), least(greatest(x0 + 1, x9), 38))) AS x FROM m)) GROUP BY page, x, y
+), r AS (
+  SELECT p.page, ys.y, rtrim(string_agg(coalesce(mark, ' '), '' ORDER BY xs.x)) AS row
+  FROM (SELECT DISTINCT page FROM m) p CROSS JOIN range(14) ys(y) CROSS JOIN range(38) xs(x) LEFT JOIN c ON c.page = p.page AND c.x = xs.x AND c.y = ys.y GROUP BY p.page, ys.y
+)
+SELECT page, md5(string_agg(row, chr(10) ORDER BY y)) AS digest FROM r GROUP BY page""",
+    "suspicious_chunks": rf"""
+WITH RECURSIVE {_RESTORED}, m AS (
+  SELECT *, restored_text <> '' AND (regexp_matches(restored_text, '(?s)\{{.*\}}') OR contains(restored_text, '�') OR regexp_matches(restored_text, '{"|".join(f"{c}{{6,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")}')
+    OR (length(restored_text) > 180 AND length(regexp_replace(restored_text, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(restored_text) > 0.52)) AS damaged FROM restored
+), w AS (SELECT *, damaged AND sum(damaged::INT) OVER (PARTITION BY doc_id ORDER BY chunk_index) <= 1 AS reviewed FROM m)
+SELECT damaged, reviewed, CASE WHEN meta THEN 'fallback' ELSE 'restored' END AS status, count(*) AS chunks FROM w GROUP BY ALL""",
+    "archive_numbering": f"""
+WITH RECURSIVE {_CHUNKS} SELECT source AS path, doc_id AS pos, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) AS chunk_index, length(chunk) AS chars
+FROM documents LEFT JOIN chunks USING (doc_id)""",
+    "run_sources": f"""
+WITH c AS (SELECT source AS label, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS part, doc_id AS page_number, {_strip("coalesce(text, '')")} AS t FROM documents),
+a AS (SELECT label, 0 AS part, 'page-record' AS kind, arg_min(page_number, part) AS page_number, string_agg(t, chr(10) || chr(10) ORDER BY part) AS t FROM c WHERE t <> '' GROUP BY label
+  UNION ALL SELECT label, part, 'chunk', page_number, t FROM c WHERE t <> ''),
+n AS (SELECT *, row_number() OVER (ORDER BY label, part) AS source_no FROM a)
+SELECT source_no, 'S' || source_no AS source_id, label, kind, part, page_number, md5(t) AS digest FROM n""",
+    "structured_blocks": rf"""
+WITH p AS (SELECT unnest({_lines('text')}) AS p FROM documents),
+q AS (SELECT p, regexp_replace(p, '\s+', ' ', 'g') AS one, replace(lower(p), 'page ', '') AS low FROM p),
+k AS (SELECT p, CASE WHEN regexp_matches(p, '^\[image:\s*(.+?)\s*\|\s*([^\]]+)\]$', 'i') THEN 'figure-marker' WHEN regexp_matches(low, '^(\d+|[ivxlcdm]+)$') THEN 'page-marker'
+  WHEN regexp_matches(lower(p), 'chart|graph|axis|legend|plot') THEN 'chart'
+  WHEN len(string_split(one, ' ')) <= 12 AND length(regexp_replace(one, '[^\p{{L}}]', '', 'g')) > 0
+    AND length(regexp_replace(one, '[^\p{{Lu}}]', '', 'g')) >= 0.72 * length(regexp_replace(one, '[^\p{{L}}]', '', 'g')) THEN 'heading' ELSE 'paragraph' END AS kind FROM q)
+SELECT kind, count(*) AS blocks, sum(length(p))::BIGINT AS chars FROM k GROUP BY kind""",
+    "retry_decisions": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 6 AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 5 AND {_strip('text')} = '' THEN false WHEN regexp_matches(text, '\[BLOCK[ \n]') AND n <> 3 THEN false
+    WHEN n IN (1, 4) THEN true WHEN n = 3 THEN false ELSE regexp_matches(lower(text), {_META}) END AS retry,
+  array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), 'column|multi-column|two-column') THEN 'column order and reading flow' END,
+    CASE WHEN regexp_matches(lower(text), 'table|rows|cells') THEN 'table rows and cell boundaries' END,
+    CASE WHEN regexp_matches(lower(text), 'figure|image|plate|illustration') THEN 'figure captions and image references' END,
+    CASE WHEN regexp_matches(lower(text), 'contents|index|toc') THEN 'contents entries and page numbers' END,
+    CASE WHEN regexp_matches(lower(text), 'footnote|note|citation') THEN 'footnotes and citations' END,
+    CASE WHEN regexp_matches(lower(text), 'heading|chapter|section|title') THEN 'headings and section boundaries' END,
+    CASE WHEN regexp_matches(lower(text), 'page marker|folio|page number') THEN 'page markers and folios' END], lambda x: x IS NOT NULL)[1:4], '|') AS hints FROM t""",
+    "consistency_scan": rf"""
+WITH k AS (SELECT doc_id, source, 'Book' AS document_type, 9 AS page_index, text FROM documents), {_LINED}, {_OBSERVE}, {_FEATURE},
+v AS (
+  SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t, ls[1:80] AS head, ls, tabular, charted, spaced, entries FROM f
+), w AS (
+  SELECT source, doc_id, t <> '' AS live, CASE WHEN contains(t, chr(10) || chr(10)) THEN 'blank line between paragraphs' ELSE 'single line breaks preserved' END AS para,
+    list_filter(list_transform(ls[1:8], lambda x: CASE WHEN len(string_split({_collapse('x')}, ' ')) BETWEEN 1 AND 10 AND x = upper(x) AND regexp_matches(x, '\p{{L}}') THEN 'short uppercase headings preserved'
+      WHEN regexp_matches(x, '^(chapter|section|part|book|canto|mandala)\b', 'i') THEN 'explicit chapter/section headings preserved' END), lambda x: x IS NOT NULL)[1] AS heading,
+    list_filter(list_transform(list_concat(ls[1:4], ls[greatest(len(ls) - 3, 1):]), lambda x: CASE WHEN regexp_matches(x, {_MARKER}, 'i') THEN 'standalone page markers preserved'
+      WHEN regexp_matches(x, '\bpage\s+\d+\b', 'i') THEN 'page labels preserved' END), lambda x: x IS NOT NULL)[1] AS marker,
+    list_filter([CASE WHEN regexp_matches(array_to_string(head, chr(10)), '\s{{3,}}') THEN 'preserve visible table or column spacing when clear' END,
+      CASE WHEN len(list_filter(head, lambda x: starts_with(x, '*') OR starts_with(x, '-'))) > 0 THEN 'preserve list item breaks' END,
+      CASE WHEN regexp_matches(array_to_string(head, chr(10)), '\[\d+\]|\(\d+\)|\b\d+\.') THEN 'preserve numbered references and footnote markers' END], lambda x: x IS NOT NULL) AS notes,
+    CASE WHEN regexp_matches(t, '[A-Za-z]') THEN ['Latin'] ELSE [] END AS scripts,
+    list_filter([CASE WHEN tabular THEN 'table-like' END, CASE WHEN charted THEN 'chart-like' END, CASE WHEN spaced THEN 'multi-column' END, CASE WHEN len(entries) > 0 THEN 'contents-like' END], lambda x: x IS NOT NULL) AS structs,
+    array_to_string((list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''))[-100:], ' ') AS recent FROM v
+), seen AS (
+  SELECT source, kind, value, min((doc_id, pos)) AS spot FROM (
+    SELECT source, doc_id, 'notes' AS kind, generate_subscripts(notes, 1) AS pos, unnest(notes) AS value FROM w WHERE live
+    UNION ALL SELECT source, doc_id, 'scripts', generate_subscripts(scripts, 1), unnest(scripts) FROM w WHERE live
+    UNION ALL SELECT source, doc_id, 'structs', generate_subscripts(structs, 1), unnest(structs) FROM w WHERE live) GROUP BY ALL
+), lists AS (
+  SELECT w.source, w.doc_id, string_agg(value, '|' ORDER BY spot) FILTER (kind = 'notes') AS notes, string_agg(value, '|' ORDER BY spot) FILTER (kind = 'scripts') AS scripts,
+    string_agg(value, '|' ORDER BY spot) FILTER (kind = 'structs') AS structs FROM w JOIN seen ON seen.source = w.source AND spot[1] < w.doc_id GROUP BY ALL
+), state AS (
+  SELECT source, doc_id, coalesce(sum(live::INT) OVER b, 0)::BIGINT AS observed_pages, coalesce(first(CASE WHEN live THEN para END IGNORE NULLS) OVER b, '') AS paragraph_style,
+    coalesce(first(CASE WHEN live THEN heading END IGNORE NULLS) OVER b, '') AS heading_style, coalesce(first(CASE WHEN live THEN marker END IGNORE NULLS) OVER b, '') AS page_marker_style,
+    md5(coalesce(last(CASE WHEN live THEN recent END IGNORE NULLS) OVER b, '')) AS recent
+  FROM w WINDOW b AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT state.*, coalesce(notes, '') AS notes, coalesce(scripts, '') AS scripts, coalesce(structs, '') AS structures FROM state LEFT JOIN lists USING (source, doc_id)""",
+    "question_pages": """
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct([turn, conv_id % 90, 99])), ',') AS pages FROM conversations""",
+    "parse_translation_reply": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_strip("coalesce(text, '')")} AS clean, doc_id % 6 AS n FROM documents),
+m AS (SELECT *, CASE WHEN n = 5 AND regexp_matches(lower(clean), {_META}) THEN 4 ELSE n END AS k FROM t)
+SELECT doc_id, md5(CASE WHEN n = 3 THEN '.' ELSE clean END) AS digest,
+  CASE WHEN k = 4 THEN 'fallback' WHEN n = 3 THEN 'restored' WHEN n < 3 AND clean = '' THEN 'blank' ELSE 'translated' END AS status,
+  CASE WHEN k = 4 THEN 'model returned malformed output' WHEN n < 3 AND clean = '' THEN 'blank page or no readable text' ELSE '' END AS failure_reason FROM m""",
+    "lenient_model_reply": rf"""
+WITH t AS (SELECT doc_id, {_strip("coalesce(text, '')")} AS clean, doc_id % 6 AS n FROM documents),
+m AS (SELECT *, CASE WHEN n = 5 AND regexp_matches(lower(clean), {_META}) THEN 4 ELSE n END AS k FROM t)
+SELECT doc_id, md5(CASE WHEN n = 3 THEN '.' WHEN k = 5 THEN regexp_replace(clean, '\}}$', '') || ',"x":}}' ELSE clean END) AS digest,
+  CASE WHEN k = 4 THEN 'fallback' WHEN n < 3 AND clean = '' THEN 'blank' ELSE 'restored' END AS status FROM m""",
+    "picture_reply_text": f"SELECT doc_id, md5({_strip("coalesce(text, '')")}) AS digest FROM documents",
+    "excerpts": rf"""
+WITH x AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_collapse("coalesce(text, '')")} AS one FROM documents),
+y AS (SELECT *, list_filter(string_split(one, ' '), lambda w: w <> '') AS w, instr(lower(text), 'the') AS spot FROM x)
+SELECT doc_id, CASE WHEN length(one) <= 120 THEN one ELSE rtrim(one[1:119]) || '…' END AS excerpt, md5(array_to_string(w[greatest(len(w) - 99, 1):], ' ')) AS recent, md5(lower(one)) AS matched,
+  md5(regexp_replace(substring(text, CASE WHEN spot > 0 THEN greatest(spot - 50, 1) ELSE 1 END, 160), '\s+', ' ', 'g')) AS hit, concat_ws('; ', nullif(lang, ''), nullif(source, '')) AS notes FROM y""",
+    "table_markup": """
+WITH r AS (SELECT l_orderkey AS page, ['item', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR)] AS c, l_linenumber AS o FROM lineitem),
+n AS (SELECT page, c, row_number() OVER (PARTITION BY page ORDER BY o, array_to_string(c, ' | ')) AS i FROM r)
+SELECT page, md5(string_agg('| ' || array_to_string(c, ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '| --- | --- | --- | --- |' ELSE '' END, chr(10) ORDER BY i)) AS markdown,
+  md5('<table class="data-table">' || string_agg('<tr>' || array_to_string(list_transform(c, lambda x: CASE WHEN i = 1 THEN '<th>' || x || '</th>' ELSE '<td>' || x || '</td>' END), '') || '</tr>', '' ORDER BY i) || '</table>') AS html
+FROM n GROUP BY page""",
+    "document_structure": rf"""
+WITH {_FEATURED}, h AS (
+  SELECT *, CASE WHEN page_index <= 2 THEN ls[1:2] ELSE [] END AS titles,
+    list_filter(ls[1:12], lambda x: length(x) BETWEEN 2 AND 90 AND (x = upper(x) OR regexp_matches(x, '^(chapter|section|part|book|preface|contents|index|appendix)\b', 'i')))[1:6] AS heads,
+    list_transform(ls, lambda x: {_collapse('x')}) AS ones FROM f
+), c AS (
+  SELECT *, list_filter(ones[1:30], lambda x: length(x) <= 140 AND regexp_matches(x, '\b(by|author|edited by|editor|translated by|translator|compiled by)\b', 'i')) AS by0,
+    list_filter(ones[1:50], lambda x: length(x) <= 160 AND regexp_matches(x, '\b(published by|publisher|press|publication|publications|printing|printer)\b', 'i')) AS press0 FROM h
+), d AS (
+  SELECT *, list_filter(by0, lambda v, i: list_position(list_transform(by0, lambda z: lower(z)), lower(v)) = i)[1:8] AS people,
+    list_filter(press0, lambda v, i: list_position(list_transform(press0, lambda z: lower(z)), lower(v)) = i)[1:6] AS press FROM c
+), v AS (
+  SELECT source, doc_id, 'title_candidates' AS kind, generate_subscripts(titles, 1) AS pos, unnest(titles) AS v FROM d
+  UNION ALL SELECT source, doc_id, 'section_headings', generate_subscripts(heads, 1), unnest(heads) FROM d
+  UNION ALL SELECT source, doc_id, 'page_markers', 1, marker FROM d WHERE marker <> ''
+  UNION ALL SELECT source, doc_id, 'contributors', generate_subscripts(people, 1), unnest(people) FROM d
+  UNION ALL SELECT source, doc_id, 'publishers', generate_subscripts(press, 1), unnest(press) FROM d
+), g AS (
+  SELECT source, kind, min((doc_id, pos)) AS spot, arg_min({_strip('v')}, (doc_id, pos)) AS v FROM v WHERE {_strip('v')} <> '' GROUP BY source, kind, lower({_strip('v')})
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY spot) AS place FROM g
+), lists AS (
+  SELECT source, kind, list(v ORDER BY place) AS vs FROM w WHERE place <= CASE kind WHEN 'title_candidates' THEN 8 WHEN 'contributors' THEN 12 WHEN 'publishers' THEN 8 ELSE 24 END GROUP BY source, kind
+), en AS (
+  SELECT source, list(e ORDER BY doc_id, pos)[1:120] AS es FROM (SELECT source, doc_id, generate_subscripts(entries, 1) AS pos, unnest(entries) AS e FROM d WHERE role = 'contents') GROUP BY source
+), nt AS (
+  SELECT source, list(e ORDER BY doc_id, pos)[1:120] AS es FROM (SELECT source, doc_id, generate_subscripts(notes, 1) AS pos, unnest(notes) AS e FROM d) GROUP BY source
+), base AS (
+  SELECT source, count(*) AS page_count_observed, count(*) FILTER (tabular) AS table_block_count, count(*) FILTER (charted) AS chart_block_count FROM d GROUP BY source
+)
+SELECT base.*, {", ".join(f"coalesce(CAST(to_json((SELECT vs FROM lists WHERE lists.source = base.source AND kind = '{k}')) AS VARCHAR), '[]') AS {k}" for k in ("title_candidates", "section_headings", "page_markers", "contributors", "publishers"))},
+  coalesce(CAST(to_json(en.es) AS VARCHAR), '[]') AS contents_entries, coalesce(CAST(to_json(nt.es) AS VARCHAR), '[]') AS footnotes
+FROM base LEFT JOIN en ON en.source = base.source LEFT JOIN nt ON nt.source = base.source""",
 }

@@ -44,12 +44,12 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def keyed_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, page_index, document_type, text): a keyword line before each document, its bars as slashes."""
+    """(doc_id, page_index, document_type, text): a keyword line before each document."""
     line = F.get(F.array(*map(F.lit, KEYWORD_LINES)), (F.col("doc_id") % len(KEYWORD_LINES)).cast("int"))
     kind = F.get(F.array(*map(F.lit, TYPES)), (F.floor(F.col("doc_id") / len(KEYWORD_LINES)) % len(TYPES)).cast("int"))
     return docs.select(
         "doc_id", (F.col("doc_id") % 7).cast("int").alias("page_index"), kind.alias("document_type"),
-        F.concat(line, F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("/"))).alias("text"), "lang", "source",
+        F.concat(line, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"), "lang", "source",
     )
 
 
@@ -79,6 +79,13 @@ def boxes(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def distinct_boxes(lineitem: DataFrame) -> DataFrame:
+    """One box for each page and block number, the first by its place."""
+    found = boxes(lineitem)
+    rest = ["left", "top", "right", "bottom", "dark_ratio", "mid_ratio", "page_width", "page_height"]
+    return found.groupBy("page", "block").agg(F.min(F.struct(*rest)).alias("b")).select("page", "block", "b.*")
+
+
 def replies(docs: DataFrame) -> DataFrame:
     """(doc_id, source_text, reply): model replies of several shapes, by doc_id."""
     text = F.coalesce("text", F.lit(""))
