@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles, projections as P
+from .functions import labels as L
 from .functions import normalize as N
 from .functions import render as R
 from .functions import responses as M
 from .functions import structure as X
 from .functions import text as T
-from .operators import assemble, chunking, layout, retrieval, review, rollup
+from .operators import assemble, chunking, layout, publish, retrieval, review, rollup
 from .plans import answer, prompts, run
 from .projections import table
 from .sinks import formats, stages
@@ -91,13 +92,7 @@ def role_counts_by_type(s, d):
 
 @query
 def role_labels(s, d):
-    roles = X.observe(_keyed(s, d)).select("doc_id", "role")
-    labels = s.createDataFrame(
-        [("toc", "Contents"), ("contents", "Table of contents"), ("body", "Body text"), ("table", "Table"), ("chart", "Chart")], "role string, label string"
-    )
-    return roles.join(F.broadcast(labels), "role", "left").select(
-        "doc_id", "role", F.coalesce("label", F.replace("role", F.lit("-"), F.lit(" "))).alias("label")
-    )
+    return X.observe(_keyed(s, d)).select("doc_id", "role", L.role_label(F.col("role"), F.col("document_type")).alias("label"))
 
 
 @query
@@ -719,6 +714,142 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _published_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Blocks with texts of documents, a small table in each table block, and pictures on even pages."""
+    blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
+    ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom")
+    segments = _dealt(s, d).select(F.col("doc_id").alias("page"), F.posexplode(T.lines(F.col("text"))).alias("pos", "segment"))
+    filled = assemble.allocate_texts(ordered.select("page", "reading_order", "role", "left", "top", "right", "bottom"), segments)
+    filled = filled.withColumn("extracted_text", F.when(F.col("role") == "table-region", "a | b\n1 | 2").otherwise(F.col("extracted_text")))
+    path = F.concat(F.lit("a/"), F.col("page").cast("string"), F.lit("-"), F.col("reading_order").cast("string"), F.lit(".png"))
+    assets = ordered.where((F.col("role") == "figure-region") & (F.col("page") % 2 == 0)).select(
+        "page", F.col("reading_order").alias("pos"), path.alias("path"), F.lit(None).cast("array<int>").alias("bbox"), F.col("reading_order").alias("figure_index")
+    )
+    return publish.with_assets(filled, assets)
+
+
+@query
+def export_layout_markdown(s, d):
+    return publish.layout_bodies(_published_blocks(s, d), "markdown").select("page", F.md5("body").alias("digest"))
+
+
+@query
+def export_layout_html(s, d):
+    return publish.layout_bodies(_published_blocks(s, d), "html").select("page", F.md5("body").alias("digest"))
+
+
+@query
+def unit_blocks(s, d):
+    seen = X.observe(_keyed(s, d)).withColumn("heading", publish.unit_heading(F.col("section_headings"), F.col("title_candidates")))
+    unit = F.col("role"), F.col("heading"), F.col("contents_entries"), F.col("footnotes")
+    return seen.select("doc_id", "heading", F.md5(publish.markdown_unit(*unit)).alias("markdown"), F.md5(publish.html_unit(*unit)).alias("html"))
+
+
+@query
+def page_bodies(s, d):
+    """Pages of documents by source, each with its unit block and its text."""
+    seen = X.observe(_keyed(s, d)).withColumn("heading", publish.unit_heading(F.col("section_headings"), F.col("title_candidates")))
+    unit = publish.markdown_unit(F.col("role"), F.col("heading"), F.col("contents_entries"), F.col("footnotes"))
+    body = publish.page_body(R.markdown_body(F.col("text")), F.col("role"), F.col("heading"), unit, "\n\n")
+    return seen.select("doc_id", "role", F.md5(body).alias("digest"))
+
+
+@query
+def asset_markers_inserted(s, d):
+    """Three assets for each document: one for the top of the page, one for its end, one beside related text."""
+    docs = _dealt(s, d).select("doc_id", F.replace(T.text_of(F.col("text")), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    second = F.get(T.paragraphs(F.col("text")), F.lit(1))
+    empty = F.lit("")
+
+    def asset(pos: int, related, zone: str, top, bottom):
+        return F.struct(
+            F.lit(pos).alias("pos"), F.concat(F.lit(f"a\\{pos}-"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), F.lit(f"plate {pos}").alias("label"),
+            related.alias("related"), F.lit(zone).alias("zone"), F.lit(top).cast("double").alias("top"), F.lit(bottom).cast("double").alias("bottom"), empty.alias("width_hint"),
+        )
+
+    rows = F.array(asset(1, empty, "", 0.1, 0.2), asset(2, empty, "bottom-left", None, None), asset(3, T.text_of(second), "bottom", None, None))
+    assets = docs.select("doc_id", F.inline(rows))
+    return publish.insert_markers(docs, assets, "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def publication_credits(s, d):
+    found = T.lines(F.col("text"))
+    return _dealt(s, d).select("doc_id", F.array_join(publish.credits(X.contributors(found), X.publishers(found)), "|").alias("credits"))
+
+
+@query
+def page_assets(s, d):
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), "l_partkey", F.lit("").alias("label"))
+
+    def part(rows, n: int):
+        return rows.select("page", "pos", F.concat(F.lit("a/"), (F.col("l_partkey") % n).cast("string")).alias("path"), "label")
+
+    found = publish.page_assets(part(lines.where("pos.l_linenumber % 2 = 1"), 50), part(lines, 70))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"])
+    return found.groupBy("page").agg(F.count(F.lit(1)).alias("assets"), F.array_join(listed, ",").alias("paths"))
+
+
+@query
+def asset_texts(s, d):
+    docs = _docs(s, d)
+    named = F.concat(F.lit("a\\"), F.col("lang"), (F.col("doc_id") % 5).cast("string"), F.lit(".png"))
+    chunks = docs.select("source", "doc_id", "text", F.array(named).alias("asset_paths"))
+    assets = docs.select("source", F.translate(named, "\\", "/").alias("path")).distinct()
+    return publish.asset_texts(assets, chunks, "source", "doc_id").select("source", "path", F.md5("related").alias("digest"))
+
+
+@query
+def asset_counts(s, d):
+    listed = F.array_repeat(F.lit("a.png"), (F.col("doc_id") % 4).cast("int"))
+    return publish.asset_counts(_docs(s, d).select("source", listed.alias("asset_paths")), ["source"])
+
+
+@query
+def semantic_units(s, d):
+    seen = publish.semantic_tags(X.observe(_keyed(s, d)))
+    return seen.select("source", "doc_id", "role", "role_label", "layout", "assembly_hint", F.array_join("content_features", ",").alias("features"), "page_marker", "has_figures", "asset_count")
+
+
+@query
+def unit_summaries(s, d):
+    out = publish.unit_summary(X.observe(_keyed(s, d)), ["source"], "doc_id")
+    return out.select("source", "role", "layout", *[_json(c) for c in ("section_headings", "title_candidates", "footnotes")])
+
+
+@query
+def structure_counts(s, d):
+    out = publish.structure_counts(X.observe(_keyed(s, d)), ["document_type"])
+    return out.select("document_type", L.assembly_layout(F.col("document_type")).alias("assembly"), *[_json(c) for c in ("content_kinds", "layouts", "content_features")])
+
+
+@query
+def where_sources(s, d):
+    return retrieval.where(answer.sources_of(_docs(s, d)), "what is in s7 and S12?").select("source_id", "source_no")
+
+
+@query
+def where_terms(s, d):
+    return retrieval.where(answer.sources_of(_docs(s, d)), "the inandti and ereat tion").select("source_id", "source_no")
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    stage = F.get(F.array(*map(F.lit, ["final__", "translated__", "", "run_manifest.json"])), (F.col("doc_id") % 4).cast("int"))
+    suffix = F.get(F.array(*map(F.lit, [".json", ".txt", ".md", ".png"])), (F.col("doc_id") % 7 % 4).cast("int"))
+    name = F.when(F.col("doc_id") % 4 == 3, stage).otherwise(F.concat(stage, F.lit("page_"), F.col("doc_id").cast("string"), suffix))
+    return _docs(s, d).select(F.concat_ws("/", F.lit("/runs"), "source", "lang", F.col("doc_id").cast("string"), name).alias("path"), "text")
+
+
+@query
+def folder_sources(s, d):
+    return retrieval.folder_sources(_files(s, d), "/runs").select("source_no", "source_id", "label", F.length("text").alias("chars"))
+
+
+@query
+def file_focus(s, d):
+    return retrieval.focus_files(_files(s, d), "which page is in es final").select("path", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

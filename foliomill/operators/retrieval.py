@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +96,71 @@ def focus(sources: DataFrame, terms: list[str]) -> DataFrame:
     return sources.where(hit)
 
 
+def where(sources: DataFrame, term: str, limit: int = 6) -> DataFrame:
+    """Sources that a term leads to: those whose ids it names, else the best of a search, else a filter's."""
+    ids = sorted({x.upper() for x in re.findall(r"(?i)\bS\d+\b", term)})
+    if ids:
+        return sources.where(F.upper("source_id").isin(ids)).orderBy("source_no").limit(limit)
+    ranked = search(sources, term, limit).drop("score")
+    return ranked if ranked.take(1) else focus(sources, [term]).orderBy("source_no").limit(limit)
+
+
+def path_score(path: Column, terms: list[str]) -> Column:
+    """Three points for each term in the words of a path."""
+    words = F.translate(F.lower(text_of(path)), "_-", "  ")
+    return reduce(lambda a, t: a + F.contains(words, F.lit(t)).cast("int") * 3, terms, F.lit(0))
+
+
+FOCUSED_FILES, FOLDER_FILES, FOLDER_RUNS, FOLDER_SOURCES = 12, 48, 12, 240
+
+
+def focus_files(files: DataFrame, question: str, path: str = "path", limit: int = FOCUSED_FILES) -> DataFrame:
+    """The files whose paths match a question best; none for a question without terms."""
+    terms, _ = _parsed(files, question)
+    if not terms:
+        return files.limit(0).withColumn("score", F.lit(0))
+    scored = files.withColumn("score", path_score(F.col(path), terms)).where(F.col("score") > 0)
+    return scored.orderBy(F.desc("score"), path).limit(limit)
+
+
+# Which files of a folder are read first, and extensions that are read at all.
+FOLDER_EXTENSIONS = ("txt", "md", "html", "json", "jsonl", "yaml", "yml")
+INTERNAL_FILES = ("run_manifest.json", "stage_manifest.json")
+
+
+def folder_priority(path: Column) -> Column:
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    return (
+        F.when(name.rlike("^(?:final|translated|restored)__"), 0)
+        .when(name.endswith(".detailed.json") | name.isin(*INTERNAL_FILES), 2)
+        .otherwise(3)
+    )
+
+
+def folder_sources(files: DataFrame, root: str, question: str = "") -> DataFrame:
+    """Sources from the text files (path, text) of a folder: outputs first, then by path, blank ones left out.
+
+    A question with terms keeps the files whose paths match any, if some do. Ids count from 1.
+    """
+    kept = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*FOLDER_EXTENSIONS))
+    terms, _ = _parsed(files, question)
+    score = path_score(F.col("path"), terms)
+    ranked = kept.withColumn("match_score", score).withColumn("_priority", folder_priority(F.col("path")))
+    limit = FOLDER_SOURCES
+    if terms and ranked.where("match_score > 0").take(1):
+        ranked, limit = ranked.where("match_score > 0"), FOLDER_FILES
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    usable = ranked.where(~name.isin(*INTERNAL_FILES) & text_of(F.col("text")).rlike(r"\S"))
+    # Bounded by the limit, so one window over it is no more than a page of rows.
+    first = usable.orderBy("_priority", "path").limit(limit)
+    numbered = first.withColumn("source_no", F.row_number().over(W.orderBy("_priority", "path")))
+    below = F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 30))
+    return numbered.select(
+        "source_no", F.concat(F.lit("S"), F.col("source_no").cast("string")).alias("source_id"), F.coalesce(below, F.col("path")).alias("label"),
+        F.trim("text").alias("text"), F.lit("folder-output").alias("kind"), "path", "match_score",
+    )
+
+
 def number_sources(parts: list[DataFrame], order: list[str]) -> DataFrame:
     """Sources of several inputs together, in order, as S1, S2 and so on.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.labels import ASSEMBLY, HEADED_ROLES, OTHER_ASSEMBLY, ROLE_LABELS
 from .projections import KEYWORD_LINES, TYPES
 
 
@@ -286,6 +287,32 @@ def _times(terms: tuple[str, ...]) -> str:
 _STOP = "'the','and','for','with','that','this','what','which','from','into','about','have','does','where','when','how','why','was','are','you','can','will','please'"
 _PAGES = "lines AS (SELECT l_orderkey AS page, string_agg('item | ' || l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT), chr(10) ORDER BY l_linenumber, 'item | ' || l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT)) AS text, count(*) AS n FROM lineitem GROUP BY 1)"
 
+def _label(role: str, kind: str) -> str:
+    cases = " ".join(f"WHEN '{k}/{r}' THEN '{label}'" for k, roles in ROLE_LABELS.items() for r, label in roles.items())
+    return f"CASE {kind} || '/' || {role} {cases} ELSE replace({role}, '-', ' ') END"
+
+
+def _escaped(x: str) -> str:
+    for raw, made in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{made}')"
+    return x
+
+
+_HEADS = rf"""h AS (
+  SELECT *, list_filter(ls[1:12], lambda x: length(x) BETWEEN 2 AND 90 AND (x = upper(x) OR regexp_matches(x, '^(chapter|section|part|book|preface|contents|index|appendix)\b', 'i')))[1:6] AS heads,
+    CASE WHEN page_index <= 2 THEN ls[1:2] ELSE [] END AS titles, CASE WHEN role = 'contents' THEN entries ELSE [] END AS own_entries FROM f
+), u AS (SELECT *, coalesce(list_concat(heads, titles)[1], '') AS heading FROM h)"""
+_PUBLISHED = f"""{_BOXES}, t AS (
+  SELECT page, reading_order, role, CASE WHEN role = 'table-region' THEN 'csv' WHEN role NOT IN ('separator-region', 'figure-region') THEN 'prose' END AS sort
+  FROM ordered WHERE reading_order <= 120
+), k AS (SELECT *, row_number() OVER (PARTITION BY page, sort ORDER BY reading_order) AS rank, count(*) OVER (PARTITION BY page, sort) AS slots FROM t),
+d AS (SELECT doc_id AS page, generate_subscripts(ls, 1) AS ix, unnest(ls) AS line FROM (SELECT doc_id, {_lines('text')} AS ls FROM documents)),
+p AS (SELECT k.page, k.reading_order, list(line ORDER BY ix) AS said FROM k JOIN d ON k.page = d.page AND k.sort = 'prose' AND least(d.ix, k.slots) = k.rank GROUP BY ALL),
+z AS (SELECT k.page, k.reading_order, role, said FROM k LEFT JOIN p USING (page, reading_order))"""
+_FILES = """x AS (SELECT doc_id, text, '/runs/' || source || '/' || lang || '/' || doc_id || '/' || CASE WHEN doc_id % 4 = 3 THEN 'run_manifest.json'
+  ELSE ['final__', 'translated__', ''][CAST(doc_id % 4 AS INT) + 1] || 'page_' || doc_id || ['.json', '.txt', '.md', '.png'][CAST(doc_id % 7 % 4 AS INT) + 1] END AS path FROM documents)"""
+
+
 ORACLES: dict[str, str] = {
     "restore_text_offline": rf"""
 SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || '-' || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '-\n([A-Za-z])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS restored FROM documents""",
@@ -312,10 +339,7 @@ SELECT doc_id, document_type, role, CASE
   WHEN role IN ('advertisement', 'classifieds', 'sidebar', 'caption', 'illustrated') THEN 'supplementary'
   WHEN kind = 'archive bundle' THEN 'archive_item' ELSE 'main_flow' END AS assembly_hint FROM r""",
     "role_counts_by_type": f"WITH {_OBSERVED} SELECT document_type, role, count(*) AS pages FROM r GROUP BY ALL",
-    "role_labels": f"""
-WITH {_OBSERVED}
-SELECT doc_id, role, CASE role WHEN 'toc' THEN 'Contents' WHEN 'contents' THEN 'Table of contents' WHEN 'body' THEN 'Body text' WHEN 'table' THEN 'Table'
-  WHEN 'chart' THEN 'Chart' ELSE replace(role, '-', ' ') END AS label FROM r""",
+    "role_labels": f"WITH {_OBSERVED} SELECT doc_id, role, {_label('role', 'kind')} AS label FROM r",
     "layout_confidence": rf"""
 WITH {_OBSERVED}, c AS (
   SELECT doc_id, 0.48::DOUBLE + CASE WHEN role IN ('title', 'contents', 'chapter', 'section', 'preface', 'abstract') THEN 0.18::DOUBLE ELSE 0 END
@@ -704,4 +728,80 @@ WITH {_FEATURED}, h AS (
 SELECT base.*, {", ".join(f"coalesce(CAST(to_json((SELECT vs FROM lists WHERE lists.source = base.source AND kind = '{k}')) AS VARCHAR), '[]') AS {k}" for k in ("title_candidates", "section_headings", "page_markers", "contributors", "publishers"))},
   coalesce(CAST(to_json(en.es) AS VARCHAR), '[]') AS contents_entries, coalesce(CAST(to_json(nt.es) AS VARCHAR), '[]') AS footnotes
 FROM base LEFT JOIN en ON en.source = base.source LEFT JOIN nt ON nt.source = base.source""",
+    "export_layout_markdown": f"""
+WITH {_PUBLISHED}, b AS (SELECT *, array_to_string(said, chr(10) || chr(10)) AS t FROM z),
+m AS (SELECT page, reading_order, CASE WHEN role = 'figure-region' THEN CASE WHEN page % 2 = 0 THEN '![](a/' || page || '-' || reading_order || '.png)' END
+  WHEN role = 'table-region' THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' WHEN t IS NULL THEN NULL WHEN role = 'title-region' THEN '## ' || t
+  WHEN role = 'running-header-or-footer' THEN '<!-- ' || t || ' -->' ELSE t END AS part FROM b)
+SELECT page, md5(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY reading_order), '')) AS digest FROM m GROUP BY page""",
+    "export_layout_html": f"""
+WITH {_PUBLISHED}, b AS (SELECT *, array_to_string(said, chr(10) || chr(10)) AS t FROM z),
+m AS (SELECT page, reading_order, CASE WHEN role = 'figure-region' THEN CASE WHEN page % 2 = 0 THEN '<figure class="figure-marker"><img src="a/' || page || '-' || reading_order || '.png" alt="" /></figure>' END
+  WHEN role = 'table-region' THEN '<table class="data-table"><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>' WHEN t IS NULL THEN NULL
+  WHEN role = 'title-region' THEN '<h2>' || {_escaped('t')} || '</h2>' WHEN role = 'running-header-or-footer' THEN '<p class="page-marker">' || {_escaped('t')} || '</p>'
+  ELSE array_to_string(list_transform(said, lambda x: '<p>' || {_escaped('x')} || '</p>'), chr(10)) END AS part FROM b)
+SELECT page, md5(coalesce(string_agg(part, chr(10) ORDER BY reading_order), '')) AS digest FROM m GROUP BY page""",
+    "unit_blocks": rf"""
+WITH {_FEATURED}, {_HEADS}, m AS (
+  SELECT doc_id, heading, list_filter([
+      CASE WHEN len(own_entries) > 0 THEN '## Contents' || chr(10) || chr(10) || array_to_string(list_transform(own_entries, lambda e: rtrim('- ' || {_strip('e.title')} || ' ' || {_strip('e.page')})), chr(10)) END,
+      CASE WHEN heading <> '' AND role IN ('title', 'title-page', {", ".join(f"'{r}'" for r in HEADED_ROLES)}) THEN '## ' || heading END,
+      CASE WHEN len(notes) > 0 THEN '## Notes' || chr(10) || chr(10) || array_to_string(list_transform(notes, lambda e: '- ' || {_strip('e.marker')} || ': ' || {_strip('e.text')}), chr(10)) END], lambda x: x IS NOT NULL) AS md,
+    list_filter([
+      CASE WHEN len(own_entries) > 0 THEN '<section class="contents semantic semantic-contents"><h2>Contents</h2><table>' || array_to_string(list_transform(own_entries,
+        lambda e: '<tr><td>' || {_escaped('e.title')} || '</td><td>' || {_escaped('e.page')} || '</td></tr>'), '') || '</table></section>' END,
+      CASE WHEN heading <> '' AND role = 'title' THEN '<section class="title-page semantic semantic-title"><h2>' || {_escaped('heading')} || '</h2></section>'
+        WHEN heading <> '' AND role IN ({", ".join(f"'{r}'" for r in HEADED_ROLES)}) THEN '<section class="semantic semantic-' || role || '"><h2>' || {_escaped('heading')} || '</h2></section>' END,
+      CASE WHEN len(notes) > 0 THEN '<section class="notes semantic semantic-footnotes"><h2>Notes</h2><ol>' || array_to_string(list_transform(notes,
+        lambda e: '<li><span>' || {_escaped('e.marker')} || '</span> ' || {_escaped('e.text')} || '</li>'), '') || '</ol></section>' END], lambda x: x IS NOT NULL) AS ht FROM u)
+SELECT doc_id, heading, md5(array_to_string(md, chr(10) || chr(10))) AS markdown, md5(array_to_string(ht, chr(10))) AS html FROM m""",
+    "asset_markers_inserted": rf"""
+WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM documents),
+q AS (SELECT *, [lower({_collapse('x')}) for x in ps] AS ms, '[image: plate 1 | a\1-' || doc_id || '.png]' AS m1, '[image: plate 2 | a\2-' || doc_id || '.png]' AS m2, '[image: plate 3 | a\3-' || doc_id || '.png]' AS m3 FROM p),
+r AS (SELECT *, CASE WHEN length(ms[2]) >= 40 THEN list_position([contains(m, ms[2][1:120]) for m in ms], true) END AS hit FROM q)
+SELECT doc_id, md5(array_to_string(CASE WHEN len(ps) = 0 THEN [m1, m2, m3] WHEN hit > 0 THEN list_concat([m1], ps[1:hit], [m3], ps[hit + 1:], [m2]) ELSE list_concat([m1], ps, [m2, m3]) END, chr(10) || chr(10))) AS digest FROM r""",
+    "publication_credits": rf"""
+WITH x AS (SELECT doc_id, list_transform({_lines('text')}, lambda x: regexp_replace(x, '\s+', ' ', 'g')) AS ls FROM documents),
+y AS (SELECT doc_id, list_filter(ls[1:30], lambda x: length(x) <= 140 AND regexp_matches(x, '\b(by|author|edited by|editor|translated by|translator|compiled by)\b', 'i')) AS c,
+  list_filter(ls[1:50], lambda x: length(x) <= 160 AND regexp_matches(x, '\b(published by|publisher|press|publication|publications|printing|printer)\b', 'i')) AS p FROM x),
+z AS (SELECT doc_id, list_concat(list_filter(c, lambda v, i: list_position(list_transform(c, lambda z: lower(z)), lower(v)) = i)[1:8],
+  list_filter(p, lambda v, i: list_position(list_transform(p, lambda z: lower(z)), lower(v)) = i)[1:6]) AS b FROM y)
+SELECT doc_id, array_to_string(list_filter(b, lambda v, i: list_position(list_transform(b, lambda z: lower(z)), lower(v)) = i)[1:6], '|') AS credits FROM z""",
+    "page_assets": """
+WITH a AS (SELECT l_orderkey AS page, 0 AS part, (l_linenumber, l_partkey, l_suppkey) AS pos, 'a/' || l_partkey % 50 AS path FROM lineitem WHERE l_linenumber % 2 = 1
+  UNION ALL SELECT l_orderkey, 1, (l_linenumber, l_partkey, l_suppkey), 'a/' || l_partkey % 70 FROM lineitem),
+f AS (SELECT page, path, min((part, pos)) AS pos FROM a GROUP BY page, path)
+SELECT page, count(*) AS assets, string_agg(path, ',' ORDER BY pos) AS paths FROM f GROUP BY page""",
+    "asset_texts": """
+SELECT source, 'a/' || lang || doc_id % 5 || '.png' AS path, md5(arg_min(coalesce(text, ''), doc_id)) AS digest FROM documents GROUP BY ALL""",
+    "asset_counts": "SELECT source, sum(doc_id % 4)::BIGINT AS asset_count FROM documents GROUP BY source",
+    "semantic_units": f"""
+WITH {_FEATURED}
+SELECT source, doc_id, role, {_label('role', 'kind')} AS role_label, layout, CASE
+  WHEN role IN ('title', 'cover', 'masthead', 'cover-sheet', 'folder-label') THEN 'front_matter'
+  WHEN role = 'contents' THEN 'toc' WHEN role IN ('preface', 'abstract', 'editorial') THEN 'introductory'
+  WHEN role IN ('chapter', 'section', 'article', 'feature', 'record', 'letter', 'body', 'lineated-text') THEN 'main_flow'
+  WHEN role IN ('table', 'chart', 'figure-table') THEN 'tabular' WHEN role IN ('index', 'references', 'bibliography', 'footnotes') THEN 'back_matter'
+  WHEN role IN ('advertisement', 'classifieds', 'sidebar', 'caption', 'illustrated') THEN 'supplementary' WHEN kind = 'archive bundle' THEN 'archive_item' ELSE 'main_flow' END AS assembly_hint,
+  array_to_string(features, ',') AS features, marker AS page_marker, false AS has_figures, 0 AS asset_count FROM f""",
+    "unit_summaries": f"""
+WITH {_FEATURED}, {_HEADS}, g AS (SELECT source, arg_min(role, doc_id) AS role, arg_min(layout, doc_id) AS layout, flatten(list(heads ORDER BY doc_id))[1:120] AS a,
+  flatten(list(titles ORDER BY doc_id))[1:120] AS b, flatten(list(notes ORDER BY doc_id))[1:120] AS c FROM u GROUP BY source)
+SELECT source, role, layout, CAST(to_json(a) AS VARCHAR) AS section_headings, CAST(to_json(b) AS VARCHAR) AS title_candidates, CAST(to_json(c) AS VARCHAR) AS footnotes FROM g""",
+    "structure_counts": f"""
+WITH {_FEATURED}, v AS (SELECT document_type, 'r' AS k, role AS v FROM f UNION ALL SELECT document_type, 'l', layout FROM f UNION ALL SELECT document_type, 'f', unnest(features) FROM f),
+c AS (SELECT document_type, k, v, count(*) AS n FROM v GROUP BY ALL),
+j AS (SELECT document_type, k, '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}}' AS m FROM c GROUP BY ALL)
+SELECT document_type, CASE lower(document_type) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ASSEMBLY.items())} ELSE '{OTHER_ASSEMBLY}' END AS assembly,
+  coalesce(max(m) FILTER (k = 'r'), '{{}}') AS content_kinds, coalesce(max(m) FILTER (k = 'l'), '{{}}') AS layouts, coalesce(max(m) FILTER (k = 'f'), '{{}}') AS content_features FROM j GROUP BY document_type""",
+    "where_sources": f"WITH {_SOURCES} SELECT source_id, source_no FROM src WHERE source_id IN ('S7', 'S12') ORDER BY source_no LIMIT 6",
+    "where_terms": f"WITH {_SOURCES}, z AS (SELECT source_id, source_no, {_times(('inandti', 'ereat', 'tion'))} AS score FROM hay) SELECT source_id, source_no FROM z WHERE score > 0 ORDER BY score DESC, source_id LIMIT 6",
+    "folder_sources": rf"""
+WITH {_FILES}, k AS (SELECT *, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE 3 END AS priority FROM x WHERE doc_id % 4 < 3 AND doc_id % 7 % 4 < 3 AND regexp_matches(coalesce(text, ''), '\S')),
+n AS (SELECT *, row_number() OVER (ORDER BY priority, path) AS source_no FROM k)
+SELECT source_no, 'S' || source_no AS source_id, path[7:] AS label, length(trim(text, ' ')) AS chars FROM n WHERE source_no <= 240""",
+    "file_focus": f"""
+WITH {_FILES}, s AS (SELECT path, 3 * (CAST(contains(w, 'page') AS INT) + CAST(contains(w, 'is') AS INT) + CAST(contains(w, 'in') AS INT) + CAST(contains(w, 'es') AS INT) + CAST(contains(w, 'final') AS INT)) AS score
+  FROM (SELECT path, translate(lower(path), '_-', '  ') AS w FROM x))
+SELECT path, score FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 12""",
 }
