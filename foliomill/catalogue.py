@@ -850,6 +850,23 @@ def file_focus(s, d):
     return retrieval.focus_files(_files(s, d), "which page is in es final").select("path", "score")
 
 
+@query
+def compare_views(s, d):
+    docs = _dealt(s, d).select("doc_id", F.concat_ws("/", "source", "lang").alias("label"), "text")
+    stage = F.get(F.array(*map(F.lit, ["draft__a.txt", "final__a.md", "restored__a.html"])), (F.col("doc_id") % 3).cast("int"))
+    outputs = docs.where("doc_id % 5 <> 0").select("doc_id", F.explode(F.array(stage, F.lit("translated__b.txt"))).alias("name"), F.concat(F.lit("Output: "), T.text_of(F.col("text"))).alias("text"))
+    boxes = P.distinct_boxes(table(s, d, "lineitem")).withColumnsRenamed({"page": "doc_id", "block": "reading_order"})
+    blocks = boxes.withColumn("role", F.lit("text-region"))
+    out = review.compare_views(docs, outputs, blocks).select("doc_id", "label", "output_name", F.md5("source").alias("source"), F.md5("output").alias("output"), F.length("overlay").alias("overlay"))
+    return out
+
+
+@query
+def latest_runs(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("created"))
+    return review.latest_runs(o, ["source"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import render as R
 from ..functions.labels import HEADED_ROLES, role_label
 from ..functions.text import escape_xml, let, lines, match_text, ordered_distinct, paragraphs, slug, strip, text_of
-from .assemble import asset_marker, marker_paths
+from .assemble import asset_marker
 from .layout import insertion_index
 
 ASSETS = "array<struct<pos:int,path:string,bbox:array<int>,figure_index:int>>"
@@ -168,13 +168,13 @@ def with_units(pages: DataFrame, units: DataFrame, key: str, index: str = "page_
     `footnotes`. Missing units give a null `unit`.
     """
     fields = ["role", "section_headings", "title_candidates", "contents_entries", "footnotes"]
-    own = units.select(key, F.col(index).alias("_index"), F.struct(*fields).alias("_own"))
-    whole = unit_summary(units, [key], index).select(key, F.struct(*fields).alias("_whole"))
-    counted = pages.groupBy(key).agg(F.count(F.lit(1)).alias("_pages"))
-    joined = pages.join(own, (pages[key] == own[key]) & (pages[index] == own["_index"]), "left").drop(own[key])
-    joined = joined.join(counted, key).join(whole, key, "left")
+    own = units.select(F.col(key).alias("_key"), F.col(index).alias("_index"), F.struct(*fields).alias("_own"))
+    whole = unit_summary(units, [key], index).select(F.col(key).alias("_doc"), F.struct(*fields).alias("_whole"))
+    counted = pages.groupBy(F.col(key).alias("_counted")).agg(F.count(F.lit(1)).alias("_pages"))
+    joined = pages.join(own, (F.col(key) == F.col("_key")) & (F.col(index) == F.col("_index")), "left")
+    joined = joined.join(counted, F.col(key) == F.col("_counted"), "left").join(whole, F.col(key) == F.col("_doc"), "left")
     unit = F.coalesce("_own", F.when(F.col("_pages") == 1, F.col("_whole")))
-    return joined.withColumn("unit", unit).drop("_index", "_own", "_whole", "_pages")
+    return joined.select(*pages.columns, unit.alias("unit"))
 
 
 #: Entries that the summary of a document's units keeps of each list.
@@ -236,6 +236,12 @@ def _starts(related: Column) -> Column:
     return F.transform(F.filter(every, lambda x: F.length(x) >= 40), lambda x: F.substring(x, 1, 120))
 
 
+def rendered_paths(text: Column) -> Column:
+    """Paths of the paragraphs that are image markers, with forward slashes."""
+    markers = F.filter(paragraphs(text), lambda p: p.rlike(R.IMAGE_MARKER))
+    return F.transform(markers, lambda p: slashed(strip(F.regexp_extract(p, R.IMAGE_MARKER, 2))))
+
+
 def insert_markers(texts: DataFrame, assets: DataFrame, key: str) -> DataFrame:
     """The texts with a marker for each asset that they do not show yet.
 
@@ -267,7 +273,7 @@ def insert_markers(texts: DataFrame, assets: DataFrame, key: str) -> DataFrame:
 
         return let(paragraphs(text), put)
 
-    joined = texts.join(listed, key, "left").withColumn("_shown", marker_paths(F.col("text")))
+    joined = texts.join(listed, key, "left").withColumn("_shown", rendered_paths(F.col("text")))
     missing = F.filter("_assets", lambda a: ~F.array_contains("_shown", slashed(a["path"])))
     made = strip(F.aggregate(missing, F.regexp_replace(text_of(F.col("text")), r"(?U)\s+$", ""), step))
     text = F.when(F.coalesce(F.size(missing), F.lit(0)) == 0, F.col("text")).otherwise(F.coalesce(F.nullif(made, F.lit("")), F.col("text")))

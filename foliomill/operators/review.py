@@ -155,6 +155,46 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[st
     return left.join(firsts, on, "left").select(*left.columns, *[F.col(f"_first.{c}").alias(c) for c in rest if c not in left.columns])
 
 
+def latest_runs(manifests: DataFrame, keys: list[str], time: str = "created", run: str = "run") -> DataFrame:
+    """The run of each key that was made last; ties by name."""
+    return manifests.groupBy(*keys).agg(F.max_by(run, F.struct(time, run)).alias(run))
+
+
+PREVIEW = 1200
+
+
+def compare_views(items: DataFrame, outputs: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, label, source preview, output preview, overlay, view): a page of the comparison for each item.
+
+    The preferred output of an item stands beside its source; its blocks lie over the source as boxes
+    in per cent of the page. Items without output or blocks stay, and say so.
+    """
+    from ..functions.text import escape_xml, text_of
+
+    rank = F.struct(output_rank(F.col("name")), F.col("name"))
+    best = outputs.groupBy(key).agg(F.min_by(F.struct("name", F.col("text").alias("said")), rank).alias("best"))
+    box = F.format_string(
+        '<div class="box %s" style="left:%.3f%%;top:%.3f%%;width:%.3f%%;height:%.3f%%">%d</div>',
+        F.col("role"), F.col("o.left"), F.col("o.top"), F.col("o.width"), F.col("o.height"), F.col("reading_order"),
+    )
+    over = blocks.withColumn("o", overlay()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("reading_order", box.alias("box")))).alias("boxes"))
+    joined = items.join(best, key, "left").join(over, key, "left")
+
+    def preview(text: Column) -> Column:
+        return escape_xml(F.substring(text_of(text), 1, PREVIEW))
+
+    shown = F.coalesce(F.array_join(F.transform("boxes", lambda b: b["box"]), ""), F.lit("no layout"))
+    made = joined.select(
+        key, "label", preview(F.col("text")).alias("source"),
+        F.when(F.col("best").isNull(), "no output").otherwise(preview(F.col("best.said"))).alias("output"), F.col("best.name").alias("output_name"), shown.alias("overlay"),
+    )
+    view = F.concat(
+        F.lit("<section><h2>"), escape_xml(F.col("label")), F.lit('</h2><div class="source"><pre>'), F.col("source"), F.lit('</pre><div class="page">'),
+        F.col("overlay"), F.lit('</div></div><pre class="output">'), F.col("output"), F.lit("</pre></section>"),
+    )
+    return made.withColumn("view", view)
+
+
 def compare(sources: DataFrame, outputs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Source and output text side by side, with what changed; documents without output stay."""
     from ..functions.text import tokens

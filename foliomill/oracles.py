@@ -804,4 +804,12 @@ SELECT source_no, 'S' || source_no AS source_id, path[7:] AS label, length(trim(
 WITH {_FILES}, s AS (SELECT path, 3 * (CAST(contains(w, 'page') AS INT) + CAST(contains(w, 'is') AS INT) + CAST(contains(w, 'in') AS INT) + CAST(contains(w, 'es') AS INT) + CAST(contains(w, 'final') AS INT)) AS score
   FROM (SELECT path, translate(lower(path), '_-', '  ') AS w FROM x))
 SELECT path, score FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 12""",
+    "latest_runs": "SELECT o_custkey AS source, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run FROM orders GROUP BY 1",
+    "compare_views": f"""
+WITH d AS (SELECT doc_id, concat_ws('/', source, lang) AS label, coalesce(text, '') AS text, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'final__a.md' ELSE 'translated__b.txt' END AS output_name FROM documents),
+b AS (SELECT l_orderkey AS doc_id, l_linenumber AS block, min((CAST(l_partkey % 900 AS INT), CAST(l_suppkey * 37 % 1400 AS INT), least(1000, l_partkey % 900 + CAST(l_quantity * 18 AS INT) + 20), least(1500, l_suppkey * 37 % 1400 + CAST(l_quantity * 9 AS INT) + 12))) AS p FROM lineitem GROUP BY ALL),
+o AS (SELECT doc_id, sum(length('<div class="box text-region" style="left:' || format('{{:.3f}}', round_even(p[1] * 100.0::DOUBLE / 1000, 3)) || '%;top:' || format('{{:.3f}}', round_even(p[2] * 100.0::DOUBLE / 1500, 3))
+  || '%;width:' || format('{{:.3f}}', round_even((p[3] - p[1]) * 100.0::DOUBLE / 1000, 3)) || '%;height:' || format('{{:.3f}}', round_even((p[4] - p[2]) * 100.0::DOUBLE / 1500, 3)) || '%">' || block || '</div>')) AS n FROM b GROUP BY doc_id)
+SELECT d.doc_id, label, output_name, md5({_escaped('text[1:1200]').replace("'", "'")}) AS source, md5(CASE WHEN output_name IS NULL THEN 'no output' ELSE {_escaped("('Output: ' || text)[1:1200]")} END) AS output,
+  CAST(coalesce(n, 9) AS INT) AS overlay FROM d LEFT JOIN o USING (doc_id)""",
 }

@@ -58,25 +58,50 @@ def _listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame | None
         raise
 
 
+#: Manifests that name manifests are followed so deep.
+DEPTH = 8
+
+
 def discover(spark: SparkSession, items: list[str], recursive: bool = True) -> tuple[DataFrame, list[str]]:
     """(sources, missing): sources in order of the items, each path once, with label, kind and status.
 
     A source is `ok` or, by its extension, `unsupported`. Labels are the folder's name and the path
-    below it, or the file's name. Manifests are read by `read_manifest`, not followed here.
+    below it, or the file's name. Manifests among the items and in folders are followed: their
+    entries stand in their place, and each manifest is read once.
     """
-    missing, parts = [], []
-    for n, item in enumerate(map(clean_item, items)):
-        found = _listed(spark, item, recursive)
-        if found is None:
-            missing.append(item)
-            continue
-        root = "" if re.search(r"[*?\[]", item) else item.rstrip("/")
-        parts.append(found.select(F.lit(n).alias("item"), F.lit(root).alias("root"), "path", "length"))
+    parts, missing, read = [], [], set()
+
+    def add(todo: list[str], depth: int) -> None:
+        for item in map(clean_item, todo):
+            found = _listed(spark, item, recursive)
+            if found is None:
+                missing.append(item)
+                continue
+            root = "" if re.search(r"[*?\[]", item) else item.rstrip("/")
+            n = len(parts)
+            manifests = _manifests(spark, found)
+            plain = found.where(~F.col("path").isin(manifests)) if manifests else found
+            parts.append(plain.select(F.lit(n).alias("item"), F.lit(root).alias("root"), "path", "length"))
+            for path in manifests:
+                if path not in read and depth < DEPTH:
+                    read.add(path)
+                    add([r["path"] for r in read_manifest(spark, path).orderBy("pos").collect()], depth + 1)
+
+    add(items, 0)
     if not parts:
         return _finish(spark.createDataFrame([], SCHEMA)), missing
     return _finish(reduce(DataFrame.unionByName, parts)), missing
 
 
+def _manifests(spark: SparkSession, found: DataFrame) -> list[str]:
+    """Paths of the manifests among listed files; only CSV and JSON files are looked into."""
+    maybe = [r["path"] for r in found.where(F.lower("path").rlike(r"\.(?:csv|json)$")).select("path").orderBy("path").collect()]
+    if not maybe:
+        return []
+    heads = spark.read.format("binaryFile").load(maybe).select("path", F.col("content").cast("string").alias("head"))
+    return [r["path"] for r in heads.where(is_manifest(F.col("path"), F.col("head"))).select("path").orderBy("path").collect()]
+
+
 def _finish(found: DataFrame) -> DataFrame:
     plain = F.regexp_replace("path", r"^file:/+", "/")
     name = F.element_at(F.split("root", "/"), -1)
@@ -103,7 +128,10 @@ def is_manifest(path: Column, head: Column) -> Column:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, path): entries of a CSV or JSON manifest, relative ones taken from its folder."""
+    """(pos, path): entries of a CSV or JSON manifest, relative ones taken from its folder.
+
+    Both kinds are read whole by one task, as quoted cells may hold line ends, so `pos` is the place.
+    """
     folder = path.rsplit("/", 1)[0]
     if path.lower().endswith(".csv"):
         rows = spark.read.option("header", True).option("multiLine", True).csv(path)

@@ -8,7 +8,7 @@ import zipfile
 
 import numpy as np
 import pytest
-from foliomill.operators import assemble, chunking, layout, retrieval, rollup
+from foliomill.operators import assemble, chunking, layout, publish, retrieval, rollup
 from foliomill.plans import answer, providers, run
 from foliomill.sinks import formats
 from foliomill.sources import discover, scan
@@ -229,3 +229,128 @@ def test_running_state_over_batches(spark, tmp_path):
     query.awaitTermination()
     last = spark.table("states").orderBy(F.desc("observed_pages")).first()
     assert last["observed_pages"] == 2 and last["heading_style"] == "short uppercase headings preserved" and last["scripts"] == ["Latin"]
+
+
+def test_settings_limits_presets(tmp_path):
+    from foliomill.plans import settings as S
+
+    plain = S.Settings()
+    assert (plain.context(), plain.answer(), plain.timeout()) == (16384, 16384, None)
+    small = S.Settings(context_window=10, generation_limit="5", request_timeout="x", mode="quality")
+    assert (small.context(), small.answer(), small.timeout()) == (2048, 1024, 480.0)
+    assert S.Settings(request_timeout=0).timeout() is None and S.Settings(context_window="?").context() == 16384
+    assert S.Settings().bounded().context() == 8192 and S.Settings(context_window=4000, generation_limit=9000).bounded() == S.Settings(context_window=4000, generation_limit=4096)
+    (tmp_path / "c.toml").write_text('model = "m"\nmode = "fast"\nother = 1\n')
+    assert S.load_settings(str(tmp_path / "c.toml"), {"FOLIOMILL_MODE": "quality"}) == S.Settings(model="m", mode="quality")
+    assert S.load_settings(None, {}) == plain
+    folder = str(tmp_path / "own")
+    path = S.install_instruction(folder)
+    assert S.load_instruction(folder=folder) == S.load_instruction()
+    open(path, "w").write("mine")
+    assert S.load_instruction(folder=folder) == "mine" and S.install_instruction(folder) == path and S.load_instruction(folder=folder) == "mine"
+    with pytest.raises(KeyError):
+        S.load_instruction("unknown")
+
+
+def test_chat_sessions(spark, tmp_path):
+    from foliomill.plans import sessions
+
+    path = str(tmp_path / "s1.json")
+    sessions.save(spark, path, [(f"q{i}", f"a{i}") for i in range(30)], [" n ", ""], {"k": "v"})
+    turns, notes, metadata = sessions.load(spark, path)
+    assert turns == [(f"q{i}", f"a{i}") for i in range(6, 30)] and notes == ["n"] and metadata == {"k": "v"}
+    time.sleep(1.1)
+    sessions.save(spark, str(tmp_path / "s0.json"), [("q", " "), ("q", "a")])
+    (tmp_path / "bad.json").write_text("{no")
+    listed = [r["path"].rsplit("/", 1)[1] for r in sessions.latest_first(spark, str(tmp_path)).collect()]
+    assert set(listed) == {"s0.json", "s1.json", "bad.json"} and listed.index("s0.json") < listed.index("s1.json")
+    assert sessions.load(spark, str(tmp_path / "s0.json"))[0] == [("q", "a")] and sessions.load(spark, str(tmp_path / "bad.json")) == ([], [], {})
+    assert sessions.delete(spark, path) and not sessions.delete(spark, path) and sessions.load(spark, path) == ([], [], {})
+
+
+def test_progress_of_streams(spark, tmp_path):
+    from foliomill.plans import settings
+
+    told = []
+    listener = settings.watch(spark, lambda *x: told.append(x))
+    try:
+        spark.createDataFrame([(1, "first")], "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
+        incremental.restore_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+        for _ in range(50):
+            if any(x[0] == "done" for x in told):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [x[0] for x in told][0] == "started" and ("done" in {x[0] for x in told}) and sum(x[2] for x in told) == 1
+
+
+def test_manifests_are_followed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.txt", "b.txt", "c.txt"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "in" / "d.txt").write_text("x")
+    (tmp_path / "in" / "plain.json").write_text('{"text": "no manifest"}')
+    (tmp_path / "in" / "list.csv").write_text("path\n../a.txt\n../more.manifest.json\n")
+    (tmp_path / "more.manifest.json").write_text('{"files": ["b.txt", "in/list.csv", "none.txt"]}')
+    found, missing = discover.discover(spark, [str(tmp_path / "in"), str(tmp_path / "c.txt")])
+    names = sorted(r["path"].rsplit("/", 1)[1] for r in found.collect())
+    assert names == ["a.txt", "b.txt", "c.txt", "d.txt", "plain.json"]
+    assert [m.rsplit("/", 1)[1] for m in missing] == ["none.txt"]
+
+
+def test_header_sizes(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\x00" * 8 + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"J" * 14 + b"\xff\xc0\x00\x11\x08" + (300).to_bytes(2, "big") + (200).to_bytes(2, "big") + b"\x03" * 9
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate((png, jpeg, b"\xff\xd8", b"GIF"))], "i int, content binary")
+    got = [r["s"] for r in rows.select("i", scan.header_size(F.col("content")).alias("s")).orderBy("i").collect()]
+    assert [tuple(x) if x else None for x in got] == [(640, 480), (200, 300), None, None]
+
+
+def test_published_bodies(spark):
+    blocks = spark.createDataFrame(
+        [
+            (1, 1, "title-region", 0, 0, 9, 9, " A & B "), (1, 2, "figure-region", 0, 10, 9, 20, "cap"), (1, 3, "table-region", 0, 0, 1, 1, "a | b\n1 | 2"),
+            (1, 4, "list-region", 0, 0, 1, 1, "- x\n• y"), (1, 5, "running-header-or-footer", 0, 0, 1, 1, "7"), (1, 6, "text-region", 0, 0, 1, 1, "p's\nq\n\nr"),
+            (1, 7, "text-region", 0, 0, 1, 1, "  "), (2, 1, "figure-region", 5, 5, 6, 6, "only text"), (2, 2, "equation-region", 0, 0, 1, 1, "e=1"),
+        ],
+        "page bigint, reading_order int, role string, left int, top int, right int, bottom int, extracted_text string",
+    )
+    assets = spark.createDataFrame([(1, 1, "x.png", [1, 1, 1, 1], 9), (1, 2, "y.png", [0, 10, 9, 20], 8), (1, 3, "z.png", None, 2)], "page bigint, pos int, path string, bbox array<int>, figure_index int")
+    both = publish.with_assets(blocks, assets)
+    md = {r["page"]: r["body"] for r in publish.layout_bodies(both, "markdown").collect()}
+    assert md[1] == "## A & B\n\n![](y.png)\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n- x\n- y\n\n<!-- 7 -->\n\np's\nq\n\nr"
+    assert md[2] == "> [Image: only text]\n\ne=1"
+    html = {r["page"]: r["body"] for r in publish.layout_bodies(both, "html").collect()}
+    assert html[1].split("\n")[0] == "<h2>A &amp; B</h2>" and "<li>x</li><li>y</li>" in html[1] and "<p>p&#x27;s<br />\nq</p>\n<p>r</p>" in html[1]
+    assert html[2] == '<figure class="figure-marker"><figcaption>only text</figcaption></figure>\n<p class="equation">e=1</p>'
+
+
+def test_units_and_page_bodies(spark):
+    schema = "doc int, page_index int, role string, layout string, section_headings array<string>, title_candidates array<string>, contents_entries array<struct<title:string,page:string>>, footnotes array<struct<marker:string,text:string>>, text string"
+    rows = [
+        (1, 1, "chapter", "single-flow", [" ", "Chapter I"], ["T"], [], [("1", "a note")], "Chapter I\n\nbody"), (1, 2, "preface", "single-flow", [], ["My Preface"], [], [], "words"),
+        (2, 1, "contents", "list-like", [], [], [("One ", "1"), ("Two", "")], [], "plain"), (2, 5, "title", "x", ["Late"], [], [], [], "x"),
+    ]
+    units = spark.createDataFrame(rows, schema)
+    pages = units.select("doc", "page_index", "text").where("page_index < 5")
+    joined = publish.with_units(pages, units, "doc")
+    heading = publish.unit_heading(F.col("unit.section_headings"), F.col("unit.title_candidates"))
+    unit = publish.markdown_unit(F.col("unit.role"), heading, F.col("unit.contents_entries"), F.col("unit.footnotes"))
+    body = publish.page_body(F.col("text"), F.col("unit.role"), heading, unit, "\n\n")
+    got = {(r["doc"], r["page_index"]): r["b"] for r in joined.select("doc", "page_index", body.alias("b")).collect()}
+    assert got == {(1, 1): "Chapter I\n\nbody", (1, 2): "## My Preface\n\nwords", (2, 1): "## Contents\n\n- One 1\n- Two\n\nplain"}
+    lone = publish.with_units(pages.where("doc = 1 and page_index = 1").withColumn("page_index", F.lit(9)), units, "doc").first()["unit"]
+    assert lone["role"] == "chapter" and lone["section_headings"] == [" ", "Chapter I"] and len(lone["footnotes"]) == 1
+
+
+def test_markers_go_beside_related_text(spark):
+    said = "This paragraph is certainly longer than forty characters, is it not?"
+    texts = spark.createDataFrame([(1, f"first\n\n{said}\n\n[image: old | a/o.png]"), (2, ""), (3, "one")], "doc int, text string")
+    assets = spark.createDataFrame(
+        [(1, 1, "a\\o.png", "old", "", "", None, None, ""), (1, 2, "a/p.png", "map (2)", said.upper(), "bottom", None, None, ""), (2, 1, "q.png", "", "", "", None, None, ""), (3, 1, " ", "x", "", "", None, None, ""), (3, 2, "w.png", "w", "", "", None, None, "wide")],
+        "doc int, pos int, path string, label string, related string, zone string, top double, bottom double, width_hint string",
+    )
+    got = {r["doc"]: r["text"] for r in publish.insert_markers(texts, assets, "doc").collect()}
+    assert got[1] == f"first\n\n{said}\n\n[image: map | a/p.png]\n\n[image: old | a/o.png]"
+    assert got[2] == "[image: figure | q.png]" and got[3] == "[image: w | w.png]\n\none"
