@@ -19,6 +19,7 @@ from .plans import answer, prompts, run
 from .projections import table
 from .sinks import formats, stages
 from .sources import scan
+from .streaming import incremental
 
 QUESTION = "What does the statement on pages 66-67 say about the inandti and ereat?"
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,7 +368,7 @@ def layout_sidecars(s, d):
     blocks = layout.classify(P.boxes(table(s, d, "lineitem")))
     ordered = layout.reading_order(blocks, layout.column_counts(blocks), tie="bottom").withColumn("extracted_text", F.concat_ws(" ", "role", "page_zone"))
     out = [formats.sidecars(ordered, f) for f in formats.SIDECARS]
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("page", "format", F.length("content").alias("chars"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("page", "format", F.md5("content").alias("digest"))
 
 
 @query
@@ -380,16 +381,14 @@ def folder_rollup(s, d):
 
 @query
 def archive_folder_combine(s, d):
-    rows = _docs(s, d).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.substring_index("text", ".", 1).alias("text"))
+    rows = _docs(s, d).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
     return rollup.folder_combine(rows, nested=False).select("folder", "parts", F.md5("combined").alias("digest"))
 
 
 @query
 def stage_priority_union(s, d):
     docs = _docs(s, d).select("source", "doc_id", "lang")
-    translated = docs.where(F.col("lang") == "fr")
-    restored = docs.where(F.col("lang") == "de")
-    out = assemble.priority_union([translated.where("doc_id < 0"), translated, restored], None)
+    out = assemble.priority_union([docs.where("doc_id < 0"), docs, docs.withColumn("lang", F.lit("none"))], None)
     return out.groupBy("lang", "priority").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -409,7 +408,8 @@ def document_concat(s, d):
 @query
 def missing_asset_markers(s, d):
     docs = _dealt(s, d)
-    texts = docs.select("source", F.concat(F.lit("[image: plate (1) | a/"), F.col("lang"), F.lit(".png]\n"), F.col("text")).alias("text")).where(F.col("lang") != "de")
+    marker = F.when(F.col("lang") == "de", "").otherwise(F.concat(F.lit("[image: plate (1) | a/"), F.col("lang"), F.lit(".png]\n")))
+    texts = docs.select("source", F.concat(marker, F.col("text")).alias("text"))
     assets = docs.select("source", F.concat(F.lit("a\\"), F.col("lang"), F.lit(".png")).alias("path"), F.concat("lang", F.lit(" map (old)")).alias("label")).distinct()
     out = assemble.missing_assets(assets, texts, "source")
     return out.select("source", "path", assemble.asset_marker(F.col("label"), F.col("path")).alias("marker"))
@@ -615,7 +615,7 @@ def figure_candidates(s, d):
 def best_outputs(s, d):
     stage = F.get(F.array(*map(F.lit, ["final", "translated", "restored", "draft"])), (F.col("doc_id") % 4).cast("int"))
     suffix = F.get(F.array(*map(F.lit, [".json", ".txt", ".md"])), (F.col("doc_id") % 3).cast("int"))
-    files = _docs(s, d).where(F.col("lang") != "en").select("source", F.concat(stage, F.lit("__"), F.col("lang"), suffix).alias("name"))
+    files = _docs(s, d).select("source", F.concat(stage, F.lit("__"), F.col("lang"), suffix).alias("name"))
     return review.best_outputs(files, "source")
 
 
@@ -867,6 +867,71 @@ def latest_runs(s, d):
     return review.latest_runs(o, ["source"])
 
 
+@query
+def failure_hints(s, d):
+    return P.replies(_dealt(s, d)).select("doc_id", F.md5(M.failure_hint(F.col("reply"))).alias("digest"))
+
+
+@query
+def visible_text(s, d):
+    return _dealt(s, d).select("doc_id", F.md5(T.visible(F.col("text"))).alias("digest"))
+
+
+@query
+def figure_verdicts(s, d):
+    answers = F.array(*map(F.lit, ['{"is_figure": true}', 'yes {"is_figure": false}', '```json\n{"is_figure": true, "why": "map"}\n```', "no idea"]))
+    reply = F.get(answers, (F.col("doc_id") % 4).cast("int"))
+    return _docs(s, d).select("doc_id", M.figure_kept(reply).alias("kept"))
+
+
+@query
+def external_layout(s, d):
+    names = F.get(F.array(*map(F.lit, ["Table 1", "big image", "Title", "running header", "prose"])), (F.col("block") % 5).cast("int"))
+    blocks = P.boxes(table(s, d, "lineitem")).withColumns({"role": names, "confidence": F.when(F.col("block") % 2 == 0, F.lit(1.5))})
+    out = layout.external_blocks(blocks)
+    return out.groupBy("page").agg(F.count(F.lit(1)).alias("kept"), F.max("confidence").alias("surest"))
+
+
+@query
+def word_confidence(s, d):
+    words = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount").cast("double")).alias("confidence"))
+    return layout.average_confidence(words, ["page"]).select("page", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def page_numbers(s, d):
+    files = table(s, d, "part").select("p_partkey", (F.col("p_size") % 5).cast("int").alias("page_count"))
+    return scan.page_numbers(files).select("p_partkey", "page_number")
+
+
+@query
+def compiled_outputs(s, d):
+    text, n = T.text_of(F.col("text")), F.col("doc_id") % 4
+    made = (
+        F.when(n == 0, F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(n == 1, F.to_json(F.struct(text.alias("restored_text"))))
+        .when(n == 2, formats.jsonl(F.replace(text, F.lit("\n"), F.lit("\n\n")))).otherwise(text)
+    )
+    ext = F.get(F.array(*map(F.lit, [".html", ".json", ".jsonl", ".txt"])), n.cast("int"))
+    return _dealt(s, d).select("doc_id", F.md5(scan.compiled_text(ext, made)).alias("digest"))
+
+
+@query
+def event_windows(s, d):
+    out = incremental.event_counts(table(s, d, "events"))
+    return out.select(F.unix_timestamp("window.start").alias("start"), "event_type", "units", F.round("tokens", 4).alias("tokens"))
+
+
+@query
+def blank_shares(s, d):
+    return run.blank_share(run.restore(_dealt(s, d), carry=("lang",)), ["lang"])
+
+
+@query
+def folder_parts(s, d):
+    rows = _docs(s, d).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return rollup.folder_parts(rows).groupBy("folder").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

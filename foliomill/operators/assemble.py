@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import structure as X
-from ..functions.text import PAGE_BREAK, SCRIPTS, is_blank, lines, let, match_text, paragraphs, recent_words, scripts, strip, text_of
+from ..functions.text import PAGE_BREAK, SCRIPTS, is_blank, lines, recent_words, scripts, strip, text_of
 
 
 def priority_union(parts: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
@@ -176,17 +176,3 @@ def missing_assets(assets: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     shown = texts.select(key, F.explode(marker_paths(F.col("text"))).alias("_path")).distinct()
     path = F.translate(F.col("path"), "\\", "/")
     return assets.where(F.col("path") != "").withColumn("_path", path).join(shown, [key, "_path"], "left_anti").drop("_path")
-
-
-def related_paragraph(text: Column, related: Column) -> Column:
-    """Index from 0 of the first paragraph that holds the start of a related one; null without."""
-
-    def starts(r: Column) -> Column:
-        whole = F.concat(F.transform(paragraphs(r), match_text), F.array(match_text(r)))
-        return F.transform(F.filter(whole, lambda x: F.length(x) >= 40), lambda x: F.substring(x, 1, 120))
-
-    hits = let(
-        starts(related),
-        lambda s: F.transform(paragraphs(text), lambda p: let(match_text(p), lambda m: F.exists(s, lambda x: F.contains(m, x)))),
-    )
-    return F.nullif(F.array_position(hits, True), F.lit(0)) - 1

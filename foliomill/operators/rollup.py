@@ -162,17 +162,24 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def folder_combine(rows: DataFrame, path: str = "path", text: str = "text", nested: bool = True) -> DataFrame:
-    """(folder, parts, combined): texts joined by page breaks for every folder above them, by path.
+def folder_parts(rows: DataFrame, path: str = "path", text: str = "text", nested: bool = True) -> DataFrame:
+    """(folder, path, text): every text that counts for a folder, for sinks that write folders in parts.
 
-    With nested=False a text counts for the folder that holds it only.
+    With nested=False a text counts for the folder that holds it only, else for all folders above it.
     """
     clean = strip(F.col(text))
     folders = ancestors(F.col(path)) if nested else F.array(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
-    spread = rows.where((clean != "") & F.contains(F.col(path), F.lit("/"))).select(
+    return rows.where((clean != "") & F.contains(F.col(path), F.lit("/"))).select(
         F.explode(folders).alias("folder"), F.col(path).alias("path"), clean.alias("text")
     )
+
+
+def folder_combine(rows: DataFrame, path: str = "path", text: str = "text", nested: bool = True) -> DataFrame:
+    """(folder, parts, combined): texts joined by page breaks for every folder above them, by path.
+
+    A folder's text is one value, which Spark bounds at 2 GB: larger folders go through `folder_parts`.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"])
-    return spread.groupBy("folder").agg(
+    return folder_parts(rows, path, text, nested).groupBy("folder").agg(
         F.count(F.lit(1)).alias("parts"), F.array_join(ordered, PAGE_BREAK).alias("combined")
     )

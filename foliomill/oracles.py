@@ -395,7 +395,7 @@ WITH {_UNITS} SELECT run, seq, CASE WHEN event_type = 'error' THEN '' ELSE failu
     "block_markers": rf"""
 WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
 SELECT doc_id, 1 AS block, md5({_strip("coalesce(s[1], '')")}) AS digest FROM p
-UNION ALL SELECT doc_id, 3, md5({_strip("coalesce(s[3], '')")}) FROM p UNION ALL SELECT doc_id, 2, md5({_strip("coalesce(s[4], '')")}) FROM p""",
+UNION ALL SELECT doc_id, 3, md5({_strip("coalesce(s[3], '')")}) FROM p UNION ALL SELECT doc_id, 2, md5({_strip("array_to_string(s[4:], chr(10))")}) FROM p""",
     "parse_model_reply": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_strip("coalesce(text, '')")} AS clean, doc_id % 6 AS n FROM documents),
 m AS (SELECT *, CASE WHEN n = 5 AND regexp_matches(lower(clean), 'thinking\.\.\.|role:|task:|output requirements:|self-correction|wait,') THEN 4 ELSE n END AS k FROM t)
@@ -428,9 +428,9 @@ WITH c AS (SELECT r_name, n_name, c_mktsegment, c_name, concat_ws('/', r_name, n
 f AS (SELECT r_name AS folder, path, c_name FROM c UNION ALL SELECT r_name || '/' || n_name, path, c_name FROM c UNION ALL SELECT concat_ws('/', r_name, n_name, c_mktsegment), path, c_name FROM c)
 SELECT folder, count(*) AS parts, md5(string_agg(c_name, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY path, c_name)) AS digest FROM f GROUP BY folder""",
     "archive_folder_combine": f"""
-WITH c AS (SELECT source || '/' || lang AS folder, concat_ws('/', source, lang, doc_id) AS path, {_strip("string_split(text, '.')[1]")} AS t FROM documents)
+WITH c AS (SELECT source || '/' || lang AS folder, concat_ws('/', source, lang, doc_id) AS path, {_strip("coalesce(text, '')")} AS t FROM documents)
 SELECT folder, count(*) AS parts, md5(string_agg(t, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY path)) AS digest FROM c WHERE t <> '' GROUP BY folder""",
-    "stage_priority_union": "SELECT lang, 2 AS priority, count(*) AS rows FROM documents WHERE lang = 'fr' GROUP BY lang",
+    "stage_priority_union": "SELECT lang, 2 AS priority, count(*) AS rows FROM documents GROUP BY lang",
     "stage_priority_by_source": """
 WITH p AS (SELECT source, lang, CASE lang WHEN 'es' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS priority FROM documents),
 f AS (SELECT source, min(priority) AS priority FROM p GROUP BY source) SELECT source, lang, priority, count(*) AS rows FROM p JOIN f USING (source, priority) GROUP BY ALL""",
@@ -514,7 +514,7 @@ WITH {_BOXES}, p AS (
 SELECT page, least(count(*), 4) AS figures, max(score) AS best FROM p WHERE score >= 0.34 GROUP BY page""",
     "best_outputs": """
 WITH f AS (SELECT source, doc_id, ['final', 'translated', 'restored', 'draft'][CAST(doc_id % 4 AS INT) + 1] || '__' || lang || ['.json', '.txt', '.md'][CAST(doc_id % 3 AS INT) + 1] AS name,
-  doc_id % 4 * 10 + [3, 2, 1][CAST(doc_id % 3 AS INT) + 1] AS rank FROM documents WHERE lang <> 'en')
+  doc_id % 4 * 10 + [3, 2, 1][CAST(doc_id % 3 AS INT) + 1] AS rank FROM documents)
 SELECT source, arg_min(name, (rank, name)) AS name FROM f GROUP BY source""",
     "page_records": """
 WITH r AS (SELECT doc_id % 50 AS page, source, doc_id AS record, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY source, doc_id) AS ix FROM documents)
@@ -812,4 +812,49 @@ o AS (SELECT doc_id, sum(length('<div class="box text-region" style="left:' || f
   || '%;width:' || format('{{:.3f}}', round_even((p[3] - p[1]) * 100.0::DOUBLE / 1000, 3)) || '%;height:' || format('{{:.3f}}', round_even((p[4] - p[2]) * 100.0::DOUBLE / 1500, 3)) || '%">' || block || '</div>')) AS n FROM b GROUP BY doc_id)
 SELECT d.doc_id, label, output_name, md5({_escaped('text[1:1200]').replace("'", "'")}) AS source, md5(CASE WHEN output_name IS NULL THEN 'no output' ELSE {_escaped("('Output: ' || text)[1:1200]")} END) AS output,
   CAST(coalesce(n, 9) AS INT) AS overlay FROM d LEFT JOIN o USING (doc_id)""",
+    "layout_sidecars": f"""
+WITH {_BOXES}, o AS (
+  SELECT *, page || '_' || reading_order AS id, ("left" + "right") / 2 / 1000 AS x, (top + bottom) / 2 / 1500 AS y FROM ordered WHERE reading_order <= 120
+), t AS (
+  SELECT *, role || ' ' || concat_ws('-', CASE WHEN y < 0.33 THEN 'top' WHEN y > 0.67 THEN 'bottom' ELSE 'middle' END, CASE WHEN x < 0.33 THEN 'left' WHEN x > 0.67 THEN 'right' ELSE 'center' END) AS said,
+    '<Coords points="' || "left" || ',' || top || ' ' || "right" || ',' || top || ' ' || "right" || ',' || bottom || ' ' || "left" || ',' || bottom || '"/>' AS coords,
+    ' HPOS="' || "left" || '" VPOS="' || top || '" WIDTH="' || ("right" - "left") || '"' AS place FROM o
+), b AS (
+  SELECT page, reading_order, CASE WHEN role = 'table-region' THEN '<TableRegion id="r_' || id || '">' || coords || '</TableRegion>' ELSE '<TextRegion id="r_' || id || '" type="'
+      || CASE role WHEN 'title-region' THEN 'heading' WHEN 'running-header-or-footer' THEN 'header' ELSE 'paragraph' END || '">' || coords || '<TextEquiv><Unicode>' || said || '</Unicode></TextEquiv></TextRegion>' END AS pagexml,
+    '<TextBlock ID="b_' || id || '"' || place || ' HEIGHT="' || (bottom - top) || '"><TextLine ID="b_' || id || '_l1"' || place || ' HEIGHT="20"><String CONTENT="' || said || '"/></TextLine></TextBlock>' AS alto,
+    '<div class="ocr_carea" id="block_' || id || '" title="bbox ' || "left" || ' ' || top || ' ' || "right" || ' ' || bottom || '"><p class="ocr_par" id="par_' || id || '">' || said || '<br /></p></div>' AS hocr FROM t
+), g AS (SELECT page, string_agg(pagexml, chr(10) ORDER BY reading_order) AS p, string_agg(alto, chr(10) ORDER BY reading_order) AS a, string_agg(hocr, chr(10) ORDER BY reading_order) AS h FROM b GROUP BY page),
+x AS (SELECT *, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) AS xml FROM g)
+SELECT page, 'pagexml' AS format, md5(xml || '<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15">' || chr(10) || '<Page imageFilename="page_' || page || '.png" imageWidth="1000" imageHeight="1500">' || chr(10) || p || chr(10) || '</Page>' || chr(10) || '</PcGts>' || chr(10)) AS digest FROM x
+UNION ALL SELECT page, 'alto', md5(xml || '<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Description><MeasurementUnit>pixel</MeasurementUnit></Description><Layout>' || chr(10) || '<Page ID="p_' || page || '" WIDTH="1000" HEIGHT="1500"><PrintSpace>' || chr(10) || a || chr(10) || '</PrintSpace></Page>' || chr(10) || '</Layout></alto>' || chr(10)) FROM x
+UNION ALL SELECT page, 'hocr', md5(xml || '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>OCR output</title></head><body>' || chr(10) || '<div class="ocr_page" id="page_' || page || '" title="bbox 0 0 1000 1500">' || chr(10) || h || chr(10) || '</div>' || chr(10) || '</body></html>' || chr(10)) FROM x""",
+    "failure_hints": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_strip("coalesce(text, '')")} AS clean, doc_id % 6 AS n FROM documents),
+j AS (SELECT *, '```json' || chr(10) || CAST(to_json({{'restored_text': text, 'notes': 'checked'}}) AS VARCHAR) || chr(10) || '```' AS fenced FROM t)
+SELECT doc_id, md5(CASE WHEN n = 5 AND clean = '' THEN 'the reply was empty; return the text' WHEN n IN (1, 4) OR (n <> 3 AND regexp_matches(lower(text), {_META})) THEN 'the reply talked about the task; return only its result'
+  WHEN n IN (0, 3) THEN 'the reply was wrapped in JSON; return plain text' ELSE 'the reply could not be used: ' || regexp_replace(CASE WHEN n = 2 THEN fenced ELSE clean END, '\s+', ' ', 'g')[1:180] END) AS digest FROM j""",
+    "visible_text": r"SELECT doc_id, md5(regexp_replace(replace(coalesce(text, ''), chr(9), ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS digest FROM documents",
+    "figure_verdicts": "SELECT doc_id, doc_id % 4 IN (0, 2) AS kept FROM documents",
+    "external_layout": f"""
+WITH RECURSIVE {_BOXES}, a AS (SELECT page, block, "left", top, "right", bottom, CAST(w AS BIGINT) * h AS size, row_number() OVER (PARTITION BY page ORDER BY CAST(w AS BIGINT) * h DESC, top, "left", "right", bottom, block) AS i FROM b2),
+s(page, i, kept) AS (
+  SELECT page, i, [{{'l': "left", 't': top, 'r': "right", 'b': bottom, 'z': size, 'e': block % 2}}] FROM a WHERE i = 1
+  UNION ALL SELECT a.page, a.i, CASE WHEN len(list_filter(kept, lambda k: least(k.r, "right") > greatest(k.l, "left") AND least(k.b, bottom) > greatest(k.t, top)
+      AND CAST(least(k.r, "right") - greatest(k.l, "left") AS BIGINT) * (least(k.b, bottom) - greatest(k.t, top)) / greatest(least(k.z, size), 1)::DOUBLE > 0.40)) > 0
+    THEN kept ELSE list_append(kept, {{'l': "left", 't': top, 'r': "right", 'b': bottom, 'z': size, 'e': block % 2}}) END
+  FROM s JOIN a ON a.page = s.page AND a.i = s.i + 1), f AS (SELECT page, arg_max(kept, i) AS kept FROM s GROUP BY page)
+SELECT page, len(kept) AS kept, CASE WHEN len(list_filter(kept, lambda k: k.e = 0)) > 0 THEN 0.99::DOUBLE ELSE 0.74::DOUBLE END AS surest FROM f""",
+    "word_confidence": "SELECT l_orderkey AS page, round(coalesce(avg(CASE WHEN l_linenumber % 3 > 0 THEN l_discount::DOUBLE END), 0.74), 6) AS confidence FROM lineitem GROUP BY 1",
+    "page_numbers": "SELECT p_partkey, unnest(range(1, p_size % 5 + 1)) AS page_number FROM part",
+    "compiled_outputs": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN {_strip("regexp_replace('<p>' || text || '</p>', '<[^>]+>', '', 'g')")} WHEN 2 THEN
+  array_to_string(list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {_strip('x')} <> ''), chr(10) || chr(10)) ELSE text END) AS digest FROM t""",
+    "event_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 5 MINUTES, CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type, count(*) AS units, round(sum(value), 4) AS tokens FROM events GROUP BY ALL",
+    "blank_shares": f"""
+WITH RECURSIVE {_RESTORED} SELECT lang, count(*) FILTER (restored_text = '') AS blank, count(*) AS chunks FROM restored JOIN documents USING (doc_id) GROUP BY lang""",
+    "folder_parts": f"""
+WITH d AS (SELECT source, lang, {_strip("coalesce(text, '')")} AS t FROM documents), f AS (SELECT source AS folder, t FROM d WHERE t <> '' UNION ALL SELECT source || '/' || lang, t FROM d WHERE t <> '')
+SELECT folder, count(*) AS parts, sum(length(t))::BIGINT AS chars FROM f GROUP BY folder""",
 }

@@ -103,15 +103,16 @@ def replies(docs: DataFrame) -> DataFrame:
 
 
 def marked_replies(docs: DataFrame) -> DataFrame:
-    """(doc_id, reply): the first lines of documents after block markers; one number comes twice."""
+    """(doc_id, reply): whole documents behind block markers, the rest of the lines in the last; one number comes twice."""
     part = F.split(F.coalesce("text", F.lit("")), "\n", -1)
 
     def at(i: int) -> F.Column:
         return F.coalesce(F.get(part, F.lit(i)), F.lit(""))
 
+    rest = F.array_join(F.slice(part, F.lit(4), F.size(part)), "\n")
     return docs.select(
         "doc_id",
-        F.concat(F.lit("[BLOCK 1] "), at(0), F.lit("\n[block #2]"), at(1), F.lit("[BLOCK 3]"), at(2), F.lit("\n[BLOCK 2]\n"), at(3)).alias("reply"),
+        F.concat(F.lit("[BLOCK 1] "), at(0), F.lit("\n[block #2]"), at(1), F.lit("[BLOCK 3]"), at(2), F.lit("\n[BLOCK 2]\n"), rest).alias("reply"),
     )
 
 

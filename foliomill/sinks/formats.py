@@ -140,21 +140,16 @@ def export(docs: DataFrame, formats: list[str], key: str = "doc_id", title: str
     """
     chosen = [f for f in dict.fromkeys(formats) if f in FORMATS and f not in SIDECARS] or ["txt"]
     text, n, k, m = F.col("text"), text_of(F.col(title)), text_of(F.col(kind)), F.col(metadata)
-    made = []
+    # All formats of a document are made in one pass over it.
+    made = {}
     for f in chosen:
         content = TEXT_FORMATS[f](text, n, k, m).cast("binary") if f in TEXT_FORMATS else F.lit(None).cast("binary")
-        if f in BINARY_FORMATS:
-            content = BINARY_FORMATS[f](text, n)
-        made.append(
-            docs.select(
-                key, F.lit(f).alias("format"), content.alias("content"), F.lit(f not in EXTERNAL).alias("available"),
-                F.lit(EXTERNAL.get(f, "")).alias("detail"),
-            )
-        )
-    out = made[0]
-    for x in made[1:]:
-        out = out.unionByName(x)
-    return out
+        made[f] = BINARY_FORMATS[f](text, n) if f in BINARY_FORMATS else content
+    rows = [
+        F.struct(F.lit(f).alias("format"), F.col(f"_made_{i}").alias("content"), F.lit(f not in EXTERNAL).alias("available"), F.lit(EXTERNAL.get(f, "")).alias("detail"))
+        for i, f in enumerate(made)
+    ]
+    return docs.select(key, *[c.alias(f"_made_{i}") for i, c in enumerate(made.values())]).select(key, F.inline(F.array(*rows)))
 
 
 def _points() -> Column:
