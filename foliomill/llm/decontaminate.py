@@ -57,33 +57,34 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def shingles(found: Column, widths: list[int]) -> Column:
-    """array of (pos, token): every run of each width in words, by the hash of its words' hashes."""
+def shingles(found: Column, width: int) -> Column:
+    """The hash of the `width` words from each place; at the end, of the words that are left.
 
-    def of(h: Column, width: int) -> Column:
-        # A width's runs are those one shorter, each with the hash of the word after it.
-        runs = h
-        for k in range(1, width):
-            room = F.greatest(F.size(h) - k, F.lit(0))
-            runs = F.zip_with(F.slice(runs, F.lit(1), room), F.slice(h, F.lit(k + 1), room), lambda a, b: F.xxhash64(a, b))
-        return F.transform(runs, lambda t, i: F.struct(i.alias("pos"), F.xxhash64(t, F.lit(width)).alias("token")))
+    The last ones hash as shorter shingles do, so they can only add candidates, which are verified.
+    """
+    return F.transform(found, lambda w, i: F.xxhash64(w, *[F.get(found, i + k) for k in range(1, width)]))
 
-    return let(F.transform(found, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, w) for w in widths]))
+
+def placed_shingles(said: DataFrame, widths: list[int]) -> DataFrame:
+    """The rows (..., found) with `pos` and `token` for every shingle of these widths."""
+    each = F.concat(*[shingles(F.col("found"), w) for w in widths])
+    placed = said.select("*", F.posexplode(each).alias("pos", "token"))
+    return placed.withColumn("pos", F.col("pos") % F.size("found")) if len(widths) > 1 else placed
 
 
 def window_tokens(windows: DataFrame) -> DataFrame:
     """(win, before, token): the shingles of each distinct window and their places in it."""
     sized = windows.select("win", F.least(F.size("win"), F.lit(SHINGLE)).alias("width"))
-    chosen = F.element_at(
-        F.array(*[shingles(F.col("win"), [w]) for w in range(1, SHINGLE + 1)]), F.col("width")
+    every = F.array(
+        *[F.slice(shingles(F.col("win"), w), F.lit(1), F.greatest(F.size("win") - w + 1, F.lit(0))) for w in range(1, SHINGLE + 1)]
     )
-    return sized.select("win", F.explode(chosen).alias("at")).select("win", F.col("at.pos").alias("before"), "at.token")
+    return sized.select("win", F.posexplode(F.element_at(every, F.col("width"))).alias("before", "token"))
 
 
 def shingle_rarity(docs: DataFrame, tokens: DataFrame, widths: list[int], small: bool) -> DataFrame:
     """(token, seen): how often each window shingle occurs over all documents."""
     wanted = tokens.select("token").distinct()
-    said = docs.select(F.explode(shingles(item_words(whole()), widths)).alias("at")).select("at.token")
+    said = placed_shingles(docs.select(item_words(whole()).alias("found")), widths).select("token")
     seen = said.join(F.broadcast(wanted) if small else wanted, "token", "left_semi").groupBy("token").agg(
         F.count(F.lit(1)).alias("seen")
     )
@@ -120,20 +121,20 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         rarest_first(tokens, F.broadcast(rarity) if small else rarity).withColumn("wid", wid), "prefixes"
     )
     said = docs.select(row_key("text", "doc_id").alias("row"), item_words(whole()).alias("found"))
-    start = F.col("at.pos") - F.col("before") + 1
+    start = F.col("pos") - F.col("before") + 1
     if small:
-        placed = said.select("row", "found", F.explode(shingles(F.col("found"), widths)).alias("at"))
+        placed = placed_shingles(said, widths)
         hits = placed.join(
             F.broadcast(keyed),
-            (F.col("at.token") == F.col("prefix"))
+            (F.col("token") == F.col("prefix"))
             & (start >= 1)
             & (start + F.col("size") - 1 <= F.size("found"))
             & (F.slice("found", F.greatest(start, F.lit(1)), F.col("size")) == F.col("win")),
         ).select("row", start.alias("start"), "size", "wid")
     else:
-        placed = said.select("row", F.size("found").alias("n"), F.explode(shingles(F.col("found"), widths)).alias("at"))
+        placed = placed_shingles(said, widths).select("row", F.size("found").alias("n"), "pos", "token")
         maybe = (
-            placed.join(keyed, F.col("at.token") == F.col("prefix"))
+            placed.join(keyed, F.col("token") == F.col("prefix"))
             .where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
             .groupBy(F.col("row").alias("maybe_row"))
             .agg(F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("maybe"))
