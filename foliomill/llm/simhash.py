@@ -30,6 +30,7 @@ an empty table gives an empty result; `keep_first` carries other columns along,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -53,19 +54,23 @@ TILE = 512
 CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of a text, repeats included; none for a text without words."""
     said = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not said:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(said)
+    digest = xxhash.xxh64_intdigest
     if len(said) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1)
-    starts = np.concatenate(([0], ends[: -shingle])).tolist()
+    starts = np.concatenate(([0], ends[:-shingle])).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are set in over half of the hashes; zero without any."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # a bounded part of a very long text at a time
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8), bitorder="little")
@@ -73,6 +78,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(row, doc_id, fp): each row's key, and the fingerprint as a signed long."""
 
@@ -280,3 +290,147 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     first = written(marked.select(F.col("row").alias(first_row)).distinct(), "first")
     kept = docs.withColumn(row, row_key("text", "doc_id")).join(first, F.col(row) == F.col(first_row), "left_semi")
     return kept.drop(row)
+
+
+#: Near copies by similarity: shingles of so many words, alike in so large a part of all of either.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Least hashes of a text, in bands; two texts of similarity 0.8 agree in some band with 0.99.
+BANDS, BAND = 16, 6
+#: Differing bits of fingerprints of similar texts: about ten of 64 at 0.8, this many in none of a thousand.
+WIDE = 20
+_MIX = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash for each band of least hashes of a set, all zero for the empty set."""
+    if not len(found):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1 << 12):
+        part = found[at : at + (1 << 12), None] * (_MIX[0] | np.uint64(1)) + _MIX[1]
+        np.minimum(least, (part ^ (part >> np.uint64(31))).min(axis=0), out=least)
+    out = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(row, doc_id, fp, cid, bands): fingerprint, a digest of the shingle set, and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, cids, keys = [], [], []
+            for text in batch.column("text"):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                found = np.unique(hashes)
+                fps.append(majority(hashes))
+                cids.append(xxhash.xxh3_64_intdigest(found.tobytes()) >> 1)
+                keys.append(bands(found))
+            columns = [
+                batch.column("row"), batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.array(np.array(cids, np.int64)),
+                pa.ListArray.from_arrays(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "fp", "cid", "bands"])
+
+    kept = docs.select(row_key("text", "doc_id").alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return kept.mapInArrow(run, f"row binary, doc_id {kind}, fp bigint, cid bigint, bands array<bigint>")
+
+
+def similar_ties(classes: DataFrame) -> DataFrame:
+    """(a, b): candidate ties between the classes (cid, fp, bands) of texts.
+
+    Fingerprints within the radius are tied by the tiles. What lies further apart, as most copies of
+    similarity 0.8 do, meets in a band: a class is tied to the least of its band, unless their
+    fingerprints differ in more bits than similar texts have. The least is an aggregate, so that a
+    band of very many classes meets in no task.
+    """
+    first = written(classes.groupBy("fp").agg(F.min("cid").alias("id")), "fps")
+    equal = classes.join(first, "fp").select(F.col("cid").alias("a"), F.col("id").alias("b"))
+    keyed = classes.select("cid", "fp", F.posexplode("bands").alias("n", "key")).select("cid", "fp", F.xxhash64("n", "key").alias("key"))
+    least = written(
+        keyed.groupBy("key").agg(F.min(F.struct("cid", "fp")).alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        .select("key", F.col("least.cid").alias("b"), F.col("least.fp").alias("other")),
+        "bands",
+    )
+    least = least.withColumn("key", F.bitwise_not(F.bitwise_not("key")))
+    banded = keyed.join(least, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE).select(F.col("cid").alias("a"), "b")
+    return links(first).unionByName(equal).unionByName(banded).where(F.col("a") != F.col("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(cid, found): the sorted shingle hashes of the texts of rows (row, cid)."""
+    texts = docs.select(row_key("text", "doc_id").alias("own"), F.col("text").cast("string").alias("text"))
+    one = texts.join(rows, F.col("own") == F.col("row")).dropDuplicates(["cid"]).select("cid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(found, pa.binary())], ["cid", "found"])
+
+    return one.mapInArrow(run, "cid bigint, found binary")
+
+
+def _similar(pairs: DataFrame, least: float) -> DataFrame:
+    """(cid, similar) for rows (cid, mine, theirs) of sorted hash sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for mine, theirs in zip(batch.column("mine"), batch.column("theirs")):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (mine, theirs))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(both >= least * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(out, pa.bool_())], ["cid", "similar"])
+
+    return pairs.select("cid", "mine", "theirs").mapInArrow(run, "cid bigint, similar boolean")
+
+
+def similar_copies(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and (gone): the classes of texts that are similar to one that stays.
+
+    In each group of tied classes the one with the smallest doc_id stays, and all that are similar to
+    it go, by the exact share of common shingles; the others go through the same again, until none is
+    left. So every class that goes is similar to one that stays, and no two that stay are, but for
+    pairs that no tie brought together.
+    """
+    marked = written(signatures(docs, shingle), "signatures")
+    # Rows without a doc_id come after all others.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(
+        marked.groupBy("cid").agg(F.min(F.struct(*[order.alias("first"), "fp", "bands"])).alias("x")).select("cid", "x.first", "x.fp", "x.bands"),
+        "classes",
+    )
+    groups = components(similar_ties(classes.select("cid", "fp", "bands")))
+    members = written(classes.join(groups, F.col("cid") == F.col("node")).select("cid", "first", F.col("root").alias("group")), "members")
+    sets = written(shingle_sets(docs, members.select(F.col("first.row").alias("row"), "cid"), shingle), "sets")
+    gone, open_ = [], members
+    while open_.take(1):
+        leaders = written(open_.groupBy(F.col("group").alias("led")).agg(F.min(F.struct("first", "cid")).alias("x")).select("led", F.col("x.cid").alias("leader")), "leaders")
+        held = leaders.join(sets, F.col("leader") == F.col("cid")).select("led", "leader", F.col("found").alias("theirs"))
+        rest = open_.join(held, F.col("group") == F.col("led")).where(F.col("cid") != F.col("leader"))
+        judged = written(_similar(rest.join(sets.withColumnRenamed("cid", "own"), F.col("cid") == F.col("own")).withColumnRenamed("found", "mine"), similarity), "judged")
+        gone.append(judged.where("similar").select(F.col("cid").alias("gone")))
+        open_ = written(open_.join(judged.where("not similar").select(F.col("cid").alias("left")), F.col("cid") == F.col("left")).drop("left"), "open")
+    none = docs.sparkSession.createDataFrame([], "gone bigint")
+    return marked, reduce(DataFrame.unionByName, gone, none)
+
+
+def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near copies of others: one stays of each group, the one with the smallest doc_id.
+
+    Texts with equal shingle sets are copies; the rows of the smallest doc_id among them stay, as
+    versions of one document, and rows without a doc_id if no row of the set has one.
+    """
+    row, kept_row = fresh(docs, "row", "kept_row")
+    marked, gone = similar_copies(docs, shingle, similarity)
+    least = marked.groupBy("cid").agg(F.min("doc_id").alias("least")).join(gone, F.col("cid") == F.col("gone"), "left_anti")
+    least = written(least.withColumnRenamed("cid", "own"), "least")
+    kept = marked.join(least, F.col("cid") == F.col("own")).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    first = written(kept.select(F.col("row").alias(kept_row)).distinct(), "first")
+    out = docs.withColumn(row, row_key("text", "doc_id")).join(first, F.col(row) == F.col(kept_row), "left_semi")
+    return out.drop(row)

@@ -333,6 +333,51 @@ def test_operators_keep_other_columns(docs):
     assert dict(coded.dtypes)["ids"] == "array<int>" and coded.first()["score"] == "clash"
 
 
+def shingle_set(text, width=5):
+    w = SPACE.findall(lower(text))
+    return {" ".join(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+
+
+def brute_dissimilar(rows, least=0.8):
+    """Places of the rows that stay: leaders in order of doc_id, without copies of them."""
+    sets = [shingle_set(t) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    first, leaders, stay = {}, [], []
+    for i in order:
+        key = frozenset(sets[i])
+        if key in first:
+            stay += [i] if rows[i][0] == first[key] else []
+            continue
+        alike = any(len(sets[i] & x) >= least * len(sets[i] | x) for x in leaders)
+        first[key] = rows[i][0] if not alike else object()
+        if not alike:
+            leaders.append(sets[i])
+            stay.append(i)
+    return sorted(stay)
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = []
+    for base in range(40):
+        words = own(rng.randint(60, 300))
+        rows.append((base * 10 + 9, " ".join(words)))
+        for copy in range(rng.randint(1, 4)):
+            changed = list(words)
+            for _ in range(rng.randint(1, max(len(words) // 100, 1))):
+                changed[rng.randrange(len(words))] = f"x{rng.randint(0, 10**9)}"
+            rows.append((base * 10 + copy, " ".join(changed)))
+    rows += [(None, rows[0][1]), (None, " ".join(own(50))), (None, None), (5000, ""), (5001, " "), (0, " ".join(own(80))), (rows[3][0], " ".join(own(70)))]
+    rng.shuffle(rows)
+    docs = twins(spark, [(d, t, "en", "h", 1) for d, t in rows])
+    out = simhash.keep_dissimilar(docs)
+    stay = [rows[i] for i in brute_dissimilar(rows)]
+    assert by_row(out.collect(), ["doc_id", "text"]) == sorted((-1 if d is None else d, -1 if t is None else t) for d, t in stay)
+    assert out.columns == docs.columns and len(stay) < 80 < len(rows)
+    assert simhash.keep_dissimilar(frame(spark, [])).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(3)
     kept_columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -346,11 +391,7 @@ def test_pipeline(spark, tmp_path):
     for d, t in now:
         lines = [x for x in t.split("\n") if not (len(line_key(x)) >= 20 and len(h := holders[line_key(x)]) >= 3 and d != max(y for y in h if y is not None))]
         cut.append((d, "\n".join(lines)))
-    roots = brute_components([brute_fingerprint(t) for _, t in cut], lambda a, b: bin(a ^ b).count("1") <= 2)
-    least = defaultdict(lambda: 10**9)
-    for (d, _), r in zip(cut, roots):
-        least[r] = min(least[r], 10**9 if d is None else d)
-    first = [(d, t) for (d, t), r in zip(cut, roots) if d == least[r] or (d is None and least[r] == 10**9)]
+    first = [cut[i] for i in brute_dissimilar(cut)]
     leak = next(t for _, t in first if len(item_words(t)) > 60)
     spark.createDataFrame([(1, " ".join(item_words(leak)[:14]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     window = [tuple(item_words(leak)[k : k + 10]) for k in range(5)]
