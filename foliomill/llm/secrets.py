@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import apart, find, joined, tagged
-from .text import fresh, whole
+from .text import fresh, let, whole
 
 #: The kinds in their order, with their patterns.
 ASSIGN = (
@@ -66,6 +66,17 @@ def _loose(tokens: Column, kinds: dict[str, Column]) -> Column:
     return apart(F.filter(tokens, lambda t: ~t["value"].rlike(f"{HEX}|{ACCESS}")), kinds["assign"])
 
 
+def _moves(value: Column) -> Column:
+    """The transitions of a string as (a, b), in time linear in it; -1 stands for other characters."""
+    places = F.transform(F.split(value, ""), lambda c: (F.instr(F.lit(ALPHABET), c) - 1).cast("int"))
+
+    def pairs(p: Column) -> Column:
+        rest = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.zip_with(F.slice(p, F.lit(1), rest), F.slice(p, F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(places, pairs)
+
+
 def transition_counts(docs: DataFrame) -> DataFrame:
     """(random, a, b, n): transitions in the labelled strings; -1 stands for other characters."""
     text = docs.select(whole().alias("text"))
@@ -88,15 +99,7 @@ def transition_counts(docs: DataFrame) -> DataFrame:
     strings = split.select(
         F.inline(F.concat(labelled(F.filter(values, lambda v: F.length(v) >= 16), True), labelled(plain, False)))
     )
-    cells = strings.select(
-        "random",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.struct(
-                (F.instr(F.lit(ALPHABET), F.substring(F.col("value"), i, F.lit(1))) - 1).alias("a"),
-                (F.instr(F.lit(ALPHABET), F.substring(F.col("value"), i + 1, F.lit(1))) - 1).alias("b"),
-            ))
-        ).alias("cell"),
-    )
+    cells = strings.select("random", F.explode(_moves(F.col("value"))).alias("cell"))
     return cells.groupBy("random", "cell.a", "cell.b").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,15 +123,7 @@ def _log_model(counts: dict, random: bool) -> list[float]:
 def log_ratio(token: Column, ratios: list[float]) -> Column:
     """The log-likelihood ratio of a token, its transitions looked up in the table of ratios."""
     held = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda acc, i: acc + F.get(held, place(i) * STATES + place(i + 1)),
-    )
+    return F.aggregate(_moves(token), F.lit(0.0), lambda acc, m: acc + F.get(held, m["a"] * STATES + m["b"]))
 
 
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
