@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.labels import ASSEMBLY, HEADED_ROLES, OTHER_ASSEMBLY, ROLE_LABELS
+from .plans.prompts import GUIDANCE, MARKER, OTHER_GUIDANCE, POLICIES, TASK
 from .projections import KEYWORD_LINES, TYPES
 
 
@@ -302,6 +303,10 @@ _HEADS = rf"""h AS (
   SELECT *, list_filter(ls[1:12], lambda x: length(x) BETWEEN 2 AND 90 AND (x = upper(x) OR regexp_matches(x, '^(chapter|section|part|book|preface|contents|index|appendix)\b', 'i')))[1:6] AS heads,
     CASE WHEN page_index <= 2 THEN ls[1:2] ELSE [] END AS titles, CASE WHEN role = 'contents' THEN entries ELSE [] END AS own_entries FROM f
 ), u AS (SELECT *, coalesce(list_concat(heads, titles)[1], '') AS heading FROM h)"""
+_UNIT = rf"""list_filter([
+      CASE WHEN len(own_entries) > 0 THEN '## Contents' || chr(10) || chr(10) || array_to_string(list_transform(own_entries, lambda e: rtrim('- ' || {_strip('e.title')} || ' ' || {_strip('e.page')})), chr(10)) END,
+      CASE WHEN heading <> '' AND role IN ('title', 'title-page', {", ".join(f"'{r}'" for r in HEADED_ROLES)}) THEN '## ' || heading END,
+      CASE WHEN len(notes) > 0 THEN '## Notes' || chr(10) || chr(10) || array_to_string(list_transform(notes, lambda e: '- ' || {_strip('e.marker')} || ': ' || {_strip('e.text')}), chr(10)) END], lambda x: x IS NOT NULL)"""
 _PUBLISHED = f"""{_BOXES}, t AS (
   SELECT page, reading_order, role, CASE WHEN role = 'table-region' THEN 'csv' WHEN role NOT IN ('separator-region', 'figure-region') THEN 'prose' END AS sort
   FROM ordered WHERE reading_order <= 120
@@ -743,10 +748,7 @@ m AS (SELECT page, reading_order, CASE WHEN role = 'figure-region' THEN CASE WHE
 SELECT page, md5(coalesce(string_agg(part, chr(10) ORDER BY reading_order), '')) AS digest FROM m GROUP BY page""",
     "unit_blocks": rf"""
 WITH {_FEATURED}, {_HEADS}, m AS (
-  SELECT doc_id, heading, list_filter([
-      CASE WHEN len(own_entries) > 0 THEN '## Contents' || chr(10) || chr(10) || array_to_string(list_transform(own_entries, lambda e: rtrim('- ' || {_strip('e.title')} || ' ' || {_strip('e.page')})), chr(10)) END,
-      CASE WHEN heading <> '' AND role IN ('title', 'title-page', {", ".join(f"'{r}'" for r in HEADED_ROLES)}) THEN '## ' || heading END,
-      CASE WHEN len(notes) > 0 THEN '## Notes' || chr(10) || chr(10) || array_to_string(list_transform(notes, lambda e: '- ' || {_strip('e.marker')} || ': ' || {_strip('e.text')}), chr(10)) END], lambda x: x IS NOT NULL) AS md,
+  SELECT doc_id, heading, {_UNIT} AS md,
     list_filter([
       CASE WHEN len(own_entries) > 0 THEN '<section class="contents semantic semantic-contents"><h2>Contents</h2><table>' || array_to_string(list_transform(own_entries,
         lambda e: '<tr><td>' || {_escaped('e.title')} || '</td><td>' || {_escaped('e.page')} || '</td></tr>'), '') || '</table></section>' END,
@@ -857,4 +859,23 @@ WITH RECURSIVE {_RESTORED} SELECT lang, count(*) FILTER (restored_text = '') AS
     "folder_parts": f"""
 WITH d AS (SELECT source, lang, {_strip("coalesce(text, '')")} AS t FROM documents), f AS (SELECT source AS folder, t FROM d WHERE t <> '' UNION ALL SELECT source || '/' || lang, t FROM d WHERE t <> '')
 SELECT folder, count(*) AS parts, sum(length(t))::BIGINT AS chars FROM f GROUP BY folder""",
+    "restoration_prompts": f"""
+WITH {_KEYED} SELECT document_type, count(*) AS prompts, sum(CASE lower(document_type) {" ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in GUIDANCE.items())} ELSE {len(OTHER_GUIDANCE)} END
+  + {len(TASK) + 2 + len(POLICIES["strict-source"]) + len(MARKER)})::BIGINT AS added FROM k GROUP BY document_type""",
+    "page_bodies": rf"""
+WITH {_FEATURED}, {_HEADS}, c AS (
+  SELECT *, {_strip('text')} AS p, list_filter(list_transform(ls, lambda x: list_filter(list_transform(CASE WHEN contains(x, '|') THEN string_split(regexp_replace(x, '^\|+|\|+$', '', 'g'), '|')
+      WHEN contains(x, chr(9)) THEN string_split(x, chr(9)) ELSE string_split_regex(x, '\s{{2,}}') END, lambda y: {_strip('y')}), lambda y: y <> '')), lambda r: len(r) >= 2) AS rows FROM u
+), t AS (
+  SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS most FROM c
+), b AS (
+  SELECT *, CASE WHEN regexp_matches(p, '^\[image:\s*(.+?)\s*\|\s*([^\]]+)\]$', 'i') THEN '![](' || {_strip(r"regexp_extract(p, '^\[image:\s*(.+?)\s*\|\s*([^\]]+)\]$', 2, 'i')")} || ')'
+      WHEN starts_with(lower(p), '[image:') THEN '> ' || p
+      WHEN len(rows) >= 2 THEN array_to_string(list_transform(rows, lambda r, i: '| ' || array_to_string(list_transform(range(most), lambda k: coalesce(r[k + 1], '')), ' | ') || ' |'
+        || CASE WHEN i = 1 THEN chr(10) || '| ' || array_to_string(list_transform(range(most), lambda k: '---'), ' | ') || ' |' ELSE '' END), chr(10))
+      ELSE p END AS plain, array_to_string({_UNIT}, chr(10) || chr(10)) AS unit FROM t
+), z AS (
+  SELECT *, (role = 'contents' AND regexp_matches(lower(plain), 'table|contents')) OR (role IN ('title', 'chapter', 'section') AND heading <> '' AND contains(lower(plain), lower(heading))) AS repeated FROM b
+)
+SELECT doc_id, role, md5(array_to_string(list_filter([CASE WHEN repeated THEN '' ELSE unit END, {_strip('plain')}], lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM z""",
 }
