@@ -30,7 +30,6 @@ an empty table gives an empty result; `keep_first` carries other columns along,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import forget, fresh, row_key, written
+from .text import forget, fresh, row_key, sent, written
 
 SEED = 42
 SHINGLE = 3
@@ -183,8 +182,8 @@ def ties(
     return ids[tied], least[label][tied], tiles
 
 
-def _dealt(distinct: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """(key, fp, id): rows for each bucket, and for pairs of parts of large ones."""
+def block_buckets(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, id, bucket): a row for every choice of blocks that fingerprints within the radius share."""
     masks = _blocks()
     keep = [sum(masks[i] for i in c) for c in combinations(range(BLOCKS), BLOCKS - radius)]
     signed = [k - (1 << 64) if k >> 63 else k for k in keep]
@@ -194,9 +193,12 @@ def _dealt(distinct: DataFrame, radius: int, tile_rows: int) -> DataFrame:
             for n, m in enumerate(signed)
         ]
     )
-    buckets = distinct.select("fp", "id", F.explode(tables).alias("at")).select(
-        "fp", "id", F.xxhash64("at.n", "at.bits").alias("bucket"), F.bit_count("fp").cast("int").alias("ones")
-    )
+    return distinct.select("fp", "id", F.explode(tables).alias("at")).select("fp", "id", F.xxhash64("at.n", "at.bits").alias("bucket"))
+
+
+def _dealt(buckets: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(key, fp, id): rows for each bucket, and for pairs of parts of large ones."""
+    buckets = buckets.withColumn("ones", F.bit_count("fp").cast("int"))
     # Sizes are written and their key dealt anew, so that the rows of a hot bucket are split in the join.
     sizes = written(
         buckets.groupBy("bucket", "ones").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
@@ -229,8 +231,8 @@ def _dealt(distinct: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     )
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b): ties between the ids of distinct (fp, id) that join what lies within the radius."""
+def _compared(buckets: DataFrame, radius: int, tile_rows: int, found) -> DataFrame:
+    """(a, b): what `found` gives for the keys, fingerprints and ids of whole buckets, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -240,7 +242,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
             whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
             held[:] = [(keys[whole:], fps[whole:], ids[whole:])]
             if whole:
-                a, b, _ = ties(keys[:whole], fps[:whole].view(np.uint64), ids[:whole], radius)
+                a, b = found(keys[:whole], fps[:whole].view(np.uint64), ids[:whole], radius)[:2]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -251,10 +253,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
         if held:
             yield from flush(True)
 
-    dealt = _dealt(distinct, radius, tile_rows).select("key", "fp", F.col("id").cast("long").alias("id"))
+    dealt = _dealt(buckets, radius, tile_rows).select("key", "fp", F.col("id").cast("long").alias("id"))
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b): ties between the ids of distinct (fp, id) that join what lies within the radius."""
+    return _compared(block_buckets(distinct, radius), radius, tile_rows, ties)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(row, doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
@@ -297,22 +304,23 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Least hashes of a text, in bands; two texts of similarity 0.8 agree in some band with 0.99.
 BANDS, BAND = 16, 6
-#: Differing bits of fingerprints of similar texts: about ten of 64 at 0.8, this many in none of a thousand.
-WIDE = 20
-_MIX = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
+#: Differing bits of fingerprints within which two texts of a band are candidates: those of similarity
+#: 0.8 differ in about ten of 64 bits, three more or less, those of 0.9 in under seven.
+WIDE = 16
+_MIX = np.random.default_rng(11).integers(1, 1 << 32, (2, BANDS * BAND), dtype=np.uint32) | np.uint32(1)
 
 
 def bands(found: np.ndarray) -> np.ndarray:
     """A hash for each band of least hashes of a set, all zero for the empty set."""
     if not len(found):
         return np.zeros(BANDS, np.int64)
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1 << 12):
-        part = found[at : at + (1 << 12), None] * (_MIX[0] | np.uint64(1)) + _MIX[1]
-        np.minimum(least, (part ^ (part >> np.uint64(31))).min(axis=0), out=least)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        np.minimum(least, (short[at : at + 512, None] * _MIX[0] + _MIX[1]).min(axis=0), out=least)
     out = np.zeros(BANDS, np.uint64)
     for column in least.reshape(BANDS, BAND).T:
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
@@ -341,31 +349,47 @@ def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     return kept.mapInArrow(run, f"row binary, doc_id {kind}, fp bigint, cid bigint, bands array<bigint>")
 
 
-def similar_ties(classes: DataFrame) -> DataFrame:
-    """(a, b): candidate ties between the classes (cid, fp, bands) of texts.
+def forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids within the radius that join all such pairs of a bucket, the nearest ones first.
 
-    Fingerprints within the radius are tied by the tiles. What lies further apart, as most copies of
-    similarity 0.8 do, meets in a band: a class is tied to the least of its band, unless their
-    fingerprints differ in more bits than similar texts have. The least is an aggregate, so that a
-    band of very many classes meets in no task.
+    At most one pair fewer than rows, so that a group of n copies never gives more than n.
     """
-    first = written(classes.groupBy("fp").agg(F.min("cid").alias("id")), "fps")
-    equal = classes.join(first, "fp").select(F.col("cid").alias("a"), F.col("id").alias("b"))
-    keyed = classes.select("cid", "fp", F.posexplode("bands").alias("n", "key")).select("cid", "fp", F.xxhash64("n", "key").alias("key"))
-    least = written(
-        keyed.groupBy("key").agg(F.min(F.struct("cid", "fp")).alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        .select("key", F.col("least.cid").alias("b"), F.col("least.fp").alias("other")),
-        "bands",
-    )
-    least = least.withColumn("key", F.bitwise_not(F.bitwise_not("key")))
-    banded = keyed.join(least, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE).select(F.col("cid").alias("a"), "b")
-    return links(first).unionByName(equal).unionByName(banded).where(F.col("a") != F.col("b")).distinct()
+    tiles = Tiles(keys, fps, radius)
+    met = [[np.zeros(0, np.int64)] * 3]
+    label, chosen = np.arange(len(fps)), []
+
+    def join() -> None:
+        a, b, apart = (np.concatenate(x) for x in zip(*met))
+        del met[:]
+        for distance in range(radius + 1):
+            at = np.flatnonzero(apart == distance)
+            x, y = a[at], b[at]
+            while len(x):
+                low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                differ = low != high
+                x, y, low, high = x[differ], y[differ], low[differ], high[differ]
+                # Every label is hooked on to a smaller one by one pair.
+                hooked, first = np.unique(high, return_index=True)
+                label[hooked] = low[first]
+                chosen.append((x[first], y[first]))
+                while not np.array_equal(up := label[label], label):
+                    label[:] = up
+
+    for a, b in tiles.near():
+        met.append([a, b, np.bitwise_count(tiles.fps[a] ^ tiles.fps[b]).astype(np.int64)])
+        if sum(len(x[0]) for x in met) > CHUNK:
+            join()
+            met.append([np.zeros(0, np.int64)] * 3)
+    join()
+    a, b = (np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 2, *chosen))
+    ids = ids[tiles.order]
+    return np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(cid, found): the sorted shingle hashes of the texts of rows (row, cid)."""
     texts = docs.select(row_key("text", "doc_id").alias("own"), F.col("text").cast("string").alias("text"))
-    one = texts.join(rows, F.col("own") == F.col("row")).dropDuplicates(["cid"]).select("cid", "text")
+    one = texts.join(sent(rows), F.col("own") == F.col("row")).dropDuplicates(["cid"]).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,62 +399,55 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     return one.mapInArrow(run, "cid bigint, found binary")
 
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """(cid, similar) for rows (cid, mine, theirs) of sorted hash sets."""
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have at least this share of all their hashes in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            ok = []
             for mine, theirs in zip(batch.column("mine"), batch.column("theirs")):
                 a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (mine, theirs))
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both >= least * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(out, pa.bool_())], ["cid", "similar"])
+                ok.append(both >= least * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("cid", "mine", "theirs").mapInArrow(run, "cid bigint, similar boolean")
+    mine, theirs = sets.toDF("own", "mine"), sets.toDF("other", "theirs")
+    joined = pairs.join(mine, F.col("a") == F.col("own")).join(theirs, F.col("b") == F.col("other"))
+    return joined.select("a", "b", "mine", "theirs").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_copies(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and (gone): the classes of texts that are similar to one that stays.
+def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near copies of others: one stays of each group, the one with the smallest doc_id.
+
+    A group is joined by pairs that have at least this share of all their shingles in common. Texts
+    with equal shingle sets are one class from the start. Classes that share a band of least hashes
+    are a bucket; inside it, fingerprints are compared in tiles, and of the pairs within `WIDE` bits
+    those that join them, nearest first, are checked on the shingle sets themselves.
 
-    In each group of tied classes the one with the smallest doc_id stays, and all that are similar to
-    it go, by the exact share of common shingles; the others go through the same again, until none is
-    left. So every class that goes is similar to one that stays, and no two that stay are, but for
-    pairs that no tie brought together.
+    The rows of the smallest doc_id of a group stay, as versions of one document, but for those of
+    other classes of the group; rows without a doc_id stay if no row of the group has one.
     """
+    row, gone_row = fresh(docs, "row", "gone_row")
     marked = written(signatures(docs, shingle), "signatures")
     # Rows without a doc_id come after all others.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = written(
-        marked.groupBy("cid").agg(F.min(F.struct(*[order.alias("first"), "fp", "bands"])).alias("x")).select("cid", "x.first", "x.fp", "x.bands"),
+        marked.groupBy("cid").agg(F.min(F.struct(order.alias("first"), "fp", "bands")).alias("x")).select("cid", "x.first", "x.fp", "x.bands"),
         "classes",
     )
-    groups = components(similar_ties(classes.select("cid", "fp", "bands")))
-    members = written(classes.join(groups, F.col("cid") == F.col("node")).select("cid", "first", F.col("root").alias("group")), "members")
-    sets = written(shingle_sets(docs, members.select(F.col("first.row").alias("row"), "cid"), shingle), "sets")
-    gone, open_ = [], members
-    while open_.take(1):
-        leaders = written(open_.groupBy(F.col("group").alias("led")).agg(F.min(F.struct("first", "cid")).alias("x")).select("led", F.col("x.cid").alias("leader")), "leaders")
-        held = leaders.join(sets, F.col("leader") == F.col("cid")).select("led", "leader", F.col("found").alias("theirs"))
-        rest = open_.join(held, F.col("group") == F.col("led")).where(F.col("cid") != F.col("leader"))
-        judged = written(_similar(rest.join(sets.withColumnRenamed("cid", "own"), F.col("cid") == F.col("own")).withColumnRenamed("found", "mine"), similarity), "judged")
-        gone.append(judged.where("similar").select(F.col("cid").alias("gone")))
-        open_ = written(open_.join(judged.where("not similar").select(F.col("cid").alias("left")), F.col("cid") == F.col("left")).drop("left"), "open")
-    none = docs.sparkSession.createDataFrame([], "gone bigint")
-    return marked, reduce(DataFrame.unionByName, gone, none)
-
-
-def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near copies of others: one stays of each group, the one with the smallest doc_id.
-
-    Texts with equal shingle sets are copies; the rows of the smallest doc_id among them stay, as
-    versions of one document, and rows without a doc_id if no row of the set has one.
-    """
-    row, kept_row = fresh(docs, "row", "kept_row")
-    marked, gone = similar_copies(docs, shingle, similarity)
-    least = marked.groupBy("cid").agg(F.min("doc_id").alias("least")).join(gone, F.col("cid") == F.col("gone"), "left_anti")
-    least = written(least.withColumnRenamed("cid", "own"), "least")
-    kept = marked.join(least, F.col("cid") == F.col("own")).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    first = written(kept.select(F.col("row").alias(kept_row)).distinct(), "first")
-    out = docs.withColumn(row, row_key("text", "doc_id")).join(first, F.col(row) == F.col(kept_row), "left_semi")
+    buckets = classes.select("fp", F.col("cid").alias("id"), F.posexplode("bands").alias("n", "key")).select("fp", "id", F.xxhash64("n", "key").alias("bucket"))
+    maybe = written(_compared(buckets, WIDE, TILE_ROWS, forest), "maybe")
+    met = maybe.select(F.explode(F.array("a", "b")).alias("met")).distinct()
+    members = written(classes.join(met, F.col("cid") == F.col("met")).select(F.col("first.row").alias("row"), "cid"), "members")
+    sets = written(shingle_sets(docs, members, shingle), "sets")
+    groups = written(components(written(similar_pairs(maybe, sets, similarity), "similar")), "groups")
+    forget(maybe, members, sets)
+    grouped = classes.join(groups, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("root", "cid").alias("group"))
+    # The class of the smallest doc_id stands for its group; the root is dealt anew, as groups may be large.
+    best = written(grouped.groupBy("group").agg(F.min(F.struct("first", "cid")).alias("x")).select(F.col("x.cid").alias("own"), F.col("x.first.doc_id").alias("least")), "best")
+    # A row goes if its class is not the best of its group, or another document has the class.
+    judged = marked.join(best, F.col("cid") == F.col("own"), "left")
+    stays = F.col("own").isNotNull() & F.col("doc_id").eqNullSafe(F.col("least"))
+    gone = written(judged.where(~stays).select(F.col("row").alias(gone_row)).distinct(), "gone")
+    out = docs.withColumn(row, row_key("text", "doc_id")).join(sent(gone), F.col(row) == F.col(gone_row), "left_anti")
     return out.drop(row)

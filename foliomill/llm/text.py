@@ -115,6 +115,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Written tables of at most so many bytes may go to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def sent(frame: DataFrame, *arrays: str) -> DataFrame:
+    """A written table, marked for every executor while its rows take few bytes, else as it is.
+
+    A row counts as 48 bytes, and 16 for each element of the named arrays; the sizes come from the
+    table itself, not from an estimate.
+    """
+    held = F.lit(48).cast("long")
+    for name in arrays:
+        held = held + 16 * F.greatest(F.size(name), F.lit(0))
+    size = frame.agg(F.sum(held)).first()[0] or 0
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables made by written() that nothing will read again, lost executors included."""
     for frame in frames:

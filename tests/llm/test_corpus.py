@@ -339,20 +339,16 @@ def shingle_set(text, width=5):
 
 
 def brute_dissimilar(rows, least=0.8):
-    """Places of the rows that stay: leaders in order of doc_id, without copies of them."""
-    sets = [shingle_set(t) for _, t in rows]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    first, leaders, stay = {}, [], []
-    for i in order:
-        key = frozenset(sets[i])
-        if key in first:
-            stay += [i] if rows[i][0] == first[key] else []
-            continue
-        alike = any(len(sets[i] & x) >= least * len(sets[i] | x) for x in leaders)
-        first[key] = rows[i][0] if not alike else object()
-        if not alike:
-            leaders.append(sets[i])
-            stay.append(i)
+    """Places of the rows that stay: of each group of similar texts those of its first doc_id and shingle set."""
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    key = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    points = sorted(set(sets), key=lambda s: min(key(i) for i, x in enumerate(sets) if x == s))
+    roots = brute_components(points, lambda x, y: len(x & y) >= least * len(x | y))
+    stay = []
+    for root in set(roots):
+        first = points[root]
+        own = [i for i, x in enumerate(sets) if x == first]
+        stay += [i for i in own if rows[i][0] == min(own, key=key) or rows[i][0] == rows[min(own, key=key)][0]]
     return sorted(stay)
 
 
@@ -615,6 +611,34 @@ def test_a_cluster_needs_a_shared_folder(spark):
         text.shared_folder(Cluster())
 
 
+def test_one_very_long_line(spark):
+    from foliomill.llm import pii, secrets, suffix_dedup
+
+    rng = random.Random(31)
+    words = [f"word{rng.randint(0, 3000)}" for _ in range(30_000)]
+    long = " ".join(words)
+    docs = frame(spark, [(1, long, "en", "s", 1, "", "", ""), (2, long, "en", "s", 1, "", "", ""), (3, "z" * 100_000, "en", "s", 1, "", "", "")])
+    assert [r["n_dropped"] for r in line_dedup.report(docs, min_docs=2).orderBy("doc_id").collect()] == [1, 0, 0]
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert judged[1]["n_words"] == 30_000 and judged[3]["n_words"] == 1 and judged[1]["n_repeat_words"] == brute_quality(long)[4]
+    assert [r["component_id"] for r in simhash.report(docs).orderBy("doc_id").collect()] == [1, 1, 3]
+    bench = spark.createDataFrame([(1, " ".join(words[7_000:7_012]))], "item_id bigint, text string")
+    assert [r["n_hit"] >= 12 for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [True, True, False]
+    assert [r["n_removed"] for r in suffix_dedup.report(docs).orderBy("doc_id").collect()] == [len(long), len(long), 100_000]
+    assert secrets.report(docs).count() == pii.report(docs).count() == 3
+    ours = bpe.WordBpe(bpe.default_path())
+    assert bpe.report(docs).where("doc_id = 1").first()["n_tokens"] == len(ours.encode(long))
+
+
+def test_toxicity_breaks_ties_by_place(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_PLACES", 3)
+    sets = [np.array([9, 5, 7, 1]) if i % 2 else np.array([2]) for i in range(40)]
+    sets = [np.sort(s) for s in sets]
+    y = np.array([i % 2 for i in range(40)], float)
+    # Five places tell the labels apart equally well; the smallest three are taken.
+    assert toxicity.select_places(sets, y).tolist() == [1, 2, 5]
+
+
 def test_every_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries())
     assert numbers == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
