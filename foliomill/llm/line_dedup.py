@@ -8,7 +8,8 @@ position.
 Only digests and positions are shuffled by line; a very common line meets a partial aggregate
 before the shuffle. The frequent lines are written, so that the planner knows their size: it sends
 them to all executors only below its broadcast limit, and else joins by a shuffle that adaptive
-execution can split.
+execution can split. The places that rows lose are written as well and go to every executor while
+they take at most 16 MB; else the texts are shuffled to meet them.
 
 Rows are known by a digest of doc_id and text, so that rows that share a doc_id, or have none, are
 each cut by their own lines.
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import digest, forget, fresh, let, line_key, row_key, whole, written
+from .text import digest, forget, fresh, let, line_key, row_key, sent, whole, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -82,7 +83,7 @@ def dedup_lines(
     rest = [c for c in docs.columns if c.lower() not in made]
     docs = docs.select(*[docs[c] for c in rest])
     row, lost_row, gone = fresh(docs, "row", "lost_row", "gone")
-    lost = lost_positions(docs, min_chars, min_docs).toDF(lost_row, gone)
+    lost = sent(lost_positions(docs, min_chars, min_docs), "positions").toDF(lost_row, gone)
     joined = docs.withColumn(row, row_key("text", "doc_id")).join(lost, F.col(row) == F.col(lost_row), "left")
     kept = let(
         _lines(),

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_RUN, digest, forget, let, line_key, row_key, whole, words, written
+from .text import SPACE_RUN, digest, forget, let, line_key, row_key, sent, whole, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -187,7 +187,7 @@ def _verdict(min_left: float) -> tuple[Column, Column]:
 
 def _judged(docs: DataFrame, min_docs: int, max_share: float, *kept: Column) -> DataFrame:
     """The kept columns as a struct, the counts, `gone` and `lost_words`; one pass, one join."""
-    lost = lost_lines(docs, min_docs, max_share).withColumnRenamed("row", "lost_row")
+    lost = sent(lost_lines(docs, min_docs, max_share), "gone").withColumnRenamed("row", "lost_row")
     counts = text_counts(docs, _row().alias("row"), *kept)
     return counts.join(lost, F.col("kept.row") == F.col("lost_row"), "left").withColumn(
         "lost_words",
