@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import digest, forget, fresh, let, line_key, row_key, sent, whole, written
+from .text import SPACES, ascii_lower, digest, forget, fresh, let, row_key, sent, whole, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -38,15 +38,16 @@ def _lines() -> F.Column:
 
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, doc, pos, key): the lines of at least so many characters; positions count from 0."""
+    # Stripped before they are exploded, so that each line is stripped once; lowering keeps its length.
+    stripped = F.transform(_lines(), lambda x: F.btrim(x, F.lit(SPACES)))
     return (
         docs.select(
             row_key("text", "doc_id").alias("row"),
             F.col("doc_id").alias("doc"),
-            F.posexplode(_lines()).alias("pos", "line"),
+            F.posexplode(stripped).alias("pos", "line"),
         )
-        .select("row", "doc", "pos", line_key(F.col("line")).alias("key"))
-        .where(F.length("key") >= min_chars)
-        .select("row", "doc", "pos", digest(F.col("key")).alias("key"))
+        .where(F.length("line") >= min_chars)
+        .select("row", "doc", "pos", digest(ascii_lower(F.col("line"))).alias("key"))
     )
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_RUN, digest, forget, let, line_key, row_key, sent, whole, words, written
+from .text import SPACE_RUN, SPACES, ascii_lower, digest, forget, let, row_key, sent, whole, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -131,17 +131,18 @@ def _row() -> Column:
 
 def host_lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: its row, document, host, place, digest, and words."""
+    stripped = F.transform(F.split(whole(), "\n"), lambda x: F.btrim(x, F.lit(SPACES)))
     return (
         docs.select(
             _row().alias("row"),
             F.col("doc_id").alias("doc"),
             _host().alias("host"),
-            F.posexplode(F.split(whole(), "\n")).alias("pos", "line"),
+            F.posexplode(stripped).alias("pos", "line"),
         )
-        .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+        .where(F.col("line") != "")
         .select(
             "row", "doc", "host", "pos",
-            digest(line_key(F.col("line"))).alias("key"),
+            digest(ascii_lower(F.col("line"))).alias("key"),
             F.size(words(F.col("line"), SPACE_RUN)).alias("n"),
         )
     )

@@ -30,11 +30,6 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def line_key(line: Column) -> Column:
-    """A line stripped of ASCII white space at both ends and lower-cased in A-Z."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
-
-
 def digest(key: Column) -> Column:
     """128 bits that stand for a string in shuffles."""
     return F.unhex(F.md5(key))
