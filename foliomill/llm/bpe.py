@@ -331,10 +331,29 @@ def decode(rows: DataFrame, path: str | None = None, column: str = "ids") -> Dat
     return rows.select(*kept).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded): both ways in one Python process for each task, a slice of rows at a time."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            for a, b in _slices(batch.column("text"), PART_CHARS):
+                rows = batch.slice(a, b - a)
+                ids = bpe.encode_batch([x or "" for x in rows.column("text").to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
+                texts = pa.array([bpe.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), made, texts], ["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+
+
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token counts and digests of ids and of the decoded text."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
-    return coded.select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

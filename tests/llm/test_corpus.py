@@ -247,6 +247,11 @@ def test_bpe_equals_the_library(docs):
     assert by_row(bpe.report(docs).collect(), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == sorted(want)
 
 
+def test_bpe_round_trip_is_encode_and_decode(docs):
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, bpe.round_trip(docs).collect()))
+
+
 def test_bpe_on_odd_texts(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     library, ours = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path())
