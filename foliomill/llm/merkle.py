@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .text import sent, written
+from .text import forget, sent, written
 
 FANOUT = 2
 #: Leaves of a block, at most.
@@ -267,7 +267,10 @@ def manifest(docs: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFram
     """Placed leaves, the paths of their blocks' roots, and (tree, subroot, root) for each language."""
     if fanout < 2:
         raise ValueError("fanout is 2 or more")
-    placed = numbered(leaves(docs), "leaves", "doc_id", "leaf")
+    # Written first: finding the ranges reads the rows once more, and should not hash the texts again.
+    told = written(leaves(docs), "told")
+    placed = numbered(told, "leaves", "doc_id", "leaf")
+    forget(told)
     trees = climb(placed.select("tree", "pos", "n", F.col("leaf").alias("digest")), fanout, "nodes")
     # The languages' roots are the leaves of one more tree, without a name.
     roots = numbered(
