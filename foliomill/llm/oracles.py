@@ -100,6 +100,46 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP12 = f"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS said
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_AZ}) AS t FROM documents)
+), worded AS (
+  SELECT lang, list_filter(string_split_regex(said, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) sizes(k))
+), counts AS MATERIALIZED (
+  SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+), phrases AS MATERIALIZED (
+  SELECT *, string_split(g, ' ') AS ws FROM counts WHERE k > 1 AND a >= 10
+), halves AS MATERIALIZED (
+  SELECT lang, k, g, a, c, array_to_string(ws[1:c], ' ') AS head, array_to_string(ws[c + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM phrases)
+), cuts AS (
+  SELECT h.lang, h.k, h.g, h.a, c, x.a AS l, y.a AS r,
+    CAST(1000000::HUGEINT * h.a * h.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM halves h JOIN counts x ON x.lang = h.lang AND x.g = h.head JOIN counts y ON y.lang = h.lang AND y.g = h.rest
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1
+), inside AS (
+  SELECT lang, g, max(a) AS most
+  FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS g
+    FROM phrases WHERE k = 3
+  ) GROUP BY lang, g
+)
+SELECT scored.lang, row_number() OVER (PARTITION BY scored.lang
+    ORDER BY score DESC, a DESC, g) AS rank,
+  g AS phrase, a, l, r, n, score
+FROM scored JOIN totals USING (lang) LEFT JOIN inside USING (lang, g)
+WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
 def _marked(value: str) -> str:
     text = f"CAST({value} AS VARCHAR)"
     return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
@@ -171,5 +211,6 @@ ORACLES = {
     "op8_quality_rules": OP8,
     "op9_decontaminate": OP9,
     "op10_line_dedup": OP10,
+    "op12_phrases": OP12,
     "op13_merkle": OP13,
 }

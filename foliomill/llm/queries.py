@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, merkle, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, line_dedup, merkle, packing, phrases, pii, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 from .text import table
 
@@ -55,6 +55,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_simhash, op3_suffix_dedup, op4_secrets, op5_token_counts, op6_bpe, op7_pii,
-        op8_quality_rules, op9_decontaminate, op10_line_dedup, op11_packing, op13_merkle,
+        op8_quality_rules, op9_decontaminate, op10_line_dedup, op11_packing, op12_phrases, op13_merkle,
     )
     return {f.__name__: f for f in every}
 
