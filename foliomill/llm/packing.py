@@ -34,7 +34,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +53,12 @@ END = 1
 SEQUENCE, SENTENCE, INSIDE = 4, 8, 64
 #: Ids that are cut together.
 STRETCH = 1 << 20
-#: Places inside a long sentence that may be cut, in ids.
-STRIDE = 256
+#: Parts of a sequence's length: of the sentences that end within such a part the last one's end may be
+#: a cut; a long sentence may be cut after each such part; a sequence in the middle of the stream is not
+#: cut to a power of two below such a part.
+APART, STRIDE, LEAST_POWER = 128, 8, 16
 TEXT_BYTES = 4 << 20
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
 
 _SENTENCE = re.compile(r"[.!?]+[\"')\]]*</w>")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -87,7 +89,7 @@ class Encoder:
         for name, i in names.items():
             self.ends_word[i] = name.endswith("</w>")
             self.ends_sentence[i] = bool(_SENTENCE.fullmatch(name))
-        self.pieces, self.words = _Known(), _Known()
+        self.known = _Known()
 
     def ask(self, texts: list[str]) -> list[np.ndarray]:
         """Ids from the library itself."""
@@ -99,27 +101,28 @@ class Encoder:
         spelled = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.letters) for w in words]
         lines = [" ".join(spelled[i : i + 4096]) for i in range(0, len(spelled), 4096)]
         coded = self.model.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(c.ids for c in coded), np.uint32)
-        self.words.add(words, ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+        self.known.add(words, ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
 
     def learn(self, pieces: list[str]) -> None:
-        """Pieces that the cache lacks, from their words."""
-        held = []
-        for x in pieces:
-            if x.isalpha():
-                held.append((x,))
-            elif x[-1] in _MARKS and x[:-1].isalpha():
-                held.append((x[:-1], x[-1]))
-            else:
-                held.append(_WORDS.findall(x))
+        """Distinct pieces that the cache lacks: words by the model, others from the words in them."""
+        words = [x for x in pieces if x.isalpha()]
+        mixed = [x for x in pieces if not x.isalpha()]
+        # Most are a word and a mark behind it; a single word of other characters is its own only part.
+        held = [(x[:-1], x[-1]) if x[-1] in _MARKS and x[:-1].isalpha() else _WORDS.findall(x) for x in mixed]
         flat = list(chain.from_iterable(held))
-        new = [w for w in dict.fromkeys(flat) if w not in self.words.at]
+        new = dict.fromkeys(words)
+        new.update(dict.fromkeys(w for w in flat if w not in self.known.at))
         if new:
-            self.learn_words(new)
-        ids, lengths = self.words.take(flat)
+            self.learn_words(list(new))
+        several = [len(h) > 1 for h in held]
+        mixed = [x for x, s in zip(mixed, several) if s]
+        held = [h for h, s in zip(held, several) if s]
+        flat = list(chain.from_iterable(held))
+        ids, lengths = self.known.take(self.known.find(flat))
         counts = np.fromiter(map(len, held), np.int64, len(held))
         total = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]
-        self.pieces.add(pieces, ids, np.diff(total, prepend=0))
+        self.known.add(mixed, ids, np.diff(total, prepend=0))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with END behind it, and where each text ends."""
@@ -131,13 +134,16 @@ class Encoder:
             else:
                 cut.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
         flat = list(chain.from_iterable(cut))
-        new = [x for x in dict.fromkeys(flat) if x not in self.pieces.at]
-        if new:
-            if len(self.pieces.at) + len(new) > CACHE_PIECES:
-                self.pieces, self.words = _Known(), _Known()
-                new = list(dict.fromkeys(flat))
-            self.learn(new)
-        ids, lengths = self.pieces.take(flat)
+        index = self.known.find(flat)
+        missed = np.flatnonzero(index < 0)
+        if len(missed):
+            if len(self.known.at) > CACHE_PIECES:
+                self.known = _Known()
+                missed = np.arange(len(flat))
+            names = [flat[i] for i in missed.tolist()]
+            self.learn(list(dict.fromkeys(names)))
+            index[missed] = self.known.find(names)
+        ids, lengths = self.known.take(index)
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([len(c) for c in cut])]
         if whole:
             parts = np.split(ids, ends[:-1])
@@ -164,9 +170,12 @@ class _Known:
         self.lengths = np.concatenate((self.lengths, lengths))
         self.ids = np.concatenate((self.ids, ids))
 
-    def take(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the names, one after another, and how many each has."""
-        index = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+    def find(self, names: list[str]) -> np.ndarray:
+        """Where each name stands, or -1."""
+        return np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places, one after another, and how many each has."""
         lengths = self.lengths[index]
         return self.ids[_runs(self.starts[index], lengths)], lengths
 
@@ -181,13 +190,15 @@ def places(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, length: int,
     total = len(ids)
     cost = np.full(total + 1, -1, np.int64)
     inner = np.flatnonzero(sentence[ids]) + 1
+    part = inner // max(length // APART, 1)
+    inner = inner[np.append(part[1:] != part[:-1], np.ones(len(inner[:1]), bool))]
     cost[inner] = SENTENCE
     cost[0] = 0
     cost[ends] = 0
     known = np.flatnonzero(cost >= 0)
     # Long stretches without a sentence's end are cut at regular places.
-    wide = np.flatnonzero(np.diff(np.append(known, total)) > min(STRIDE, length))
-    step = min(STRIDE, length)
+    step = max(length // STRIDE, 1)
+    wide = np.flatnonzero(np.diff(np.append(known, total)) > step)
     for k in wide:
         stop = known[k + 1] if k + 1 < len(known) else total
         cost[known[k] + step : stop : step] = INSIDE
@@ -206,12 +217,14 @@ def cuts(at: np.ndarray, cost: np.ndarray, length: int, last: bool) -> np.ndarra
     # Starts of windows of a power of two: for each place, those among the places.
     pairs = []
     power = 1
-    while power <= length:
+    while power < length // LEAST_POWER and not last:
+        power *= 2
+    while power < length:
         i = np.searchsorted(at, at - power)
         j = np.flatnonzero(at[np.minimum(i, n - 1)] == at - power)
         pairs.append(np.stack((j, i[j])))
         power *= 2
-    ends, starts = np.concatenate(pairs, axis=1)
+    ends, starts = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
     order = np.argsort(ends, kind="stable")
     starts = starts[order].tolist()
     bounds = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
