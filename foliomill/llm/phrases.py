@@ -38,9 +38,11 @@ MIN_COUNT = 10
 CONTAINED = 50
 TOP = 2000
 #: Bytes of text in a block of one language.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes in the open blocks of all languages together, as a multiple of one.
-OPEN_BLOCKS = 4
+OPEN_BLOCKS = 2
+#: Rows whose texts are taken out of a batch at a time.
+ROWS = 256
 
 #: Separators of pieces become the one that stands for all, tabs spaces, A-Z a-z.
 _CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -92,9 +94,9 @@ def postings(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
         open_, sizes = {}, {}
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for lang, text in zip(batch.column(0).to_pylist(), texts):
+        for rows in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            texts = rows.column(1).cast(pa.binary()).to_pylist()
+            for lang, text in zip(rows.column(0).to_pylist(), texts):
                 for chunk in _chunks(text):
                     open_.setdefault(lang, []).append(chunk)
                     sizes[lang] = sizes.get(lang, 0) + len(chunk)
@@ -104,6 +106,7 @@ def postings(docs: DataFrame) -> DataFrame:
                     for x in full:
                         sizes.pop(x)
                         yield invert(block, x, open_.pop(x))
+                        pa.default_memory_pool().release_unused()
                         block += 1
         for lang in list(open_):
             yield invert(block, lang, open_.pop(lang))
