@@ -12,7 +12,7 @@ The vocabulary file's path is a parameter; every executor reads it there.
 Defined cases: null and empty texts have no tokens; the vocabulary's own special strings in a text
 are single tokens; a text of any length is encoded whole, a bounded part at a time, and nothing
 depends on where the parts are cut, as no token crosses white space; other columns are carried
-along by `encode` (a column named `ids` is replaced); an empty table gives an empty result.
+along by `encode`, whatever their names (a column named `ids`, in any case, is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import named, numbered_names
+
 #: White space of the Unicode property, which is not quite what str.split() takes.
 SPACE = "\t-\r \x85\xa0  -     　"
 LONG_WORD = 256
@@ -293,42 +295,44 @@ def _slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """The rows with `ids`, an array of token ids, added."""
     path = path or default_path()
-    kept = [c for c in docs.columns if c != "ids"]
-    schema = docs.select(*kept).withColumn("ids", F.lit(None).cast("array<int>")).schema
+    kept = [c for c in docs.columns if c.lower() != "ids"]
+    at, rows = kept.index(column), numbered_names(docs.select(*map(named, kept)))
+    schema = rows.withColumn("ids", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            for a, b in _slices(batch.column(column), PART_CHARS):
-                rows = batch.slice(a, b - a)
-                ids = bpe.encode_batch([x or "" for x in rows.column(column).to_pylist()])
+            for a, b in _slices(batch.column(at), PART_CHARS):
+                part = batch.slice(a, b - a)
+                ids = bpe.encode_batch([x or "" for x in part.column(at).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, made], [*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, "ids")
 
 
 def decode(rows: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
     """The rows with `decoded`, the text of their ids, added; null ids decode to the empty text."""
     path = path or default_path()
-    kept = [c for c in rows.columns if c != "decoded"]
-    schema = rows.select(*kept).withColumn("decoded", F.lit(None).cast("string")).schema
+    kept = [c for c in rows.columns if c.lower() != "decoded"]
+    at, rows = kept.index(column), numbered_names(rows.select(*map(named, kept)))
+    schema = rows.withColumn("decoded", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                ids = part.column(column)
+                ids = part.column(at)
                 if pa.types.is_large_list(ids.type):
                     ids = ids.cast(pa.list_(pa.int32()))
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 texts = [bpe.decode(flat[s:e]) for s, e in zip([0, *ends[:-1]], ends)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema.names)
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, "decoded")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACES, ascii_lower, digest, forget, fresh, let, row_key, sent, whole, written
+from .text import SPACES, ascii_lower, digest, forget, fresh, let, named, row_key, sent, whole, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -82,7 +82,7 @@ def dedup_lines(
     """The documents with `text` cut, and `n_lines` (before) and `n_dropped` added."""
     made = ("n_lines", "n_dropped")
     rest = [c for c in docs.columns if c.lower() not in made]
-    docs = docs.select(*[docs[c] for c in rest])
+    docs = docs.select(*map(named, rest))
     row, lost_row, gone = fresh(docs, "row", "lost_row", "gone")
     lost = sent(lost_positions(docs, min_chars, min_docs), "positions").toDF(lost_row, gone)
     joined = docs.withColumn(row, row_key("text", "doc_id")).join(lost, F.col(row) == F.col(lost_row), "left")
@@ -98,7 +98,7 @@ def dedup_lines(
     )
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     return joined.select(
-        *[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in rest],
+        *[text.alias(c) if c.lower() == "text" else named(c) for c in rest],
         F.size(_lines()).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )

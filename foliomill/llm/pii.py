@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import find, joined, tagged
-from .text import ascii_lower, fresh, let, row_key, whole, words, written
+from .text import ascii_lower, fresh, let, named, row_key, whole, words, written
 
 #: The kinds in their order, with their patterns. The runs are possessive, and a match
 #: starts where a run starts or where the last match ended, so that each run is read once.
@@ -198,7 +198,7 @@ def occurrences(docs: DataFrame, listed: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, found_by: DataFrame | None = None) -> DataFrame:
     """The documents with `email`, `ip`, `card`, `phone` and `ident`: arrays of their spans."""
     made = (*KINDS, "ident")
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    kept = docs.select(*[named(c) for c in docs.columns if c.lower() not in made])
     found = written(mentions(docs), "mentions")
     strong = patterns(docs, found) if found_by is None else found_by
     row, own = fresh(kept, "row", "own")

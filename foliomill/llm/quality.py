@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_RUN, SPACES, ascii_lower, digest, forget, let, row_key, sent, whole, words, written
+from .text import SPACE_RUN, SPACES, ascii_lower, digest, forget, let, named, row_key, sent, whole, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -156,7 +156,9 @@ def lost_lines(
     The lines are exploded and digested once and written; the result is a written table.
     """
     lines = written(host_lines(docs), "hostlines")
-    hosts = docs.groupBy(_host().alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    # Rows that share a doc_id are one document here as they are among a line's holders.
+    known = docs.select(_host().alias("host"), F.col("doc_id")).distinct()
+    hosts = known.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     over = written(
         lines.select("host", "key", "doc")
         .distinct()
@@ -219,7 +221,7 @@ def keep_good(
 
     `n_chars`, if there, follows the text where it is cut.
     """
-    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("every")
+    every = F.struct(*[named(c) for c in docs.columns]).alias("every")
     good = _judged(docs, min_docs, max_share, every).where(_verdict(min_left)[1])
     text = F.col("kept.every.text")
     rest = let(
@@ -235,7 +237,7 @@ def keep_good(
     good = good.select("kept.every", F.col("gone").isNull().alias("as_was"), F.when(F.col("gone").isNull(), text).otherwise(rest).alias("cut"))
     out = []
     for c in docs.columns:
-        value = F.col(f"every.`{c}`")
+        value = F.col("every")[c]
         if c.lower() == "text":
             value = F.col("cut")
         elif c.lower() == "n_chars":

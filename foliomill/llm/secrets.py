@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import apart, find, joined, tagged
-from .text import fresh, let, whole
+from .text import fresh, let, named, whole
 
 #: The kinds in their order, with their patterns.
 ASSIGN = (
@@ -129,7 +129,7 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """The documents with `assign`, `access`, `hex` and `random`: arrays of their spans."""
     made = ("assign", "access", "hex", "random")
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    kept = docs.select(*[named(c) for c in docs.columns if c.lower() not in made])
     (tokens,) = fresh(kept, "tokens")
     found = kept.select("*", *[c.alias(k) for k, c in base_spans(whole()).items()], find(whole(), TOKEN).alias(tokens))
     likely = F.filter(

@@ -410,7 +410,8 @@ def covered_spans(
         .join(spans, ["anchor", "context"])
         .select("k1", "k2", F.inline(F.transform("reach", lambda x: F.struct((F.col("pos") + x["a"]).alias("a"), (F.col("pos") + x["b"]).alias("b")))))
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("a", "b")).alias("spans")),
+        # Equal rows share a key and have the same spans: a set, merged before the shuffle, holds each once.
+        .agg(F.collect_set(F.struct("a", "b")).alias("spans")),
         "covered",
     )
     forget(seen, spans)

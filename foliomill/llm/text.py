@@ -55,6 +55,16 @@ def row_key(text: str = "text", *others: str) -> Column:
     return digest(F.concat(*marked, whole(text)))
 
 
+def named(name: str) -> Column:
+    """The column of this name, dots and quotes in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered_names(df: DataFrame) -> DataFrame:
+    """The columns under plain names, which functions over Arrow batches need; toDF() gives theirs back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores added as no column of the frame has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import named, numbered_names
+
 RULES = ("start", "end", "largest")
 ROWS = 256
 
@@ -97,9 +99,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, rule: str = "start",
         raise ValueError(f"rule is one of {RULES}")
     path = path or default_path()
     made = ["n_tokens", "n_crossing", "section_tokens"]
-    kept = [c for c in docs.columns if c not in made]
-    schema = docs.select(
-        *kept,
+    kept = [c for c in docs.columns if c.lower() not in made]
+    at, rows = kept.index(column), numbered_names(docs.select(*map(named, kept)))
+    schema = rows.select(
+        "*",
         F.lit(None).cast("long").alias(made[0]),
         F.lit(None).cast("long").alias(made[1]),
         F.lit(None).cast("array<int>").alias(made[2]),
@@ -109,9 +112,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, rule: str = "start",
         words = vocabulary(path)
         for batch in batches:
             for a in range(0, len(batch), ROWS):
-                rows = batch.slice(a, ROWS)
+                part = batch.slice(a, ROWS)
                 tokens, crossing, sections = [], [], []
-                for text in rows.column(column).to_pylist():
+                for text in part.column(at).to_pylist():
                     text = text or ""
                     _, ends = words.spans(text)
                     counts, crossed = attribute(ends, line_ends(text.encode("utf-8")), rule)
@@ -121,11 +124,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, rule: str = "start",
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sections]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sections), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(tokens, pa.int64()), pa.array(crossing, pa.int64()), lists],
-                    [*kept, *made],
+                    [*part.columns, pa.array(tokens, pa.int64()), pa.array(crossing, pa.int64()), lists],
+                    schema.names,
                 )
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, *made)
 
 
 def report(docs: DataFrame, path: str | None = None, rule: str = "start") -> DataFrame:
