@@ -14,7 +14,7 @@ from .functions import render as R
 from .functions import responses as M
 from .functions import structure as X
 from .functions import text as T
-from .operators import assemble, chunking, layout, publish, retrieval, review, rollup
+from .operators import assemble, chunking, layout, ordered, publish, retrieval, review, rollup
 from .plans import answer, prompts, run
 from .projections import table
 from .sinks import formats, stages
@@ -382,7 +382,8 @@ def folder_rollup(s, d):
 @query
 def archive_folder_combine(s, d):
     rows = _docs(s, d).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return rollup.folder_combine(rows, nested=False).select("folder", "parts", F.md5("combined").alias("digest"))
+    pieces = rollup.folder_texts(rows, nested=False)
+    return ordered.digests(pieces, ["folder"]).select("folder", F.col("rows").alias("parts"), "digest")
 
 
 @query
@@ -401,8 +402,15 @@ def stage_priority_by_source(s, d):
 
 @query
 def document_concat(s, d):
-    out = assemble.concat_pages(_docs(s, d).select("source", "doc_id", "text"), ["source"], "doc_id")
-    return out.select("source", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    pieces = assemble.concat_parts(_docs(s, d).select("source", "doc_id", "text"), ["source"], ["doc_id"])
+    return ordered.digests(pieces, ["source"]).select("source", F.col("chars").cast("int").alias("chars"), "digest")
+
+
+@query
+def document_parts(s, d):
+    """Where each stretch of a joined text lies: the parts of a key follow one another without a gap."""
+    pieces = assemble.concat_parts(_docs(s, d).select("source", "doc_id", "text"), ["source"], ["doc_id"])
+    return pieces.select("source", "part", "offset", "length", "rows", F.md5("text").alias("digest"))
 
 
 @query
@@ -653,6 +661,15 @@ def run_manifests(s, d):
     return stages.manifest(records).select("run", F.get_json_object("manifest", "$.sources").cast("bigint").alias("sources"))
 
 
+@query
+def run_manifest_lines(s, d):
+    records = _docs(s, d).select(
+        F.col("lang").alias("run"), F.col("doc_id").alias("source_index"), F.col("source").alias("label"),
+        F.when(F.length(T.strip(F.col("text"))) > 0, "restored").otherwise("failed").alias("status"), F.lit("").alias("failure_reason"),
+    )
+    return stages.manifest_lines(records)
+
+
 @query
 def restoration_prompts(s, d):
     made = prompts.restoration(F.col("text"), F.col("document_type"), F.lit("strict-source"))
@@ -682,11 +699,11 @@ def fallback_titles(s, d):
 
 @query
 def run_sources(s, d):
-    chunk = F.struct(F.lit(None).cast("string").alias("translated_text"), F.col("text").alias("restored_text"), F.lit("").alias("text"), F.col("doc_id").cast("int").alias("page_number"), F.lit(0.7).alias("confidence"))
-    records = _docs(s, d).groupBy(F.col("source").alias("label")).agg(F.array_sort(F.collect_list(F.struct("doc_id", chunk.alias("c")))).alias("cs"))
-    records = records.select(F.xxhash64("label").alias("source_index"), "label", F.transform("cs", lambda x: x["c"]).alias("chunks"))
-    numbered = retrieval.number_sources([scan.run_sources(records)], ["label", "part"])
-    return numbered.select("source_no", "source_id", "label", "kind", "part", "page_number", F.md5("text").alias("digest"))
+    chunks = _docs(s, d).select(F.col("source").alias("label"), "doc_id", "text", F.col("doc_id").cast("int").alias("page_number"), F.lit(0.7).alias("confidence"))
+    sources, texts = scan.run_parts(chunks, ["label"], "doc_id")
+    whole = ordered.digests(texts, ["label"]).select("label", F.lit(0).alias("part"), F.col("digest").alias("_whole"))
+    numbered = retrieval.number_sources([sources], ["label", "part"]).join(whole, ["label", "part"], "left")
+    return numbered.select("source_no", "source_id", "label", "kind", "part", "page_number", F.coalesce("_whole", F.md5("text")).alias("digest"))
 
 
 @query

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import structure as X
 from ..functions.text import PAGE_BREAK, SCRIPTS, is_blank, lines, recent_words, scripts, strip, text_of
+from ..sinks.shared import forget, written
+from .ordered import PLACE, inside, numbered, parts, ranged, scanned
 
 
 def priority_union(parts: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
@@ -52,64 +53,93 @@ STATE_LISTS = {"notes": (X.LAYOUT_NOTES, 6), "scripts": (tuple(n for n, _ in SCR
 def consistency_scan(chunks: DataFrame, run: str, order: str, text: str = "text") -> DataFrame:
     """The state that each chunk sees: what the chunks of its run before it have shown.
 
-    The chunks are read and looked at once. Styles, counts and the latest words are running windows;
-    the lists hold few known values, so each value's first place in its run is one minimum, and a
-    chunk sees those that come before it. No frame carries lists or more than one text.
+    The columns are those of the chunks but for the text, and the state. What a chunk shows is looked at
+    once and written, without the text. A range of a run sums up as its count of live pages, the first
+    place of each style and of each known value of the lists, and its latest words; the scan over ranges
+    gives each chunk the firsts of its run, of which it sees those that come before it. The lists are
+    filled value by value, in the order of their first places.
     """
     found = F.col("_lines")
     live = ~is_blank(F.col(text)) & (strip(F.col(text)) != "")
+    kept = [c for c in chunks.columns if c != text]
 
     def seen(value: Column) -> Column:
         return F.when(live, value)
 
-    marked = chunks.withColumn("_lines", lines(F.col(text))).select(
-        *chunks.columns,
-        live.cast("int").alias("_live"),
-        seen(X.paragraph_style(strip(F.col(text)))).alias("_paragraph"),
-        seen(F.nullif(X.heading_style(found), F.lit(""))).alias("_heading"),
-        seen(F.nullif(X.page_marker_style(found), F.lit(""))).alias("_marker"),
-        seen(X.layout_notes(found)).alias("_notes"),
-        seen(scripts(F.col(text))).alias("_scripts"),
-        seen(X.structures(found)).alias("_structures"),
-        seen(recent_words(F.col(text), 100)).alias("_recent"),
+    marked = written(
+        chunks.withColumn("_lines", lines(F.col(text))).select(
+            *kept,
+            live.cast("int").alias("_live"),
+            seen(X.paragraph_style(strip(F.col(text)))).alias("_paragraph"),
+            seen(F.nullif(X.heading_style(found), F.lit(""))).alias("_heading"),
+            seen(F.nullif(X.page_marker_style(found), F.lit(""))).alias("_marker"),
+            seen(X.layout_notes(found)).alias("_notes"),
+            seen(scripts(F.col(text))).alias("_scripts"),
+            seen(X.structures(found)).alias("_structures"),
+            seen(recent_words(F.col(text), 100)).alias("_recent"),
+        ),
+        "marks",
     )
-    through = W.partitionBy(run).orderBy(order)
-    before = through.rowsBetween(W.unboundedPreceding, -1)
-    placed = marked.withColumn("_row", F.row_number().over(through))
-
-    def first_places(name: str) -> Column:
-        firsts = []
-        for value in STATE_LISTS[name][0]:
-            at = F.array_position(f"_{name}", value).cast("int")
-            spot = F.when(at > 0, F.struct(F.col("_row").alias("row"), at.alias("pos")))
-            firsts.append(F.struct(F.min(spot).over(W.partitionBy(run)).alias("first"), F.lit(value).alias("value")))
-        return F.array(*firsts)
+    placed = ranged(marked, [run, order])
+    forget(marked)
+
+    def spot(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(F.col(PLACE).alias("at"), value.alias("v")))
+
+    def listed(name: str, value: str) -> Column:
+        at = F.array_position(f"_{name}", value).cast("int")
+        return F.when(at > 0, F.struct(F.col(PLACE).alias("at"), at.alias("pos")))
+
+    styles = {f"_first{c}": spot(F.col(c)) for c in ("_paragraph", "_heading", "_marker")}
+    values = {(name, n): v for name, (known, _) in STATE_LISTS.items() for n, v in enumerate(known)}
+    state = scanned(
+        placed,
+        [run],
+        {"_before": F.col("_live")},
+        styles | {f"_{name}{n}": listed(name, v) for (name, n), v in values.items()},
+        {"_last": spot(F.col("_recent"))},
+    )
+
+    def first(column: str) -> Column:
+        own = F.col(f"_first{column}")
+        return F.when(own["at"] < F.col(PLACE), own["v"]).otherwise("")
 
     def shown(name: str) -> Column:
-        earlier = F.filter(first_places(name), lambda x: x["first"]["row"] < F.col("_row"))
+        firsts = F.array(*[F.struct(F.col(f"_{k}{n}").alias("first"), F.lit(v).alias("value")) for (k, n), v in values.items() if k == name])
+        earlier = F.filter(firsts, lambda x: x["first"]["at"] < F.col(PLACE))
         return F.slice(F.transform(F.array_sort(earlier), lambda x: x["value"]), 1, STATE_LISTS[name][1])
 
-    def first(column: str) -> Column:
-        return F.coalesce(F.first(column, ignorenulls=True).over(before), F.lit(""))
-
-    return placed.select(
-        *chunks.columns,
-        F.coalesce(F.sum("_live").over(before), F.lit(0)).alias("observed_pages"),
+    here = inside([run])
+    return state.select(
+        *kept,
+        (F.col("_before") + F.coalesce(F.sum("_live").over(here), F.lit(0))).alias("observed_pages"),
         first("_paragraph").alias("paragraph_style"),
         first("_heading").alias("heading_style"),
         first("_marker").alias("page_marker_style"),
         shown("notes").alias("layout_notes"),
         shown("scripts").alias("encountered_scripts"),
         shown("structures").alias("encountered_structures"),
-        F.coalesce(F.last("_recent", ignorenulls=True).over(before), F.lit("")).alias("recent_text_excerpt"),
+        F.coalesce(F.last("_recent", ignorenulls=True).over(here), F.col("_last")["v"], F.lit("")).alias("recent_text_excerpt"),
     )
 
 
 def review_budget(rows: DataFrame, run: str, order: str, damaged: str, limit: Column) -> DataFrame:
-    """`reviewed`: damaged rows of a run, in order, until the budget is spent."""
-    through = W.partitionBy(run).orderBy(order)
-    spent = F.sum(F.col(damaged).cast("int")).over(through)
-    return rows.withColumn("reviewed", F.col(damaged) & (spent <= limit))
+    """`reviewed`: damaged rows of a run, in order, until the budget is spent.
+
+    The rows are written before they are ranged, as what tells damage may cost much.
+    """
+    known = written(rows, "damage")
+    spent = numbered(known, [run], [order], "_spent", F.coalesce(F.col(damaged).cast("int"), F.lit(0)))
+    return spent.withColumn("reviewed", F.col(damaged) & (F.col("_spent") + 1 <= limit)).drop("_spent")
+
+
+def concat_parts(rows: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """(keys, part, offset, length, rows, text): the texts of each key joined by page breaks, in parts.
+
+    Blank texts are dropped. For keys with more text than a value should hold; see `ordered.parts`.
+    """
+    clean = rows.withColumn(text, strip(F.col(text))).where(F.col(text) != "")
+    return parts(clean, keys, order, text, PAGE_BREAK)
 
 
 def allocate_texts(blocks: DataFrame, segments: DataFrame, page: str = "page") -> DataFrame:

@@ -7,6 +7,7 @@ assets of a document meet in one join on the document.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import render as R
@@ -184,17 +185,30 @@ SUMMARY_ENTRIES = 120
 def unit_summary(units: DataFrame, keys: list[str], index: str = "page_index") -> DataFrame:
     """One unit for each document: role and layout of its first page, and the first entries of all lists.
 
-    Only pages that can still give an entry enter a list: the first `SUMMARY_ENTRIES` with any.
+    A page is one row for each of its lists that has entries, and one for itself. A limited window keeps
+    the first `SUMMARY_ENTRIES` pages of each list, and the first page, before any are gathered.
     """
     lists = ["section_headings", "title_candidates", "contents_entries", "footnotes"]
     shown = [c for c in ("role", "layout") if c in units.columns]
 
+    def row(kind: str) -> Column:
+        held = [(F.slice(c, 1, SUMMARY_ENTRIES) if c == kind else F.lit(None).cast(units.schema[c].dataType)).alias(c) for c in lists]
+        own = [(F.col(c) if kind == "" else F.lit(None).cast(units.schema[c].dataType)).alias(c) for c in shown]
+        made = F.struct(F.lit(kind).alias("kind"), F.col(index).alias("at"), *held, *own)
+        return made if kind == "" else F.when(F.size(kind) > 0, made)
+
+    rows = units.select(*keys, F.explode(F.array_compact(F.array(*[row(k) for k in ["", *lists]]))).alias("_row"))
+    place = F.row_number().over(W.partitionBy(*keys, "_row.kind").orderBy("_row.at"))
+    most = F.when(F.col("_row.kind") == "", 1).otherwise(SUMMARY_ENTRIES)
+    first = rows.withColumn("_place", place).where(F.col("_place") <= SUMMARY_ENTRIES).where(F.col("_place") <= most)
+    grouped = first.groupBy(*keys).agg(F.collect_list(F.struct("_row.kind", "_place", "_row")).alias("_rows"))
+
     def listed(name: str) -> Column:
-        page = F.when(F.size(name) > 0, F.struct(F.col(index).alias("at"), F.slice(name, 1, SUMMARY_ENTRIES).alias("v")))
-        pages = F.slice(F.array_sort(F.collect_list(page)), 1, SUMMARY_ENTRIES)
-        return F.slice(F.flatten(F.transform(pages, lambda x: x["v"])), 1, SUMMARY_ENTRIES).alias(name)
+        own = F.array_sort(F.transform(F.filter("_rows", lambda x: x["kind"] == name), lambda x: F.struct(x["_place"], x["_row"][name].alias("v"))))
+        return F.slice(F.flatten(F.transform(own, lambda x: x["v"])), 1, SUMMARY_ENTRIES).alias(name)
 
-    return units.groupBy(*keys).agg(*[F.min_by(c, index).alias(c) for c in shown], *[listed(c) for c in lists])
+    page = F.filter("_rows", lambda x: x["kind"] == "")[0]["_row"]
+    return grouped.select(*keys, *[page[c].alias(c) for c in shown], *[listed(c) for c in lists])
 
 
 def semantic_tags(observed: DataFrame, kind: str = "document_type", index: str = "page_index", assets: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import question_pages, question_terms, text_of
+from ..sinks.shared import sent, written
+from .ordered import PLACE, RANGE, ranged
 
 SOURCES_KEPT = 10
 KIND_BONUS = {"page-record": 22, "raw-visual": 14, "chunk": 6}
@@ -164,23 +166,17 @@ def folder_sources(files: DataFrame, root: str, question: str = "") -> DataFrame
 def number_sources(parts: list[DataFrame], order: list[str]) -> DataFrame:
     """Sources of several inputs together, in order, as S1, S2 and so on.
 
-    Numbers are row counts before each range partition plus the place inside it, so no task holds
-    all rows. The partitions are written to the checkpoint folder first, where there is one, so that
-    counting and numbering see the same rows in the same places, whatever executors are lost.
+    Numbers are row counts before each range plus the place inside it, so no task holds all rows.
     """
     both = reduce(DataFrame.unionByName, [p.withColumn("_input", F.lit(n)) for n, p in enumerate(parts)])
-    ranged = both.repartitionByRange(F.col("_input"), *[F.col(o) for o in order]).sortWithinPartitions("_input", *order)
-    if ranged.sparkSession.sparkContext.getCheckpointDir():
-        ranged = ranged.checkpoint()
-    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
-    # One row for each partition: bounded by their number.
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = placed.join(F.broadcast(sizes.select("_part", "first", "before")), "_part")
-    number = F.col("before") + F.col("_id") - F.col("first") + 1
-    return numbered.withColumn("source_no", number.cast("long")).withColumn(
-        "source_id", F.concat(F.lit("S"), number.cast("string"))
-    ).drop("_input", "_part", "_id", "first", "before")
+    placed = ranged(written(both, "sources"), ["_input", *order])
+    sizes = placed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"), F.min(PLACE).alias("first"))
+    # One row for each range: bounded by their number.
+    before = F.coalesce(F.sum("n").over(W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = written(sizes.select(F.col(RANGE).alias("_of"), (before - F.col("first")).alias("_shift")), "starts")
+    number = (F.col(PLACE) + F.col("_shift") + 1).cast("long")
+    joined = placed.join(sent(starts), F.col(RANGE) == F.col("_of")).withColumn("source_no", number)
+    return joined.withColumn("source_id", F.concat(F.lit("S"), F.col("source_no").cast("string"))).drop("_input", "_of", "_shift", PLACE, RANGE)
 
 
 def history_tail(turns: DataFrame, session: str, turn: str, n: int = 24) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import page_profile
 from ..functions.text import PAGE_BREAK, strip
+from .ordered import parts
 
 
 def counts_map(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -177,9 +178,14 @@ def folder_parts(rows: DataFrame, path: str = "path", text: str = "text", nested
 def folder_combine(rows: DataFrame, path: str = "path", text: str = "text", nested: bool = True) -> DataFrame:
     """(folder, parts, combined): texts joined by page breaks for every folder above them, by path.
 
-    A folder's text is one value, which Spark bounds at 2 GB: larger folders go through `folder_parts`.
+    A folder's text is one value, which Spark bounds at 2 GB: larger folders go through `folder_texts`.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"])
     return folder_parts(rows, path, text, nested).groupBy("folder").agg(
         F.count(F.lit(1)).alias("parts"), F.array_join(ordered, PAGE_BREAK).alias("combined")
     )
+
+
+def folder_texts(rows: DataFrame, path: str = "path", text: str = "text", nested: bool = True) -> DataFrame:
+    """(folder, part, offset, length, rows, text): what `folder_combine` joins, in parts of bounded size."""
+    return parts(folder_parts(rows, path, text, nested), ["folder"], ["path"], "text", PAGE_BREAK)

@@ -443,6 +443,15 @@ f AS (SELECT source, min(priority) AS priority FROM p GROUP BY source) SELECT so
 WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
 j AS (SELECT source, string_agg(t, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY doc_id) AS t FROM c WHERE t <> '' GROUP BY source)
 SELECT source, length(t) AS chars, md5(t) AS digest FROM j""",
+    "document_parts": f"""
+WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
+s AS (SELECT source, doc_id, t, strlen(t) AS n, coalesce(sum(strlen(t) + 5) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM c WHERE t <> ''),
+p AS (SELECT *, o // 1048576 AS part, CASE WHEN o = 0 THEN t ELSE chr(10) || chr(10) || chr(12) || chr(10) || chr(10) || t END AS piece FROM s)
+SELECT source, part, min(CASE WHEN o = 0 THEN 0 ELSE o - 5 END) AS "offset", sum(strlen(piece))::BIGINT AS length, count(*) AS rows, md5(string_agg(piece, '' ORDER BY o)) AS digest FROM p GROUP BY source, part""",
+    "run_manifest_lines": f"""
+WITH r AS (SELECT lang AS run, doc_id, source, CASE WHEN {_strip("coalesce(text, '')")} <> '' THEN 'restored' ELSE 'failed' END AS status FROM documents)
+SELECT run, 0 AS line, '{{"sources":' || count(*) || ',"failed":' || count(*) FILTER (status = 'failed') || '}}' AS json FROM r GROUP BY run
+UNION ALL SELECT run, row_number() OVER (PARTITION BY run ORDER BY doc_id, source), '{{"source_index":' || doc_id || ',"label":"' || source || '","status":"' || status || '","failure_reason":""}}' FROM r""",
     "missing_asset_markers": """
 WITH a AS (SELECT DISTINCT source, lang FROM documents)
 SELECT source, 'a\\' || lang || '.png' AS path, '[image: ' || lang || ' map | a\\' || lang || '.png]' AS marker FROM a WHERE lang = 'de'""",

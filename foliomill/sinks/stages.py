@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Stages, the better ones first.
 STAGES = ("final", "translated", "restored")
 
@@ -54,7 +56,23 @@ def overlay_state(updates: DataFrame, run: str = "run", key: str = "key", value:
     return updates.groupBy(run, key).agg(F.max_by(value, order).alias(value))
 
 
+def manifest_lines(records: DataFrame, run: str = "run") -> DataFrame:
+    """(run, line, json): the manifest of each run as JSON lines, without texts.
+
+    Line 0 holds the run's counts, the others its records by `source_index`; the lines are numbered by
+    a scan, so that a run of any size is never in one place.
+    """
+    from ..operators.ordered import numbered
+
+    own = ["source_index", "label", "status", "failure_reason"]
+    lines = numbered(written(records.select(run, *own), "records"), [run], ["source_index", "label"], "_before").select(
+        run, (F.col("_before") + 1).alias("line"), F.to_json(F.struct(*own)).alias("json")
+    )
+    failed = F.count_if(F.col("status") == "failed")
+    counts = records.groupBy(run).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("sources"), failed.alias("failed"))).alias("json"))
+    return counts.select(run, F.lit(0).cast("long").alias("line"), "json").unionByName(lines)
+
+
 def manifest(records: DataFrame, run: str = "run") -> DataFrame:
-    """One JSON row for each run: its records in order, without texts."""
-    listed = F.array_sort(F.collect_list(F.struct("source_index", "label", "status", "failure_reason")))
-    return records.groupBy(run).agg(F.to_json(F.struct(listed.alias("records"), F.count(F.lit(1)).alias("sources"))).alias("manifest"))
+    """(run, manifest): the counts of each run, the head of its manifest."""
+    return manifest_lines(records, run).where(F.col("line") == 0).select(run, F.col("json").alias("manifest"))
