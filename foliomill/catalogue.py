@@ -14,11 +14,11 @@ from .functions import render as R
 from .functions import responses as M
 from .functions import structure as X
 from .functions import text as T
-from .operators import assemble, chunking, layout, ordered, publish, retrieval, review, rollup
+from .operators import assemble, chunking, figures, layout, ordered, publish, retrieval, review, rollup
 from .plans import answer, prompts, run
 from .projections import table
-from .sinks import formats, stages
-from .sources import scan
+from .sinks import formats, items, shared, stages
+from .sources import archives, scan
 from .streaming import incremental
 
 QUESTION = "What does the statement on pages 66-67 say about the inandti and ereat?"
@@ -901,6 +901,35 @@ def figure_verdicts(s, d):
     return _docs(s, d).select("doc_id", M.figure_kept(reply).alias("kept"))
 
 
+@query
+def figure_decisions(s, d):
+    answers = ['{"keep": true, "label": "Map"}', 'so: {"keep": false, "reason": "text"}', '{"keep": "true"}', "False, it is text", "no idea", '{"keep": true, "reason": "a plate"}']
+    reply = F.get(F.array(*map(F.lit, answers)), (F.col("doc_id") % len(answers)).cast("int"))
+    return _docs(s, d).select("doc_id", M.figure_decision(reply).alias("x")).select("doc_id", "x.*")
+
+
+@query
+def raster_figures(s, d):
+    """Rasters drawn from the boxes of pages, the figures found on them, and their crops."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for page, boxes in zip(batch["page"], batch["boxes"]):
+                gray = np.full((300, 200), 255, np.uint8)
+                for x in boxes:
+                    gray[x["top"] // 5 : x["bottom"] // 5 : 3, x["left"] // 5 : x["right"] // 5] = 40
+                out.append((page, 200, 300, gray.tobytes()))
+            yield pd.DataFrame(out, columns=["page", "width", "height", "gray"])
+
+    boxes = P.boxes(table(s, d, "lineitem")).groupBy("page").agg(F.collect_list(F.struct("left", "top", "right", "bottom")).alias("boxes"))
+    pages = boxes.mapInPandas(draw, "page bigint, width int, height int, gray binary")
+    cut = figures.crops(figures.figure_boxes(pages))
+    return cut.select("page", "figure_index", "left", "top", "right", "bottom", "score", F.md5("content").alias("digest"))
+
+
 @query
 def external_layout(s, d):
     names = F.get(F.array(*map(F.lit, ["Table 1", "big image", "Title", "running header", "prose"])), (F.col("block") % 5).cast("int"))
@@ -949,6 +978,60 @@ def folder_parts(s, d):
     return rollup.folder_parts(rows).groupBy("folder").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"))
 
 
+def _files(s: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the files below a folder, by their paths in it."""
+    rows = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = folder.rsplit("/", 1)[-1]
+    return rows.select(F.element_at(F.split("path", f"/{name}/"), 2).alias("path"), "content")
+
+
+@query
+def item_outputs(s, d):
+    """The final text of every source and its description, written as files in parts and read back."""
+    pieces = assemble.concat_parts(_docs(s, d).select("source", "doc_id", "text"), ["source"], ["doc_id"])
+    texts = pieces.select(
+        F.regexp_replace("source", r"\D", "").cast("int").alias("source_index"), F.concat(F.lit("Box One/"), "source", F.lit(".TXT")).alias("source_name"),
+        F.lit(None).cast("string").alias("archive_label"), F.lit("translated").alias("stage"), F.lit("Old English").alias("language"),
+        F.lit("fr").alias("output_language"), "part", "text",
+    )
+    folder = shared.own_folder(s, "items")
+    items.write_files(items.item_files(texts), folder)
+    return _files(s, folder).select("path", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@query
+def archive_member_files(s, d):
+    """Archives in files, each read by several tasks."""
+    folder = shared.own_folder(s, "archives")
+    items.write_files(P.zipped(_docs(s, d)), folder)
+    members = archives.read_members(s, folder, 64 << 10)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return members.select(name.alias("path"), "pos", "member", "kind", F.md5("content").alias("digest"))
+
+
+@query
+def source_copies(s, d):
+    docs = _docs(s, d).select(
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.concat_ws("/", F.lit("Box A"), "source", F.lit("x.txt")).alias("label"),
+        F.col("doc_id").cast("int").alias("source_index"), F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+    )
+    folder = shared.own_folder(s, "copies")
+    items.write_files(items.source_copies(docs), folder)
+    return _files(s, folder).select("path", F.md5("content").alias("digest"))
+
+
+@query
+def matched_sources(s, d):
+    """Folders of items and the copies that they come from, in the folder that mirrors theirs or at the root."""
+    docs = _docs(s, d).select("doc_id", "lang", "source")
+    number = F.format_string("%04d", F.col("doc_id").cast("int"))
+    folders = docs.select(F.concat_ws("/", "lang", F.concat_ws("-", number, "source")).alias("folder"))
+    kept = docs.where("doc_id % 3 <> 0")
+    below = F.when(F.col("lang").isin("en", "fr"), F.concat("lang", F.lit("/"))).otherwise("")
+    copies = kept.select(F.concat(below, F.concat_ws("-", number, F.concat("lang", F.lit(".txt")))).alias("path"))
+    return items.match_sources(folders, copies)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

@@ -50,11 +50,15 @@ def relative_box() -> Column:
     return F.array(*[F.bround(_c(n) / d, 4) for n, d in (("left", w), ("top", h), ("right", w), ("bottom", h))])
 
 
-def is_figure(kind: Column) -> Column:
+def is_figure(kind: Column, box: Column | None = None) -> Column:
+    """Whether a block, or a struct with its fields, has the size and darkness of a figure."""
+    of = _c if box is None else lambda n: box[n].cast("double")
+    w, h = of("right") - of("left"), of("bottom") - of("top")
+    area = w * h / _at_least_one(of("page_width") * of("page_height"))
     loose = kind.isin("Manuscript", "Archive bundle", "Magazine")
-    wide = width() >= _c("page_width") * F.when(loose, 0.08).otherwise(0.14)
-    high = height() >= _c("page_height") * F.when(loose, 0.06).otherwise(0.09)
-    return wide & high & area_ratio().between(0.025, 0.75) & _c("dark_ratio").between(0.06, 0.70)
+    wide = w >= of("page_width") * F.when(loose, 0.08).otherwise(0.14)
+    high = h >= of("page_height") * F.when(loose, 0.06).otherwise(0.09)
+    return wide & high & area.between(0.025, 0.75) & of("dark_ratio").between(0.06, 0.70)
 
 
 def has_table_signals(kind: Column) -> Column:

@@ -108,17 +108,18 @@ def block_maps(blocks: DataFrame, page: str = "page") -> DataFrame:
     return pages.mapInArrow(draw, f"{page} {pages.schema[page].dataType.simpleString()}, map string")
 
 
-def figure_score() -> Column:
-    """How much a box looks like a figure, from its share of the page, darkness and shape."""
-    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
-    area = w * h / F.greatest(F.col("page_width") * F.col("page_height"), F.lit(1))
-    dark, shape = F.col("dark_ratio"), w / F.greatest(h, F.lit(1))
+def figure_score(box: Column | None = None) -> Column:
+    """How much a box (a struct, or the columns) looks like a figure: its share of the page, darkness and shape."""
+    of = F.col if box is None else lambda n: box[n]
+    w, h = of("right") - of("left"), of("bottom") - of("top")
+    area = w * h / F.greatest(of("page_width") * of("page_height"), F.lit(1))
+    dark, shape = of("dark_ratio"), w / F.greatest(h, F.lit(1))
     points = (
         F.when(area.between(0.04, 0.42), 0.30).when(area.between(0.025, 0.55), 0.18).otherwise(0.0)
         + F.when(dark.between(0.10, 0.55), 0.25).when(dark.between(0.06, 0.70), 0.12).otherwise(0.0)
-        + F.when(F.col("mid_ratio") >= 0.12, 0.08).otherwise(0.0)
+        + F.when(of("mid_ratio") >= 0.12, 0.08).otherwise(0.0)
         + F.when(shape.between(0.45, 2.8), 0.12).otherwise(0.0)
-        + F.when((w >= F.col("page_width") * 0.18) & (h >= F.col("page_height") * 0.12), 0.15).otherwise(0.0)
+        + F.when((w >= of("page_width") * 0.18) & (h >= of("page_height") * 0.12), 0.15).otherwise(0.0)
     )
     return F.when((w > 0) & (h > 0), F.least(points, F.lit(1.0))).otherwise(0.0)
 

@@ -443,6 +443,28 @@ f AS (SELECT source, min(priority) AS priority FROM p GROUP BY source) SELECT so
 WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
 j AS (SELECT source, string_agg(t, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY doc_id) AS t FROM c WHERE t <> '' GROUP BY source)
 SELECT source, length(t) AS chars, md5(t) AS digest FROM j""",
+    "item_outputs": f"""
+WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
+j AS (SELECT source, string_agg(t, chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY doc_id) AS t FROM c WHERE t <> '' GROUP BY source),
+n AS (SELECT t, source, regexp_replace(source, '\\D', '', 'g')::INT AS i FROM j),
+f AS (SELECT 'items/box-one/' || lpad(i::VARCHAR, 4, '0') || '-' || source || '-txt/translated__old-english-to-fr.txt' AS path, t, i, source FROM n),
+x AS (SELECT path, t FROM f UNION ALL SELECT path || '.json', '{{"kind":"item","stage":"translated","source_index":' || i || ',"source_name":"Box One/' || source
+  || '.TXT","language":"Old English","output_language":"fr","text":' || CAST(to_json(t) AS VARCHAR) || '}}' || chr(10) FROM f)
+SELECT path, strlen(t)::INT AS bytes, md5(t) AS digest FROM x""",
+    "archive_member_files": """
+SELECT lpad((doc_id // 100)::VARCHAR, 6, '0') || '.zip' AS path, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY lang || '/' || doc_id || '.txt')::INT AS pos,
+  lang || '/' || doc_id || '.txt' AS member, 'text' AS kind, md5(coalesce(text, '')) AS digest FROM documents""",
+    "source_copies": """
+SELECT 'sources/box-a/' || source || '/' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INT, '0') || '-' || doc_id || '.txt' AS path, md5(coalesce(text, '')) AS digest FROM documents""",
+    "matched_sources": """
+WITH n AS (SELECT *, lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INT, '0') AS k FROM documents),
+c AS (SELECT CASE WHEN lang IN ('en', 'fr') THEN lang || '/' ELSE '' END || k || '-' || lang || '.txt' AS path FROM n WHERE doc_id % 3 <> 0),
+p AS (SELECT path, regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM c)
+SELECT n.lang || '/' || k || '-' || source AS folder, min(path) AS source_path
+FROM n LEFT JOIN p ON p.dir = (CASE WHEN n.lang IN (SELECT dir FROM p) THEN n.lang ELSE '' END) AND starts_with(p.name, n.k) GROUP BY n.doc_id, n.lang, n.k, n.source""",
+    "figure_decisions": """
+SELECT doc_id, doc_id % 6 IN (0, 5) AS keep, CASE doc_id % 6 WHEN 0 THEN 'Map' ELSE '' END AS label,
+  CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'text' WHEN 3 THEN 'provider rejected crop' WHEN 5 THEN 'a plate' ELSE 'verification inconclusive' END AS reason FROM documents""",
     "document_parts": f"""
 WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
 s AS (SELECT source, doc_id, t, strlen(t) AS n, coalesce(sum(strlen(t) + 5) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM c WHERE t <> ''),

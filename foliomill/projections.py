@@ -43,6 +43,24 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
+def zipped(docs: DataFrame, size: int = 100) -> DataFrame:
+    """(path, part, content): zip archives of `size` documents each, a member for every document."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for doc, lang, text in zip(rows["doc_id"], rows["lang"], rows["text"]):
+                z.writestr(zipfile.ZipInfo(f"{lang}/{doc}.txt", (2020, 1, 1, 0, 0, 0)), text or "", zipfile.ZIP_DEFLATED)
+        return pd.DataFrame([(f"{rows['archive'].iloc[0]:06d}.zip", 0, out.getvalue())], columns=["path", "part", "content"])
+
+    grouped = docs.select("doc_id", "lang", "text", F.floor(F.col("doc_id") / size).alias("archive")).groupBy("archive")
+    return grouped.applyInPandas(pack, "path string, part long, content binary")
+
+
 def keyed_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page_index, document_type, text): a keyword line before each document."""
     line = F.get(F.array(*map(F.lit, KEYWORD_LINES)), (F.col("doc_id") % len(KEYWORD_LINES)).cast("int"))

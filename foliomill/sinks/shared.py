@@ -29,16 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; the folder goes when the application ends."""
+    path = f"{shared_folder(spark)}/foliomill-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends here, and sizes are known.
 
     The table goes when the application ends, or earlier by forget().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/foliomill-{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
