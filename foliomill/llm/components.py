@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round is two joins with pre-aggregated minima; nothing is gathered in one place. Rounds are
-of the order of the logarithm of the longest chain.
+of the order of the logarithm of the longest chain. A round's links are written, and those of the round
+before deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut
+from .text import forget, written
 
 MAX_ROUNDS = 60
 
@@ -50,14 +51,17 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, root) for every node of links (a, b) of long ids; root is the smallest of its component."""
-    now = cut(
+    now = written(
         links.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        "links",
     )
     before = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
+        stars = written(_small_star(_large_star(now)), "links")
+        forget(now)
+        now = stars
         # The sum of roots falls with every change of the stars, and their count with merged links.
         mark = now.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))

@@ -196,8 +196,8 @@ def block_buckets(distinct: DataFrame, radius: int) -> DataFrame:
     return distinct.select("fp", "id", F.explode(tables).alias("at")).select("fp", "id", F.xxhash64("at.n", "at.bits").alias("bucket"))
 
 
-def _dealt(buckets: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """(key, fp, id): rows for each bucket, and for pairs of parts of large ones."""
+def _dealt(buckets: DataFrame, radius: int, tile_rows: int, *more: str) -> DataFrame:
+    """(key, fp, id, more): rows for each bucket, and for pairs of parts of large ones."""
     buckets = buckets.withColumn("ones", F.bit_count("fp").cast("int"))
     # Sizes are written and their key dealt anew, so that the rows of a hot bucket are split in the join.
     sizes = written(
@@ -226,8 +226,8 @@ def _dealt(buckets: DataFrame, radius: int, tile_rows: int) -> DataFrame:
         )
     )
     meet = F.explode(F.when(F.col("rows") <= tile_rows, whole).otherwise(cells)).alias("cell")
-    return sized.select("fp", "id", "bucket", meet).select(
-        "fp", "id", F.xxhash64("bucket", "cell.low", "cell.a", "cell.high", "cell.b").alias("key")
+    return sized.select("fp", "id", "bucket", *more, meet).select(
+        "fp", "id", *more, F.xxhash64("bucket", "cell.low", "cell.a", "cell.high", "cell.b").alias("key")
     )
 
 
@@ -306,7 +306,7 @@ SIMILARITY = 0.8
 BANDS, BAND = 16, 6
 #: Differing bits of fingerprints within which two texts of a band are candidates: those of similarity
 #: 0.8 differ in about ten of 64 bits, three more or less, those of 0.9 in under seven.
-WIDE = 16
+WIDE = 20
 _MIX = np.random.default_rng(11).integers(1, 1 << 32, (2, BANDS * BAND), dtype=np.uint32) | np.uint32(1)
 
 
@@ -349,14 +349,35 @@ def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     return kept.mapInArrow(run, f"row binary, doc_id {kind}, fp bigint, cid bigint, bands array<bigint>")
 
 
-def forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    return (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) + (low >> np.uint64(29)))
+
+
+def forest(
+    keys: np.ndarray,
+    fps: np.ndarray,
+    ids: np.ndarray,
+    radius: int,
+    groups: np.ndarray | None = None,
+    failed: np.ndarray | None = None,
+    layers: int = 1,
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids within the radius that join all such pairs of a bucket, the nearest ones first.
 
-    At most one pair fewer than rows, so that a group of n copies never gives more than n.
+    Rows of a bucket that are of one group are joined already, and pairs whose hash is among the failed
+    ones are left out. A pair that joins nothing new is tried in the next layer, which joins the bucket
+    once more by other pairs. A layer has one pair fewer than rows at most, so that a group of n copies
+    gives no more than n in each.
     """
     tiles = Tiles(keys, fps, radius)
-    met = [[np.zeros(0, np.int64)] * 3]
-    label, chosen = np.arange(len(fps)), []
+    own = ids[tiles.order]
+    label = np.arange(len(fps))
+    if groups is not None:
+        _, first, of = np.unique(np.stack((keys, groups))[:, tiles.order], axis=1, return_index=True, return_inverse=True)
+        label = first[of.ravel()]
+    labels = [label.copy() for _ in range(layers)]
+    met, chosen = [[np.zeros(0, np.int64)] * 3], []
 
     def join() -> None:
         a, b, apart = (np.concatenate(x) for x in zip(*met))
@@ -364,26 +385,69 @@ def forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> t
         for distance in range(radius + 1):
             at = np.flatnonzero(apart == distance)
             x, y = a[at], b[at]
-            while len(x):
-                low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-                differ = low != high
-                x, y, low, high = x[differ], y[differ], low[differ], high[differ]
-                # Every label is hooked on to a smaller one by one pair.
-                hooked, first = np.unique(high, return_index=True)
-                label[hooked] = low[first]
-                chosen.append((x[first], y[first]))
-                while not np.array_equal(up := label[label], label):
-                    label[:] = up
+            for label in labels:
+                spare = [(x[:0], y[:0])]
+                while len(x):
+                    low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                    differ = low != high
+                    spare.append((x[~differ], y[~differ]))
+                    x, y, low, high = x[differ], y[differ], low[differ], high[differ]
+                    # Every label is hooked on to a smaller one by one pair.
+                    hooked, first = np.unique(high, return_index=True)
+                    label[hooked] = low[first]
+                    chosen.append((x[first], y[first]))
+                    rest = np.ones(len(x), bool)
+                    rest[first] = False
+                    x, y = x[rest], y[rest]
+                    while not np.array_equal(up := label[label], label):
+                        label[:] = up
+                # What joined nothing here may join something in the next layer.
+                x, y = (np.concatenate(s) for s in zip(*spare))
 
     for a, b in tiles.near():
+        if groups is not None:
+            other = label[a] != label[b]
+            a, b = a[other], b[other]
+        if failed is not None and len(failed):
+            new = ~np.isin(_pair_hash(own[a], own[b]), failed)
+            a, b = a[new], b[new]
         met.append([a, b, np.bitwise_count(tiles.fps[a] ^ tiles.fps[b]).astype(np.int64)])
         if sum(len(x[0]) for x in met) > CHUNK:
             join()
             met.append([np.zeros(0, np.int64)] * 3)
     join()
     a, b = (np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 2, *chosen))
-    ids = ids[tiles.order]
-    return np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
+    return np.maximum(own[a], own[b]), np.minimum(own[a], own[b])
+
+
+def pairs_apart(buckets: DataFrame, radius: int, layers: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b): pairs of buckets (fp, id, bucket, group, failed) that join different groups and have not failed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.concat_tables(held).combine_chunks()
+            keys, fps, ids, groups = (rows.column(c).to_numpy() for c in ("key", "fp", "id", "group"))
+            whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+            held[:] = [rows.slice(whole)]
+            if whole:
+                lists = rows.column("failed").slice(0, whole).combine_chunks()
+                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                failed = np.unique(_pair_hash(np.repeat(ids[:whole], n), lists.flatten().to_numpy(zero_copy_only=False)))
+                a, b = forest(keys[:whole], fps[:whole].view(np.uint64), ids[:whole], radius, groups[:whole], failed, layers)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(pa.Table.from_batches([batch]))
+                if sum(len(x) for x in held) >= 1 << 16:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    dealt = _dealt(buckets, radius, tile_rows, "group", "failed")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -399,8 +463,8 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     return one.mapInArrow(run, "cid bigint, found binary")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have at least this share of all their hashes in common."""
+def judged_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, alike): whether the sets of a pair have at least this share of all their hashes in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,11 +473,71 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (mine, theirs))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(both >= least * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "alike"])
 
     mine, theirs = sets.toDF("own", "mine"), sets.toDF("other", "theirs")
     joined = pairs.join(mine, F.col("a") == F.col("own")).join(theirs, F.col("b") == F.col("other"))
-    return joined.select("a", "b", "mine", "theirs").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "mine", "theirs").mapInArrow(run, "a bigint, b bigint, alike boolean")
+
+
+def similar_groups(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): classes (cid, row, fp, bands) joined by pairs of this similarity; written.
+
+    A round takes the pairs that join what is apart in a bucket, and checks them on the shingle sets. A
+    pair that fails may have stood before another that would not, so the next round leaves it out, twice
+    as many layers deep, in the buckets of failed pairs whose texts are still apart; the last round is one
+    that joins nothing.
+    """
+    hashed = classes.select("cid", "row", "fp", F.transform("bands", lambda x, n: F.xxhash64(n, x)).alias("buckets"))
+    cells = hashed.select("fp", F.col("cid").alias("id"), F.explode("buckets").alias("bucket"))
+    # In the first round every class is a group of its own.
+    maybe = written(_compared(cells, WIDE, TILE_ROWS, forest), "maybe")
+    known, layers, groups = None, 1, None
+    while True:
+        met = maybe.select(F.explode(F.array("a", "b")).alias("met")).distinct()
+        members = written(hashed.join(met, F.col("cid") == F.col("met")).select("row", "cid"), "members")
+        sets = written(shingle_sets(docs, members, shingle), "sets")
+        now = written(judged_pairs(maybe, sets, similarity), "judged")
+        forget(maybe, members, sets)
+        added = now.where("alike").limit(1).count()
+        if known is not None:
+            both = written(known.unionByName(now), "known")
+            forget(known, now)
+            now = both
+        known = now
+        if groups is None or added:
+            if groups is not None:
+                forget(groups)
+            groups = written(components(known.where("alike").select("a", "b")), "groups")
+        if not added:
+            break
+        layers *= 2
+
+        def group_of(side: str) -> DataFrame:
+            return groups.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"group_{side}"))
+
+        apart = written(
+            known.where(~F.col("alike")).join(group_of("a"), F.col("a") == F.col("node_a"), "left")
+            .join(group_of("b"), F.col("b") == F.col("node_b"), "left")
+            .where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b"))
+            .select("a", "b").distinct(),
+            "apart",
+        )
+        mine, theirs = (hashed.select(F.col("cid").alias(f"of_{x}"), F.col("buckets").alias(f"in_{x}")) for x in ("a", "b"))
+        shared = apart.join(mine, F.col("a") == F.col("of_a")).join(theirs, F.col("b") == F.col("of_b"))
+        live = written(shared.select(F.explode(F.array_intersect("in_a", "in_b")).alias("bucket")).distinct(), "live")
+        # Each failed pair is carried by its first class, which stands for as many as were chosen for it.
+        failed = apart.groupBy(F.col("a").alias("of")).agg(F.collect_list("b").alias("failed"))
+        rows = (
+            cells.join(live, "bucket", "left_semi")
+            .join(groups, F.col("id") == F.col("node"), "left")
+            .join(failed, F.col("id") == F.col("of"), "left")
+            .select("fp", "id", "bucket", F.coalesce("root", "id").alias("group"), "failed")
+        )
+        maybe = written(pairs_apart(written(rows, "rows"), WIDE, layers), "maybe")
+        forget(apart, live)
+    forget(known)
+    return groups
 
 
 def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -422,7 +546,8 @@ def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     A group is joined by pairs that have at least this share of all their shingles in common. Texts
     with equal shingle sets are one class from the start. Classes that share a band of least hashes
     are a bucket; inside it, fingerprints are compared in tiles, and of the pairs within `WIDE` bits
-    those that join them, nearest first, are checked on the shingle sets themselves.
+    those that join them, nearest first, are checked on the shingle sets themselves, in rounds until
+    one joins nothing.
 
     The rows of the smallest doc_id of a group stay, as versions of one document, but for those of
     other classes of the group; rows without a doc_id stay if no row of the group has one.
@@ -435,13 +560,7 @@ def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
         marked.groupBy("cid").agg(F.min(F.struct(order.alias("first"), "fp", "bands")).alias("x")).select("cid", "x.first", "x.fp", "x.bands"),
         "classes",
     )
-    buckets = classes.select("fp", F.col("cid").alias("id"), F.posexplode("bands").alias("n", "key")).select("fp", "id", F.xxhash64("n", "key").alias("bucket"))
-    maybe = written(_compared(buckets, WIDE, TILE_ROWS, forest), "maybe")
-    met = maybe.select(F.explode(F.array("a", "b")).alias("met")).distinct()
-    members = written(classes.join(met, F.col("cid") == F.col("met")).select(F.col("first.row").alias("row"), "cid"), "members")
-    sets = written(shingle_sets(docs, members, shingle), "sets")
-    groups = written(components(written(similar_pairs(maybe, sets, similarity), "similar")), "groups")
-    forget(maybe, members, sets)
+    groups = similar_groups(classes.select("cid", F.col("first.row").alias("row"), "fp", "bands"), docs, shingle, similarity)
     grouped = classes.join(groups, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("root", "cid").alias("group"))
     # The class of the smallest doc_id stands for its group; the root is dealt anew, as groups may be large.
     best = written(grouped.groupBy("group").agg(F.min(F.struct("first", "cid")).alias("x")).select(F.col("x.cid").alias("own"), F.col("x.first.doc_id").alias("least")), "best")

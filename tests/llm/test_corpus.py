@@ -379,6 +379,37 @@ def test_near_copies_by_similarity(spark):
     assert simhash.keep_dissimilar(frame(spark, [])).count() == 0
 
 
+def test_near_copies_in_chains_lose_no_document(spark):
+    """Planted edits around the least similarity: as many documents stay as there are exact groups."""
+    rng = random.Random(2)
+    texts = []
+    while len(texts) < 500:
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(50, 250))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            changed = list(words)
+            for _ in range(rng.randint(0, max(len(words) // 45, 1))):
+                at = rng.randrange(len(changed))
+                changed[at : at + 1] = rng.choice([[f"x{rng.randint(0, 10**6)}"], [], [f"y{rng.randint(0, 10**6)}", changed[at]]])
+            texts.append(" ".join(changed))
+            words = rng.choice([words, changed])
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    out = simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == brute_dissimilar(rows)
+
+
+def test_forest_leaves_out_groups_and_failed_pairs():
+    fps = np.array([0, 1, 3, 7, 1 << 40], np.uint64)
+    keys, ids = np.zeros(5, np.int64), np.arange(10, 15)
+    pairs = lambda *a: sorted(zip(*(x.tolist() for x in simhash.forest(keys, fps, ids, 2, *a))))
+    assert len(pairs()) == 4 and (13, 10) not in pairs()
+    assert pairs(np.array([7, 7, 7, 7, 9]), None, 1) == [(14, 10)]
+    failed = np.unique(simhash._pair_hash(np.array([10, 14]), np.array([14, 11])))
+    assert pairs(np.array([7, 7, 7, 7, 9]), failed, 1) == [] and len(pairs(np.arange(5), failed, 1)) == 3
+    # Two layers join everything twice where there are pairs enough.
+    assert len(pairs(np.arange(5), None, 2)) > 4 and len(set(pairs(np.arange(5), None, 2))) == len(pairs(np.arange(5), None, 2))
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(3)
     kept_columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
