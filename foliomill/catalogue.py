@@ -17,7 +17,7 @@ from .functions import text as T
 from .operators import assemble, chunking, figures, layout, ordered, publish, retrieval, review, rollup
 from .plans import answer, prompts, run
 from .projections import table
-from .sinks import formats, items, shared, stages
+from .sinks import books, formats, items, shared, stages
 from .sources import archives, scan
 from .streaming import incremental
 
@@ -850,6 +850,38 @@ def where_terms(s, d):
     return retrieval.where(answer.sources_of(_docs(s, d)), "the inandti and ereat tion").select("source_id", "source_no")
 
 
+def _book(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of books by source, the layout blocks of some of them, and their units."""
+    seen = X.observe(_keyed(s, d)).select("source", "doc_id", "text", *books.UNIT_FIELDS)
+    owner = _docs(s, d).select("source", "doc_id")
+    blocks = _published_blocks(s, d).join(owner, F.col("page") == F.col("doc_id"))
+    return seen.select("source", "doc_id", "text"), blocks, seen.select("source", "doc_id", *books.UNIT_FIELDS)
+
+
+@query
+def book_markdown(s, d):
+    """Every source as one book: pages by their layout where they have one, else with units and texts."""
+    pages, blocks, units = _book(s, d)
+    contents = books.page_contents(pages, "markdown", blocks, units, "source", "doc_id")
+    pieces = books.markdown_parts(contents, "source", "doc_id").withColumn("rows", F.lit(0).cast("long"))
+    return ordered.digests(pieces, ["source"]).select("source", "chars", "digest")
+
+
+@query
+def book_packages(s, d):
+    """Every source as a word-processing package with pictures, written as files and read back by member."""
+    pages, blocks, units = _book(s, d)
+    shown = blocks.where(F.col("asset_path").isNotNull())
+    drawn = shown.select("source", F.struct("doc_id", "reading_order").alias("pos"), F.col("asset_path").alias("path"), F.lit(4).alias("width"), F.lit(3).alias("height"), F.unhex(F.md5("asset_path")).alias("content"))
+    pictures = books.media(drawn, "source")
+    body = books.docx_parts(pages, pictures, blocks, units, "source", "doc_id")
+    folder = shared.own_folder(s, "books")
+    items.write_files(books.zipped(books.docx_members(body, pictures, "source"), "source", F.concat("source", F.lit(".zip"))), folder)
+    members = archives.read_members(s, folder).where(F.col("kind") == "image")
+    name = F.regexp_extract("path", r"([^/]*)\.zip$", 1)
+    return members.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("pictures"), F.md5(F.array_join(F.array_sort(F.collect_list(F.hex("content"))), ",")).alias("digest"))
+
+
 def _files(s: SparkSession, d: str) -> DataFrame:
     stage = F.get(F.array(*map(F.lit, ["final__", "translated__", "", "run_manifest.json"])), (F.col("doc_id") % 4).cast("int"))
     suffix = F.get(F.array(*map(F.lit, [".json", ".txt", ".md", ".png"])), (F.col("doc_id") % 7 % 4).cast("int"))

@@ -910,3 +910,20 @@ WITH {_FEATURED}, {_HEADS}, c AS (
 )
 SELECT doc_id, role, md5(array_to_string(list_filter([CASE WHEN repeated THEN '' ELSE unit END, {_strip('plain')}], lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM z""",
 }
+
+# A page's body in place of its digest, for whole books.
+_LAID = ORACLES["export_layout_markdown"].replace("md5(coalesce(", "(coalesce(").replace("AS digest", "AS body")
+_PLAIN = ORACLES["page_bodies"].replace("md5(array_to_string(list_filter([CASE WHEN repeated", "(array_to_string(list_filter([CASE WHEN repeated").replace("AS digest", "AS body")
+ORACLES["book_markdown"] = f"""
+WITH laid AS ({_LAID}), plain AS ({_PLAIN}), p AS (
+  SELECT d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS i, count(*) OVER (PARTITION BY d.source) AS n,
+    CASE WHEN {_strip("coalesce(laid.body, '')")} <> '' THEN laid.body ELSE plain.body END AS body
+  FROM documents d JOIN plain USING (doc_id) LEFT JOIN laid ON laid.page = d.doc_id
+), j AS (
+  SELECT source, string_agg('<!-- Page ' || i || ' of ' || n || ' -->' || chr(10) || chr(10) || CASE WHEN {_strip('body')} = '' THEN '[blank page]' ELSE {_strip('body')} END,
+    chr(10) || chr(10) || chr(12) || chr(10) || chr(10) ORDER BY i) || chr(10) AS t FROM p GROUP BY source
+)
+SELECT source, length(t) AS chars, md5(t) AS digest FROM j"""
+ORACLES["book_packages"] = f"""
+WITH {_PUBLISHED}, a AS (SELECT source, upper(md5('a/' || page || '-' || reading_order || '.png')) AS c FROM z JOIN documents ON page = doc_id WHERE role = 'figure-region' AND page % 2 = 0)
+SELECT source, count(*) AS pictures, md5(string_agg(c, ',' ORDER BY c)) AS digest FROM a GROUP BY source"""
