@@ -14,7 +14,7 @@ from .functions import render as R
 from .functions import responses as M
 from .functions import structure as X
 from .functions import text as T
-from .operators import assemble, chunking, figures, layout, ordered, publish, retrieval, review, rollup
+from .operators import assemble, chunking, figures, layout, ordered, publish, records, retrieval, review, rollup
 from .plans import answer, prompts, run
 from .projections import table
 from .sinks import books, formats, items, shared, stages
@@ -174,6 +174,32 @@ def document_structure(s, d):
     return out.select("source", "page_count_observed", "table_block_count", "chart_block_count", *[_json(c) for c in lists])
 
 
+@query
+def layout_page_profiles(s, d):
+    """The profiles of every source's first pages, as its layout profile holds them."""
+    out = records.page_profiles(rollup.with_profile(X.observe(_keyed(s, d))), ["source"], "doc_id")
+    rows = out.select("source", F.posexplode("page_profiles").alias("pos", "p"))
+    return rows.select("source", "pos", "p.dominant_flow", "p.column_count_estimate", "p.line_count", "p.average_line_length", "p.has_page_marker", "p.has_contents_entries")
+
+
+@query
+def assets_manifest(s, d):
+    made = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda i: F.struct(F.concat_ws("-", F.lit("a/"), F.col("doc_id").cast("string"), i.cast("string")).alias("path"), F.col("lang").alias("label")))
+    chunks = _docs(s, d).select("source", "doc_id", F.slice(made, F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("assets"))
+    return records.assets_manifest(chunks, ["source"], "doc_id").select("source", "index", "asset.*")
+
+
+@query
+def structure_records(s, d):
+    """One row of structure for each source, with its layout profile and its assets."""
+    chunks = _docs(s, d).select("source", F.array_repeat(F.lit("a"), (F.col("doc_id") % 4).cast("int")).alias("assets"))
+    out = records.structure_record(X.observe(_keyed(s, d)), ["source"], "doc_id", chunks)
+    return out.select(
+        "source", "document_type", "page_count_observed", "asset_count", F.to_json("content_kinds").alias("content_kinds"), _json("section_headings"),
+        "layout_profile.dominant_flow", F.to_json("layout_profile.page_flow_counts").alias("flows"), F.size("layout_profile.page_profiles").alias("profiles"),
+    )
+
+
 @query
 def running_headers_frequent(s, d):
     heads = _dealt(s, d).select("lang", "doc_id", X.running_header(T.lines(F.col("text"))).alias("header"))

@@ -465,6 +465,21 @@ FROM n LEFT JOIN p ON p.dir = (CASE WHEN n.lang IN (SELECT dir FROM p) THEN n.la
     "figure_decisions": """
 SELECT doc_id, doc_id % 6 IN (0, 5) AS keep, CASE doc_id % 6 WHEN 0 THEN 'Map' ELSE '' END AS label,
   CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'text' WHEN 3 THEN 'provider rejected crop' WHEN 5 THEN 'a plate' ELSE 'verification inconclusive' END AS reason FROM documents""",
+    "layout_page_profiles": f"""
+WITH {_FEATURED}, pp AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM f)
+SELECT source, pos::INT AS pos, dominant_flow, column_count AS column_count_estimate, n AS line_count, mean AS average_line_length, marker <> '' AS has_page_marker, len(entries) > 0 AS has_contents_entries FROM pp WHERE pos < 120""",
+    "assets_manifest": """
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS index, 'a/-' || doc_id || '-' || i AS path, lang AS label
+FROM (SELECT source, doc_id, lang, unnest(range(doc_id % 4)) AS i FROM documents)""",
+    "structure_records": f"""
+WITH {_FEATURED}, {_HEADS}, k1 AS (SELECT source, role, count(*) AS n FROM f GROUP BY ALL), k2 AS (SELECT source, dominant_flow AS flow, count(*) AS n FROM f GROUP BY ALL),
+a AS (SELECT source, '{{' || string_agg('"' || role || '":' || n, ',' ORDER BY role) || '}}' AS content_kinds FROM k1 GROUP BY source),
+b AS (SELECT source, arg_max(flow, (n, flow)) AS dominant_flow, '{{' || string_agg('"' || flow || '":' || n, ',' ORDER BY flow) || '}}' AS flows FROM k2 GROUP BY source),
+c AS (SELECT source, min(document_type) AS document_type, count(*) AS page_count_observed, sum(doc_id % 4)::BIGINT AS asset_count, least(count(*), 120)::INT AS profiles FROM f GROUP BY source),
+v AS (SELECT source, lower(h) AS low, min((doc_id, pos, h)) AS spot FROM (SELECT source, doc_id, generate_subscripts(heads, 1) AS pos, unnest(heads) AS h FROM u) WHERE h <> '' GROUP BY ALL),
+w AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY spot) AS place, spot FROM v),
+h2 AS (SELECT source, CAST(to_json(list(spot[3] ORDER BY place)) AS VARCHAR) AS section_headings FROM w WHERE place <= 24 GROUP BY source)
+SELECT c.*, content_kinds, coalesce(section_headings, '[]') AS section_headings, dominant_flow, flows FROM c JOIN a USING (source) JOIN b USING (source) LEFT JOIN h2 USING (source)""",
     "document_parts": f"""
 WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
 s AS (SELECT source, doc_id, t, strlen(t) AS n, coalesce(sum(strlen(t) + 5) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM c WHERE t <> ''),
