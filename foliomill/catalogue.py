@@ -702,6 +702,13 @@ def restoration_prompts(s, d):
     return _keyed(s, d).groupBy("document_type").agg(F.count(F.lit(1)).alias("prompts"), F.sum(F.length(made) - F.length("text")).alias("added"))
 
 
+@query
+def restoration_prompt_texts(s, d):
+    """The whole prompt of every document, by its digest."""
+    made = prompts.restoration(F.col("text"), F.col("document_type"), F.lit("strict-source"))
+    return _keyed(s, d).select("doc_id", "document_type", F.md5(made).alias("digest"))
+
+
 @query
 def relabelled_blocks(s, d):
     blocks = layout.classify(P.distinct_boxes(table(s, d, "lineitem")))

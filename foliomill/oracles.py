@@ -905,6 +905,12 @@ WITH RECURSIVE {_RESTORED} SELECT lang, count(*) FILTER (restored_text = '') AS
     "folder_parts": f"""
 WITH d AS (SELECT source, lang, {_strip("coalesce(text, '')")} AS t FROM documents), f AS (SELECT source AS folder, t FROM d WHERE t <> '' UNION ALL SELECT source || '/' || lang, t FROM d WHERE t <> '')
 SELECT folder, count(*) AS parts, sum(length(t))::BIGINT AS chars FROM f GROUP BY folder""",
+    "restoration_prompt_texts": f"""
+WITH {_KEYED} SELECT doc_id, document_type, md5('{TASK}' || chr(10) || CASE lower(document_type) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GUIDANCE.items())} ELSE '{OTHER_GUIDANCE}' END
+  || chr(10) || '{POLICIES["strict-source"]}' || '{MARKER}' || text) AS digest FROM k""",
+    "word_wrap": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, md5(coalesce(list_reduce(ws, lambda a, x: CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(x) <= 76 THEN a || ' ' || x ELSE a || chr(10) || x END), '')) AS digest FROM w""",
     "restoration_prompts": f"""
 WITH {_KEYED} SELECT document_type, count(*) AS prompts, sum(CASE lower(document_type) {" ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in GUIDANCE.items())} ELSE {len(OTHER_GUIDANCE)} END
   + {len(TASK) + 2 + len(POLICIES["strict-source"]) + len(MARKER)})::BIGINT AS added FROM k GROUP BY document_type""",
