@@ -1,18 +1,25 @@
 """Input discovery: files, folders, globs and manifests become a table of sources.
 
 Listing goes through Spark's file source, so every store that Spark reads is served; only names
-and lengths are read, and nothing is collected but the few items that the caller names.
+and lengths are read. What is collected are the items that the caller names, the paths of manifests and
+the folders that their entries lie in, but no list of files. Whether a JSON file is a manifest is told by
+its head alone, so a manifest must name its `inputs` or `files` there.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sinks.shared import written
+from .archives import place
+
 # Fixed values.
 EXTENSIONS = {
     ".pdf": "PDF",
@@ -32,7 +39,7 @@ EXTENSIONS = {
     ".zip": "Archive",
     ".csv": "Manifest",
 }
-SCHEMA = "item int, root string, path string, length bigint"
+SCHEMA = "item double, root string, path string, length bigint"
 
 
 def clean_item(item: str) -> str:
@@ -60,6 +67,8 @@ def _listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame | None
 
 #: Manifests that name manifests are followed so deep.
 DEPTH = 8
+#: Bytes of a JSON file that are looked at to tell a manifest.
+HEAD_BYTES = 1 << 16
 
 
 def discover(spark: SparkSession, items: list[str], recursive: bool = True) -> tuple[DataFrame, list[str]]:
@@ -79,13 +88,33 @@ def discover(spark: SparkSession, items: list[str], recursive: bool = True) -> t
                 continue
             root = "" if re.search(r"[*?\[]", item) else item.rstrip("/")
             n = len(parts)
-            manifests = _manifests(spark, found)
-            plain = found.where(~F.col("path").isin(manifests)) if manifests else found
+            manifests = written(_manifests(found), "manifests")
+            plain = found.join(manifests, "path", "left_anti")
             parts.append(plain.select(F.lit(n).alias("item"), F.lit(root).alias("root"), "path", "length"))
-            for path in manifests:
+            # Manifests are control files: a run has few of them, whatever they name.
+            for path in sorted(r["path"] for r in manifests.collect()):
                 if path not in read and depth < DEPTH:
                     read.add(path)
-                    add([r["path"] for r in read_manifest(spark, path).orderBy("pos").collect()], depth + 1)
+                    follow(path, depth)
+
+    def follow(path: str, depth: int) -> None:
+        """Entries of a manifest: files by listing their folders once, what else they are one by one."""
+        entries = written(read_manifest(spark, path).withColumnRenamed("path", "entry"), "entries")
+        folders = [r["f"] for r in entries.select(F.regexp_extract("entry", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]
+        listed = [x for x in (_listed(spark, f, False) for f in sorted(folders)) if x is not None]
+        nothing = spark.createDataFrame([], "path string, length bigint")
+        files = written(reduce(DataFrame.unionByName, listed, nothing).withColumn("_plain", _plain(F.col("path"))), "files")
+        known = entries.withColumn("_entry", _plain(F.col("entry"))).join(files, F.col("_entry") == F.col("_plain"), "left")
+        manifests = written(_manifests(known.where(F.col("path").isNotNull()).select("path", "length")), "manifests")
+        own = known.where(F.col("path").isNotNull()).join(manifests, "path", "left_anti")
+        n = len(parts)
+        # Entries stand in the manifest's order, each a root of its own, as if given alone.
+        parts.append(own.select((F.lit(n) + (F.col("pos") + 1) / (1 << 40)).alias("item"), F.col("entry").alias("root"), "path", "length"))
+        rest = known.where(F.col("path").isNull()).select("entry", "pos").unionByName(
+            known.join(manifests, "path", "left_semi").select("entry", "pos")
+        )
+        # Folders, patterns, other manifests and what is missing: few beside the files.
+        add([r["entry"] for r in rest.orderBy("pos").collect()], depth + 1)
 
     add(items, 0)
     if not parts:
@@ -93,17 +122,30 @@ def discover(spark: SparkSession, items: list[str], recursive: bool = True) -> t
     return _finish(reduce(DataFrame.unionByName, parts)), missing
 
 
-def _manifests(spark: SparkSession, found: DataFrame) -> list[str]:
-    """Paths of the manifests among listed files; only CSV and JSON files are looked into."""
-    maybe = [r["path"] for r in found.where(F.lower("path").rlike(r"\.(?:csv|json)$")).select("path").orderBy("path").collect()]
-    if not maybe:
-        return []
-    heads = spark.read.format("binaryFile").load(maybe).select("path", F.col("content").cast("string").alias("head"))
-    return [r["path"] for r in heads.where(is_manifest(F.col("path"), F.col("head"))).select("path").orderBy("path").collect()]
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
+def _manifests(found: DataFrame) -> DataFrame:
+    """(path) of the manifests among listed files: by name, or by the head of a JSON file, of which no more is read."""
+    named = found.where(_named(F.col("path"))).select("path")
+    maybe = found.where(F.lower("path").endswith(".json") & ~_named(F.col("path"))).select("path")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for path in batch.column("path").to_pylist():
+                source, at = place(path)
+                with source.open_input_file(at) as f:
+                    texts.append(f.read(HEAD_BYTES).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], ["path", "head"])
+
+    looked = maybe.mapInArrow(heads, "path string, head string")
+    return named.unionByName(looked.where(is_manifest(F.col("path"), F.col("head"))).select("path"))
 
 
 def _finish(found: DataFrame) -> DataFrame:
-    plain = F.regexp_replace("path", r"^file:/+", "/")
+    plain = _plain(F.col("path"))
     name = F.element_at(F.split("root", "/"), -1)
     below = F.when((F.col("root") != "") & plain.startswith(F.concat("root", F.lit("/"))), F.substring(plain, F.length("root") + 2, F.length(plain)))
     label = F.when(below.isNotNull(), F.concat(name, F.lit("/"), below)).otherwise(F.element_at(F.split(plain, "/"), -1))
@@ -122,9 +164,12 @@ def _finish(found: DataFrame) -> DataFrame:
 
 def is_manifest(path: Column, head: Column) -> Column:
     """Any CSV, a file so named, a JSON list, or an object with inputs or files."""
-    named = F.lower(path).endswith(".csv") | F.lower(path).endswith(".manifest.json")
     sniff = F.lower(path).endswith(".json") & (F.ltrim(head).startswith("[") | head.rlike(r'(?s)^\s*\{.*"(?:inputs|files)"\s*:\s*\['))
-    return named | sniff
+    return _named(path) | sniff
+
+
+def _named(path: Column) -> Column:
+    return F.lower(path).endswith(".csv") | F.lower(path).endswith(".manifest.json")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
