@@ -709,6 +709,59 @@ def restoration_prompt_texts(s, d):
     return _keyed(s, d).select("doc_id", "document_type", F.md5(made).alias("digest"))
 
 
+@query
+def printed_lines(s, d):
+    """Lines that print would take for headings or page markers."""
+    line = F.explode(T.lines(F.col("text"))).alias("x")
+    return _keyed(s, d).select("doc_id", line).groupBy("doc_id").agg(
+        F.count_if(T.is_printed_heading(F.col("x"))).alias("headings"), F.count_if(T.is_printed_marker(F.col("x"))).alias("markers")
+    )
+
+
+@query
+def block_marker_texts(s, d):
+    """Blocks of pages and the texts behind their markers in replies."""
+    blocks = layout.reading_order(layout.classify(P.boxes(table(s, d, "lineitem"))), layout.column_counts(layout.classify(P.boxes(table(s, d, "lineitem")))), tie="bottom")
+    reply = F.concat(F.lit("[BLOCK 1]\n"), "text", F.lit("\n[block #2] two [BLOCK 1] again "), F.col("lang"))
+    replies = _docs(s, d).select(F.col("doc_id").alias("page"), reply.alias("reply"))
+    out = assemble.texts_by_marker(blocks.select("page", "reading_order", "role"), replies)
+    return out.select("page", "reading_order", "extracted_text")
+
+
+@query
+def special_blocks(s, d):
+    found = review.special_blocks(layout.classify(P.boxes(table(s, d, "lineitem"))))
+    return found.groupBy("page", "kind").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query
+def compare_material(s, d):
+    docs = _docs(s, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(" ").alias("t"), (F.col("doc_id") % 2).alias("assets"), F.when(F.col("doc_id") % 5 == 0, 1).alias("blocks"))
+    return docs.where(review.has_compare_material(F.col("t"), F.col("assets"), F.col("blocks"))).select("doc_id")
+
+
+@query
+def backfilled_structures(s, d):
+    full = '{"semantic_units": [1], "layout_tree": [{"a": 1}], "layout_profile": {"b": 2}}'
+    held = F.get(F.array(F.lit(full), F.lit('{"semantic_units": [], "layout_tree": [1], "layout_profile": {"b": 2}}'), F.lit("{}"), F.lit(None).cast("string")), (F.col("doc_id") % 4).cast("int"))
+    docs = _docs(s, d)
+    computed = docs.where("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit('{"made": '), F.col("doc_id").cast("string"), F.lit("}")).alias("structure"))
+    return records.with_structure(docs.select("doc_id", held.alias("structure")), computed, "doc_id")
+
+
+@query
+def document_reviews(s, d):
+    """A review of every source: counts, its most uncertain pages, and its pictures."""
+    docs = _docs(s, d).select("source", F.col("doc_id").alias("page"), "lang")
+    blocks = docs.select(
+        "source", "page", F.lit(1).alias("block"), F.col("page").cast("string").alias("label"), F.when(F.col("page") % 4 == 0, "table-region").otherwise("text-region").alias("role"),
+        F.lit("top-left").alias("zone"), ((F.col("page") % 10) / 10).alias("confidence"),
+    )
+    profiles = docs.groupBy("source").agg(F.lit("").alias("title"), F.lit("Book").alias("document_type"), F.lit("single-flow").alias("dominant_flow"), F.lit(1).alias("column_count_estimate"), F.array(F.lit("one note")).alias("notes"))
+    assets = docs.where("page % 7 = 0").select("source", F.col("page").alias("pos"), F.lit("").alias("label"), "lang", F.lit(None).cast("string").alias("zone"), F.lit(3).alias("width"), F.lit(None).cast("int").alias("height"), F.concat(F.lit("a/"), F.col("page").cast("string"), F.lit(".png")).alias("path"))
+    return review.document_report(blocks, profiles, assets).select("source", F.md5("report").alias("digest"))
+
+
 @query
 def relabelled_blocks(s, d):
     blocks = layout.classify(P.distinct_boxes(table(s, d, "lineitem")))

@@ -253,6 +253,25 @@ def is_export_marker(text: Column) -> Column:
     return low.rlike(r"^(?:\d+|[ivxlcdm]+)$")
 
 
+def is_printed_marker(text: Column) -> Column:
+    """A page marker as print shows it: digits and Roman letters, mixed or not, after an optional word for page."""
+    return strip(text).rlike(r"(?i)^(?:page\s*)?[ivxlcdm\d]+$")
+
+
+# Words that a printed heading begins with.
+PRINTED_HEADS = (
+    "chapter", "section", "part", "book", "preface", "foreword", "introduction", "appendix", "index", "abstract", "references",
+    "bibliography", "editorial", "feature", "article", "letter", "record", "schedule", "clauses", "definitions", "policy", "coverage",
+    "claim", "findings", "diagnosis", "medications", "instructions",
+)
+
+
+def is_printed_heading(line: Column) -> Column:
+    """At most 90 characters: four or more in capitals, or a heading's word at the start."""
+    capitals = (line == F.upper(line)) & (F.length(line) >= 4)
+    return (line != "") & (F.length(line) <= 90) & (capitals | F.lower(line).rlike(rf"^({'|'.join(PRINTED_HEADS)})\b"))
+
+
 def is_heading(line: Column) -> Column:
     upper = line == F.upper(line)
     keyword = line.rlike(r"(?i)^(chapter|section|part|book|preface|contents|index|appendix)\b")

@@ -183,6 +183,19 @@ def allocate_texts(blocks: DataFrame, segments: DataFrame, page: str = "page") -
     return joined.select(page, F.inline(filled)).select(page, "block.*", "extracted_text").select(*blocks.columns, "extracted_text")
 
 
+def texts_by_marker(blocks: DataFrame, replies: DataFrame, page: str = "page") -> DataFrame:
+    """Blocks with `extracted_text`: what their page's reply says behind the marker of their order, else empty.
+
+    A reply's markers are rows of their own before the join; the last marker of a number counts. Pages whose
+    reply has no marker keep their blocks without texts, for `allocate_texts`.
+    """
+    from ..functions.responses import block_texts
+
+    said = replies.select(F.col(page).alias("_page"), F.explode(block_texts(F.col("reply"))).alias("_order", "_said"))
+    joined = blocks.join(said, (F.col(page) == F.col("_page")) & (F.col("reading_order") == F.col("_order")), "left")
+    return joined.withColumn("extracted_text", strip(F.coalesce("_said", F.lit("")))).drop("_page", "_order", "_said")
+
+
 def asset_label(label: Column) -> Column:
     """The label before any bar, without a parenthesis at its end."""
     named = F.when(text_of(label) == "", F.lit("figure")).otherwise(text_of(label))

@@ -73,3 +73,23 @@ def structure_record(observed: DataFrame, keys: list[str], order: str, chunks: D
     whole = reduce(lambda a, b: a.join(b, keys, "left"), parts, kinds)
     count = F.coalesce("asset_count", F.lit(0)) if chunks is not None else F.lit(0)
     return whole.withColumns({"asset_count": count.cast("long"), "running_headers": F.coalesce("running_headers", F.array().cast("array<string>"))})
+
+
+#: What a manifest's structure must have to be taken as it is.
+STRUCTURE_PARTS = ("semantic_units", "layout_tree", "layout_profile")
+
+
+def with_structure(manifests: DataFrame, computed: DataFrame, key: str) -> DataFrame:
+    """Manifests (key, structure) with the structure that they have, or the computed one where a part is missing or empty.
+
+    Structures are JSON; `computed` has (key, structure) for the manifests that need one.
+    """
+
+    def there(part: str) -> Column:
+        value = F.get_json_object("structure", f"$.{part}")
+        return F.coalesce(~value.isin("", "[]", "{}", "null"), F.lit(False))
+
+    whole = reduce(lambda a, b: a & b, [there(p) for p in STRUCTURE_PARTS])
+    made = computed.select(F.col(key).alias("_key"), F.col("structure").alias("_made"))
+    joined = manifests.join(made, F.col(key) == F.col("_key"), "left")
+    return joined.withColumns({"backfilled": ~whole & F.col("_made").isNotNull(), "structure": F.when(whole, F.col("structure")).otherwise(F.coalesce("_made", "structure"))}).drop("_key", "_made")

@@ -54,6 +54,61 @@ def report(blocks: DataFrame, page: str = "page") -> DataFrame:
     )
 
 
+def special_blocks(blocks: DataFrame) -> DataFrame:
+    """Table and chart blocks with `kind`, for the two lists of a review."""
+    kind = F.when(F.col("role") == "table-region", "table").when(F.col("role") == "chart-region", "chart")
+    return blocks.withColumn("kind", kind).where(F.col("kind").isNotNull())
+
+
+def has_compare_material(text: Column, assets: Column, blocks: Column) -> Column:
+    """Whether a chunk has anything to compare: a text, assets or a layout, the latter two by their numbers."""
+    return (F.trim(F.coalesce(text, F.lit(""))) != "") | (F.coalesce(assets, F.lit(0)) > 0) | (F.coalesce(blocks, F.lit(0)) > 0)
+
+
+#: Least certain blocks that a document's review lists.
+LISTED = 60
+
+
+def document_report(blocks: DataFrame, profiles: DataFrame, assets: DataFrame, key: str = "source", order: str = "page") -> DataFrame:
+    """(key, report): counts, notes, uncertain blocks and assets of each document as Markdown.
+
+    `blocks` has (key, order, block, label, role, zone, confidence), `profiles` (key, title, document_type,
+    dominant_flow, column_count_estimate, notes), `assets` (key, pos, label, zone, width, height, path). Uncertain
+    blocks are cut to LISTED by a limited window before they are gathered.
+    """
+    nodes = counters(blocks, [key]).drop("assets")
+    place = F.row_number().over(W.partitionBy(key).orderBy(order, "block"))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "label", "role", "zone", F.format_string("%.2f", "confidence")), F.lit(" |"))
+    few = low_confidence(blocks).withColumn("_place", place).where(F.col("_place") <= LISTED)
+    uncertain = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_place", row.alias("row")))).alias("_rows"))
+    size = F.concat(F.coalesce(F.col("width").cast("string"), F.lit("?")), F.lit("x"), F.coalesce(F.col("height").cast("string"), F.lit("?")))
+    shown = F.concat(F.lit("| "), F.concat_ws(" | ", F.coalesce(F.nullif("label", F.lit("")), F.lit("figure")), F.coalesce("zone", F.lit("")), size, F.concat(F.lit("`"), "path", F.lit("`"))), F.lit(" |"))
+    pictures = assets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("row")))).alias("_assets"))
+    joined = profiles.join(nodes, key, "left").join(uncertain, key, "left").join(pictures, key, "left")
+
+    def lines(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda x: x["row"]), "\n")
+
+    def count(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0)).cast("string")
+
+    facts = (
+        ("Title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))), ("Document type", F.coalesce("document_type", F.lit(""))),
+        ("Dominant flow", F.coalesce(F.nullif("dominant_flow", F.lit("")), F.lit("unknown"))),
+        ("Column estimate", F.coalesce(F.col("column_count_estimate").cast("string"), F.lit("unknown"))), ("Layout nodes", count(F.col("nodes"))),
+        ("Table blocks", count(F.col("tables"))), ("Chart blocks", count(F.col("charts"))), ("Assets", count(F.size("_assets").cast("int") * F.col("_assets").isNotNull().cast("int"))),
+        ("Low-confidence blocks", count(F.col("low_confidence"))),
+    )
+    parts = F.array(
+        F.lit("# Layout review\n"),
+        F.concat(*[x for name, value in facts for x in (F.lit(f"- {name}: "), value, F.lit("\n"))]),
+        F.when(F.size("notes") > 0, F.concat(F.lit("## Notes\n\n"), F.array_join(F.transform("notes", lambda n: F.concat(F.lit("- "), n)), "\n"), F.lit("\n"))),
+        F.when(F.size("_rows") > 0, F.concat(F.lit("## Low-confidence blocks\n\n| Source | Role | Zone | Confidence |\n| --- | --- | --- | --- |\n"), lines(F.col("_rows")), F.lit("\n"))),
+        F.when(F.size("_assets") > 0, F.concat(F.lit("## Assets\n\n| Label | Zone | Size | Path |\n| --- | --- | --- | --- |\n"), lines(F.col("_assets")), F.lit("\n"))),
+    )
+    return joined.select(key, F.array_join(F.array_compact(parts), "\n").alias("report"))
+
+
 def overlay() -> Column:
     """A block's box in per cent of its page, within 0 and 100."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.labels import ASSEMBLY, HEADED_ROLES, OTHER_ASSEMBLY, ROLE_LABELS
+from .functions.text import PRINTED_HEADS
 from .plans.prompts import GUIDANCE, MARKER, OTHER_GUIDANCE, POLICIES, TASK
 from .projections import KEYWORD_LINES, TYPES
 
@@ -480,6 +481,30 @@ v AS (SELECT source, lower(h) AS low, min((doc_id, pos, h)) AS spot FROM (SELECT
 w AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY spot) AS place, spot FROM v),
 h2 AS (SELECT source, CAST(to_json(list(spot[3] ORDER BY place)) AS VARCHAR) AS section_headings FROM w WHERE place <= 24 GROUP BY source)
 SELECT c.*, content_kinds, coalesce(section_headings, '[]') AS section_headings, dominant_flow, flows FROM c JOIN a USING (source) JOIN b USING (source) LEFT JOIN h2 USING (source)""",
+    "printed_lines": rf"""
+WITH {_KEYED}, {_LINED}, x AS (SELECT doc_id, unnest(ls) AS x FROM l)
+SELECT doc_id, count(*) FILTER (x <> '' AND length(x) <= 90 AND ((x = upper(x) AND length(x) >= 4) OR regexp_matches(lower(x), '^({"|".join(PRINTED_HEADS)})\b'))) AS headings,
+  count(*) FILTER (regexp_matches(x, '^(page\s*)?[ivxlcdm\d]+$', 'i')) AS markers FROM x GROUP BY doc_id""",
+    "block_marker_texts": f"""
+WITH {_PUBLISHED} SELECT page, reading_order, CASE WHEN doc_id IS NULL THEN '' WHEN reading_order = 1 THEN 'again ' || lang WHEN reading_order = 2 THEN 'two' ELSE '' END AS extracted_text
+FROM z LEFT JOIN documents ON doc_id = page""",
+    "special_blocks": f"""
+WITH {_PUBLISHED} SELECT page, CASE role WHEN 'table-region' THEN 'table' ELSE 'chart' END AS kind, count(*) AS blocks FROM z WHERE role IN ('table-region', 'chart-region') GROUP BY ALL""",
+    "compare_material": "SELECT doc_id FROM documents WHERE (doc_id % 3 = 0 AND trim(coalesce(text, '')) <> '') OR doc_id % 2 = 1 OR doc_id % 5 = 0",
+    "backfilled_structures": """
+SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS backfilled, CASE WHEN doc_id % 4 = 0 THEN '{"semantic_units": [1], "layout_tree": [{"a": 1}], "layout_profile": {"b": 2}}'
+  WHEN doc_id % 3 <> 0 THEN '{"made": ' || doc_id || '}' WHEN doc_id % 4 = 1 THEN '{"semantic_units": [], "layout_tree": [1], "layout_profile": {"b": 2}}' WHEN doc_id % 4 = 2 THEN '{}' END AS structure FROM documents""",
+    "document_reviews": """
+WITH b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id % 10 BETWEEN 1 AND 5),
+u AS (SELECT source, count(*) AS n, string_agg('| ' || doc_id || ' | ' || CASE WHEN doc_id % 4 = 0 THEN 'table-region' ELSE 'text-region' END || ' | top-left | 0.' || (doc_id % 10) || '0 |', chr(10) ORDER BY doc_id) FILTER (n <= 60) AS rows FROM b GROUP BY source),
+p AS (SELECT source, count(*) AS n, string_agg('| figure |  | 3x? | `a/' || doc_id || '.png` |', chr(10) ORDER BY doc_id) AS rows FROM documents WHERE doc_id % 7 = 0 GROUP BY source),
+d AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 4 = 0) AS t FROM documents GROUP BY source)
+SELECT d.source, md5('# Layout review' || chr(10) || chr(10) || '- Title: Untitled' || chr(10) || '- Document type: Book' || chr(10) || '- Dominant flow: single-flow' || chr(10) || '- Column estimate: 1' || chr(10)
+  || '- Layout nodes: ' || d.n || chr(10) || '- Table blocks: ' || d.t || chr(10) || '- Chart blocks: 0' || chr(10) || '- Assets: ' || coalesce(p.n, 0) || chr(10) || '- Low-confidence blocks: ' || coalesce(u.n, 0) || chr(10)
+  || chr(10) || '## Notes' || chr(10) || chr(10) || '- one note' || chr(10)
+  || CASE WHEN u.n > 0 THEN chr(10) || '## Low-confidence blocks' || chr(10) || chr(10) || '| Source | Role | Zone | Confidence |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || u.rows || chr(10) ELSE '' END
+  || CASE WHEN p.n > 0 THEN chr(10) || '## Assets' || chr(10) || chr(10) || '| Label | Zone | Size | Path |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || p.rows || chr(10) ELSE '' END) AS digest
+FROM d LEFT JOIN u USING (source) LEFT JOIN p USING (source)""",
     "document_parts": f"""
 WITH c AS (SELECT source, doc_id, {_strip("coalesce(text, '')")} AS t FROM documents),
 s AS (SELECT source, doc_id, t, strlen(t) AS n, coalesce(sum(strlen(t) + 5) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM c WHERE t <> ''),
