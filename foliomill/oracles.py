@@ -973,3 +973,12 @@ SELECT source, length(t) AS chars, md5(t) AS digest FROM j"""
 ORACLES["book_packages"] = f"""
 WITH {_PUBLISHED}, a AS (SELECT source, upper(md5('a/' || page || '-' || reading_order || '.png')) AS c FROM z JOIN documents ON page = doc_id WHERE role = 'figure-region' AND page % 2 = 0)
 SELECT source, count(*) AS pictures, md5(string_agg(c, ',' ORDER BY c)) AS digest FROM a GROUP BY source"""
+
+ORACLES["answer_prompt"] = f"""
+WITH top AS ({ORACLES["page_band_sources"]}), t AS (
+  SELECT '[' || source_id || '] ' || source || '/' || lang || chr(10) || substring(text, 1, 1200) AS part, score, source_id FROM top JOIN documents ON 'S' || doc_id = source_id
+), p AS (
+  SELECT 'Answer from the sources below and cite them by their ids. Say so if they do not hold the answer.' || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY score DESC, source_id)
+    || chr(10) || 'Question: a' || chr(10) || 'Answer: b' || chr(10) || 'Note: n' || chr(10) || 'Question: What does the statement on pages 66-67 say about the inandti and ereat?' AS prompt FROM t
+)
+SELECT length(prompt) AS prompt_chars, length({_offline("prompt")}) + 1 AS reply_chars, 30 AS total_tokens FROM p"""
