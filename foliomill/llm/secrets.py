@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import apart, find, joined, tagged
-from .text import fresh, let, named, whole
+from .text import fresh, let, named, whole, written
 
 #: The kinds in their order, with their patterns.
 ASSIGN = (
@@ -77,39 +77,51 @@ def _moves(value: Column) -> Column:
     return let(places, pairs)
 
 
-def transition_counts(docs: DataFrame) -> DataFrame:
-    """(random, a, b, n): transitions in the labelled strings; -1 stands for other characters."""
-    text = docs.select(whole().alias("text"))
-    kinds = base_spans(F.col("text"))
-    split = text.select(
-        *[c.alias(k) for k, c in kinds.items()], find(F.col("text"), TOKEN).alias("tokens")
-    )
+BASE = ("assign", "access", "hex")
+
+
+def read_spans(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The rows with `assign`, `access` and `hex`, arrays of their base spans, and the loose tokens of their texts."""
+    found = docs.select("*", *[c.alias(k) for k, c in base_spans(whole()).items()], find(whole(), TOKEN).alias(tokens))
+    return found.withColumn(tokens, _loose(F.col(tokens), {k: F.col(k) for k in BASE}))
+
+
+def span_transitions(spans: DataFrame) -> DataFrame:
+    """(random, a, b, n): transitions in the labelled strings of read spans; -1 stands for other characters."""
     values = F.concat(
         F.transform("assign", lambda x: F.regexp_extract(x["value"], ASSIGN, 2)),
         F.transform("access", lambda x: x["value"]),
         F.transform("hex", lambda x: x["value"]),
     )
-    plain = F.filter(
-        F.transform(_loose(F.col("tokens"), {k: F.col(k) for k in kinds}), lambda x: x["value"]), lambda v: ~v.rlike("[0-9][A-Za-z]")
-    )
+    plain = F.filter(F.transform("tokens", lambda x: x["value"]), lambda v: ~v.rlike("[0-9][A-Za-z]"))
 
     def labelled(found: Column, random: bool) -> Column:
         return F.transform(found, lambda v: F.struct(v.alias("value"), F.lit(random).alias("random")))
 
-    strings = split.select(
+    strings = spans.select(
         F.inline(F.concat(labelled(F.filter(values, lambda v: F.length(v) >= 16), True), labelled(plain, False)))
     )
     cells = strings.select("random", F.explode(_moves(F.col("value"))).alias("cell"))
     return cells.groupBy("random", "cell.a", "cell.b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame) -> list[float]:
-    """The log ratio of each transition, row by row."""
-    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in transition_counts(docs).collect()}
+def transition_counts(docs: DataFrame) -> DataFrame:
+    """The transitions in the labelled strings of documents."""
+    return span_transitions(read_spans(docs.select(whole().alias("text"))))
+
+
+def fit_spans(spans: DataFrame) -> list[float]:
+    """The log ratio of each transition, row by row, from read spans."""
+    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in span_transitions(spans).collect()}
     logs = [_log_model(counts, kind) for kind in (True, False)]
     return [x - y for x, y in zip(*logs)]
 
 
+def fit(docs: DataFrame) -> list[float]:
+    """The log ratio of each transition, row by row."""
+    return fit_spans(read_spans(docs.select(whole().alias("text"))))
+
+
 def _log_model(counts: dict, random: bool) -> list[float]:
     """Log transition probabilities; rare rows lean on how often their next character occurs."""
     rows = [[counts.get((random, a, b), 0) for b in range(STATES)] for a in range(STATES)]
@@ -126,26 +138,30 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(_moves(token), F.lit(0.0), lambda acc, m: acc + F.get(held, m["a"] * STATES + m["b"]))
 
 
-def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """The documents with `assign`, `access`, `hex` and `random`: arrays of their spans."""
-    made = ("assign", "access", "hex", "random")
-    kept = docs.select(*[named(c) for c in docs.columns if c.lower() not in made])
-    (tokens,) = fresh(kept, "tokens")
-    found = kept.select("*", *[c.alias(k) for k, c in base_spans(whole()).items()], find(whole(), TOKEN).alias(tokens))
-    likely = F.filter(
-        _loose(F.col(tokens), {k: F.col(k) for k in made[:3]}),
+def _likely(tokens: str, ratios: list[float]) -> Column:
+    """The loose tokens that look random."""
+    return F.filter(
+        F.col(tokens),
         lambda t: log_ratio(t["value"], ratios)
         >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN_RATIO * (F.length(t["value"]) - 1)),
     )
-    return found.withColumn("random", likely).drop(tokens)
+
+
+def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
+    """The documents with `assign`, `access`, `hex` and `random`: arrays of their spans."""
+    kept = docs.select(*[named(c) for c in docs.columns if c.lower() not in (*BASE, "random")])
+    (tokens,) = fresh(kept, "tokens")
+    return read_spans(kept, tokens).withColumn("random", _likely(tokens, ratios)).drop(tokens)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text"), fit(docs))
-    base = F.concat(*[tagged(F.col(k), k, i, False) for i, k in enumerate(("assign", "access", "hex"))])
+    """Counts and places of each document's spans; texts are read once, their spans and loose tokens written."""
+    spans = written(read_spans(docs.select("doc_id", "text")).drop("text"), "spans")
+    found = spans.withColumn("random", _likely("tokens", fit_spans(spans)))
+    base = F.concat(*[tagged(F.col(k), k, i, False) for i, k in enumerate(BASE)])
     return found.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.concat(base, tagged(F.col("random"), "random", 3, False))).alias("spans"),
         F.size("random").cast("long").alias("n_random"),

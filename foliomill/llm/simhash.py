@@ -480,64 +480,81 @@ def judged_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "mine", "theirs").mapInArrow(run, "a bigint, b bigint, alike boolean")
 
 
+def _grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (node, root) after more links: only the groups that these join are looked at; the old ones are forgotten."""
+
+    def root_of(side: str) -> DataFrame:
+        return groups.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
+
+    joined = links.join(root_of("a"), F.col("a") == F.col("node_a"), "left").join(root_of("b"), F.col("b") == F.col("node_b"), "left")
+    met = written(components(joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "joined")
+    over = met.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = groups.join(over, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    out = written(moved.unionByName(met.join(groups.select("node"), "node", "left_anti").select("node", "root")), "groups")
+    forget(groups, met)
+    return out
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The distinct pairs whose classes are in different groups."""
+
+    def root_of(side: str) -> DataFrame:
+        return groups.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
+
+    joined = pairs.join(root_of("a"), F.col("a") == F.col("node_a"), "left").join(root_of("b"), F.col("b") == F.col("node_b"), "left")
+    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
+
+
+#: Layers of a round, at most; rounds go on while they join anything.
+MOST_LAYERS = 64
+
+
 def similar_groups(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root): classes (cid, row, fp, bands) joined by pairs of this similarity; written.
 
     A round takes the pairs that join what is apart in a bucket, and checks them on the shingle sets. A
-    pair that fails may have stood before another that would not, so the next round leaves it out, twice
-    as many layers deep, in the buckets of failed pairs whose texts are still apart; the last round is one
+    pair that fails may have stood before another that would not, so the next round leaves it out, eight
+    times as many layers deep, in the buckets of failed pairs whose texts are still apart; the last round is one
     that joins nothing.
     """
     hashed = classes.select("cid", "row", "fp", F.transform("bands", lambda x, n: F.xxhash64(n, x)).alias("buckets"))
     cells = hashed.select("fp", F.col("cid").alias("id"), F.explode("buckets").alias("bucket"))
     # In the first round every class is a group of its own.
     maybe = written(_compared(cells, WIDE, TILE_ROWS, forest), "maybe")
-    known, layers, groups = None, 1, None
+    layers, groups, before = 1, None, None
     while True:
         met = maybe.select(F.explode(F.array("a", "b")).alias("met")).distinct()
         members = written(hashed.join(met, F.col("cid") == F.col("met")).select("row", "cid"), "members")
         sets = written(shingle_sets(docs, members, shingle), "sets")
-        now = written(judged_pairs(maybe, sets, similarity), "judged")
+        judged = written(judged_pairs(maybe, sets, similarity), "judged")
         forget(maybe, members, sets)
-        added = now.where("alike").limit(1).count()
-        if known is not None:
-            both = written(known.unionByName(now), "known")
-            forget(known, now)
-            now = both
-        known = now
-        if groups is None or added:
-            if groups is not None:
-                forget(groups)
-            groups = written(components(known.where("alike").select("a", "b")), "groups")
-        if not added:
-            break
-        layers *= 2
-
-        def group_of(side: str) -> DataFrame:
-            return groups.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"group_{side}"))
-
-        apart = written(
-            known.where(~F.col("alike")).join(group_of("a"), F.col("a") == F.col("node_a"), "left")
-            .join(group_of("b"), F.col("b") == F.col("node_b"), "left")
-            .where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b"))
-            .select("a", "b").distinct(),
-            "apart",
-        )
+        alike = judged.where("alike").select("a", "b")
+        added = alike.limit(1).count()
+        if groups is None:
+            groups = written(components(alike), "groups")
+        elif added:
+            groups = _grown(groups, alike)
+        failed = judged.where(~F.col("alike")).select("a", "b")
+        apart = written(_apart(failed if before is None else failed.unionByName(before), groups), "apart")
+        forget(judged, *([before] if before is not None else []))
+        if not added or not apart.limit(1).count():
+            forget(apart)
+            return groups
+        before, layers = apart, min(layers * 8, MOST_LAYERS)
         mine, theirs = (hashed.select(F.col("cid").alias(f"of_{x}"), F.col("buckets").alias(f"in_{x}")) for x in ("a", "b"))
         shared = apart.join(mine, F.col("a") == F.col("of_a")).join(theirs, F.col("b") == F.col("of_b"))
         live = written(shared.select(F.explode(F.array_intersect("in_a", "in_b")).alias("bucket")).distinct(), "live")
         # Each failed pair is carried by its first class, which stands for as many as were chosen for it.
-        failed = apart.groupBy(F.col("a").alias("of")).agg(F.collect_list("b").alias("failed"))
+        lost = apart.groupBy(F.col("a").alias("of")).agg(F.collect_list("b").alias("failed"))
         rows = (
             cells.join(live, "bucket", "left_semi")
             .join(groups, F.col("id") == F.col("node"), "left")
-            .join(failed, F.col("id") == F.col("of"), "left")
+            .join(lost, F.col("id") == F.col("of"), "left")
             .select("fp", "id", "bucket", F.coalesce("root", "id").alias("group"), "failed")
         )
-        maybe = written(pairs_apart(written(rows, "rows"), WIDE, layers), "maybe")
-        forget(apart, live)
-    forget(known)
-    return groups
+        rows = written(rows, "rows")
+        maybe = written(pairs_apart(rows, WIDE, layers), "maybe")
+        forget(live, rows)
 
 
 def keep_dissimilar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
