@@ -1096,7 +1096,7 @@ def folder_parts(s, d):
     return rollup.folder_parts(rows).groupBy("folder").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"))
 
 
-def _files(s: SparkSession, folder: str) -> DataFrame:
+def _read_back(s: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the files below a folder, by their paths in it."""
     rows = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = folder.rsplit("/", 1)[-1]
@@ -1114,7 +1114,7 @@ def item_outputs(s, d):
     )
     folder = shared.own_folder(s, "items")
     items.write_files(items.item_files(texts), folder)
-    return _files(s, folder).select("path", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
+    return _read_back(s, folder).select("path", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
 
 
 @query
@@ -1135,7 +1135,7 @@ def source_copies(s, d):
     )
     folder = shared.own_folder(s, "copies")
     items.write_files(items.source_copies(docs), folder)
-    return _files(s, folder).select("path", F.md5("content").alias("digest"))
+    return _read_back(s, folder).select("path", F.md5("content").alias("digest"))
 
 
 @query
