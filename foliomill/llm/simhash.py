@@ -505,23 +505,23 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
 
 
-#: Layers of a round, at most; rounds go on while they join anything.
-MOST_LAYERS = 64
+#: Layers of a round after the first, so that a bucket of n rows gives at most so many times n pairs; rounds
+#: go on while they join anything.
+LAYERS = 8
 
 
 def similar_groups(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root): classes (cid, row, fp, bands) joined by pairs of this similarity; written.
 
     A round takes the pairs that join what is apart in a bucket, and checks them on the shingle sets. A
-    pair that fails may have stood before another that would not, so the next round leaves it out, eight
-    times as many layers deep, in the buckets of failed pairs whose texts are still apart; the last round is one
-    that joins nothing.
+    pair that fails may have stood before another that would not, so the next round leaves it out, `LAYERS`
+    deep, in the buckets of failed pairs whose texts are still apart; the last round is one that joins nothing.
     """
     hashed = classes.select("cid", "row", "fp", F.transform("bands", lambda x, n: F.xxhash64(n, x)).alias("buckets"))
     cells = hashed.select("fp", F.col("cid").alias("id"), F.explode("buckets").alias("bucket"))
     # In the first round every class is a group of its own.
     maybe = written(_compared(cells, WIDE, TILE_ROWS, forest), "maybe")
-    layers, groups, before = 1, None, None
+    groups, before = None, None
     while True:
         met = maybe.select(F.explode(F.array("a", "b")).alias("met")).distinct()
         members = written(hashed.join(met, F.col("cid") == F.col("met")).select("row", "cid"), "members")
@@ -540,7 +540,7 @@ def similar_groups(classes: DataFrame, docs: DataFrame, shingle: int, similarity
         if not added or not apart.limit(1).count():
             forget(apart)
             return groups
-        before, layers = apart, min(layers * 8, MOST_LAYERS)
+        before = apart
         mine, theirs = (hashed.select(F.col("cid").alias(f"of_{x}"), F.col("buckets").alias(f"in_{x}")) for x in ("a", "b"))
         shared = apart.join(mine, F.col("a") == F.col("of_a")).join(theirs, F.col("b") == F.col("of_b"))
         live = written(shared.select(F.explode(F.array_intersect("in_a", "in_b")).alias("bucket")).distinct(), "live")
@@ -553,7 +553,7 @@ def similar_groups(classes: DataFrame, docs: DataFrame, shingle: int, similarity
             .select("fp", "id", "bucket", F.coalesce("root", "id").alias("group"), "failed")
         )
         rows = written(rows, "rows")
-        maybe = written(pairs_apart(rows, WIDE, layers), "maybe")
+        maybe = written(pairs_apart(rows, WIDE, LAYERS), "maybe")
         forget(live, rows)
 
 
