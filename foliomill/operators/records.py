@@ -23,7 +23,7 @@ def page_profile() -> Column:
         F.col("dominant_flow"), F.col("column_count").alias("column_count_estimate"), F.col("line_count"),
         F.col("avg_line_length").alias("average_line_length"), (F.col("running_header") != "").alias("has_running_header"),
         (F.col("page_marker") != "").alias("has_page_marker"), F.col("has_figure_marker"),
-        (F.size("footnotes") > 0).alias("has_footnotes"), (F.size("contents_entries") > 0).alias("has_contents_entries"),
+        (F.size("footnotes") > 0).alias("has_footnotes"), F.array_contains("content_features", "contents_entries").alias("has_contents_entries"),
     )
 
 
