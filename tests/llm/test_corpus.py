@@ -398,6 +398,17 @@ def test_near_copies_in_chains_lose_no_document(spark):
     assert sorted(r.doc_id for r in out.collect()) == brute_dissimilar(rows)
 
 
+def test_pairs_of_the_least_similarity_are_all_found(spark):
+    """1200 pairs that have 24 of 30 shingles in common: some share no band, or differ in over 20 bits."""
+    rng = random.Random(4)
+    rows = []
+    for pair in range(1200):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(34)]
+        rows += [(2 * pair, " ".join(words[:31])), (2 * pair + 1, " ".join(words[:28] + words[31:]))]
+    out = simhash.keep_dissimilar(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 2400, 2))
+
+
 def test_forest_leaves_out_groups_and_failed_pairs():
     fps = np.array([0, 1, 3, 7, 1 << 40], np.uint64)
     keys, ids = np.zeros(5, np.int64), np.arange(10, 15)
