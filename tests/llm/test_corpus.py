@@ -421,6 +421,20 @@ def test_forest_leaves_out_groups_and_failed_pairs():
     assert len(pairs(np.arange(5), None, 2)) > 4 and len(set(pairs(np.arange(5), None, 2))) == len(pairs(np.arange(5), None, 2))
 
 
+def test_part_keys_meet_only_what_may_be_similar():
+    """Similar sets have a key in common, whatever their sizes; sets that share one hash have none."""
+    rng, edges = np.random.default_rng(3), simhash._size_bands(0.8)
+    keys = lambda x: simhash.part_keys(np.unique(x), 0.8, edges)
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for n in [*range(1, 60), 100, 250, 600]:
+        for both in range(-(-4 * n // 5), n + 1):
+            own = fresh(n)
+            more = fresh(max((5 * both - 4 * n) // 4, 0))
+            assert len(np.intersect1d(keys(own), keys(np.concatenate((own[:both], more)))))
+    for shared in fresh(30):
+        assert not len(np.intersect1d(*(keys(np.append(fresh(200), shared)) for _ in range(2))))
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(3)
     kept_columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
