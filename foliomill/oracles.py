@@ -410,7 +410,7 @@ SELECT doc_id, md5(CASE WHEN n = 3 THEN '.' ELSE clean END) AS digest,
   CASE WHEN k = 4 THEN 'model returned commentary instead of output' WHEN n < 3 AND clean = '' THEN 'blank page or no readable text' ELSE '' END AS failure_reason,
   CASE WHEN n < 3 THEN 'checked' WHEN k = 4 THEN 'fallback to source chunk because model returned commentary' ELSE '' END AS notes FROM m""",
     "block_roles_confidence": f"WITH {_SCORED} SELECT role, page_zone, c AS confidence, tabular AS table_signals, count(*) AS blocks FROM sc GROUP BY ALL",
-    "reading_order": f"WITH {_BOXES} SELECT page, max(reading_order) AS blocks, arg_min(top, reading_order) AS first_top, arg_max(top, reading_order) AS last_top FROM ordered WHERE reading_order <= 120 GROUP BY page",
+    "reading_order": f"WITH {_BOXES} SELECT page, max(reading_order) AS blocks, arg_min(top, reading_order) AS first_top, arg_max(top, reading_order) AS last_top FROM ordered GROUP BY page",
     "column_estimate": f"WITH {_BOXES} SELECT columns, count(*) AS pages FROM counted GROUP BY ALL",
     "page_flow": f"""
 WITH {_BOXES} SELECT page, CASE WHEN columns > 1 THEN 'multi-column' WHEN figures > 0 AND figures >= texts THEN 'figure-led' WHEN texts >= 12 THEN 'dense-prose' ELSE 'single-flow' END AS flow,
