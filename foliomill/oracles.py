@@ -887,7 +887,7 @@ SELECT d.doc_id, label, output_name, md5({_escaped('text[1:1200]').replace("'",
   CAST(coalesce(n, 9) AS INT) AS overlay FROM d LEFT JOIN o USING (doc_id)""",
     "layout_sidecars": f"""
 WITH {_BOXES}, o AS (
-  SELECT *, page || '_' || reading_order AS id, ("left" + "right") / 2 / 1000 AS x, (top + bottom) / 2 / 1500 AS y FROM ordered WHERE reading_order <= 120
+  SELECT *, page || '_' || reading_order AS id, ("left" + "right") / 2 / 1000 AS x, (top + bottom) / 2 / 1500 AS y FROM ordered
 ), t AS (
   SELECT *, role || ' ' || concat_ws('-', CASE WHEN y < 0.33 THEN 'top' WHEN y > 0.67 THEN 'bottom' ELSE 'middle' END, CASE WHEN x < 0.33 THEN 'left' WHEN x > 0.67 THEN 'right' ELSE 'center' END) AS said,
     '<Coords points="' || "left" || ',' || top || ' ' || "right" || ',' || top || ' ' || "right" || ',' || bottom || ' ' || "left" || ',' || bottom || '"/>' AS coords,
