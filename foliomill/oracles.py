@@ -315,6 +315,8 @@ _PUBLISHED = f"""{_BOXES}, t AS (
 d AS (SELECT doc_id AS page, generate_subscripts(ls, 1) AS ix, unnest(ls) AS line FROM (SELECT doc_id, {_lines('text')} AS ls FROM documents)),
 p AS (SELECT k.page, k.reading_order, list(line ORDER BY ix) AS said FROM k JOIN d ON k.page = d.page AND k.sort = 'prose' AND least(d.ix, k.slots) = k.rank GROUP BY ALL),
 z AS (SELECT k.page, k.reading_order, role, said FROM k LEFT JOIN p USING (page, reading_order))"""
+# All blocks of a page.
+_PUBLISHED_WHOLE = _PUBLISHED.replace(" WHERE reading_order <= 120", "")
 _FILES = """x AS (SELECT doc_id, text, '/runs/' || source || '/' || lang || '/' || doc_id || '/' || CASE WHEN doc_id % 4 = 3 THEN 'run_manifest.json'
   ELSE ['final__', 'translated__', ''][CAST(doc_id % 4 AS INT) + 1] || 'page_' || doc_id || ['.json', '.txt', '.md', '.png'][CAST(doc_id % 7 % 4 AS INT) + 1] END AS path FROM documents)"""
 
@@ -805,7 +807,7 @@ SELECT base.*, {", ".join(f"coalesce(CAST(to_json((SELECT vs FROM lists WHERE li
   coalesce(CAST(to_json(en.es) AS VARCHAR), '[]') AS contents_entries, coalesce(CAST(to_json(nt.es) AS VARCHAR), '[]') AS footnotes
 FROM base LEFT JOIN en ON en.source = base.source LEFT JOIN nt ON nt.source = base.source""",
     "export_layout_markdown": f"""
-WITH {_PUBLISHED}, b AS (SELECT *, array_to_string(said, chr(10) || chr(10)) AS t FROM z),
+WITH {_PUBLISHED_WHOLE}, b AS (SELECT *, array_to_string(said, chr(10) || chr(10)) AS t FROM z),
 m AS (SELECT page, reading_order, CASE WHEN role = 'figure-region' THEN CASE WHEN page % 2 = 0 THEN '![](a/' || page || '-' || reading_order || '.png)' END
   WHEN role = 'table-region' THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' WHEN t IS NULL THEN NULL WHEN role = 'title-region' THEN '## ' || t
   WHEN role = 'running-header-or-footer' THEN '<!-- ' || t || ' -->' ELSE t END AS part FROM b)
@@ -958,7 +960,7 @@ SELECT doc_id, role, md5(array_to_string(list_filter([CASE WHEN repeated THEN ''
 }
 
 # A page's body in place of its digest, for whole books.
-_LAID = ORACLES["export_layout_markdown"].replace("md5(coalesce(", "(coalesce(").replace("AS digest", "AS body")
+_LAID = ORACLES["export_layout_markdown"].replace(_PUBLISHED_WHOLE, _PUBLISHED).replace("md5(coalesce(", "(coalesce(").replace("AS digest", "AS body")
 _PLAIN = ORACLES["page_bodies"].replace("md5(array_to_string(list_filter([CASE WHEN repeated", "(array_to_string(list_filter([CASE WHEN repeated").replace("AS digest", "AS body")
 ORACLES["book_markdown"] = f"""
 WITH laid AS ({_LAID}), plain AS ({_PLAIN}), p AS (
